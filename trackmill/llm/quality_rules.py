@@ -161,8 +161,8 @@ def bounded(votes_of: dict[str, tuple[float, float]], false_alarm: float = 0.001
 
 
 def posterior(share: float, table: list[dict[str, tuple[float, float]]], pattern: str) -> float:
-    """Probability of good quality given a vote pattern."""
-    log = math.log(share / (1 - share)) + sum(math.log(t[v][0] / t[v][1]) for t, v in zip(table, pattern, strict=True))
+    """Probability of good quality given a vote pattern; abstaining says nothing."""
+    log = math.log(share / (1 - share)) + sum(math.log(t[v][0] / t[v][1]) for t, v in zip(table, pattern, strict=True) if v != "a")
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, log))))
 
 
@@ -181,7 +181,7 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, result: s
     v = F.col("__v")
     for j, t in enumerate(table):
         s = F.substring(v, j + 1, 1)
-        odds = odds + F.when(s == "g", math.log(t["g"][0] / t["g"][1])).when(s == "b", math.log(t["b"][0] / t["b"][1])).otherwise(math.log(t["a"][0] / t["a"][1]))
+        odds = odds + F.when(s == "g", math.log(t["g"][0] / t["g"][1])).when(s == "b", math.log(t["b"][0] / t["b"][1])).otherwise(0.0)
     f = F.col("__f")
     failed = (f["n_words"] < 20) | (100 * f["n_repeat_words"] > 30 * f["n_words"])
     judged = marked.select("*", votes(f).alias("__v")).select("*", (1 / (1 + F.exp(-odds))).alias("__p"), failed.alias("__failed"))
