@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import quality_rules
+from trackmill.llm import quality_rules, url_filters
 from trackmill.llm.common import table
 
 
@@ -15,8 +15,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, keep_text=False).select("doc_id", *[F.col(f"quality.{c}") for c in names])
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    names = ("host", "path", "rule", "verdict", "template", "purity")
+    return url_filters.judge(pages).select("page_id", *[F.col(f"filter.{c}") for c in names])
+
+
 def queries() -> dict:
-    return {"op7_quality_rules": op7_quality_rules}
+    return {
+        "op7_quality_rules": op7_quality_rules,
+        "op10_url_filters": op10_url_filters,
+    }
 
 
 def oracle_sql() -> dict:
