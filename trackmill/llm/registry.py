@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import mixing, quality_rules, url_filters
+from trackmill.llm import media, mixing, quality_rules, url_filters
 from trackmill.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.interleave(docs).select("doc_id", "source", "mix.*")
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior", "votes")
@@ -29,6 +33,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op4_mixing": op4_mixing,
+        "op6_media_columns": op6_media_columns,
         "op7_quality_rules": op7_quality_rules,
         "op10_url_filters": op10_url_filters,
     }
