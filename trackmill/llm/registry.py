@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import media, mixing, quality_rules, url_filters
+from trackmill.llm import bpe, media, mixing, quality_rules, url_filters
 from trackmill.llm.common import table
 
+#: Vocabulary file of the public byte-level tokenizer.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.interleave(docs).select("doc_id", "source", "mix.*")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY)
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -33,6 +41,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op4_mixing": op4_mixing,
+        "op5_bpe": op5_bpe,
         "op6_media_columns": op6_media_columns,
         "op7_quality_rules": op7_quality_rules,
         "op10_url_filters": op10_url_filters,
