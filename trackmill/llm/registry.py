@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import bpe, media, mixing, quality_rules, url_filters
+from trackmill.llm import bpe, line_dedup, media, mixing, quality_rules, url_filters
 from trackmill.llm.common import table
 
 #: Vocabulary file of the public byte-level tokenizer.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "dedup.n_lines", "dedup.n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.interleave(docs).select("doc_id", "source", "mix.*")
@@ -38,8 +43,47 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages).select("page_id", *[F.col(f"filter.{c}") for c in names])
 
 
+OP2_SQL = """
+WITH l AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+), e AS (
+  SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS raw FROM l
+), f AS (
+  SELECT doc_id, raw, ls[raw] AS line,
+         len(list_filter(regexp_split_to_array(ls[raw], '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS w
+  FROM e
+), g AS (
+  SELECT doc_id, raw, line, w, row_number() OVER p AS ln, sum(w) OVER p AS c
+  FROM f WHERE w > 0 WINDOW p AS (PARTITION BY doc_id ORDER BY raw)
+), p AS (
+  SELECT doc_id, a.ln AS s, b.ln AS t FROM g a JOIN g b USING (doc_id)
+  WHERE b.ln >= a.ln AND b.c - a.c + a.w >= 50 AND (b.c - b.w - a.c + a.w < 50 OR b.c - a.c < 50)
+), body AS (
+  SELECT doc_id, list(line ORDER BY ln) AS ls FROM g GROUP BY doc_id
+), q AS (
+  SELECT p.doc_id, s, t, array_to_string(ls[s:t], chr(10)) AS content FROM p JOIN body USING (doc_id)
+), first AS (
+  SELECT content, min(struct_pack(d := doc_id, s := s)) AS fst FROM q GROUP BY content HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, t + 1)) AS ln FROM q JOIN first USING (content)
+  WHERE doc_id <> fst.d OR s <> fst.s
+), rest AS (
+  SELECT f.doc_id, count(*) AS n_lines, count(gone.ln) AS n_deleted,
+         string_agg(CASE WHEN gone.ln IS NULL THEN f.line END, chr(10) ORDER BY f.raw) AS kept,
+         count(*) FILTER (WHERE gone.ln IS NULL AND f.w > 0) AS solid
+  FROM f LEFT JOIN g ON f.doc_id = g.doc_id AND f.raw = g.raw
+  LEFT JOIN gone ON gone.doc_id = g.doc_id AND gone.ln = g.ln
+  GROUP BY f.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_deleted, 0) AS BIGINT) AS n_deleted,
+       sha256(CASE WHEN coalesce(n_deleted, 0) = 0 THEN coalesce(d.text, '') WHEN solid = 0 THEN '' ELSE kept END) AS text_sha256
+FROM documents d LEFT JOIN rest USING (doc_id)
+"""
+
+
 def queries() -> dict:
     return {
+        "op2_line_dedup": op2_line_dedup,
         "op4_mixing": op4_mixing,
         "op5_bpe": op5_bpe,
         "op6_media_columns": op6_media_columns,
@@ -49,4 +93,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_line_dedup": OP2_SQL}
