@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import bpe, line_dedup, media, mixing, quality_rules, url_filters
+from trackmill.llm import bpe, line_dedup, media, mixing, quality_rules, toxicity, url_filters
 from trackmill.llm.common import table
 
 #: Vocabulary file of the public byte-level tokenizer.
@@ -37,6 +37,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, keep_text=False).select("doc_id", *[F.col(f"quality.{c}") for c in names])
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     names = ("host", "path", "rule", "verdict", "template", "purity")
@@ -88,6 +92,7 @@ def queries() -> dict:
         "op5_bpe": op5_bpe,
         "op6_media_columns": op6_media_columns,
         "op7_quality_rules": op7_quality_rules,
+        "op8_toxicity": op8_toxicity,
         "op10_url_filters": op10_url_filters,
     }
 
