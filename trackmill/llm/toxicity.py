@@ -165,8 +165,13 @@ class Reader:
 REPEATED_RUN = re.compile(r"(.)\1+")
 
 
-def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str, text: str, label: str, per_label: int, held_out_of: int, least: int = 4, odds: float = 2.5, most: int = 20_000) -> tuple[dict[str, float], float]:
-    """The lexicon (term -> log odds, at most `most` terms) and the log odds of a document without terms."""
+def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str, text: str, label: str, per_label: int, held_out_of: int, odds: float = 2.5, most: int = 20_000) -> tuple[dict[str, float], float]:
+    """The lexicon (term -> log odds, at most `most` terms) and the log odds of a document without terms.
+
+    Of copies in the sample one counts: rows of a label whose long words have the same smallest hash.
+    A term with t toxic and c other documents is taken if so uneven a split would not be expected
+    once by chance among all terms, by the entropy bound on the number of splits.
+    """
     seen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("__y"))
     seen = seen.where(in_bucket(F.col(key), held_out_of) != 0)
     dealt = F.xxhash64(F.lit("sample"), F.col(key))
@@ -182,14 +187,21 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str, text:
             found = [(t, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in reader.terms(x or "")]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["term", "y"])
 
-    picked = store(picked.select(text, "__y"), "labelled")
+    long_words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: F.length(w) >= 8)
+    own = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64(key))
+    picked = store(picked.select(text, "__y", own.alias("__own")).dropDuplicates(["__y", "__own"]).drop("__own"), "labelled")
     totals = {r["__y"]: r["n"] for r in picked.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     t, c = totals.get(1, 0), totals.get(0, 0)
     if not t:
         return {}, -math.inf
     counted = picked.mapInArrow(rows, "term string, y int").groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    counted = store(counted.where("t > 1"), "terms")
+    n_terms = counted.count() or 1
     weight = F.log((F.col("t") + 0.5) / (t + 1.0)) - F.log((F.col("c") + 0.5) / (c + 1.0))
-    rows_ = counted.where(F.col("t") >= least).withColumn("w", weight).where(F.col("w") >= odds).orderBy(F.desc("w"), "term").limit(most).collect()
+    q = F.col("t") / (F.col("t") + F.col("c"))
+    splits = -(F.col("t") + F.col("c")) * (q * F.log(q) + F.when(q < 1, (1 - q) * F.log(1 - q)).otherwise(0.0))
+    unlikely = F.col("t") * -math.log((t + 0.5) / (t + c + 1)) + F.col("c") * -math.log((c + 0.5) / (t + c + 1)) - splits > math.log(n_terms) + 3
+    rows_ = counted.withColumn("w", weight).where((F.col("w") >= odds) & unlikely).orderBy(F.desc("w"), "term").limit(most).collect()
     everyone = seen.agg(F.count("*"), F.sum((F.col("__y") > 0).cast("long"))).first()
     share = (everyone[1] + 0.5) / (everyone[0] + 1)
     return {r["term"]: r["w"] for r in rows_}, math.log(share / (1 - share)) - 2.0
