@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import bpe, line_dedup, media, mixing, quality_rules, toxicity, url_filters
+from trackmill.llm import bpe, kneser_ney, line_dedup, media, mixing, quality_rules, toxicity, url_filters
 from trackmill.llm.common import table
 
 #: Vocabulary file of the public byte-level tokenizer.
@@ -18,6 +18,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "dedup.n_lines", "dedup.n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.interleave(docs).select("doc_id", "source", "mix.*")
@@ -88,6 +92,7 @@ FROM documents d LEFT JOIN rest USING (doc_id)
 def queries() -> dict:
     return {
         "op2_line_dedup": op2_line_dedup,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_mixing": op4_mixing,
         "op5_bpe": op5_bpe,
         "op6_media_columns": op6_media_columns,
