@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import bpe, kneser_ney, line_dedup, media, mixing, quality_rules, toxicity, url_filters
+from trackmill.llm import bpe, jaccard_join, kneser_ney, line_dedup, media, mixing, quality_rules, toxicity, url_filters
 from trackmill.llm.common import table
 
 #: Vocabulary file of the public byte-level tokenizer.
@@ -45,6 +45,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     names = ("host", "path", "rule", "verdict", "template", "purity")
@@ -89,6 +93,30 @@ FROM documents d LEFT JOIN rest USING (doc_id)
 """
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)]) END AS sh FROM w
+), t AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), e AS (
+  SELECT u, v FROM p UNION ALL SELECT v, u FROM p
+), r(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT e.v, r.c FROM r JOIN e ON e.u = r.doc_id WHERE r.c < e.v
+)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(r.c) AS component_id
+FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, len(sh)
+"""
+
+
 def queries() -> dict:
     return {
         "op2_line_dedup": op2_line_dedup,
@@ -98,9 +126,10 @@ def queries() -> dict:
         "op6_media_columns": op6_media_columns,
         "op7_quality_rules": op7_quality_rules,
         "op8_toxicity": op8_toxicity,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_url_filters": op10_url_filters,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op9_jaccard_join": OP9_SQL}
