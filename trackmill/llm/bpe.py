@@ -201,6 +201,13 @@ class Bpe:
 
 
 SOLID_CUT = regex.compile(r"(?<=\S) (?=\S)")
+
+
+def numbers(joined: str) -> np.ndarray:
+    """Decimals joined by commas as an array."""
+    return np.fromstring(joined, np.int64, sep=",") if joined else np.zeros(0, np.int64)
+
+
 _loaded: dict[str, Bpe] = {}
 
 
@@ -217,9 +224,11 @@ def encode_column(df: DataFrame, text: str, path: str, result: str = "ids") -> D
     def rows(batches):
         bpe = load(path)
         for batch in batches:
-            ids = [bpe.encode(x or "") for x in batch.column(text).to_pylist()]
+            ids = [numbers(bpe.encode_joined(x or "")) for x in batch.column(text).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            flat = np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int32)
             keep = [c for c in batch.schema.names if c != result]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(ids, pa.list_(pa.int32()))], [*keep, result])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*keep, result])
 
     fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop(result).schema], f"`{result}` array<int>"])
     return df.mapInArrow(rows, fields)
@@ -231,7 +240,8 @@ def decode_column(df: DataFrame, ids: str, path: str, result: str = "decoded") -
     def rows(batches):
         bpe = load(path)
         for batch in batches:
-            texts = [None if x is None else bpe.decode(x) for x in batch.column(ids).to_pylist()]
+            column = batch.column(ids)
+            texts = [bpe.decode_bytes(x.values.to_numpy().astype(np.int64)).decode("utf-8", "replace") if x.is_valid else None for x in column]
             keep = [c for c in batch.schema.names if c != result]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, result])
 
@@ -248,7 +258,7 @@ def digests(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
             n, ids_sha, text_sha = [], [], []
             for x in batch.column(1).to_pylist():
                 joined = bpe.encode_joined(x or "")
-                ids = np.array(joined.split(",") if joined else [], dtype=np.int64)
+                ids = numbers(joined)
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode_bytes(ids).decode("utf-8", "replace").encode()).hexdigest())
