@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import bpe, jaccard_join, kneser_ney, line_dedup, media, mixing, quality_rules, toxicity, url_filters
+from trackmill.llm import bpe, jaccard_join, kneser_ney, line_dedup, media, mixing, quality_rules, recurrent_lm, toxicity, url_filters
 from trackmill.llm.common import table
 
 #: Vocabulary file of the public byte-level tokenizer.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "dedup.n_lines", "dedup.n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -119,6 +123,7 @@ FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, len(sh)
 
 def queries() -> dict:
     return {
+        "op1_recurrent_lm": op1_recurrent_lm,
         "op2_line_dedup": op2_line_dedup,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_mixing": op4_mixing,
