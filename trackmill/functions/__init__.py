@@ -1 +1 @@
-
+"""Column expressions: geometry, vectors, parsing."""

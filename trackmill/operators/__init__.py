@@ -1 +1 @@
-
+"""Relational building blocks of trajectory analytics."""

@@ -1 +1 @@
-
+"""Queries built from the operators."""
