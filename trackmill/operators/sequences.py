@@ -134,8 +134,8 @@ def sessions(df: DataFrame, keys: Keys, time: str, tie: str, max_gap: int, same:
 def mask_groups(df: DataFrame, keys: Keys, place: str, mask: Column, bridge: int) -> DataFrame:
     """Groups of true places that lie at most `bridge` apart: first, last, rows. [WIN-12]"""
     held = df.where(mask)
-    cut = islands(held, keys, [place], F.col(place) - F.lag(place).over(_w(keys, [place])) > bridge, "g")
-    return cut.groupBy(*keys, "g").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).drop("g")
+    cut = islands(held, keys, [place], F.col(place) - F.lag(place).over(_w(keys, [place])) > bridge, "__group")
+    return cut.groupBy(*keys, "__group").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).drop("__group")
 
 
 def rolling_median(df: DataFrame, keys: Keys, order: Keys, value: str, reach: int = 15, name: str = "median") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from trackmill.plans import series_queries  # noqa: F401  (registers its queries)
+from trackmill.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
