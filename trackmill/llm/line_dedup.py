@@ -17,7 +17,7 @@ looked up; their intervals' first members are the first copies.
 
 Defined results: null text stays null, empty text empty; a text that loses its last non-blank line
 becomes empty; a repeated row is a later copy of the row before it; null keys come first; an empty
-table gives an empty result; extra columns are carried through, what is added lives in one struct.
+table gives an empty result; extra columns are carried through (one named like the result is replaced), what is added lives in one struct.
 """
 
 from __future__ import annotations
@@ -74,6 +74,7 @@ def passages(ranks: DataFrame, min_words: int) -> DataFrame:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50, result: str = "dedup") -> DataFrame:
     """All rows and columns of docs, the text without deleted lines, with a struct `result`: n_lines, n_deleted, deleted (line indices from 0)."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != result])
     marked = store(docs.withColumn("__uid", F.monotonically_increasing_id()), "stamped")
     lines = marked.select(F.col("__uid").alias("uid"), F.col(f"`{key}`").alias("key"), F.posexplode(lines_of(F.col(f"`{text}`"))).alias("ln", "x"))
     lines = store(lines.select("uid", "key", "ln", "x.*"), "lines")

@@ -7,7 +7,7 @@ corpus size). A document is kept if the posterior probability of good quality re
 
 Defined results: a null text has no words; an empty text fails the base rules; repeated rows are
 judged one by one and alike; an empty table gives an empty result; extra columns of the input are
-carried through, and the derived columns live in one struct so that no name can clash.
+carried through (one named like the result is replaced), and the derived columns live in one struct so that no name can clash.
 """
 
 from __future__ import annotations
@@ -173,7 +173,7 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, result: s
     are counted from there (the only aggregation, of at most 3**9 rows) and the verdicts added.
     Select beforehand the columns that are wanted. Nothing is shuffled but pattern counts.
     """
-    needed = [c for c in docs.columns if c != text or keep_text]
+    needed = [c for c in docs.columns if (c != text or keep_text) and c != result]
     marked = store(docs.select(*[F.col(f"`{c}`") for c in needed], features(F.col(f"`{text}`")).alias("__f")), "quality")
     counted = [(r[0], r[1]) for r in marked.groupBy(votes(F.col("__f")).alias("v")).count().collect()]
     share, table = fit(sorted(counted))

@@ -168,7 +168,7 @@ REPEATED_RUN = re.compile(r"(.)\1+")
 def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str, text: str, label: str, per_label: int, held_out_of: int, odds: float = 2.5, most: int = 20_000) -> tuple[dict[str, float], float]:
     """The lexicon (term -> log odds, at most `most` terms) and the log odds of a document without terms.
 
-    Of copies in the sample one counts: rows of a label whose long words have the same smallest hash.
+    Of copies in the sample one counts: rows of a label whose long words have the same four smallest hashes.
     A term with t toxic and c other documents is taken if so uneven a split would not be expected
     once by chance among all terms, by the entropy bound on the number of splits.
     """
@@ -187,8 +187,9 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str, text:
             found = [(t, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in reader.terms(x or "")]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["term", "y"])
 
-    long_words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: F.length(w) >= 8)
-    own = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64(key))
+    long_words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: F.length(w) >= 6)
+    own = F.slice(F.array_sort(F.array_distinct(F.transform(long_words, lambda w: F.xxhash64(w)))), 1, 4)
+    own = F.when(F.size(own) == 4, F.xxhash64(own)).otherwise(F.xxhash64(key))
     picked = store(picked.select(text, "__y", own.alias("__own")).dropDuplicates(["__y", "__own"]).drop("__own"), "labelled")
     totals = {r["__y"]: r["n"] for r in picked.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     t, c = totals.get(1, 0), totals.get(0, 0)

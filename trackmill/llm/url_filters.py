@@ -9,7 +9,7 @@ without a rule is blocked if its node's smoothed share reaches a threshold.
 
 Defined results: a null url, or one without "://", has an empty host and path; such rows form a
 host like any other. Repeated urls count as often as they occur. An empty table gives an empty
-result. Extra columns are carried through; what is added lives in one struct.
+result. Extra columns are carried through (one named like the result is replaced); what is added lives in one struct.
 """
 
 from __future__ import annotations
@@ -87,6 +87,7 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, max_children: int = 5
     for rule, what in rules:
         if what == "block":
             blocked = blocked | (F.col("__rule") == rule)
+    pages = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != result])
     segments = F.filter(F.split(F.col("__u.path"), "/"), lambda x: x != "")
     rows = (
         pages.select(*[F.col(f"`{c}`") for c in pages.columns], parts(F.col(f"`{url}`")).alias("__u"))
