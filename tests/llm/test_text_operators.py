@@ -262,7 +262,7 @@ def test_jaccard_join_matches_brute_force(spark, texts):
         rows.append((len(rows), " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     for tokens in (4_000_000, 5_000):  # one tile a block, and several
-        out = jaccard_join.near_duplicates(df, tile_tokens=tokens, most_common=50)
+        out = jaccard_join.near_duplicates(df, tile_tokens=tokens, heavy=8)
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == plain_components(rows)
 
 

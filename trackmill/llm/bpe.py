@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 #: Pre-tokenizer of the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept per worker; beyond, the older half goes.
-CACHE = 400_000
+CACHE = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -79,14 +79,14 @@ class Bpe:
                 if (j := self.ids.get(t[:n])) is not None:
                     self.prefix[i] = j
                     break
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
         self.split_text = regex.compile(PATTERN)
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.units: dict[str, str] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of the two tokens together ends in just these two."""
-        key = (left, right)
+        key = left << 32 | right
         known = self.table.get(key)
         if known is None:
             known = self.table[key] = self._compatible(left, right)
@@ -161,7 +161,7 @@ class Bpe:
             if len(self.units) >= CACHE:
                 for k in list(self.units)[: CACHE // 2]:
                     del self.units[k]
-            if len(self.table) >= 4 * CACHE:
+            if len(self.table) >= CACHE:
                 self.table.clear()
             known = ",".join([str(i) for w in self.split_text.findall(unit) for i in self.encode_word(w.encode("utf-8"))])
             if len(unit) < 200:
@@ -218,32 +218,42 @@ def load(path: str) -> Bpe:
     return _loaded[path]
 
 
-def encode_column(df: DataFrame, text: str, path: str, result: str = "ids") -> DataFrame:
-    """All rows and columns of df with the token ids of a text column, as array<int>."""
+def encode_column(df: DataFrame, text: str, path: str, result: str = "ids", decoded: str | None = None, rows_at_once: int = 128) -> DataFrame:
+    """All rows and columns of df with the token ids of a text column, as array<int>.
+
+    decoded: also a column with the text decoded from these ids. Results leave in small batches, so memory holds few rows' ids.
+    """
 
     def rows(batches):
         bpe = load(path)
         for batch in batches:
-            ids = [numbers(bpe.encode_joined(x or "")) for x in batch.column(text).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int32)
-            keep = [c for c in batch.schema.names if c != result]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*keep, result])
-
-    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop(result).schema], f"`{result}` array<int>"])
+            for at in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(at, rows_at_once)
+                ids = [numbers(bpe.encode_joined(x.as_py() or "")) for x in part.column(text)]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                flat = np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int32)
+                made = {result: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+                if decoded:
+                    made[decoded] = pa.array([bpe.decode_bytes(x).decode("utf-8", "replace") for x in ids], pa.string())
+                keep = [c for c in part.schema.names if c not in made]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *made.values()], [*keep, *made])
+
+    extra = [f"`{result}` array<int>", *([f"`{decoded}` string"] if decoded else [])]
+    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop(result, *([decoded] if decoded else [])).schema], *extra])
     return df.mapInArrow(rows, fields)
 
 
-def decode_column(df: DataFrame, ids: str, path: str, result: str = "decoded") -> DataFrame:
+def decode_column(df: DataFrame, ids: str, path: str, result: str = "decoded", rows_at_once: int = 128) -> DataFrame:
     """All rows and columns of df with the text of a column of token ids; null ids give null."""
 
     def rows(batches):
         bpe = load(path)
         for batch in batches:
-            column = batch.column(ids)
-            texts = [bpe.decode_bytes(x.values.to_numpy().astype(np.int64)).decode("utf-8", "replace") if x.is_valid else None for x in column]
-            keep = [c for c in batch.schema.names if c != result]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, result])
+            for at in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(at, rows_at_once)
+                texts = [bpe.decode_bytes(x.values.to_numpy().astype(np.int64)).decode("utf-8", "replace") if x.is_valid else None for x in part.column(ids)]
+                keep = [c for c in part.schema.names if c != result]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, result])
 
     fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop(result).schema], f"`{result}` string"])
     return df.mapInArrow(rows, fields)
