@@ -32,8 +32,8 @@ def suppressed(df: DataFrame, keys: list[str], time: str, score: str, tie: str,
         rows, F.array().cast(f"array<struct<s:{dict(df.dtypes)[score]},t:{dict(df.dtypes)[time]},i:{dict(df.dtypes)[tie]}>>"),
         lambda a, x: F.when(F.exists(a, lambda y: F.abs(y["t"] - x["t"]) < apart), a).otherwise(F.concat(a, F.array(x))),
     )
-    out = cut.groupBy(*keys, "__cell").agg(kept.alias("k")).select(*keys, F.explode("k").alias("k"))
-    return out.select(*keys, F.col("k.t").alias(time), (-F.col("k.s")).alias(score), F.col("k.i").alias(tie))
+    out = cut.groupBy(*keys, "__cell").agg(kept.alias("__all")).select(*keys, F.explode("__all").alias("__kept"))
+    return out.select(*keys, F.col("__kept.t").alias(time), (-F.col("__kept.s")).alias(score), F.col("__kept.i").alias(tie))
 
 
 def latest(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
