@@ -55,9 +55,9 @@ def interval_semi(left: DataFrame, right: DataFrame, keys: list[str], left_span:
     By counts: right rows up to the span's end less those before its start, from one ordered pass a key; no pairs.
     """
     a, b = left_span
-    marked = left.withColumn("__id", F.monotonically_increasing_id()).withColumn("__a", a).withColumn("__b", b)
+    marked = left.withColumn("__id", F.struct(*left.columns)).withColumn("__a", a).withColumn("__b", b)
     probes = marked.select(*keys, "__id", F.explode(F.array(F.struct(F.col("__a").alias("t"), F.lit(0).alias("o")), F.struct(F.col("__b").alias("t"), F.lit(2).alias("o")))).alias("p"))
-    points = right.select(*keys, F.lit(None).cast("bigint").alias("__id"), F.struct(F.col(right_time).alias("t"), F.lit(1).alias("o")).alias("p"))
+    points = right.select(*keys, F.lit(None).cast(dict(marked.dtypes)["__id"]).alias("__id"), F.struct(F.col(right_time).alias("t"), F.lit(1).alias("o")).alias("p"))
     w = Window.partitionBy(*keys).orderBy("p.t", "p.o").rowsBetween(Window.unboundedPreceding, 0)
     seen = probes.unionByName(points).withColumn("__n", F.sum((F.col("p.o") == 1).cast("long")).over(w)).where("__id is not null")
     hit = seen.groupBy(*keys, "__id").agg((F.max("__n") - F.min("__n")).alias("__hits"))
