@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: ASCII white space that separates words: space and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 _own_dir: list[str] = []
+#: Folders of all tables that store() wrote in this process, oldest first.
+_stored: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,7 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,6 +46,21 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def stored_so_far() -> list[str]:
+    return list(_stored)
+
+
+def release(spark: SparkSession, paths: list[str], still_read: DataFrame) -> None:
+    """Delete stored tables, but none if `still_read` reads from one of them."""
+    names = [p.rsplit("/", 1)[1] for p in paths]
+    if any(n in f for f in still_read.inputFiles() for n in names):
+        return
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
