@@ -1,5 +1,6 @@
 """Domain cases with the reference's numbers, rewrites against plain loops, plans without cross products."""
 
+import datetime
 import math
 import random
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackmill.functions import geometry, parsing, vectors
 from trackmill.operators import choose, grouped, sequences, timejoins
-from trackmill.plans import match
+from trackmill.plans import domain_queries, match
 from trackmill.sources import tables
 from trackmill.streaming import windows
 
@@ -106,6 +107,27 @@ def test_stations(spark):
     assert out["a"] == out["b"] != out["c"] == out["d"] != out["e"] and out["e"] not in (out["a"], out["c"])
 
 
+def test_station_groups_take_every_event(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, datetime.datetime(2024, 1, 1 + i % 2, 0, 0, rng.randrange(30)), rng.randrange(200), rng.choice(["view", "click"]), rng.randrange(40_000) / 100) for i in range(301)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    want, found = {}, {}
+    for i, ts, user, kind, value in sorted(rows, key=lambda r: (r[1], r[0])):
+        groups = found.setdefault((kind, ts.date()), [])
+        x, y = round(value * 100) % 500, user % 90
+        near = [(math.hypot(x - gx, y - gy), k) for k, (n, gx, gy) in enumerate(groups) if math.hypot(x - gx, y - gy) <= max(6, 1.5 * math.hypot(5, 5 / n**0.5))]
+        if near:
+            k = min(near)[1]
+            n, gx, gy = groups[k]
+            groups[k] = (n + 1, (gx * n + x) / (n + 1), (gy * n + y) / (n + 1))
+        else:
+            k = len(groups)
+            groups.append((1, x, y))
+        want[i] = k
+    assert {r["event_id"]: r["station"] for r in domain_queries.station_groups(spark, str(tmp_path)).collect()} == want
+
+
 def test_tracks_survive_a_crossing(spark):
     rows = [(1, i, 10.0 + 3 * i, 50.0, 30.0 + 3 * i, 100.0) for i in range(30)] + [(1, i, 200.0 - 3 * i, 120.0, 220.0 - 3 * i, 170.0) for i in range(30) if i % 7]
     out = grouped.tracked(spark.createDataFrame(rows, "clip int, idx int, x1 double, y1 double, x2 double, y2 double"), ["clip"]).collect()

@@ -63,33 +63,31 @@ def farthest(df: DataFrame, keys: list[str], points: list[str], n: int) -> DataF
     return df.groupBy(*keys).applyInPandas(pick, df.schema)
 
 
-def stations(clips: DataFrame, keys: list[str], east: str, north: str, accuracy: str, time: str, floor_m: float = 6.0, factor: float = 1.5, within_s: float = 1200.0) -> DataFrame:
-    """Positions grouped one after the other around inverse-variance centroids; a clip without a position joins the group nearest in time. [STA-07, AGG-24]
+def stations(clips: DataFrame, keys: list[str], east: str, north: str, accuracy: str, time: str, floor_m: float = 6.0, factor: float = 1.5, within_s: float = 1200.0, tie: str | None = None) -> DataFrame:
+    """Positions grouped one after the other, in order of time (then of `tie`), around inverse-variance centroids; a clip without a position joins the group nearest in time. [STA-07, AGG-24]
 
     A clip belongs to the nearest centroid within max(floor_m, factor * hypot of both accuracies).
     """
 
     def group(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.copy()
-        found: list[list[float]] = []  # sum w, x, y
+        g = g.sort_values([time, tie] if tie else [time], kind="stable", na_position="last")
+        n, w, cx, cy = 0, *(np.empty(len(g)) for _ in range(3))  # of the first n groups: sum of weights, centroid
         out: list[int | None] = []
         for x, y, a in zip(g[east], g[north], g[accuracy], strict=True):
             if pd.isna(x) or pd.isna(y):
                 out.append(None)
                 continue
             a = max(float(a) if not pd.isna(a) else 10.0, 1.0)
-            best, near = None, None
-            for k, (w, cx, cy) in enumerate(found):
-                d = float(np.hypot(x - cx, y - cy))
-                if d <= max(floor_m, factor * float(np.hypot(a, w**-0.5))) and (near is None or d < near):
-                    best, near = k, d
-            if best is None:
-                found.append([a**-2, float(x), float(y)])
-                best = len(found) - 1
+            d = np.hypot(x - cx[:n], y - cy[:n])
+            d[d > np.maximum(floor_m, factor * np.hypot(a, w[:n] ** -0.5))] = np.inf
+            best = int(d.argmin()) if n else 0
+            if not n or d[best] == np.inf:
+                best = n
+                w[n], cx[n], cy[n] = a**-2, x, y
+                n += 1
             else:
-                w, cx, cy = found[best]
-                v = w + a**-2
-                found[best] = [v, (cx * w + x * a**-2) / v, (cy * w + y * a**-2) / v]
+                v = w[best] + a**-2
+                cx[best], cy[best], w[best] = (cx[best] * w[best] + x * a**-2) / v, (cy[best] * w[best] + y * a**-2) / v, v
             out.append(best)
         t = g[time].to_numpy(float)
         known = [i for i, k in enumerate(out) if k is not None]
@@ -99,8 +97,8 @@ def stations(clips: DataFrame, keys: list[str], east: str, north: str, accuracy:
                 if near is not None and abs(t[near] - t[i]) <= within_s:
                     out[i] = out[near]
                 else:
-                    found.append([0.0, 0.0, 0.0])
-                    out[i] = len(found) - 1
+                    out[i] = n
+                    n += 1
         g["station"] = np.array(out, dtype="int32")
         return g
 

@@ -130,8 +130,8 @@ def sequences_pairs(runs, following, reach):
 @query()
 def station_groups(spark, sf):
     """Events of each kind and day grouped by place, one after the other. [STA-07]"""
-    e = events(spark, sf).where("event_id % 10 = 0").select("kind", "event_id", (F.col("v") % 500).cast("double").alias("east"), (F.col("user_id") % 90).cast("double").alias("north"), F.lit(5.0).alias("acc"), (F.col("us") / 1e6).alias("t"))
-    return grouped.stations(e, ["kind"], "east", "north", "acc", "t").select("event_id", "station")
+    e = events(spark, sf).select("kind", "day", "event_id", (F.col("v") % 500).cast("double").alias("east"), (F.col("user_id") % 90).cast("double").alias("north"), F.lit(5.0).alias("acc"), (F.col("us") / 1e6).alias("t"))
+    return grouped.stations(e, ["kind", "day"], "east", "north", "acc", "t", tie="event_id").select("event_id", "station")
 
 
 @query()
