@@ -297,6 +297,20 @@ def test_recurrent_model_is_a_distribution_and_gradients_hold():
         assert (vals[0] - vals[1]) / 2e-5 == pytest.approx(g[name][at], abs=1e-5)
 
 
+def test_recurrent_loss_covers_every_token():
+    v = recurrent_lm.Vocabulary([(b"a", 30), (b"b", 20), (b"c", 9), (b"d", 8), (recurrent_lm.END, 5)], np.full(recurrent_lm.SHAPES, 0.5), 80, 20, 3)
+    net = recurrent_lm.Network(v, recurrent_lm.initial(v, 4))
+    y = np.arange(48).reshape(16, 3) % 7
+    y[10:, 2] = -1  # the third lane ends
+    x, h = np.zeros((16, 3), np.int32), np.zeros((3, 4), np.float32)
+    out, _ = net.states(x, h, False)
+    real = y.ravel() >= 0
+    _, _, g = net.log_p(out.reshape(-1, 4)[real], y.ravel()[real], True)
+    net.learn(x, y, h, 0.1)
+    for name in ("C", "c", "W", "w"):
+        assert np.allclose(net.square[name], 0.1 + np.clip(g[name] * 64 / real.sum(), -5, 5) ** 2, rtol=1e-4)
+
+
 def test_recurrent_scores(spark, docs):
     rng = random.Random(6)
     rows = [(i, " ".join(["alpha", "beta", "gamma", "delta"] * rng.randint(5, 30))) for i in range(400)] + [(1000, None), (1001, ""), (1002, "new wörds only")]

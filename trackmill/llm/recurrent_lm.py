@@ -7,8 +7,7 @@ shares of the tokens; and p(class | state) * (c + a) / (sum of c + a of the clas
 with c a word's count in the training texts and one further word, never seen, in each class.
 The output biases start at the counts, so the untrained network is the smoothed unigram model.
 
-Training covers every training text once (all tokens pass the network, the loss is taken at every
-eighth), in rounds over growing parts of the corpus: each task starts from the
+Training covers every training text once, with the loss at every token, in rounds over growing parts of the corpus: each task starts from the
 last average, carries the state from window to window of a document, back-propagates
 within the window (truncated) and sends its weights, which are averaged over tasks in a stream.
 Scoring carries the state through whole documents.
@@ -37,8 +36,6 @@ ADD = 0.1
 END = b"\n"  # no word holds white space
 SHAPES = 32
 LANES, WINDOW, SCORE_WINDOW = 512, 16, 32
-#: The loss is taken at every LOSS_EVERY-th token of a window, each time from another one on.
-LOSS_EVERY = 8
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -236,16 +233,12 @@ class Network:
                 dh[some] += dw @ p["W"][a:b]
         return (out, dh, g) if grad else out
 
-    def learn(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, rate: float, phase: int = 0) -> np.ndarray:
+    def learn(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
         """One window: forward, truncated back-propagation, an Adagrad step; returns the last state."""
         p, n = self.p, self.hidden
         safe = np.maximum(x, 0)
         out, trail = self.states(safe, h, True)
-        real = y >= 0
-        real[(np.arange(len(y)) + phase) % LOSS_EVERY != 0] = False
-        real = real.ravel()
-        if not real.any():
-            return out[-1]
+        real = y.ravel() >= 0
         _, dh, g = self.log_p(out.reshape(-1, n)[real], y.ravel()[real], True)
         per_step = np.zeros((y.size, n), np.float32)
         per_step[real] = dh
@@ -288,7 +281,7 @@ class Network:
             for t in range(0, int(sizes[0]), WINDOW):
                 y, n = window(some, sizes, t, WINDOW)
                 x = np.concatenate([last[None, :n], y[:-1]])
-                h = self.learn(x, y, h[:n], rate, k + t // WINDOW)
+                h = self.learn(x, y, h[:n], rate)
                 last = y[-1]
         return sum(map(len, docs))
 
