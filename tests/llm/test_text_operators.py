@@ -311,6 +311,18 @@ def test_recurrent_loss_covers_every_token():
         assert np.allclose(net.square[name], 0.1 + np.clip(g[name] * 64 / real.sum(), -5, 5) ** 2, rtol=1e-4)
 
 
+def test_recurrent_vocabulary_grows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(recurrent_lm, "averaged", lambda texts, v, start, rate: (seen.append(v), start)[1])
+    rows = [(i, " ".join(f"w{(i * 40 + k) % 3000}" for k in range(40))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert recurrent_lm.scored(df).count() == 300
+    assert len(seen[0].words) >= 2048 and seen[0].groups >= 36
+    recurrent_lm.scored(df, head=10, classes=2)  # about 11,000 training tokens
+    assert len(seen[-1].words) >= 100 and seen[-1].groups >= 5
+    assert recurrent_lm.vocabulary_size(10**10, 2048, 40) == (10**5, 316)
+
+
 def test_recurrent_scores(spark, docs):
     rng = random.Random(6)
     rows = [(i, " ".join(["alpha", "beta", "gamma", "delta"] * rng.randint(5, 30))) for i in range(400)] + [(1000, None), (1001, ""), (1002, "new wörds only")]

@@ -1,7 +1,9 @@
 """Scoring documents by a gated recurrent language model with a class-factored softmax, in numpy.
 
-Vocabulary: the `head` most frequent words of the training texts have inputs and outputs of their
-own; all other words share an input and an output class by their last byte.
+Vocabulary: the most frequent words of the training texts have inputs and outputs of their own: `head`
+words in `classes` classes at least, and as many words as the square root of the training tokens in as many
+classes as that number's root, where that is more. All other words share an input and an output class by their
+shape (last byte, ASCII or not).
 p(word) = p(class | state) * p(word | class, state) for head words, whose classes hold about equal
 shares of the tokens; and p(class | state) * (c + a) / (sum of c + a of the class) for the others,
 with c a word's count in the training texts and one further word, never seen, in each class.
@@ -14,7 +16,7 @@ Scoring carries the state through whole documents.
 
 Words are counted as (word, chunk) rows, a chunk being a run of `rows_per_chunk` stored rows; totals go
 back to the chunks, and each chunk's texts meet the counts of their own words alone. Broadcast are the
-weights and the head words, bounded by parameters.
+weights and the head words, which grow with the square root of the tokens.
 
 Defined results: null and empty texts are one end token; a null id counts as the empty text when
 documents are dealt to training; repeated rows train and score each; without training texts all words are unknown
@@ -24,6 +26,7 @@ and scores come from the constants alone; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from trackmill.llm.common import drop_stored, in_bucket, store
 
 ADD = 0.1
 END = b"\n"  # no word holds white space
-SHAPES = 32
+SHAPES = 64
 LANES, WINDOW, SCORE_WINDOW = 512, 16, 32
 
 
@@ -56,7 +59,7 @@ _shapes = shape_table().tolist()
 
 
 def shape(word: bytes) -> int:
-    return _shapes[word[-1]]
+    return _shapes[word[-1]] + (0 if word.isascii() else 32)
 
 
 def chunk_words(stamped: DataFrame, rows_per_chunk: int) -> DataFrame:
@@ -113,6 +116,12 @@ def totalled(found: DataFrame) -> DataFrame:
     return found.repartition("word").sortWithinPartitions("word").mapInArrow(rows, "chunk bigint, word binary, c bigint, first boolean")
 
 
+def vocabulary_size(total: int, head: int, classes: int) -> tuple[int, int]:
+    """How many words have outputs of their own after `total` training tokens, and in how many classes; `head` and `classes` at least."""
+    words = max(head, isqrt(total))
+    return words, max(classes, isqrt(words))
+
+
 class Vocabulary:
     """Head words with their classes, and the mass of each shape class."""
 
@@ -346,7 +355,7 @@ def averaged(texts: DataFrame, v: Vocabulary, start: dict[str, np.ndarray], rate
     return unpack(np.concatenate([np.frombuffer(r["x"], np.float32) for r in found]), start) if found else start
 
 
-def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out_of: int = 10, head: int = 512, classes: int = 24, hidden: int = 16, rates: tuple[float, ...] = (0.1, 0.07, 0.05), rows_per_chunk: int = 8192) -> DataFrame:
+def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out_of: int = 10, head: int = 2048, classes: int = 40, hidden: int = 16, rates: tuple[float, ...] = (0.1, 0.07, 0.05), rows_per_chunk: int = 8192) -> DataFrame:
     """Per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     out = (in_bucket(F.col(f"`{key}`"), held_out_of) == 0).alias("held_out")
@@ -354,6 +363,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out_of
     known_words = store(totalled(chunk_words(stamped, rows_per_chunk)), "words")
     counts = known_words.where("first").select("word", "c")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    head, classes = vocabulary_size(total, head, classes)
     top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(head).collect()]
     if END not in dict(top):
         top.append((END, next((r["c"] for r in counts.where(F.col("word") == F.lit(END)).collect()), 0)))
