@@ -371,6 +371,16 @@ def test_url_tree_rejects_a_bad_branch(spark):
     assert url_filters.judge(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sections", [2, 60])
+def test_url_tree_keeps_branches_apart_at_any_width(spark, sections):
+    rows = [f"http://shop.com/{s}/{c}" for s in ("de", "fr") for c in "abcdefgh" for _ in range(10 if s == "de" else 4)]
+    rows += ["http://shop.com/it/a", *[f"http://shop.com/{chr(97 + k // 26)}{chr(97 + k % 26)}x/a" for k in range(sections)]]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id int, url string")
+    out = {r["url"]: r["filter"] for r in url_filters.judge(df).collect()}
+    assert [out[f"http://shop.com/{s}/a"]["template"] for s in ("de", "fr", "it")] == ["/de/*", "/fr/*", "/*/*"]
+    assert out["http://shop.com/fr/a"]["purity"] < 0.3 and out["http://shop.com/de/a"]["purity"] > 0.9
+
+
 def test_pipeline_on_small_documents(spark, tmp_path):
     import corpus_pipeline
 

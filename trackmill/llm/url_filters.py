@@ -1,8 +1,7 @@
 """URL filters from a path-template tree, in DataFrame functions only.
 
 The path of a url is a walk down the tree of its host. Variable segments (numbers, hexadecimal
-strings, dates, and the children of a node with too many distinct ones) become wildcards; sibling
-branches whose share of blocked urls cannot be told apart from that of all siblings together merge
+strings, dates) become wildcards; sibling branches, however many, whose share of blocked urls cannot be told apart from that of all siblings together merge
 into the wildcard branch. Urls that an explicit rule decides are the labels. Each node's share of
 blocked urls is smoothed towards its parent's (the host's towards the whole table's), and a url
 without a rule is blocked if its node's smoothed share reaches a threshold.
@@ -58,12 +57,12 @@ def lexical(segment: Column) -> Column:
     )
 
 
-def level(nodes: DataFrame, k: int, max_children: int, z: float) -> DataFrame:
+def level(nodes: DataFrame, k: int, z: float) -> DataFrame:
     """Give each (host, parent template, segment) of depth k its label in the tree: itself or the wildcard."""
     key = ["host", "t"]
     child = nodes.groupBy(*key, f"s{k}").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     total = child.groupBy(*key).agg(
-        F.count("*").alias("children"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
+        F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
     )
     both = child.join(total, key)
     rest_n, rest_b = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
@@ -71,11 +70,11 @@ def level(nodes: DataFrame, k: int, max_children: int, z: float) -> DataFrame:
     deviation = F.abs(F.try_divide(F.col("blocked"), F.col("labelled")) - F.try_divide(rest_b, rest_n))
     error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest_n)))
     apart = (F.col("labelled") > 0) & (rest_n > 0) & (F.col("all_labelled") > 0) & (deviation > z * error)
-    label = F.when(F.col(f"s{k}") == "", "").when(F.col(f"s{k}").startswith("{"), "*").when(F.col("children") > max_children, "*").when(F.coalesce(apart, F.lit(False)), F.col(f"s{k}")).otherwise("*")
+    label = F.when(F.col(f"s{k}") == "", "").when(F.col(f"s{k}").startswith("{"), "*").when(F.coalesce(apart, F.lit(False)), F.col(f"s{k}")).otherwise("*")
     return both.select(*key, f"s{k}", label.alias("label"))
 
 
-def judge(pages: DataFrame, url: str = "url", rules=RULES, max_children: int = 50, z: float = 3.0, strength: float = 5.0, threshold: float = 0.5, result: str = "filter") -> DataFrame:
+def judge(pages: DataFrame, url: str = "url", rules=RULES, z: float = 3.0, strength: float = 5.0, threshold: float = 0.5, result: str = "filter") -> DataFrame:
     """All rows and columns of pages with a struct `result`: host, path, rule, template, purity, verdict.
 
     Urls are first folded to distinct (host, generalised path) with counts, so the joins of the
@@ -100,7 +99,7 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, max_children: int = 5
     tree = nodes.withColumn("t", F.lit(""))
     keys: list[str] = []
     for k in range(DEPTH):
-        marks = level(tree, k, max_children, z)
+        marks = level(tree, k, z)
         tree = tree.join(marks, ["host", "t", f"s{k}"]).withColumn(f"t{k}", F.col("t"))
         tree = store(tree.withColumn("t", F.when(F.col("label") == "", F.col("t")).otherwise(F.concat("t", F.lit("/"), "label"))).drop("label"), "tree")
         keys.append(f"t{k}")
