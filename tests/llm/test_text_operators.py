@@ -381,6 +381,17 @@ def test_url_tree_keeps_branches_apart_at_any_width(spark, sections):
     assert out["http://shop.com/fr/a"]["purity"] < 0.3 and out["http://shop.com/de/a"]["purity"] > 0.9
 
 
+def test_url_tree_reads_the_whole_path(spark):
+    rules = (("com/a/b/c/bad/x", "block"), ("com/a/b/c/good/x", "allow"))
+    rows = [f"http://s.com/a/b/c/{s}/x{c}" for s in ("bad", "good") for c in "abcdefgh" for _ in range(5)] + [f"http://s.com/a/b/c/{s}/y" for s in ("bad", "good")] + ["http://s.com", "http://t.com/"]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id int, url string")
+    got = url_filters.judge(df, rules=rules).collect()
+    out = {r["url"]: r["filter"] for r in got}
+    assert len(got) == len(rows) and all(r["filter"]["purity"] is not None for r in got)
+    assert (out["http://s.com/a/b/c/bad/y"]["verdict"], out["http://s.com/a/b/c/good/y"]["verdict"]) == ("block", "allow")
+    assert out["http://s.com/a/b/c/bad/y"]["template"] == "/*/*/*/bad/*"
+
+
 def test_pipeline_on_small_documents(spark, tmp_path):
     import corpus_pipeline
 

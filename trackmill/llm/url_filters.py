@@ -1,10 +1,12 @@
 """URL filters from a path-template tree, in DataFrame functions only.
 
-The path of a url is a walk down the tree of its host. Variable segments (numbers, hexadecimal
-strings, dates) become wildcards; sibling branches, however many, whose share of blocked urls cannot be told apart from that of all siblings together merge
-into the wildcard branch. Urls that an explicit rule decides are the labels. Each node's share of
-blocked urls is smoothed towards its parent's (the host's towards the whole table's), and a url
-without a rule is blocked if its node's smoothed share reaches a threshold.
+The path of a url is a walk down the tree of its host, which is built level by level (a round of
+jobs each) until no path has a further segment. Variable segments (numbers, hexadecimal strings,
+dates) become wildcards; sibling branches, however many, whose share of blocked urls cannot be told
+apart from that of the others merge into the wildcard branch. Urls that an explicit rule decides are
+the labels. Each node's share of blocked urls is smoothed towards its parent's (the host's towards
+the whole table's); the urls that end at a node are a child of their own. A url without a rule is
+blocked if the smoothed share where it ends reaches a threshold.
 
 Defined results: a null url, or one without "://", has an empty host and path; such rows form a
 host like any other. Repeated urls count as often as they occur. An empty table gives an empty
@@ -26,7 +28,6 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-DEPTH = 3
 
 
 def parts(url: Column) -> Column:
@@ -57,10 +58,10 @@ def lexical(segment: Column) -> Column:
     )
 
 
-def level(nodes: DataFrame, k: int, z: float) -> DataFrame:
-    """Give each (host, parent template, segment) of depth k its label in the tree: itself or the wildcard."""
+def level(nodes: DataFrame, z: float) -> DataFrame:
+    """Give each (host, parent template, segment) of a level its label in the tree: itself or the wildcard."""
     key = ["host", "t"]
-    child = nodes.groupBy(*key, f"s{k}").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    child = nodes.groupBy(*key, "s").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     total = child.groupBy(*key).agg(
         F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
     )
@@ -70,8 +71,8 @@ def level(nodes: DataFrame, k: int, z: float) -> DataFrame:
     deviation = F.abs(F.try_divide(F.col("blocked"), F.col("labelled")) - F.try_divide(rest_b, rest_n))
     error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest_n)))
     apart = (F.col("labelled") > 0) & (rest_n > 0) & (F.col("all_labelled") > 0) & (deviation > z * error)
-    label = F.when(F.col(f"s{k}") == "", "").when(F.col(f"s{k}").startswith("{"), "*").when(F.coalesce(apart, F.lit(False)), F.col(f"s{k}")).otherwise("*")
-    return both.select(*key, f"s{k}", label.alias("label"))
+    label = F.when(F.col("s") == "", "").when(F.col("s").startswith("{"), "*").when(F.coalesce(apart, F.lit(False)), F.col("s")).otherwise("*")
+    return both.select(*key, "s", label.alias("label"))
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES, z: float = 3.0, strength: float = 5.0, threshold: float = 0.5, result: str = "filter") -> DataFrame:
@@ -90,32 +91,30 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, z: float = 3.0, stren
     segments = F.filter(F.split(F.col("__u.path"), "/"), lambda x: x != "")
     rows = (
         pages.select(*[F.col(f"`{c}`") for c in pages.columns], parts(F.col(f"`{url}`")).alias("__u"))
-        .select("*", rule_of(F.col("__u.host"), F.col("__u.path"), rules).alias("__rule"), *[lexical(F.coalesce(F.get(segments, F.lit(k)), F.lit(""))).alias(f"__s{k}") for k in range(DEPTH)])
+        .select("*", rule_of(F.col("__u.host"), F.col("__u.path"), rules).alias("__rule"), F.array_join(F.transform(segments, lexical), "/").alias("__f"))
     )
-    nodes = rows.groupBy(F.col("__u.host").alias("host"), *[F.col(f"__s{k}").alias(f"s{k}") for k in range(DEPTH)]).agg(
+    nodes = rows.groupBy(F.col("__u.host").alias("host"), F.col("__f").alias("f")).agg(
         F.count("*").alias("n"), F.count("__rule").alias("labelled"), F.sum(F.coalesce(blocked, F.lit(False)).cast("long")).alias("blocked")
     )
     nodes = store(nodes, "paths")
-    tree = nodes.withColumn("t", F.lit(""))
-    keys: list[str] = []
-    for k in range(DEPTH):
-        marks = level(tree, k, z)
-        tree = tree.join(marks, ["host", "t", f"s{k}"]).withColumn(f"t{k}", F.col("t"))
-        tree = store(tree.withColumn("t", F.when(F.col("label") == "", F.col("t")).otherwise(F.concat("t", F.lit("/"), "label"))).drop("label"), "tree")
-        keys.append(f"t{k}")
-    keys = [*keys[1:], "t"]
-    total = nodes.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).first()
+    total = nodes.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.max(F.size(F.split("f", "/"))).alias("depth")).first()
     root = ((total["b"] or 0) + 1) / ((total["l"] or 0) + 2)
-    found = tree.withColumn("p_all", F.lit(root))
-    before = F.col("p_all")
-    for name in ("host", *keys):
-        on = ["host"] if name == "host" else ["host", name]
+
+    def smoothed(tree: DataFrame, on: list[str]) -> DataFrame:
+        """p, the share of the node above, replaced by that of the node `on`."""
         part = tree.groupBy(*on).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        found = found.join(part, on).withColumn("p_all", (F.col("b") + strength * before) / (F.col("l") + strength)).drop("l", "b")
-    judged = found.select(F.col("host").alias("__host"), *[F.col(f"s{k}").alias(f"__n{k}") for k in range(DEPTH)], F.col("t").alias("__t"), F.col("p_all").alias("__p"))
-    on = F.col("__u.host") == F.col("__host")
-    for k in range(DEPTH):
-        on = on & (F.col(f"__s{k}") == F.col(f"__n{k}"))
+        return tree.join(part, on).withColumn("p", (F.col("b") + strength * F.col("p")) / (F.col("l") + strength)).drop("l", "b")
+
+    tree, judged = smoothed(nodes.withColumn("t", F.lit("")).withColumn("p", F.lit(root)), ["host"]), None
+    for k in range((total["depth"] or 0) + 1):  # one level more than segments: there the longest paths end
+        tree = tree.withColumn("s", F.coalesce(F.get(F.split("f", "/"), F.lit(k)), F.lit("")))
+        tree = tree.join(level(tree, z), ["host", "t", "s"])
+        tree = tree.withColumn("t", F.when(F.col("label") == "", F.col("t")).otherwise(F.concat("t", F.lit("/"), "label")))
+        tree = store(smoothed(tree, ["host", "t"]), "tree")
+        ends = tree.where("label = ''").select(F.col("host").alias("__host"), F.col("f").alias("__n"), F.col("t").alias("__t"), F.col("p").alias("__p"))
+        judged = ends if judged is None else judged.union(ends)
+        tree = tree.where("label != ''").drop("s", "label")
+    on = (F.col("__u.host") == F.col("__host")) & (F.col("__f") == F.col("__n"))
     by_rule = F.lit(None).cast("string")
     for rule, what in verdict.items():
         by_rule = F.when(F.col("__rule") == rule, what).otherwise(by_rule)
