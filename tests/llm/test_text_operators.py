@@ -127,6 +127,25 @@ def test_mixing_windows_and_deviation(spark):
             assert all(abs(done[s] - n * w / 6) < 1 for s, w in shares.items())
 
 
+def test_mixing_schedules_every_source_by_its_own_share(spark):
+    shares = {f"s{k}": 1 + k % 3 for k in range(1100)} | {"big": 500}
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2500, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 1100)).alias("source"))
+    rows = mixing.interleave(df, shares=shares, block=1).select("source", "doc_id", "mix.*").collect()
+    assert len({r["doc_id"] for r in rows}) == len({r["slot"] for r in rows}) == 6000
+    assert all(r["stream"] == r["source"] and r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    total, first = sum(shares.values()), min(r["slot"] for r in rows if r["phase"] == 1)
+    done = collections.Counter()
+    for n, r in enumerate(sorted((r for r in rows if r["slot"] < min(first, total)), key=lambda r: r["slot"]), 1):
+        done[r["source"]] += 1
+        if r["slot"] == n - 1:  # until a source runs out
+            assert all(abs(done[s] - n * shares[s] / total) < 1 for s in ("big", "s1", "s2", r["source"]))
+
+
+def test_mixing_is_the_same_on_either_way(docs):
+    pick = lambda df: collections.Counter((r["doc_id"], r["text"], *r["mix"]) for r in df.collect())
+    assert pick(mixing.interleave(docs, block=4)) == pick(mixing.interleave(docs, block=4, most_streams=1))
+
+
 def test_mixing_edges(docs):
     out = mixing.interleave(docs)
     assert out.count() == docs.count() and set(out.columns) == {*docs.columns, "mix"}

@@ -12,14 +12,17 @@ is placed. In the last period of a phase, which the source that runs out can't f
 
 Defined results: null sources are one source of their own; null ids and repeated rows are placed
 like others (equal rows take neighbouring places in either order); an empty table gives an empty
-result; extra columns are carried through (one named like the result is replaced), what is added lives in one struct. Beyond `most_streams`
-sources, sources share streams by hash, so that the schedule stays small.
+result; extra columns are carried through (one named like the result is replaced), what is added lives in one struct. Every source
+is a stream with its own share at any count: beyond `most_streams` sources the driver schedules each phase with a
+heap, at most one slot a block and share, and blocks meet their slots in a join by source and number.
 """
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
 from math import gcd
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,6 +88,45 @@ def phases(blocks: list[int], shares: list[int]) -> list[tuple[list[int], list[i
     return out
 
 
+def one_period(shares: list[int]) -> list[int]:
+    """What `period` gives, for many streams: a heap of the released blocks by due slot."""
+    d, order = sum(shares), []
+    released = [(-(-d // a), a, i) for i, a in enumerate(shares)]
+    released.sort()
+    done, later = [0] * len(shares), {}
+    for t in range(d):
+        for x in later.pop(t, ()):
+            heappush(released, x)
+        _, a, i = heappop(released)
+        order.append(i)
+        done[i] += 1
+        if done[i] < a:
+            later.setdefault(max(t + 1, done[i] * d // a), []).append((-(-(done[i] + 1) * d // a), a, i))
+    return order
+
+
+def many_slots(names: list[str], blocks: list[int], shares: list[int]) -> pa.Table:
+    """The slots of all phases that `phases` and `period` give; only streams that go on cost anything in a phase."""
+    columns: dict[str, list] = {c: [] for c in ("__s", "p", "base", "d", "at", "q", "a", "first", "placed")}
+    live, done, slot, p = [i for i, b in enumerate(blocks) if b], [0] * len(blocks), 0, 0
+    while live:
+        by = gcd(*[shares[i] for i in live])
+        own = [shares[i] // by for i in live]
+        rounds = min(-(-(blocks[i] - done[i]) // a) for i, a in zip(live, own, strict=True))
+        placed = [min(blocks[i] - done[i], a * rounds) for i, a in zip(live, own, strict=True)]
+        d, q = sum(own), [0] * len(live)
+        for at, k in enumerate(one_period(own)):
+            if q[k] < placed[k]:
+                for c, x in zip(columns, (names[live[k]], p, slot, d, at, q[k], own[k], done[live[k]], placed[k]), strict=True):
+                    columns[c].append(x)
+            q[k] += 1
+        for k, i in enumerate(live):
+            done[i] += placed[k]
+        slot, p = slot + rounds * d, p + 1
+        live = [i for i in live if done[i] < blocks[i]]
+    return pa.table({c: pa.array(x, pa.string() if c == "__s" else pa.int32() if c in ("p", "at", "q") else pa.int64()) for c, x in columns.items()})
+
+
 def interleave(docs: DataFrame, key: str = "doc_id", source: str = "source", shares: dict[str, int] | None = None, block: int = 16, seed: int = 1, most_streams: int = 1024, result: str = "mix") -> DataFrame:
     """All rows and columns of docs with a struct `result`: stream, block, slot, release, deadline, place, phase.
 
@@ -95,10 +137,7 @@ def interleave(docs: DataFrame, key: str = "doc_id", source: str = "source", sha
     per_bucket = 2000
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != result])
     name = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("\x00"))
-    sizes = docs.groupBy(name.alias("s")).count()
-    n_sources = sizes.count()
-    stream = name if n_sources <= most_streams else F.pmod(F.xxhash64(name), F.lit(most_streams)).cast("string")
-    counted = {r["s"]: r["n"] for r in docs.groupBy(stream.alias("s")).agg(F.count("*").alias("n")).collect()}
+    counted = {r["s"]: r["n"] for r in docs.groupBy(name.alias("s")).agg(F.count("*").alias("n")).collect()}
     if not counted:
         empty = "struct<stream:string,block:bigint,phase:int,slot:bigint,release:bigint,deadline:bigint,place:int>"
         return docs.withColumn(result, F.lit(None).cast(empty))
@@ -106,7 +145,7 @@ def interleave(docs: DataFrame, key: str = "doc_id", source: str = "source", sha
     target = shares_of(counted) if shares is None else {s: shares.get(s, 1) for s in names}
     n_buckets = max(1, sum(counted.values()) // per_bucket)
     order = F.xxhash64(F.lit(seed), F.col(f"`{key}`"))
-    rows = docs.select("*", stream.alias("__s"), order.alias("__o")).withColumn("__b", F.floor((F.shiftrightunsigned("__o", 1) / F.lit(float(2**63))) * n_buckets).cast("long"))
+    rows = docs.select("*", name.alias("__s"), order.alias("__o")).withColumn("__b", F.floor((F.shiftrightunsigned("__o", 1) / F.lit(float(2**63))) * n_buckets).cast("long"))
     offsets = rows.groupBy("__s", "__b").count().withColumn(
         "__before", F.sum("count").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     )
@@ -114,31 +153,41 @@ def interleave(docs: DataFrame, key: str = "doc_id", source: str = "source", sha
     numbered = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__o", F.col(f"`{key}`")))).join(offsets, ["__s", "__b"])
     numbered = numbered.withColumn("__n", F.col("__before") + F.col("__r") - 1).withColumn("__k", F.floor(F.col("__n") / block))
 
-    plan = phases([-(-counted[s] // block) for s in names], [target[s] for s in names])
     spark = docs.sparkSession
-    # one row a phase, from literals: at most as many phases as streams, at most most_streams streams
-    tables = spark.range(1).select(
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(p).alias("p"), F.lit(slot).cast("long").alias("base"), *[F.array(*[F.lit(x).cast("long") for x in xs]).alias(c) for c, xs in (("shares", live), ("first", first), ("placed", placed))])
-                for p, (live, first, placed, slot) in enumerate(plan)
-            ])
-        ).alias("x")
-    ).select("x.*")
-    tables = tables.withColumn("order", period(F.col("shares"))).withColumn("d", F.size("order").cast("long"))
-    slots = tables.select("*", F.posexplode("order").alias("at", "i"))
-    slots = slots.withColumn("q", F.row_number().over(Window.partitionBy("p", "i").orderBy("at")) - 1).select(
-        F.element_at(F.array(*[F.lit(s) for s in names]), F.col("i") + 1).alias("__s"), "p", "base", "d", "at", "q",
-        F.get("shares", F.col("i")).alias("a"), F.get("first", F.col("i")).alias("first"), F.get("placed", F.col("i")).alias("placed"),
-    )
-    slots = store(slots, "slots")
-    # a block's phase first (streams x phases rows), then its slot within the period
-    spans = slots.where("q = 0").select("__s", "p", "first", "placed", "a").withColumnRenamed("p", "__p")
-    spans = spans.groupBy("__s").agg(F.sort_array(F.collect_list(F.struct("first", "placed", "a", F.col("__p").alias("p")))).alias("__spans"))
-    held = numbered.join(F.broadcast(spans), "__s").withColumn("__span", F.element_at(F.filter("__spans", lambda x: x["first"] <= F.col("__k")), -1)).drop("__spans")
-    held = held.withColumn("__q", F.pmod(F.col("__k") - F.col("__span.first"), F.col("__span.a"))).withColumn("__round", F.floor((F.col("__k") - F.col("__span.first")) / F.col("__span.a")))
-    at = slots.select(F.col("__s"), F.col("p").alias("__p"), F.col("q").cast("long").alias("__q"), F.col("base").alias("__base"), F.col("d").alias("__d"), F.col("at").alias("__at"))
-    held = held.withColumn("__p", F.col("__span.p")).join(F.broadcast(at), ["__s", "__p", "__q"])
+    blocks, own = [-(-counted[s] // block) for s in names], [target[s] for s in names]
+    if len(names) > most_streams:
+        slots = store(spark.createDataFrame(many_slots(names, blocks, own)), "slots")
+        each = slots.withColumn("__k", F.explode(F.expr("sequence(first + q, first + placed - 1, a)")))
+        at = each.select(
+            "__s", "__k", F.struct("first", "a").alias("__span"), F.col("p").alias("__p"), F.expr("(__k - first) div a").alias("__round"),
+            F.col("base").alias("__base"), F.col("d").alias("__d"), F.col("at").alias("__at"),
+        )
+        held = numbered.join(at, ["__s", "__k"])
+    else:
+        plan = phases(blocks, own)
+        # one row a phase, from literals: at most as many phases as streams, at most most_streams streams
+        tables = spark.range(1).select(
+            F.explode(
+                F.array(*[
+                    F.struct(F.lit(p).alias("p"), F.lit(slot).cast("long").alias("base"), *[F.array(*[F.lit(x).cast("long") for x in xs]).alias(c) for c, xs in (("shares", live), ("first", first), ("placed", placed))])
+                    for p, (live, first, placed, slot) in enumerate(plan)
+                ])
+            ).alias("x")
+        ).select("x.*")
+        tables = tables.withColumn("order", period(F.col("shares"))).withColumn("d", F.size("order").cast("long"))
+        slots = tables.select("*", F.posexplode("order").alias("at", "i"))
+        slots = slots.withColumn("q", F.row_number().over(Window.partitionBy("p", "i").orderBy("at")) - 1).select(
+            F.element_at(F.array(*[F.lit(s) for s in names]), F.col("i") + 1).alias("__s"), "p", "base", "d", "at", "q",
+            F.get("shares", F.col("i")).alias("a"), F.get("first", F.col("i")).alias("first"), F.get("placed", F.col("i")).alias("placed"),
+        )
+        slots = store(slots, "slots")
+        # a block's phase first (streams x phases rows), then its slot within the period
+        spans = slots.where("q = 0").select("__s", "p", "first", "placed", "a").withColumnRenamed("p", "__p")
+        spans = spans.groupBy("__s").agg(F.sort_array(F.collect_list(F.struct("first", "placed", "a", F.col("__p").alias("p")))).alias("__spans"))
+        held = numbered.join(F.broadcast(spans), "__s").withColumn("__span", F.element_at(F.filter("__spans", lambda x: x["first"] <= F.col("__k")), -1)).drop("__spans")
+        held = held.withColumn("__q", F.pmod(F.col("__k") - F.col("__span.first"), F.col("__span.a"))).withColumn("__round", F.floor((F.col("__k") - F.col("__span.first")) / F.col("__span.a")))
+        at = slots.select(F.col("__s"), F.col("p").alias("__p"), F.col("q").cast("long").alias("__q"), F.col("base").alias("__base"), F.col("d").alias("__d"), F.col("at").alias("__at"))
+        held = held.withColumn("__p", F.col("__span.p")).join(F.broadcast(at), ["__s", "__p", "__q"])
     j, a, d = F.col("__k") - F.col("__span.first"), F.col("__span.a"), F.col("__d")
     return held.select(
         *[F.col(f"`{c}`") for c in docs.columns],
