@@ -209,6 +209,17 @@ def test_restore_disguised_words(spark):
         assert plain in {"idiot", "stupid", "window"}, (span, plain)
 
 
+def test_spaced_and_long_disguises(spark):
+    words = ["stupid", "idiot", "bad", "table", "window", "letter", "stone"] * 40
+    df = spark.createDataFrame([(" ".join(words),)], "text string")
+    reader = toxicity.Reader(toxicity.letter_model(toxicity.letter_counts(df, "text")))
+    spans = ["i d i o t", "1 d 1 o t", '"i d i o t"', "i.d.i.o.t,", "i d i o t!", "i  d  i  o  t", "i. d. i. o. t.", "(i-d-i-o-t)", "5 i d i o t", "a 1 d 1 o t", "i d i o t  s t o n e", "i d i o t. s t o n e", "1di" + "o" * 50 + "t"]
+    for span in spans:
+        assert "=idiot" in reader.terms(f"such {span} there"), span
+    assert "=bad" in reader.terms("so b a d, really") and "=stone" in reader.terms("i d i o t  s t o n e")
+    assert not toxicity.spaced("in 1 2 3 4 steps, I am a man")
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     rows, labels = [], []

@@ -1,8 +1,8 @@
 """Toxicity of documents after noisy-channel deobfuscation.
 
 A character trigram model is counted over the whole corpus. Words that may be disguised (letters
-mixed with digits or symbols, letters repeated three times or more, single letters in a row with
-separators between) become a lattice: each sign may stand for itself, for the letters it resembles,
+mixed with digits or symbols, letters repeated three times or more, three or more single letters, digits
+or signs in a row with separators between) become a lattice: each sign may stand for itself, for the letters it resembles,
 or for nothing. Viterbi search under the character model and the channel's costs restores the most
 likely word. Restored words and the plain ones are then scored by a lexicon of words and word
 beginnings, whose weights are log odds between toxic and other labelled documents.
@@ -32,7 +32,12 @@ RESEMBLES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "
 SEPARATORS = " .-_*'"
 #: Classes of the character model: 0 anything else, 1-26 letters, 27 bytes beyond ASCII.
 CLASSES = 28
-SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\S)")
+UNIT = rf"(?:[^\W_]|[{re.escape(''.join(c for c in RESEMBLES if not c.isalnum()))}])"
+GAP = rf"[{re.escape(SEPARATORS)}]"
+#: Single letters, digits or signs with separators between, no part of a longer word; those of letters alone; longer gaps.
+SPACED = re.compile(rf"(?<![^\W_]){UNIT}(?:{GAP}+{UNIT}){{2,}}(?![^\W_])")
+LETTERS = re.compile(rf"[^\W\d_](?:{GAP}+[^\W\d_]){{2,}}")
+LONG_GAP = re.compile(rf"{GAP}{{2,}}")
 REPEATED = re.compile(r"(.)\1\1")
 EDGE = ".,;:?!\"'()[]{}#%&*$|<>-"
 PREFIXES = (4, 5, 6)
@@ -119,7 +124,21 @@ def disguised(word: str) -> bool:
     """Letters together with signs that resemble letters, or a letter three times in a row."""
     if word.isalpha():
         return bool(REPEATED.search(word))
-    return any(c.isalpha() for c in word) and (any(c in RESEMBLES for c in word) or bool(REPEATED.search(word))) and len(word) <= 40
+    return any(c.isalpha() for c in word) and (any(c in RESEMBLES for c in word) or bool(REPEATED.search(word)))
+
+
+def spaced(text: str) -> set[str]:
+    """What may be one disguised word each: runs of single signs, their parts between longer gaps, those
+    without a sign at either end (it may belong to the sentence), and the letters in a row."""
+    out: set[str] = set()
+    for span in SPACED.findall(text):
+        for part in {span, *LONG_GAP.split(span)}:
+            units = [c for c in part if c not in SEPARATORS]
+            edged = part.strip(EDGE + SEPARATORS)
+            for form in ("".join(units), "".join(units[1:]), "".join(units[:-1]), "".join(c for c in edged if c not in SEPARATORS)):
+                out.add(form)
+            out.update("".join(c for c in x if c not in SEPARATORS) for x in LETTERS.findall(part))
+    return {x for x in out if len(x) > 2 and any(c.isalpha() for c in x)}
 
 
 def terms(word: str) -> list[str]:
@@ -156,7 +175,7 @@ class Reader:
             if got is None:
                 got = known[w] = self.of_word(w)
             out.update(got)
-        for span in SPACED.findall(low):
+        for span in spaced(low):
             plain = restore(span, self.model)
             out.update(t for t in terms(plain) if self.lexicon is None or t in self.lexicon)
         return out
