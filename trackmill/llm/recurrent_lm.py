@@ -2,8 +2,8 @@
 
 Vocabulary: the most frequent words of the training texts have inputs and outputs of their own: `head`
 words in `classes` classes at least, and as many words as the square root of the training tokens in as many
-classes as that number's root, where that is more. All other words share an input and an output class by their
-shape (last byte, ASCII or not).
+classes as that number's root, where that is more. All other words share an output class by their
+shape (last byte, ASCII or not), and their inputs share hash buckets.
 p(word) = p(class | state) * p(word | class, state) for head words, whose classes hold about equal
 shares of the tokens; and p(class | state) * (c + a) / (sum of c + a of the class) for the others,
 with c a word's count in the training texts and one further word, never seen, in each class.
@@ -14,9 +14,13 @@ last average, carries the state from window to window of a document, back-propag
 within the window (truncated) and sends its weights, which are averaged over tasks in a stream.
 Scoring carries the state through whole documents.
 
-Words are counted as (word, chunk) rows, a chunk being a run of `rows_per_chunk` stored rows; totals go
-back to the chunks, and each chunk's texts meet the counts of their own words alone. Broadcast are the
-weights and the head words, which grow with the square root of the tokens.
+Documents lie end to end in lanes, the state beginning anew with each, so that a step has many tokens
+whatever the longest document is. Training depends on how rows are dealt to tasks, so scores of two runs
+may differ a little; base scores and counts don't.
+
+Words are counted as (word, chunk) rows, a chunk being a run of stored rows of at most `chunk_bytes` of text
+(a longer text is one alone); totals go back to the chunks, and each chunk's texts meet the counts of their
+own words alone. Broadcast are the weights and the head words, which grow with the square root of the tokens.
 
 Defined results: null and empty texts are one end token; a null id counts as the empty text when
 documents are dealt to training; repeated rows train and score each; without training texts all words are unknown
@@ -25,11 +29,17 @@ and scores come from the constants alone; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
+from ctypes import CDLL
+from heapq import heapreplace
 from math import isqrt
+from os import path
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +47,23 @@ from trackmill.llm.common import drop_stored, in_bucket, store
 
 ADD = 0.1
 END = b"\n"  # no word holds white space
-SHAPES = 64
-LANES, WINDOW, SCORE_WINDOW = 512, 16, 32
+SHAPES, BUCKETS = 64, 512
+LANES, WINDOW, PORTION = 512, 32, 4_000_000
+
+
+def one_blas_thread() -> None:
+    """A task has one core: products of small matrices gain nothing from more threads, which would wait in busy loops."""
+    if not _limited:
+        _limited.append(True)
+        libraries = {line.split()[-1] for line in open("/proc/self/maps") if "openblas" in line} if path.exists("/proc/self/maps") else ()
+        for at in libraries:
+            for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if found := getattr(CDLL(at), name, None):
+                    found(1)
+                    break
+
+
+_limited: list[bool] = []
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -62,7 +87,25 @@ def shape(word: bytes) -> int:
     return _shapes[word[-1]] + (0 if word.isascii() else 32)
 
 
-def chunk_words(stamped: DataFrame, rows_per_chunk: int) -> DataFrame:
+def chunked(docs: DataFrame, most: int) -> DataFrame:
+    """docs, whose uid rises along each task's rows, with a `chunk`: runs of rows of at most `most` bytes of text, or one longer row."""
+
+    def rows(batches):
+        task, chunk, filled = None, None, 0
+        for batch in batches:
+            found = []
+            for u, n in zip(batch.column(0).to_pylist(), pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist(), strict=True):
+                if u >> 33 != task or filled + n > most:  # a task's first row, or a full chunk
+                    task, chunk, filled = u >> 33, u, 0
+                filled += n + 64
+                found.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "chunk"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(rows, f"{fields}, chunk bigint")
+
+
+def chunk_words(stamped: DataFrame) -> DataFrame:
     """(word, chunk, n): the words of each chunk, with n occurrences in its training texts, the end token with them."""
 
     def rows(batches):
@@ -71,11 +114,11 @@ def chunk_words(stamped: DataFrame, rows_per_chunk: int) -> DataFrame:
 
         chunk, seen = None, Counter()
         for batch in batches:
-            for u, out, x in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                if u // rows_per_chunk != chunk:
+            for k, out, x in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                if k != chunk:
                     if seen:
                         yield send()
-                    chunk, seen = u // rows_per_chunk, Counter()
+                    chunk, seen = k, Counter()
                 ws = tokens(x)
                 if out:
                     for w in ws:
@@ -86,32 +129,38 @@ def chunk_words(stamped: DataFrame, rows_per_chunk: int) -> DataFrame:
         if seen:
             yield send()
 
-    return stamped.select("uid", "held_out", "text").mapInArrow(rows, "word binary, chunk bigint, n bigint")
+    return stamped.select("chunk", "held_out", "text").mapInArrow(rows, "word binary, chunk bigint, n bigint")
 
 
 def totalled(found: DataFrame) -> DataFrame:
     """(chunk, word, c, first): each row of a trained word with the word's count c in all chunks; first: once a word.
 
-    One ordered pass; what is held is one word's chunks.
+    One ordered pass; what is held is one word's chunks, eight bytes each.
     """
 
     def rows(batches):
         def send(done):
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.bool_()))], ["chunk", "word", "c", "first"])
-
-        word, chunks, c, done = None, [], 0, []
+            chunks = np.concatenate([np.frombuffer(k, np.int64) for _, _, k in done]) if done else np.zeros(0, np.int64)
+            sizes = [len(k) for _, _, k in done]
+            first = np.zeros(len(chunks), bool)
+            first[np.cumsum([0, *sizes[:-1]])[: len(sizes)]] = True
+            at = pa.array(np.repeat(np.arange(len(done)), sizes))
+            words, counts = pa.array([w for w, _, _ in done], pa.binary()).take(at), pa.array(np.repeat(np.array([c for _, c, _ in done], np.int64), sizes))
+            return pa.RecordBatch.from_arrays([pa.array(chunks), words, counts, pa.array(first)], ["chunk", "word", "c", "first"])
+
+        word, chunks, c, done = None, array("q"), 0, []
         for batch in batches:
             for w, k, n in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 if w != word:
                     if c:
-                        done += [(x, word, c, not i) for i, x in enumerate(chunks)]
-                    word, chunks, c = w, [], 0
+                        done.append((word, c, chunks))
+                    word, chunks, c = w, array("q"), 0
                 chunks.append(k)
                 c += n
             yield send(done)
             done = []
         if c:
-            yield send([(x, word, c, not i) for i, x in enumerate(chunks)])
+            yield send([(word, c, chunks)])
 
     return found.repartition("word").sortWithinPartitions("word").mapInArrow(rows, "chunk bigint, word binary, c bigint, first boolean")
 
@@ -122,6 +171,21 @@ def vocabulary_size(total: int, head: int, classes: int) -> tuple[int, int]:
     return words, max(classes, isqrt(words))
 
 
+class Codes(dict):
+    """Codes of words: the head words' places; beyond, k + BUCKETS * shape + a hash bucket. Filled as words come."""
+
+    def __init__(self, at: dict[bytes, int], most: int = 1_000_000):
+        super().__init__(at)
+        self.k, self.head, self.most = len(at), at, most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.most:
+            self.clear()
+            self.update(self.head)
+        code = self[word] = self.k + BUCKETS * shape(word) + crc32(word) % BUCKETS
+        return code
+
+
 class Vocabulary:
     """Head words with their classes, and the mass of each shape class."""
 
@@ -139,13 +203,20 @@ class Vocabulary:
         self.mass = mass
         self.prior = np.concatenate([np.bincount(self.group, c, self.groups) if self.groups else np.zeros(0), mass])
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        at, k = self.at, len(self.words)
-        return np.array([at[w] if w in at else k + shape(w) for w in words], np.int32)
+    def inputs_of(self, codes: np.ndarray) -> np.ndarray:
+        """Rows of the input table: a head word's own, or its hash bucket's."""
+        k = len(self.words)
+        return np.where(codes < k, codes, k + (codes - k) % BUCKETS)
+
+    def classes_of(self, codes: np.ndarray) -> np.ndarray:
+        """Output classes: a head word's group, or its shape's."""
+        k = len(self.words)
+        own = self.group[np.minimum(codes, max(k - 1, 0))] if k else 0
+        return np.where(codes < k, own, self.groups + (codes - k) // BUCKETS)
 
     @property
     def inputs(self) -> int:
-        return len(self.words) + SHAPES
+        return len(self.words) + BUCKETS
 
 
 def initial(v: Vocabulary, hidden: int, seed: int = 7) -> dict[str, np.ndarray]:
@@ -153,7 +224,7 @@ def initial(v: Vocabulary, hidden: int, seed: int = 7) -> dict[str, np.ndarray]:
     c = np.array([v.count[w] for w in v.words], float) + ADD
     n = v.groups + SHAPES
     p = {
-        "E": r.normal(0, 0.2, (v.inputs, 3 * hidden)), "U": r.normal(0, hidden**-0.5, (hidden, 3 * hidden)), "b": np.zeros(3 * hidden),
+        "E": r.normal(0, 1.0, (v.inputs, hidden)), "X": r.normal(0, hidden**-0.5, (hidden, 3 * hidden)), "U": r.normal(0, hidden**-0.5, (hidden, 3 * hidden)), "b": np.zeros(3 * hidden),
         "C": r.normal(0, 0.02, (hidden, n)), "c": np.log(v.prior / v.prior.sum()), "W": r.normal(0, 0.02, (len(c), hidden)), "w": np.log(c),
     }
     p["b"][:hidden] -= 1.0  # remember at first
@@ -161,69 +232,125 @@ def initial(v: Vocabulary, hidden: int, seed: int = 7) -> dict[str, np.ndarray]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def softmax(z: np.ndarray) -> np.ndarray:
+    """In place: rows that sum to one; returns the logarithm of each row's sum before, less nothing.
 
+    One shift for all rows keeps the exponentials finite: logits differ little between rows, whose biases are shared.
+    """
+    shift = z.max()
+    z -= shift
+    np.exp(z, out=z)
+    total = np.maximum(z @ np.ones(z.shape[1], z.dtype), 1e-30)
+    z *= (1 / total)[:, None]
+    return np.log(total) + shift
 
-def lanes(docs: list[np.ndarray], width: int):
-    """Documents in groups of `width` of similar length, longest first within: (indices, ids padded with the end, lengths)."""
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    for k in range(0, len(order), width):
-        some = order[k : k + width]
-        yield some, [docs[i] for i in some], np.array([len(docs[i]) for i in some])
 
+class Lanes:
+    """Documents laid end to end in lanes of about equal length, so that every step has many tokens.
 
-def window(docs: list[np.ndarray], sizes: np.ndarray, t: int, span: int) -> tuple[np.ndarray, int]:
-    """Tokens t..t+span of the lanes that reach t, padded with -1, and how many lanes do."""
-    n = int((sizes > t).sum())
-    x = np.full((n, span), -1, np.int32)
-    for i in range(n):
-        part = docs[i][t : t + span]
-        x[i, : len(part)] = part
-    return x.T, n
+    `y` (steps, lanes) holds the codes, -1 beyond a lane's end; `fresh` marks documents' first tokens, where the
+    state starts anew. Lanes are in order of length, longest first; there are no more than the longest document needs.
+    """
+
+    def __init__(self, docs: list[np.ndarray], most: int):
+        sizes = np.array([len(d) for d in docs])
+        n = int(min(max(1, sizes.sum() // sizes.max()), most))
+        heap, parts = [(0, i) for i in range(n)], [[] for _ in range(n)]
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            filled, lane = heap[0]
+            heapreplace(heap, (filled + len(docs[i]), lane))
+            parts[lane].append(i)
+        filled = sorted(heap, key=lambda x: (-x[0], x[1]))
+        self.sizes = np.array([f for f, _ in filled])
+        self.order = [i for _, lane in filled for i in parts[lane]]
+        self.y = np.full((n, int(self.sizes[0])), -1, np.int32)
+        fresh = np.zeros(self.y.shape, bool)
+        for row, (size, lane) in enumerate(filled):
+            self.y[row, :size] = np.concatenate([docs[i] for i in parts[lane]])
+            fresh[row, np.cumsum([0, *sizes[parts[lane]][:-1]])] = True
+        self.real = self.y >= 0
+        self.firsts = np.concatenate([[0], np.cumsum(sizes[self.order])[:-1]])
+        self.y, self.fresh = np.ascontiguousarray(self.y.T), np.ascontiguousarray(fresh.T)
+
+    def windows(self, span: int, end: int):
+        """(inputs, targets, fresh) of each window, of the lanes that reach it."""
+        last = np.full(self.y.shape[1], end, np.int32)
+        for t in range(0, len(self.y), span):
+            n = int((self.sizes > t).sum())
+            y = self.y[t : t + span, :n]
+            yield np.maximum(np.concatenate([last[None, :n], y[:-1]]), 0), y, self.fresh[t : t + span, :n]
+            last = y[-1]
+
+    def per_document(self, found: np.ndarray) -> np.ndarray:
+        """Sums of (steps, lanes) values over each document, in the order the documents came in."""
+        out = np.zeros(len(self.order))
+        out[self.order] = np.add.reduceat(np.ascontiguousarray(found.T)[self.real], self.firsts)
+        return out
+
+
+def portions(docs: list[np.ndarray], most: int):
+    """Runs of documents of `most` tokens or little more, a longer document alone."""
+    first, n = 0, 0
+    for i, d in enumerate(docs):
+        if n and n + len(d) > most:
+            yield docs[first:i]
+            first, n = i, 0
+        n += len(d)
+    if n:
+        yield docs[first:]
 
 
 class Network:
     def __init__(self, v: Vocabulary, params: dict[str, np.ndarray]):
+        one_blas_thread()
         self.v, self.p = v, params
         self.hidden = params["U"].shape[0]
         self.square = {k: np.full_like(x, 0.1) for k, x in params.items()}
 
-    def states(self, x: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states after each step of inputs x (steps, lanes); keep: also what back-propagation needs."""
+    def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+        """Hidden states after each step of input rows x (steps, lanes); keep: also what back-propagation needs."""
         p, n = self.p, self.hidden
-        out, trail = np.empty((len(x), len(h), n), np.float32), []
-        gates = p["E"][x] + p["b"]
+        out, trail = np.empty((len(x), x.shape[1], n), p["U"].dtype), []
+        gates = (np.take(p["E"], x.ravel(), axis=0) @ p["X"]).reshape(*x.shape, 3 * n)
+        gates += p["b"]
         for t in range(len(x)):
+            h = h * ~fresh[t][:, None]
             u = h @ p["U"]
             zr = sigmoid(gates[t, :, : 2 * n] + u[:, : 2 * n])
             z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(gates[t, :, 2 * n :] + r * u[:, 2 * n :])
+            c = r * u[:, 2 * n :]
+            c += gates[t, :, 2 * n :]
+            np.tanh(c, out=c)
             if keep:
                 trail.append((h, z, r, c, u[:, 2 * n :]))
-            h = h + z * (c - h)
-            out[t] = h
+            new = c - h
+            new *= z
+            new += h
+            out[t] = h = new
         return out, trail
 
     def log_p(self, h: np.ndarray, y: np.ndarray, grad: bool = False):
-        """Log probabilities of targets y given states h (both flat), tail words' count factor left out; grad: also the gradients."""
+        """Log probabilities of target codes y given states h (both flat), tail words' count factor left out; grad: also the gradients."""
         p, v = self.p, self.v
-        k = len(v.words)
-        head = y < k
-        cls = np.where(head, v.group[np.minimum(y, max(k - 1, 0))] if k else 0, v.groups + y - k)
-        lc = log_softmax(h @ p["C"] + p["c"])
-        out = lc[np.arange(len(y)), cls]
+        cls, k = v.classes_of(y), len(v.words)
+        row = np.arange(len(y))
+        z = h @ p["C"]
+        z += p["c"]
+        out = z[row, cls]
+        out -= softmax(z)
         g: dict[str, np.ndarray] = {}
         if grad:
-            dc = np.exp(lc)
-            dc[np.arange(len(y)), cls] -= 1
-            g["C"], g["c"], dh = h.T @ dc, dc.sum(0), dc @ p["C"].T
+            z[row, cls] -= 1
+            g["C"], g["c"], dh = h.T @ z, z.sum(0), z @ p["C"].T
             g["W"], g["w"] = np.zeros_like(p["W"]), np.zeros_like(p["w"])
-        at = np.flatnonzero(head)
+        at = np.flatnonzero(y < k)
         at = at[np.argsort(cls[at], kind="stable")]
         edges = np.searchsorted(cls[at], np.arange(v.groups + 1))
         for q in range(v.groups):
@@ -231,84 +358,90 @@ class Network:
             a, b = v.start[q], v.start[q + 1]
             if not len(some) or b - a == 1:
                 continue
-            hs = h[some]
-            lw = log_softmax(hs @ p["W"][a:b].T + p["w"][a:b])
-            own = y[some] - a
-            out[some] += lw[np.arange(len(some)), own]
+            hs, own, row = h[some], y[some] - a, np.arange(len(some))
+            z = hs @ p["W"][a:b].T
+            z += p["w"][a:b]
+            found = z[row, own]
+            found -= softmax(z)
+            out[some] += found
             if grad:
-                dw = np.exp(lw)
-                dw[np.arange(len(some)), own] -= 1
-                g["W"][a:b], g["w"][a:b] = dw.T @ hs, dw.sum(0)
-                dh[some] += dw @ p["W"][a:b]
+                z[row, own] -= 1
+                g["W"][a:b], g["w"][a:b] = z.T @ hs, z.sum(0)
+                dh[some] += z @ p["W"][a:b]
         return (out, dh, g) if grad else out
 
-    def learn(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
-        """One window: forward, truncated back-propagation, an Adagrad step; returns the last state."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray):
+        """One window of codes: log probabilities of its tokens, the last state, and the gradients of their negative sum, by truncated
+        back-propagation; those of the input table as (rows, gradients) under "E"."""
         p, n = self.p, self.hidden
-        safe = np.maximum(x, 0)
-        out, trail = self.states(safe, h, True)
+        x = self.v.inputs_of(x)
+        out, trail = self.states(x, fresh, h, True)
         real = y.ravel() >= 0
-        _, dh, g = self.log_p(out.reshape(-1, n)[real], y.ravel()[real], True)
-        per_step = np.zeros((y.size, n), np.float32)
+        log, dh, g = self.log_p(out.reshape(-1, n)[real], y.ravel()[real], True)
+        per_step = np.zeros((y.size, n), out.dtype)
         per_step[real] = dh
         per_step = per_step.reshape(out.shape)
-        dg = np.empty((len(x), len(h), 3 * n), np.float32)
+        dg = np.empty((*x.shape, 3 * n), out.dtype)
         g["U"] = np.zeros_like(p["U"])
-        back = np.zeros_like(h)
+        back = np.zeros_like(out[0])
         for t in range(len(x) - 1, -1, -1):
             h0, z, r, c, uc = trail[t]
             d = back + per_step[t]
-            da = d * z * (1 - c * c)
-            dz = d * (c - h0) * z * (1 - z)
-            dr = da * uc * r * (1 - r)
-            dg[t, :, :n], dg[t, :, n : 2 * n], dg[t, :, 2 * n :] = dz, dr, da
-            du = np.concatenate([dz, dr, da * r], 1)
+            da = d * z
+            dg[t, :, :n] = (d * (c - h0)) * (z - z * z)
+            da *= 1 - c * c
+            dg[t, :, n : 2 * n] = da * uc * (r - r * r)
+            dg[t, :, 2 * n :] = da
+            du = dg[t].copy()
+            du[:, 2 * n :] *= r
             g["U"] += h0.T @ du
-            back = d * (1 - z) + du @ p["U"].T
-        flat, ids = dg.reshape(-1, 3 * n), safe.ravel()
-        g["b"] = flat.sum(0)
+            back = d * (1 - z)
+            back += du @ p["U"].T
+            back *= ~fresh[t][:, None]
+        flat, ids = dg.reshape(-1, 3 * n), x.ravel()
+        g["b"], g["X"] = flat.sum(0), np.take(p["E"], ids, axis=0).T @ flat
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        rows = ids[order][first]
-        ge = np.add.reduceat(flat[order], first, axis=0)
-        scale = 1 / max(1, int(real.sum())) * 64
+        g["E"] = ids[order][first], np.add.reduceat(np.take(flat @ p["X"].T, order, axis=0), first, axis=0)
+        return log, out[-1], g
+
+    def learn(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
+        """An Adagrad step on one window; returns the last state."""
+        log, last, g = self.gradients(x, y, fresh, h)
+        scale = 64 / max(1, len(log))
         for k, grad in g.items():
-            grad = np.clip(grad * scale, -5, 5)
-            self.square[k] += grad * grad
-            p[k] -= rate * grad / np.sqrt(self.square[k])
-        ge = np.clip(ge * scale, -5, 5)
-        self.square["E"][rows] += ge * ge
-        p["E"][rows] -= rate * ge / np.sqrt(self.square["E"][rows])
-        return out[-1]
-
-    def train(self, docs: list[np.ndarray], end: int, rate: float, seed: int = 1) -> int:
-        """Every document once, in groups of lanes; returns the number of tokens."""
-        groups = list(lanes(docs, LANES))
-        for k in np.random.default_rng(seed).permutation(len(groups)):
-            _, some, sizes = groups[k]
-            h, last = np.zeros((len(some), self.hidden), np.float32), np.full(len(some), end, np.int32)
-            for t in range(0, int(sizes[0]), WINDOW):
-                y, n = window(some, sizes, t, WINDOW)
-                x = np.concatenate([last[None, :n], y[:-1]])
-                h = self.learn(x, y, h[:n], rate)
-                last = y[-1]
+            rows, grad = grad if k == "E" else (slice(None), grad)
+            grad *= scale
+            np.clip(grad, -5, 5, out=grad)
+            self.square[k][rows] += grad * grad
+            grad *= rate
+            self.p[k][rows] -= grad / np.sqrt(self.square[k][rows])
+        return last
+
+    def train(self, docs: list[np.ndarray], end: int, rate: float) -> int:
+        """Every document once; returns the number of tokens."""
+        for some in portions(docs, PORTION):
+            h = None
+            for x, y, fresh in Lanes(some, LANES).windows(WINDOW, end):
+                h = self.learn(x, y, fresh, np.zeros((x.shape[1], self.hidden), np.float32) if h is None else h[: x.shape[1]], rate)
         return sum(map(len, docs))
 
     def score(self, docs: list[np.ndarray], end: int) -> np.ndarray:
         """Natural log probability of each document, tail words' count factor left out; the state goes on from window to window."""
-        total = np.zeros(len(docs))
-        for at, some, sizes in lanes(docs, LANES):
-            h, last = np.zeros((len(some), self.hidden), np.float32), np.full(len(some), end, np.int32)
-            for t in range(0, int(sizes[0]), SCORE_WINDOW):
-                y, n = window(some, sizes, t, SCORE_WINDOW)
-                x = np.maximum(np.concatenate([last[None, :n], y[:-1]]), 0)
-                out, _ = self.states(x, h[:n], False)
+        out = [np.zeros(0)]
+        for some in portions(docs, PORTION):
+            lanes, h, t = Lanes(some, LANES), None, 0
+            got = np.zeros(lanes.y.shape)
+            for x, y, fresh in lanes.windows(WINDOW, end):
+                n = x.shape[1]
+                states, _ = self.states(self.v.inputs_of(x), fresh, np.zeros((n, self.hidden), np.float32) if h is None else h[:n], False)
                 real = y.ravel() >= 0
-                got = np.zeros(y.size)
-                got[real] = self.log_p(out.reshape(-1, self.hidden)[real], y.ravel()[real])
-                total[np.array(at[:n])] += got.reshape(y.shape).sum(0)
-                h, last = out[-1], y[-1]
-        return total
+                part = np.zeros(y.size)
+                part[real] = self.log_p(states.reshape(-1, self.hidden)[real], y.ravel()[real])
+                got[t : t + len(y), :n] = part.reshape(y.shape)
+                h, t = states[-1], t + len(y)
+            out.append(lanes.per_document(got))
+        return np.concatenate(out)
 
 
 def pack(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -328,9 +461,9 @@ def averaged(texts: DataFrame, v: Vocabulary, start: dict[str, np.ndarray], rate
 
     def train(batches):
         net, n = Network(v, {k: x.copy() for k, x in start.items()}), 0
-        end = v.at[END]
+        codes, end = Codes(v.at), v.at[END]
         for batch in batches:
-            docs = [v.ids([*tokens(x), END]) for x in batch.column(0).to_pylist()]
+            docs = [np.array([*map(codes.__getitem__, tokens(x)), end], np.int32) for x in batch.column(0).to_pylist()]
             n += net.train(docs, end, rate) if docs else 0
         if n:
             flat = pack(net.p)
@@ -355,12 +488,13 @@ def averaged(texts: DataFrame, v: Vocabulary, start: dict[str, np.ndarray], rate
     return unpack(np.concatenate([np.frombuffer(r["x"], np.float32) for r in found]), start) if found else start
 
 
-def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out_of: int = 10, head: int = 2048, classes: int = 40, hidden: int = 16, rates: tuple[float, ...] = (0.1, 0.07, 0.05), rows_per_chunk: int = 8192) -> DataFrame:
+def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out_of: int = 10, head: int = 2048, classes: int = 40, hidden: int = 16, rates: tuple[float, ...] = (0.1, 0.07, 0.05), chunk_bytes: int = 16_000_000) -> DataFrame:
     """Per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     out = (in_bucket(F.col(f"`{key}`"), held_out_of) == 0).alias("held_out")
-    stamped = store(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{key}`").alias("key"), out, F.col(f"`{text}`").alias("text")), "texts")
-    known_words = store(totalled(chunk_words(stamped, rows_per_chunk)), "words")
+    picked = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{key}`").alias("key"), out, F.col(f"`{text}`").alias("text"))
+    stamped = store(chunked(picked, chunk_bytes), "texts")
+    known_words = store(totalled(chunk_words(stamped)), "words")
     counts = known_words.where("first").select("word", "c")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head, classes = vocabulary_size(total, head, classes)
@@ -384,38 +518,38 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out_of
     v = Vocabulary(top, mass, total, distinct, classes)
     params = initial(v, hidden)
     deal = F.pmod(F.xxhash64(F.lit("round"), "uid"), F.lit(12))
-    for k, (rate, low, high) in enumerate(zip(rates, (0, 1, 4), (1, 4, 12), strict=True)):
+    for rate, low, high in zip(rates, (0, 1, 4), (1, 4, 12), strict=True):
         params = averaged(stamped.where(~F.col("held_out") & (deal >= low) & (deal < high)).select("text"), v, params, rate)
     base = np.log10(total + ADD * (distinct + 1)) if total or distinct else np.log10(ADD)
     log_mass = np.log10(mass)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.combine_chunks()
         count = dict(zip(right.column("word").to_pylist(), right.column("c").to_pylist(), strict=True))
-        ids, n_known, base_score, tail = [], [], [], []
-        head_log = np.log10(np.array([v.count[w] for w in v.words], float) + ADD)
-        head_known = np.array([v.count[w] > 0 for w in v.words])
-        k, unseen = len(v.words), float(np.log10(ADD))
-        logs = {w: float(np.log10(c + ADD)) for w, c in count.items()}
+        codes, k = Codes(v.at, 1 << 62), len(v.words)
+        places: dict[bytes, int] = {}  # of the chunk's words, in the order they come
+        texts, ends = [], [0]
         for x in left.column("text"):
-            ws = [*tokens(x.as_py()), END]
-            i = v.ids(ws)
-            ids.append(i)
-            far = np.flatnonzero(i >= k)
-            own = [logs.get(ws[j], unseen) for j in far]
-            near = i[i < k]
-            n_known.append(int(head_known[near].sum()) + sum(ws[j] in logs for j in far))
-            extra = float(np.sum(own)) if own else 0.0
-            base_score.append(float(head_log[near].sum()) + extra - len(ws) * base)
-            tail.append(extra - float(log_mass[i[far] - k].sum()))
-        log = Network(v, params).score(ids, v.at[END]) / np.log(10)
+            texts += [places.setdefault(w, len(places)) for w in tokens(x.as_py())]
+            texts.append(places.setdefault(END, len(places)))
+            ends.append(len(texts))
+        at = np.array(texts, np.int32)
+        c = np.array([v.count[w] if w in v.count else count.get(w, 0) for w in places], float)
+        code, log_c = np.array([codes[w] for w in places], np.int32), np.log10(c + ADD)
+        far = code >= k
+        tail = np.where(far, log_c - log_mass[np.where(far, (code - k) // BUCKETS, 0)], 0.0)
+        sums = [np.add.reduceat(x[at], ends[:-1]) for x in (np.where(c > 0, 1, 0), log_c, tail)]
+        ids = code[at]
+        log = Network(v, params).score([ids[a:b] for a, b in zip(ends, ends[1:])], v.at[END]) / np.log(10)
+        n = np.diff(ends)
         return pa.table({
-            "uid": left.column("uid"), "n_tokens": pa.array([len(i) for i in ids], pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "base_score": pa.array(base_score, pa.float64()), "score": pa.array(log + np.array(tail), pa.float64()),
+            "uid": left.column("uid"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(sums[0], pa.int64()),
+            "base_score": pa.array(sums[1] - n * base, pa.float64()), "score": pa.array(log + sums[2], pa.float64()),
         })
 
-    chunked = stamped.select("uid", "text", F.floor(F.col("uid") / rows_per_chunk).cast("long").alias("chunk"))
-    found = chunked.groupBy("chunk").cogroup(known_words.select("chunk", "word", "c").groupBy("chunk")).applyInArrow(score, "uid bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    # partitions by chunks, not by a setting: a task scores about four chunks at any size of the corpus
+    n = max(1, -(-stamped.agg(F.count_distinct("chunk")).first()[0] // 4))
+    texts, rights = stamped.select("uid", "text", "chunk").repartition(n, "chunk"), known_words.select("chunk", "word", "c").repartition(n, "chunk")
+    found = texts.groupBy("chunk").cogroup(rights.groupBy("chunk")).applyInArrow(score, "uid bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     found = store(found, "scores")
     drop_stored(spark, known_words)
     return stamped.select("uid", "key", "held_out").join(found, "uid").select(
