@@ -20,7 +20,7 @@ may differ a little; base scores and counts don't.
 
 Words are counted as (word, chunk) rows, a chunk being a run of stored rows of at most `chunk_bytes` of text
 (a longer text is one alone); totals go back to the chunks, and each chunk's texts meet the counts of their
-own words alone. Broadcast are the weights and the head words, which grow with the square root of the tokens.
+own words alone. That pass turns documents into codes, which training and scoring read. Broadcast are the weights and the head words, which grow with the square root of the tokens.
 
 Defined results: null and empty texts are one end token; a null id counts as the empty text when
 documents are dealt to training; repeated rows train and score each; without training texts all words are unknown
@@ -29,7 +29,6 @@ and scores come from the constants alone; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from array import array
 from collections import Counter
 from ctypes import CDLL
 from heapq import heapreplace
@@ -48,7 +47,8 @@ from trackmill.llm.common import drop_stored, in_bucket, store
 ADD = 0.1
 END = b"\n"  # no word holds white space
 SHAPES, BUCKETS = 64, 512
-LANES, WINDOW, PORTION = 512, 32, 4_000_000
+LANES, WINDOW, PORTION, ROWS = 512, 32, 4_000_000, 1024
+_rows = np.arange(ROWS)
 
 
 def one_blas_thread() -> None:
@@ -135,32 +135,39 @@ def chunk_words(stamped: DataFrame) -> DataFrame:
 def totalled(found: DataFrame) -> DataFrame:
     """(chunk, word, c, first): each row of a trained word with the word's count c in all chunks; first: once a word.
 
-    One ordered pass; what is held is one word's chunks, eight bytes each.
+    One ordered pass in whole columns; what is held is one batch and the rows of the word that it ends in, one a chunk.
     """
 
     def rows(batches):
-        def send(done):
-            chunks = np.concatenate([np.frombuffer(k, np.int64) for _, _, k in done]) if done else np.zeros(0, np.int64)
-            sizes = [len(k) for _, _, k in done]
-            first = np.zeros(len(chunks), bool)
-            first[np.cumsum([0, *sizes[:-1]])[: len(sizes)]] = True
-            at = pa.array(np.repeat(np.arange(len(done)), sizes))
-            words, counts = pa.array([w for w, _, _ in done], pa.binary()).take(at), pa.array(np.repeat(np.array([c for _, c, _ in done], np.int64), sizes))
-            return pa.RecordBatch.from_arrays([pa.array(chunks), words, counts, pa.array(first)], ["chunk", "word", "c", "first"])
-
-        word, chunks, c, done = None, array("q"), 0, []
+        def send(words, chunks, n):
+            words, chunks, n = pa.concat_arrays(words), np.concatenate(chunks), np.concatenate(n)
+            starts = np.flatnonzero(np.append(True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)))
+            c = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(n))))
+            first = np.zeros(len(n), bool)
+            first[starts] = True
+            seen = pa.array(c > 0)
+            return pa.RecordBatch.from_arrays([x.filter(seen) for x in (pa.array(chunks), words, pa.array(c), pa.array(first))], ["chunk", "word", "c", "first"])
+
+        held = ([], [], [])
         for batch in batches:
-            for w, k, n in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                if w != word:
-                    if c:
-                        done.append((word, c, chunks))
-                    word, chunks, c = w, array("q"), 0
-                chunks.append(k)
-                c += n
-            yield send(done)
-            done = []
-        if c:
-            yield send([(word, c, chunks)])
+            words, chunks, n = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            if not len(n):
+                continue
+            # the last word may go on in the next batch; all before it are complete
+            other = np.flatnonzero(pc.not_equal(words, words[-1]).to_numpy(zero_copy_only=False))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if held[0] and (cut or held[0][-1][-1] != words[-1]):
+                if cut:
+                    yield send([*held[0], words[:cut]], [*held[1], chunks[:cut]], [*held[2], n[:cut]])
+                else:
+                    yield send(*held)
+                held = ([], [], [])
+            elif cut:
+                yield send([words[:cut]], [chunks[:cut]], [n[:cut]])
+            for x, y in zip(held, (words[cut:], chunks[cut:], n[cut:]), strict=True):
+                x.append(y)
+        if held[0]:
+            yield send(*held)
 
     return found.repartition("word").sortWithinPartitions("word").mapInArrow(rows, "chunk bigint, word binary, c bigint, first boolean")
 
@@ -307,6 +314,16 @@ def portions(docs: list[np.ndarray], most: int):
         yield docs[first:]
 
 
+def adagrad(p: np.ndarray, square: np.ndarray, grad: np.ndarray, scale: float, rate: float) -> None:
+    """A step in place; grad is used up."""
+    grad *= scale
+    np.clip(grad, -5, 5, out=grad)
+    square += grad * grad
+    grad /= np.sqrt(square)
+    grad *= rate
+    p -= grad
+
+
 class Network:
     def __init__(self, v: Vocabulary, params: dict[str, np.ndarray]):
         one_blas_thread()
@@ -340,16 +357,21 @@ class Network:
         """Log probabilities of target codes y given states h (both flat), tail words' count factor left out; grad: also the gradients."""
         p, v = self.p, self.v
         cls, k = v.classes_of(y), len(v.words)
-        row = np.arange(len(y))
-        z = h @ p["C"]
-        z += p["c"]
-        out = z[row, cls]
-        out -= softmax(z)
-        g: dict[str, np.ndarray] = {}
-        if grad:
-            z[row, cls] -= 1
-            g["C"], g["c"], dh = h.T @ z, z.sum(0), z @ p["C"].T
-            g["W"], g["w"] = np.zeros_like(p["W"]), np.zeros_like(p["w"])
+        out, dh = np.empty(len(y), h.dtype), np.empty_like(h) if grad else None
+        g = {x: np.zeros_like(p[x]) for x in "CcWw"} if grad else {}
+        for i in range(0, len(y), ROWS):  # tables of few rows stay in the processor's cache
+            hs, own = h[i : i + ROWS], cls[i : i + ROWS]
+            row = _rows[: len(own)]
+            z = hs @ p["C"]
+            z += p["c"]
+            found = z[row, own]
+            found -= softmax(z)
+            out[i : i + ROWS] = found
+            if grad:
+                z[row, own] -= 1
+                g["C"] += hs.T @ z
+                g["c"] += z.sum(0)
+                dh[i : i + ROWS] = z @ p["C"].T
         at = np.flatnonzero(y < k)
         at = at[np.argsort(cls[at], kind="stable")]
         edges = np.searchsorted(cls[at], np.arange(v.groups + 1))
@@ -409,13 +431,12 @@ class Network:
         """An Adagrad step on one window; returns the last state."""
         log, last, g = self.gradients(x, y, fresh, h)
         scale = 64 / max(1, len(log))
+        rows, ge = g.pop("E")
+        part, sums = self.p["E"][rows], self.square["E"][rows]
+        adagrad(part, sums, ge, scale, rate)
+        self.p["E"][rows], self.square["E"][rows] = part, sums
         for k, grad in g.items():
-            rows, grad = grad if k == "E" else (slice(None), grad)
-            grad *= scale
-            np.clip(grad, -5, 5, out=grad)
-            self.square[k][rows] += grad * grad
-            grad *= rate
-            self.p[k][rows] -= grad / np.sqrt(self.square[k][rows])
+            adagrad(self.p[k], self.square[k], grad, scale, rate)
         return last
 
     def train(self, docs: list[np.ndarray], end: int, rate: float) -> int:
@@ -456,15 +477,18 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
     return out
 
 
-def averaged(texts: DataFrame, v: Vocabulary, start: dict[str, np.ndarray], rate: float, block: int = 8192) -> dict[str, np.ndarray]:
-    """Train on each task's texts from the same start; the mean of the results, weighted by tokens."""
+def unpacked(x: pa.Scalar) -> np.ndarray:
+    """Codes held in a binary value."""
+    return np.frombuffer(x.as_buffer(), np.int32)
+
+
+def averaged(coded: DataFrame, v: Vocabulary, start: dict[str, np.ndarray], rate: float, block: int = 8192) -> dict[str, np.ndarray]:
+    """Train on each task's documents, a column of codes, from the same start; the mean of the results, weighted by tokens."""
 
     def train(batches):
         net, n = Network(v, {k: x.copy() for k, x in start.items()}), 0
-        codes, end = Codes(v.at), v.at[END]
         for batch in batches:
-            docs = [np.array([*map(codes.__getitem__, tokens(x)), end], np.int32) for x in batch.column(0).to_pylist()]
-            n += net.train(docs, end, rate) if docs else 0
+            n += net.train([x for x in map(unpacked, batch.column(0))], v.at[END], rate) if batch.num_rows else 0
         if n:
             flat = pack(net.p)
             parts = [flat[i : i + block] for i in range(0, len(flat), block)]
@@ -483,7 +507,7 @@ def averaged(texts: DataFrame, v: Vocabulary, start: dict[str, np.ndarray], rate
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["block", "n", "x"])
 
     kind = "block int, n double, x binary"
-    sent = texts.mapInArrow(train, kind)
+    sent = coded.mapInArrow(train, kind)
     found = sent.repartition("block").sortWithinPartitions("block").mapInArrow(mean, kind).orderBy("block").collect()
     return unpack(np.concatenate([np.frombuffer(r["x"], np.float32) for r in found]), start) if found else start
 
@@ -516,42 +540,52 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out_of
     for k, m in counts.mapInArrow(masses, "k int, m double").groupBy("k").agg(F.sum("m")).collect():
         mass[k] += m
     v = Vocabulary(top, mass, total, distinct, classes)
-    params = initial(v, hidden)
-    deal = F.pmod(F.xxhash64(F.lit("round"), "uid"), F.lit(12))
-    for rate, low, high in zip(rates, (0, 1, 4), (1, 4, 12), strict=True):
-        params = averaged(stamped.where(~F.col("held_out") & (deal >= low) & (deal < high)).select("text"), v, params, rate)
     base = np.log10(total + ADD * (distinct + 1)) if total or distinct else np.log10(ADD)
     log_mass = np.log10(mass)
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+    def encode(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A chunk's documents as codes, with what the counts alone say of them."""
         count = dict(zip(right.column("word").to_pylist(), right.column("c").to_pylist(), strict=True))
         codes, k = Codes(v.at, 1 << 62), len(v.words)
         places: dict[bytes, int] = {}  # of the chunk's words, in the order they come
-        texts, ends = [], [0]
+        at, ends = [], [0]
         for x in left.column("text"):
-            texts += [places.setdefault(w, len(places)) for w in tokens(x.as_py())]
-            texts.append(places.setdefault(END, len(places)))
-            ends.append(len(texts))
-        at = np.array(texts, np.int32)
+            at.extend([places.setdefault(w, len(places)) for w in tokens(x.as_py())])
+            at.append(places.setdefault(END, len(places)))
+            ends.append(len(at))
+        at = np.array(at, np.int32)
         c = np.array([v.count[w] if w in v.count else count.get(w, 0) for w in places], float)
         code, log_c = np.array([codes[w] for w in places], np.int32), np.log10(c + ADD)
         far = code >= k
         tail = np.where(far, log_c - log_mass[np.where(far, (code - k) // BUCKETS, 0)], 0.0)
-        sums = [np.add.reduceat(x[at], ends[:-1]) for x in (np.where(c > 0, 1, 0), log_c, tail)]
-        ids = code[at]
-        log = Network(v, params).score([ids[a:b] for a, b in zip(ends, ends[1:])], v.at[END]) / np.log(10)
+        known, log_sum, tail_sum = (np.add.reduceat(x[at], ends[:-1]) for x in (np.where(c > 0, 1, 0), log_c, tail))
         n = np.diff(ends)
+        flat = code[at].tobytes()
         return pa.table({
-            "uid": left.column("uid"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(sums[0], pa.int64()),
-            "base_score": pa.array(sums[1] - n * base, pa.float64()), "score": pa.array(log + sums[2], pa.float64()),
+            "key": left.column("key"), "held_out": left.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()),
+            "base_score": pa.array(log_sum - n * base, pa.float64()), "tail": pa.array(tail_sum, pa.float64()),
+            "codes": pa.array([flat[4 * a : 4 * b] for a, b in zip(ends, ends[1:])], pa.binary()),
         })
 
-    # partitions by chunks, not by a setting: a task scores about four chunks at any size of the corpus
-    n = max(1, -(-stamped.agg(F.count_distinct("chunk")).first()[0] // 4))
-    texts, rights = stamped.select("uid", "text", "chunk").repartition(n, "chunk"), known_words.select("chunk", "word", "c").repartition(n, "chunk")
-    found = texts.groupBy("chunk").cogroup(rights.groupBy("chunk")).applyInArrow(score, "uid bigint, n_tokens bigint, n_known bigint, base_score double, score double")
-    found = store(found, "scores")
+    # partitions by chunks, not by a setting: a task has one chunk or a few at any size of the corpus
+    n = max(1, stamped.agg(F.count_distinct("chunk")).first()[0])
+    texts, rights = stamped.repartition(n, "chunk"), known_words.select("chunk", "word", "c").repartition(n, "chunk")
+    kind = stamped.schema["key"].dataType.simpleString()
+    coded = texts.groupBy("chunk").cogroup(rights.groupBy("chunk")).applyInArrow(encode, f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, tail double, codes binary")
+    coded = store(coded, "codes")
     drop_stored(spark, known_words)
-    return stamped.select("uid", "key", "held_out").join(found, "uid").select(
-        F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+    drop_stored(spark, stamped)
+    params = initial(v, hidden)
+    deal = F.pmod(F.xxhash64("key", "codes"), F.lit(12))
+    for rate, low, high in zip(rates, (0, 1, 4), (1, 4, 12), strict=True):
+        params = averaged(coded.where(~F.col("held_out") & (deal >= low) & (deal < high)).select("codes"), v, params, rate)
+
+    def score(batches):
+        net = Network(v, params)
+        for batch in batches:
+            log = net.score([x for x in map(unpacked, batch.column("codes"))], v.at[END]) / np.log(10) if batch.num_rows else np.zeros(0)
+            kept = [batch.column(c) for c in ("key", "held_out", "n_tokens", "n_known", "base_score")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(log + batch.column("tail").to_numpy())], ["key", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    found = coded.mapInArrow(score, f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return found.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
