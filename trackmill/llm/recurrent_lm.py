@@ -2,8 +2,8 @@
 
 Vocabulary: the most frequent words of the training texts have inputs and outputs of their own: `head`
 words in `classes` classes at least, and as many words as the square root of the training tokens in as many
-classes as that number's root, where that is more. All other words share an output class by their
-shape (last byte, ASCII or not), and their inputs share hash buckets.
+classes as the root of half that number, where that is more. All other words share an output class by their
+shape (last byte, ASCII or not; rare shapes share one), and their inputs share hash buckets.
 p(word) = p(class | state) * p(word | class, state) for head words, whose classes hold about equal
 shares of the tokens; and p(class | state) * (c + a) / (sum of c + a of the class) for the others,
 with c a word's count in the training texts and one further word, never seen, in each class.
@@ -175,7 +175,7 @@ def totalled(found: DataFrame) -> DataFrame:
 def vocabulary_size(total: int, head: int, classes: int) -> tuple[int, int]:
     """How many words have outputs of their own after `total` training tokens, and in how many classes; `head` and `classes` at least."""
     words = max(head, isqrt(total))
-    return words, max(classes, isqrt(words))
+    return words, max(classes, isqrt(words // 2))
 
 
 class Codes(dict):
@@ -207,8 +207,11 @@ class Vocabulary:
         self.group = np.unique(group, return_inverse=True)[1] if len(c) else group.astype(int)
         self.groups = int(self.group.max()) + 1 if len(c) else 0
         self.start = np.searchsorted(self.group, np.arange(self.groups + 1))
-        self.mass = mass
-        self.prior = np.concatenate([np.bincount(self.group, c, self.groups) if self.groups else np.zeros(0), mass])
+        # shapes with less than a hundredth of the rare words' tokens share a class
+        often = mass >= mass.sum() / 100
+        self.tail = np.where(often, np.cumsum(often) - 1, often.sum())
+        self.mass = np.bincount(self.tail, mass)
+        self.prior = np.concatenate([np.bincount(self.group, c, self.groups) if self.groups else np.zeros(0), self.mass])
 
     def inputs_of(self, codes: np.ndarray) -> np.ndarray:
         """Rows of the input table: a head word's own, or its hash bucket's."""
@@ -219,7 +222,11 @@ class Vocabulary:
         """Output classes: a head word's group, or its shape's."""
         k = len(self.words)
         own = self.group[np.minimum(codes, max(k - 1, 0))] if k else 0
-        return np.where(codes < k, own, self.groups + (codes - k) // BUCKETS)
+        return np.where(codes < k, own, self.groups + self.tail_of(codes))
+
+    def tail_of(self, codes: np.ndarray) -> np.ndarray:
+        """The class of rare words' codes among those of shapes."""
+        return self.tail[np.maximum(codes - len(self.words), 0) // BUCKETS]
 
     @property
     def inputs(self) -> int:
@@ -229,7 +236,7 @@ class Vocabulary:
 def initial(v: Vocabulary, hidden: int, seed: int = 7) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     c = np.array([v.count[w] for w in v.words], float) + ADD
-    n = v.groups + SHAPES
+    n = len(v.prior)
     p = {
         "E": r.normal(0, 1.0, (v.inputs, hidden)), "X": r.normal(0, hidden**-0.5, (hidden, 3 * hidden)), "U": r.normal(0, hidden**-0.5, (hidden, 3 * hidden)), "b": np.zeros(3 * hidden),
         "C": r.normal(0, 0.02, (hidden, n)), "c": np.log(v.prior / v.prior.sum()), "W": r.normal(0, 0.02, (len(c), hidden)), "w": np.log(c),
@@ -541,7 +548,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out_of
         mass[k] += m
     v = Vocabulary(top, mass, total, distinct, classes)
     base = np.log10(total + ADD * (distinct + 1)) if total or distinct else np.log10(ADD)
-    log_mass = np.log10(mass)
+    log_mass = np.log10(v.mass)
 
     def encode(left: pa.Table, right: pa.Table) -> pa.Table:
         """A chunk's documents as codes, with what the counts alone say of them."""
@@ -557,7 +564,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out_of
         c = np.array([v.count[w] if w in v.count else count.get(w, 0) for w in places], float)
         code, log_c = np.array([codes[w] for w in places], np.int32), np.log10(c + ADD)
         far = code >= k
-        tail = np.where(far, log_c - log_mass[np.where(far, (code - k) // BUCKETS, 0)], 0.0)
+        tail = np.where(far, log_c - log_mass[v.tail_of(code)], 0.0)
         known, log_sum, tail_sum = (np.add.reduceat(x[at], ends[:-1]) for x in (np.where(c > 0, 1, 0), log_c, tail))
         n = np.diff(ends)
         flat = code[at].tobytes()
