@@ -59,12 +59,36 @@ def test_quality_counts_match_plain_ones(docs, texts):
 
 def test_quality_verdicts_follow_the_fitted_posterior(docs):
     rows = [r["quality"] for r in quality_rules.judge(docs).collect()]
+    assert len(rows) == docs.count()
     counts = collections.Counter(r["votes"] for r in rows)
     share, table = quality_rules.fit(sorted(counts.items()))
     for r in rows:
-        p = quality_rules.posterior(share, table, r["votes"])
+        p = quality_rules.posterior(share, table, r["votes"])[0]
         assert r["posterior"] == pytest.approx(p, rel=1e-9)
         assert r["kept"] == (p >= 0.5 and not r["base_failed"])
+    assert quality_rules.judge(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bad", [0.1, 0.02, 0.0])
+def test_quality_fit_recovers_planted_rates(bad):
+    rng = random.Random(4)
+    alarms = (0.02, 0.01, 0.03, 0.005, 0.01, 0.02, 0.04, 0.01, 0.02)
+    sees = (0.5, 0.6, 0.4, 0.7, 0.5, 0.6, 0.3, 0.5, 0.4)
+    counts = collections.Counter()
+    for _ in range(30_000):
+        rates = sees if rng.random() < bad else alarms
+        counts["".join("b" if rng.random() < r else "g" for r in rates)] += 1
+    share, table = quality_rules.fit(sorted(counts.items()))
+    assert share[0] == pytest.approx(1 - bad, abs=0.01)
+    for rule, want in zip(table, alarms, strict=True):
+        assert rule[0]["b"] == pytest.approx(want, abs=0.006)
+
+
+def test_quality_fit_tells_kinds_of_junk_apart():
+    counts = {"ggggggggg": 9000, "ggbbggggg": 400, "gggggbgbg": 300, "gggggbgbb": 100, "agggggggg": 200}
+    share, table = quality_rules.fit(sorted(counts.items()))
+    kept = {v: quality_rules.posterior(share, table, v)[0] >= 0.5 for v in counts}
+    assert kept == {"ggggggggg": True, "agggggggg": True, "ggbbggggg": False, "gggggbgbg": False, "gggggbgbb": False}
 
 
 def plain_dedup(rows, least=50):

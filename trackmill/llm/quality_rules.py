@@ -1,9 +1,10 @@
 """Weak supervision over document quality rules, in DataFrame functions only.
 
-Nine rules vote good (+1), bad (-1) or abstain (0) on a document. A generative model with a
-class prior and, per rule, the chance of each vote given the class is fitted by
+Nine rules vote good (+1), bad (-1) or abstain (0) on a document. Kinds of junk differ, and each is seen by one
+or two rules, so the generative model has a class of good documents and a kind of junk for each rule. The shares of
+the classes and, per rule, the chance of each vote given the class (its false alarm rate among them) are fitted by
 expectation-maximisation on the counts of distinct vote patterns (at most 3**9 rows whatever the
-corpus size). A document is kept if the posterior probability of good quality reaches a threshold.
+corpus size). A document is kept if the posterior probability of the good class reaches a threshold.
 
 Defined results: a null text has no words; an empty text fails the base rules; repeated rows are
 judged one by one and alike; an empty table gives an empty result; extra columns of the input are
@@ -12,6 +13,7 @@ carried through (one named like the result is replaced), and the derived columns
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -123,47 +125,38 @@ def votes(f: Column, min_words: int = 20, max_repeat_percent: int = 30) -> Colum
     )
 
 
-def fit(patterns: list[tuple[str, int]], rounds: int = 30, prior: float = 0.9) -> tuple[float, list[dict[str, tuple[float, float]]]]:
+def fit(patterns: list[tuple[str, int]], rounds: int = 60, prior: float = 0.9) -> tuple[list[float], list[list[dict[str, float]]]]:
     """Expectation-maximisation over (pattern, count) rows.
 
-    Returns the share of good documents and, per rule and vote, its chance among good and bad
-    documents. Starts from the majority vote, so the classes keep their meaning; counts are
-    smoothed by one. Without documents the prior and neutral rules come back.
+    Returns the shares of the classes, good documents first, then a kind of junk for each rule, and, per
+    rule and class, the chance of each vote: chances of "b" in the first class are the rules' false alarm rates.
+    Nothing is held fixed; the start gives each class its meaning (a kind's own rule sees nine in ten of it), counts are
+    smoothed by one. Without documents the start comes back.
     """
     k = len(RULES)
-    share = prior
-    table = [{"g": (0.7, 0.2), "b": (0.1, 0.6), "a": (0.2, 0.2)} for _ in range(k)]
+    share = [prior, *[(1 - prior) / k] * k]
+    table = [[{"g": 0.88, "b": 0.02, "a": 0.1} if c == 0 else {"g": 0.1, "b": 0.8, "a": 0.1} if c == j + 1 else {"g": 0.7, "b": 0.2, "a": 0.1} for c in range(k + 1)] for j in range(k)]
     for _ in range(rounds if patterns else 0):
-        seen = [{v: [1.0, 1.0] for v in "gba"} for _ in range(k)]
-        total = [1.0, 1.0]
+        seen = [[dict.fromkeys("gba", 1.0) for _ in range(k + 1)] for _ in range(k)]
+        total = [1.0] * (k + 1)
         for pattern, count in patterns:
-            p = posterior(share, table, pattern)
-            total[0] += count * p
-            total[1] += count * (1 - p)
-            for j, v in enumerate(pattern):
-                seen[j][v][0] += count * p
-                seen[j][v][1] += count * (1 - p)
-        share = total[0] / (total[0] + total[1])
-        table = [bounded({v: (x[0] / (total[0] + 2), x[1] / (total[1] + 2)) for v, x in s.items()}) for s in seen]
+            for c, p in enumerate(posterior(share, table, pattern)):
+                total[c] += count * p
+                for j, v in enumerate(pattern):
+                    seen[j][c][v] += count * p
+        before, share = share, [t / sum(total) for t in total]
+        table = [[{v: n / sum(votes_.values()) for v, n in votes_.items()} for votes_ in rule] for rule in seen]
+        if max(abs(a - b) for a, b in zip(before, share, strict=True)) < 1e-9:
+            break
     return share, table
 
 
-def bounded(votes_of: dict[str, tuple[float, float]], false_alarm: float = 0.001, least: float = 0.05) -> dict[str, tuple[float, float]]:
-    """A rule's vote chances held to what rules are written for: they seldom call a good document bad.
-
-    Kinds of junk differ, so each is seen by one or two rules only; without the bound the bad class
-    would settle on the most frequent kind and the other rules' alarms would count as errors.
-    """
-    (gg, gb), (bg, bb), (ag, ab) = votes_of["g"], votes_of["b"], votes_of["a"]
-    bg, bb = min(bg, false_alarm), max(bb, least)
-    good, bad = (1 - bg) / (gg + ag), (1 - bb) / (gb + ab)
-    return {"g": (gg * good, gb * bad), "b": (bg, bb), "a": (ag * good, ab * bad)}
-
-
-def posterior(share: float, table: list[dict[str, tuple[float, float]]], pattern: str) -> float:
-    """Probability of good quality given a vote pattern; abstaining says nothing."""
-    log = math.log(share / (1 - share)) + sum(math.log(t[v][0] / t[v][1]) for t, v in zip(table, pattern, strict=True) if v != "a")
-    return 1 / (1 + math.exp(-max(-500.0, min(500.0, log))))
+def posterior(share: list[float], table: list[list[dict[str, float]]], pattern: str) -> list[float]:
+    """Probabilities of the classes given a vote pattern; abstaining says nothing."""
+    logs = [math.log(q) + sum(math.log(t[c][v]) for t, v in zip(table, pattern, strict=True) if v != "a") for c, q in enumerate(share)]
+    top = max(logs)
+    odds = [math.exp(x - top) for x in logs]
+    return [x / sum(odds) for x in odds]
 
 
 def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, result: str = "quality", keep_text: bool = True) -> DataFrame:
@@ -176,15 +169,13 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, result: s
     needed = [c for c in docs.columns if (c != text or keep_text) and c != result]
     marked = store(docs.select(*[F.col(f"`{c}`") for c in needed], features(F.col(f"`{text}`")).alias("__f")), "quality")
     counted = [(r[0], r[1]) for r in marked.groupBy(votes(F.col("__f")).alias("v")).count().collect()]
-    share, table = fit(sorted(counted))
-    odds = F.lit(math.log(share / (1 - share)))
-    v = F.col("__v")
-    for j, t in enumerate(table):
-        s = F.substring(v, j + 1, 1)
-        odds = odds + F.when(s == "g", math.log(t["g"][0] / t["g"][1])).when(s == "b", math.log(t["b"][0] / t["b"][1])).otherwise(0.0)
+    model = fit(sorted(counted))
+    good = json.dumps({pattern: posterior(*model, pattern)[0] for pattern, _ in counted})
+    # one row a pattern, at most 3**9 of them
+    table = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(good), "map<string,double>")).alias("__v", "__p"))
     f = F.col("__f")
     failed = (f["n_words"] < 20) | (100 * f["n_repeat_words"] > 30 * f["n_words"])
-    judged = marked.select("*", votes(f).alias("__v")).select("*", (1 / (1 + F.exp(-odds))).alias("__p"), failed.alias("__failed"))
+    judged = marked.select("*", votes(f).alias("__v"), failed.alias("__failed")).join(F.broadcast(table), "__v")
     return judged.select(
         *[F.col(f"`{c}`") for c in needed],
         F.struct(
