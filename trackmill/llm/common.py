@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,7 @@ from pyspark.sql import functions as F
 #: ASCII white space that separates words: space and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 _own_dir: list[str] = []
-#: Folders of all tables that store() wrote in this process, oldest first.
-_stored: list[str] = []
+_stored: ContextVar = ContextVar("stored")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a temporary folder serves a local session; a cluster is refused.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="trackmill-"))
     return f"file://{_own_dir[0]}"
@@ -34,31 +40,47 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _stored.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored_so_far().append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def drop_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a table from store(), once nothing reads them any more."""
+def stored_so_far() -> list[str]:
+    """Folders of the tables that store() wrote in this thread, oldest first."""
+    if (found := _stored.get(None)) is None:
+        _stored.set(found := [])
+    return found
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored_so_far() -> list[str]:
-    return list(_stored)
+def drop_stored(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the files of a table that store() returned, once nothing reads them any more."""
+    delete(spark, [df.stored_at])
 
 
 def release(spark: SparkSession, paths: list[str], still_read: DataFrame) -> None:
     """Delete stored tables, but none if `still_read` reads from one of them."""
     names = [p.rsplit("/", 1)[1] for p in paths]
-    if any(n in f for f in still_read.inputFiles() for n in names):
-        return
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if not any(n in f for f in still_read.inputFiles() for n in names):
+        delete(spark, paths)
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, how: str = "inner", most: int = 1000) -> DataFrame:
+    """left joined with right, which has one row a key and its number of left rows, or more, in `weight`.
+
+    Keys with a `most`-th of `total` (the rows of left, or more) each are at most `most`: they are broadcast, so no task gets a hot
+    key's rows. All others, each with less than a `most`-th of the rows, are shuffled. left is read twice. A null key has no partner.
+    """
+    hot = right.where(F.col(weight) * most >= total).drop(weight)
+    cold = right.where(F.col(weight) * most < total).drop(weight)
+    return left.join(F.broadcast(hot), on).unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how), allowMissingColumns=True)
 
 
 def ascii_lower(c: Column) -> Column:

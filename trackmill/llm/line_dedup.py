@@ -9,7 +9,8 @@ first 1, 2, 4, ... lines: the pairs (rank of the first half, rank of the second)
 twice are sorted by range partitioning and numbered in order. Suffixes alone in their interval drop out, so levels
 shrink, and doubling ends once the ranks reach the longest run that still has to be told apart.
 Suffixes that share their first n lines form a longest-common-prefix interval; it is identified by
-the ranks of its first and last 2**k lines, 2**k <= n < 2**(k + 1).
+the ranks of its first and last 2**k lines, 2**k <= n < 2**(k + 1). Lines, pairs and intervals with a thousandth of the rows
+or more, at most a thousand of them, meet their ranks and first copies by broadcast, all others in shuffles.
 
 A maximal repeated run of enough words is the union of the shortest passages inside it that start
 or end at one of its lines. So only these, at most two a line and of at most `min_words` lines, are
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackmill.llm.common import drop_stored, store
+from trackmill.llm.common import drop_stored, join_hot, store
 
 
 def lines_of(text: Column) -> Column:
@@ -42,8 +43,8 @@ def lines_of(text: Column) -> Column:
 
 
 def ranked(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """The pairs that occur at least twice, with a `rank` in their order."""
-    often = pairs.groupBy(a, b).count().where("count > 1").select(a, b)
+    """The pairs that occur at least twice, with a `rank` in their order and how often, `count`."""
+    often = pairs.groupBy(a, b).count().where("count > 1")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return often.repartitionByRange(n, a, b).sortWithinPartitions(a, b).withColumn("rank", F.monotonically_increasing_id())
 
@@ -78,7 +79,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
     marked = store(docs.withColumn("__uid", F.monotonically_increasing_id()), "stamped")
     lines = marked.select(F.col("__uid").alias("uid"), F.col(f"`{key}`").alias("key"), F.posexplode(lines_of(F.col(f"`{text}`"))).alias("ln", "x"))
     lines = store(lines.select("uid", "key", "ln", "x.*"), "lines")
-    level = store(lines.join(ranked(lines, "h", "g"), ["h", "g"]).select("uid", "key", "ln", "raw", "w", F.col("rank").alias("r")), "rank")
+    level = store(join_hot(lines, ranked(lines, "h", "g"), ["h", "g"], "count", lines.count()).select("uid", "key", "ln", "raw", "w", F.col("rank").alias("r")), "rank")
     drop_stored(docs.sparkSession, lines)
     wanted = store(passages(level, min_words).withColumn("k", F.floor(F.log2("n") + 1e-9).cast("int")), "passages")
     found = None
@@ -93,7 +94,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
         if k < top:
             both = here.join(here.select("uid", (F.col("ln") - 2**k).alias("ln"), F.col("r").alias("s")), ["uid", "ln"])
             both = store(both, "pairs")
-            here = store(both.join(ranked(both, "r", "s"), ["r", "s"]).select("uid", "ln", F.col("rank").alias("r")), "rank")
+            here = store(join_hot(both, ranked(both, "r", "s"), ["r", "s"], "count", both.count()).select("uid", "ln", F.col("rank").alias("r")), "rank")
         k += 1
     if found is None:
         deleted = level.select("uid", F.col("raw").alias("raw")).limit(0)
@@ -101,7 +102,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
         place = F.struct("key", "uid", "start")
         found = store(found.join(level.select("uid", F.col("ln").alias("start"), "key"), ["uid", "start"]), "intervals")
         first = found.groupBy("n", "k", "ra", "rb").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-        later = found.join(first, ["n", "k", "ra", "rb"]).where(~place.eqNullSafe(F.col("first")))
+        later = join_hot(found, first, ["n", "k", "ra", "rb"], "copies", found.count()).where(~place.eqNullSafe(F.col("first")))
         gone = later.select("uid", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("ln")).distinct()
         deleted = gone.join(level, ["uid", "ln"]).select("uid", "raw")
     deleted = deleted.groupBy(F.col("uid").alias("__uid")).agg(F.sort_array(F.collect_list("raw")).alias("__gone"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.llm.common import ascii_lower, store
+from trackmill.llm.common import ascii_lower, join_hot, store
 
 #: (rule, verdict): host up to the first slash, then the start of the path.
 RULES = (
@@ -58,29 +58,27 @@ def lexical(segment: Column) -> Column:
     )
 
 
-def level(nodes: DataFrame, z: float) -> DataFrame:
+def level(nodes: DataFrame, z: float, rows: int) -> DataFrame:
     """Give each (host, parent template, segment) of a level its label in the tree: itself or the wildcard."""
     key = ["host", "t"]
-    child = nodes.groupBy(*key, "s").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    total = child.groupBy(*key).agg(
-        F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
-    )
-    both = child.join(total, key)
+    child = nodes.groupBy(*key, "s").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.count("*").alias("below"))
+    total = child.groupBy(*key).agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"), F.count("*").alias("children"))
+    both = join_hot(child, total, key, "children", rows)
     rest_n, rest_b = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
     p = F.col("all_blocked") / F.col("all_labelled")
     deviation = F.abs(F.try_divide(F.col("blocked"), F.col("labelled")) - F.try_divide(rest_b, rest_n))
     error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest_n)))
     apart = (F.col("labelled") > 0) & (rest_n > 0) & (F.col("all_labelled") > 0) & (deviation > z * error)
     label = F.when(F.col("s") == "", "").when(F.col("s").startswith("{"), "*").when(F.coalesce(apart, F.lit(False)), F.col("s")).otherwise("*")
-    return both.select(*key, "s", label.alias("label"))
+    return both.select(*key, "s", label.alias("label"), "below")
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES, z: float = 3.0, strength: float = 5.0, threshold: float = 0.5, result: str = "filter") -> DataFrame:
     """All rows and columns of pages with a struct `result`: host, path, rule, template, purity, verdict.
 
     Urls are first folded to distinct (host, generalised path) with counts, so the joins of the
-    tree run on that table. The last join brings (host, folded path) verdicts back to the rows; a
-    host with a third of the rows is a skewed side that adaptive execution splits.
+    tree run on that table. The last join brings (host, folded path) verdicts back to the rows. Hosts,
+    branches and paths with a thousandth of a table's rows or more, at most a thousand, are joined by broadcast.
     """
     verdict = dict(rules)
     blocked = F.lit(False)
@@ -97,28 +95,29 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, z: float = 3.0, stren
         F.count("*").alias("n"), F.count("__rule").alias("labelled"), F.sum(F.coalesce(blocked, F.lit(False)).cast("long")).alias("blocked")
     )
     nodes = store(nodes, "paths")
-    total = nodes.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.max(F.size(F.split("f", "/"))).alias("depth")).first()
+    total = nodes.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.max(F.size(F.split("f", "/"))).alias("depth"), F.count("*").alias("paths"), F.sum("n").alias("rows")).first()
+    count = total["paths"]
     root = ((total["b"] or 0) + 1) / ((total["l"] or 0) + 2)
 
     def smoothed(tree: DataFrame, on: list[str]) -> DataFrame:
         """p, the share of the node above, replaced by that of the node `on`."""
-        part = tree.groupBy(*on).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        return tree.join(part, on).withColumn("p", (F.col("b") + strength * F.col("p")) / (F.col("l") + strength)).drop("l", "b")
+        part = tree.groupBy(*on).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.count("*").alias("below"))
+        return join_hot(tree, part, on, "below", count).withColumn("p", (F.col("b") + strength * F.col("p")) / (F.col("l") + strength)).drop("l", "b")
 
     tree, judged = smoothed(nodes.withColumn("t", F.lit("")).withColumn("p", F.lit(root)), ["host"]), None
     for k in range((total["depth"] or 0) + 1):  # one level more than segments: there the longest paths end
         tree = tree.withColumn("s", F.coalesce(F.get(F.split("f", "/"), F.lit(k)), F.lit("")))
-        tree = tree.join(level(tree, z), ["host", "t", "s"])
+        tree = join_hot(tree, level(tree, z, count), ["host", "t", "s"], "below", count)
         tree = tree.withColumn("t", F.when(F.col("label") == "", F.col("t")).otherwise(F.concat("t", F.lit("/"), "label")))
         tree = store(smoothed(tree, ["host", "t"]), "tree")
-        ends = tree.where("label = ''").select(F.col("host").alias("__host"), F.col("f").alias("__n"), F.col("t").alias("__t"), F.col("p").alias("__p"))
+        ends = tree.where("label = ''").select(F.col("host").alias("__host"), F.col("f").alias("__n"), F.col("t").alias("__t"), F.col("p").alias("__p"), F.col("n").alias("__rows"))
         judged = ends if judged is None else judged.union(ends)
         tree = tree.where("label != ''").drop("s", "label")
-    on = (F.col("__u.host") == F.col("__host")) & (F.col("__f") == F.col("__n"))
     by_rule = F.lit(None).cast("string")
     for rule, what in verdict.items():
         by_rule = F.when(F.col("__rule") == rule, what).otherwise(by_rule)
-    return rows.join(judged, on, "left").select(
+    found = join_hot(rows.withColumn("__host", F.col("__u.host")), judged.withColumnRenamed("__n", "__f"), ["__host", "__f"], "__rows", total["rows"] or 0)
+    return found.select(
         *[F.col(f"`{c}`") for c in pages.columns],
         F.struct(
             F.col("__u.host").alias("host"), F.col("__u.path").alias("path"), F.col("__rule").alias("rule"), F.col("__t").alias("template"), F.col("__p").alias("purity"),
