@@ -165,6 +165,35 @@ def test_mixing_schedules_every_source_by_its_own_share(spark):
             assert all(abs(done[s] - n * shares[s] / total) < 1 for s in ("big", "s1", "s2", r["source"]))
 
 
+def plain_schedule(shares):
+    """Slot by slot: of the jobs released by now the one that is due first; ties to the smaller share, then the first."""
+    total, done, out = sum(shares), [0] * len(shares), []
+    for t in range(total):
+        ready = [(-(-(done[i] + 1) * total // a), a, i) for i, a in enumerate(shares) if done[i] < a and done[i] * total // a <= t]
+        i = min(ready)[2]
+        done[i] += 1
+        out.append(i)
+    return out
+
+
+def test_mixing_period_equals_a_plain_schedule(spark):
+    rng = random.Random(2)
+    for shares in [[1], [3, 2, 1], [5, 5, 5], [1, 1, 97], *[[rng.randint(1, 20) for _ in range(rng.randint(2, 9))] for _ in range(5)]]:
+        want = plain_schedule(shares)
+        assert mixing.one_period(shares) == want
+        assert spark.range(1).select(mixing.period(F.array(*[F.lit(a).cast("long") for a in shares])).alias("o")).first()["o"] == want
+
+
+def test_mixing_odd_sources_and_many_of_them(spark):
+    rows = [(None, None), (None, "\x00"), (None, ""), (None, "="), (None, None), (3, "a"), (3, "a")]
+    out = mixing.interleave(spark.createDataFrame(rows, "doc_id bigint, source string")).select("source", "mix.stream").collect()
+    assert len(out) == 7 and all(r["source"] == r["stream"] for r in out)
+    sizes = [(k, j) for k in range(300) for j in range(1 + k // 3)]  # 300 sources of a hundred sizes
+    df = spark.createDataFrame([(i, f"s{k}") for i, (k, _) in enumerate(sizes)], "doc_id bigint, source string")
+    got = mixing.interleave(df, block=2).select("source", "mix.*").collect()
+    assert len(got) == len(sizes) and all(r["stream"] == r["source"] and r["release"] <= r["slot"] < r["deadline"] for r in got)
+
+
 def test_mixing_is_the_same_on_either_way(docs):
     pick = lambda df: collections.Counter((r["doc_id"], r["text"], *r["mix"]) for r in df.collect())
     assert pick(mixing.interleave(docs, block=4)) == pick(mixing.interleave(docs, block=4, most_streams=1))

@@ -22,7 +22,6 @@ from __future__ import annotations
 from heapq import heappop, heappush
 from math import gcd
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,9 +104,9 @@ def one_period(shares: list[int]) -> list[int]:
     return order
 
 
-def many_slots(names: list[str], blocks: list[int], shares: list[int]) -> pa.Table:
-    """The slots of all phases that `phases` and `period` give; only streams that go on cost anything in a phase."""
-    columns: dict[str, list] = {c: [] for c in ("__s", "p", "base", "d", "at", "q", "a", "first", "placed")}
+def many_slots(names: list[str], blocks: list[int], shares: list[int]) -> list[tuple]:
+    """(source, phase, base, d, at, q, a, first, placed): the slots of all phases that `phases` and `period` give; only streams that go on cost anything in a phase."""
+    out: list[tuple] = []
     live, done, slot, p = [i for i, b in enumerate(blocks) if b], [0] * len(blocks), 0, 0
     while live:
         by = gcd(*[shares[i] for i in live])
@@ -117,52 +116,60 @@ def many_slots(names: list[str], blocks: list[int], shares: list[int]) -> pa.Tab
         d, q = sum(own), [0] * len(live)
         for at, k in enumerate(one_period(own)):
             if q[k] < placed[k]:
-                for c, x in zip(columns, (names[live[k]], p, slot, d, at, q[k], own[k], done[live[k]], placed[k]), strict=True):
-                    columns[c].append(x)
+                out.append((names[live[k]], p, slot, d, at, q[k], own[k], done[live[k]], placed[k]))
             q[k] += 1
         for k, i in enumerate(live):
             done[i] += placed[k]
         slot, p = slot + rounds * d, p + 1
         live = [i for i in live if done[i] < blocks[i]]
-    return pa.table({c: pa.array(x, pa.string() if c == "__s" else pa.int32() if c in ("p", "at", "q") else pa.int64()) for c, x in columns.items()})
+    return out
+
+
+def numbered(rows: DataFrame, n_buckets: int, key: str) -> DataFrame:
+    """rows (with a source __s and a hash __o) with `__n`, their numbers from 0 within the source, in order of the hash.
+
+    No source is gathered: a row's number is its bucket's offset plus its place within the bucket, and offsets are summed
+    up in two levels, so that no task counts more than a source's n_buckets / 1000 groups or a group's 1000 buckets.
+    """
+    rows = rows.withColumn("__b", F.floor((F.shiftrightunsigned("__o", 1) / F.lit(float(2**63))) * n_buckets).cast("long"))
+    before = lambda *by, order: F.coalesce(F.sum("count").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = store(rows.groupBy("__s", "__b").count().withColumn("__g", F.floor(F.col("__b") / 1000)), "buckets")
+    groups = counts.groupBy("__s", "__g").agg(F.sum("count").alias("count")).withColumn("__ahead", before("__s", order="__g")).drop("count")
+    offsets = counts.join(groups, ["__s", "__g"]).withColumn("__before", F.col("__ahead") + before("__s", "__g", order="__b")).select("__s", "__b", "__before")
+    placed = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__o", F.col(f"`{key}`"))))
+    return placed.join(offsets, ["__s", "__b"]).withColumn("__n", F.col("__before") + F.col("__r") - 1)
 
 
-def interleave(docs: DataFrame, key: str = "doc_id", source: str = "source", shares: dict[str, int] | None = None, block: int = 16, seed: int = 1, most_streams: int = 1024, result: str = "mix") -> DataFrame:
+def interleave(docs: DataFrame, key: str = "doc_id", source: str = "source", shares: dict[str, int] | None = None, block: int = 16, seed: int = 1, most_streams: int = 32, result: str = "mix") -> DataFrame:
     """All rows and columns of docs with a struct `result`: stream, block, slot, release, deadline, place, phase.
 
-    Ordering by (slot, place) gives the mixed corpus. Numbering within a source never gathers the
-    source: rows are dealt to buckets by a hash, buckets are counted, and a row's number is its
-    bucket's offset plus its place within the bucket, of about `per_bucket` rows.
+    Ordering by (slot, place) gives the mixed corpus. Buckets for the numbering hold about `per_bucket` rows.
     """
-    per_bucket = 2000
+    per_bucket = 500
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != result])
-    name = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("\x00"))
+    name = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit(""))  # no source: the empty name
     counted = {r["s"]: r["n"] for r in docs.groupBy(name.alias("s")).agg(F.count("*").alias("n")).collect()}
     if not counted:
         empty = "struct<stream:string,block:bigint,phase:int,slot:bigint,release:bigint,deadline:bigint,place:int>"
         return docs.withColumn(result, F.lit(None).cast(empty))
     names = sorted(counted)
-    target = shares_of(counted) if shares is None else {s: shares.get(s, 1) for s in names}
+    target = shares_of(counted) if shares is None else {s: shares.get(s[1:] if s else None, 1) for s in names}
     n_buckets = max(1, sum(counted.values()) // per_bucket)
-    order = F.xxhash64(F.lit(seed), F.col(f"`{key}`"))
-    rows = docs.select("*", name.alias("__s"), order.alias("__o")).withColumn("__b", F.floor((F.shiftrightunsigned("__o", 1) / F.lit(float(2**63))) * n_buckets).cast("long"))
-    offsets = rows.groupBy("__s", "__b").count().withColumn(
-        "__before", F.sum("count").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    )
-    offsets = store(offsets.select("__s", "__b", F.coalesce("__before", F.lit(0)).alias("__before")), "offsets")
-    numbered = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__o", F.col(f"`{key}`")))).join(offsets, ["__s", "__b"])
-    numbered = numbered.withColumn("__n", F.col("__before") + F.col("__r") - 1).withColumn("__k", F.floor(F.col("__n") / block))
+    # the whole row is hashed, so that rows without a key, or of one key, are spread; equal rows stay together
+    order = F.xxhash64(F.lit(seed), F.col(f"`{key}`"), *[F.col(f"`{c}`") for c, t in docs.dtypes if c != key and not t.startswith("map")])
+    rows = numbered(docs.select("*", name.alias("__s"), order.alias("__o")), n_buckets, key).withColumn("__k", F.floor(F.col("__n") / block))
 
     spark = docs.sparkSession
     blocks, own = [-(-counted[s] // block) for s in names], [target[s] for s in names]
     if len(names) > most_streams:
-        slots = store(spark.createDataFrame(many_slots(names, blocks, own)), "slots")
+        kinds = "__s string, p int, base bigint, d bigint, at int, q int, a bigint, first bigint, placed bigint"
+        slots = store(spark.createDataFrame(many_slots(names, blocks, own), kinds), "slots")
         each = slots.withColumn("__k", F.explode(F.expr("sequence(first + q, first + placed - 1, a)")))
         at = each.select(
             "__s", "__k", F.struct("first", "a").alias("__span"), F.col("p").alias("__p"), F.expr("(__k - first) div a").alias("__round"),
             F.col("base").alias("__base"), F.col("d").alias("__d"), F.col("at").alias("__at"),
         )
-        held = numbered.join(at, ["__s", "__k"])
+        held = rows.join(at, ["__s", "__k"])
     else:
         plan = phases(blocks, own)
         # one row a phase, from literals: at most as many phases as streams, at most most_streams streams
@@ -184,7 +191,7 @@ def interleave(docs: DataFrame, key: str = "doc_id", source: str = "source", sha
         # a block's phase first (streams x phases rows), then its slot within the period
         spans = slots.where("q = 0").select("__s", "p", "first", "placed", "a").withColumnRenamed("p", "__p")
         spans = spans.groupBy("__s").agg(F.sort_array(F.collect_list(F.struct("first", "placed", "a", F.col("__p").alias("p")))).alias("__spans"))
-        held = numbered.join(F.broadcast(spans), "__s").withColumn("__span", F.element_at(F.filter("__spans", lambda x: x["first"] <= F.col("__k")), -1)).drop("__spans")
+        held = rows.join(F.broadcast(spans), "__s").withColumn("__span", F.element_at(F.filter("__spans", lambda x: x["first"] <= F.col("__k")), -1)).drop("__spans")
         held = held.withColumn("__q", F.pmod(F.col("__k") - F.col("__span.first"), F.col("__span.a"))).withColumn("__round", F.floor((F.col("__k") - F.col("__span.first")) / F.col("__span.a")))
         at = slots.select(F.col("__s"), F.col("p").alias("__p"), F.col("q").cast("long").alias("__q"), F.col("base").alias("__base"), F.col("d").alias("__d"), F.col("at").alias("__at"))
         held = held.withColumn("__p", F.col("__span.p")).join(F.broadcast(at), ["__s", "__p", "__q"])
@@ -192,7 +199,7 @@ def interleave(docs: DataFrame, key: str = "doc_id", source: str = "source", sha
     return held.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.struct(
-            F.when(F.col("__s") != "\x00", F.col("__s")).alias("stream"), F.col("__k").alias("block"), F.col("__p").alias("phase"),
+            F.when(F.col("__s") != "", F.substring("__s", 2, 1 << 30)).alias("stream"), F.col("__k").alias("block"), F.col("__p").alias("phase"),
             (F.col("__base") + F.col("__round") * d + F.col("__at")).alias("slot"),
             (F.col("__base") + F.floor(j * d / a)).alias("release"), (F.col("__base") + F.ceil((j + 1) * d / a)).alias("deadline"),
             F.pmod(F.col("__n"), F.lit(block)).cast("int").alias("place"),
