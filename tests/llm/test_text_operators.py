@@ -294,13 +294,45 @@ def test_toxicity_held_out(spark):
     assert out[900]["score"] == out[901]["score"] < 0.5 < out[902]["score"]
 
 
-def test_kneser_ney_is_a_distribution():
-    t = kneser_ney.byte_classes()
-    c = np.zeros(kneser_ney.CLASSES**kneser_ney.ORDER)
-    for k in kneser_ney.grams("the cat sat on the mat. The hat", t):
-        c[k] += 1
-    p = np.exp(kneser_ney.model(c.reshape((kneser_ney.CLASSES,) * kneser_ney.ORDER)).reshape(-1, kneser_ney.CLASSES).astype(float))
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
+def plain_kneser_ney(texts, order):
+    """log p(byte | context) by the definition, over tuples of symbols."""
+    tables = [collections.Counter()]
+    for t in texts:
+        c = [0] * (order - 1) + [b + 1 for b in t.encode()] + [0]
+        tables[0].update(tuple(c[i : i + order]) for i in range(len(c) - order + 1))
+    for _ in range(order - 1):
+        tables.append(collections.Counter(g[1:] for g in tables[-1]))
+    tables.reverse()
+    off = []
+    for t in tables:
+        d = kneser_ney.discounts(*[sum(c == i for c in t.values()) for i in (1, 2, 3, 4)])
+        off.append(lambda c, d=d: d[min(c, 3) - 1] if c else 0.0)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / kneser_ney.KINDS
+        t, d = tables[k - 1], off[k - 1]
+        same = [c for h, c in t.items() if h[:-1] == g[:-1]]
+        if not same:
+            return p(g[1:])
+        return max(t[g] - d(t[g]), 0) / sum(same) + sum(map(d, same)) / sum(same) * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_equals_a_plain_model(spark):
+    rng = random.Random(1)
+    trusted = [prose(rng, 12) for _ in range(6)] + ["\x00 \xff é日", trusted_twice := "over and over"] + [trusted_twice]
+    df = spark.createDataFrame([(t,) for t in trusted], "text string").repartition(3)
+    model = kneser_ney.held(kneser_ney.tables(kneser_ney.counts(df)))
+    p = plain_kneser_ney(trusted, kneser_ney.ORDER)
+    symbols = lambda g: tuple(g >> kneser_ney.BITS * i & 511 for i in range(kneser_ney.ORDER - 1, -1, -1))
+    for text in [trusted[0][:40], "new words é", "\x00"]:
+        keys = kneser_ney.grams(text)
+        assert np.allclose(model.log_p(keys), [np.log(p(symbols(int(g)))) for g in keys], atol=1e-5)
+    context = int(kneser_ney.grams(trusted[0])[7]) >> kneser_ney.BITS << kneser_ney.BITS
+    assert np.exp(model.log_p(np.array([context + s for s in range(kneser_ney.KINDS)]))).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_kneser_ney_separates(spark, docs):
@@ -312,6 +344,7 @@ def test_kneser_ney_separates(spark, docs):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     odd = kneser_ney.classify(docs.select("doc_id", "text", "lang"), none).collect()
     assert len(odd) == docs.count() and all(r["kept"] == (r["perplexity"] is not None) for r in odd)
+    assert kneser_ney.classify(docs.limit(0), none).count() == 0
 
 
 def plain_components(rows):
