@@ -247,6 +247,47 @@ def test_media_strange_bytes(spark):
     assert sorted(len(r["tracks"]) for r in media.probe_column(df, "m").collect()) == [0, 1]
 
 
+def test_media_hostile_tables():
+    deep = b""
+    for _ in range(3000):
+        deep = media.box(b"moov", deep)
+    assert media.probe(deep) == []
+    stbl = media.box(
+        b"stbl", media.full(b"stsz", 0, (100).to_bytes(4, "big"), b"\xff" * 4), media.full(b"stsc", 0, (1).to_bytes(4, "big"), (1).to_bytes(4, "big"), b"\xff" * 4, bytes(4)),
+        media.full(b"stco", 0, (1).to_bytes(4, "big"), (8).to_bytes(4, "big")),
+    )
+    (track,) = media.probe(media.box(b"moov", media.box(b"trak", stbl)))
+    assert len(track.samples()) <= 1
+
+
+def test_media_fragments_and_compact_sizes():
+    num = lambda *xs: b"".join((x & 0xFFFFFFFF).to_bytes(4, "big") for x in xs)
+    flags = lambda kind, f, *parts: media.box(kind, f.to_bytes(4, "big"), *parts)
+    trak = media.box(b"trak", media.full(b"tkhd", 0, num(0, 0, 7, 0, 0)), media.box(b"mdia", media.full(b"mdhd", 0, num(0, 0, 1000, 0))))
+    head = media.box(b"moov", trak, media.box(b"mvex", media.full(b"trex", 0, num(7, 1, 40, 5, 0x10000))))
+
+    def moof(offset):
+        return media.box(b"moof", media.box(b"traf", flags(b"tfhd", 0x20000, num(7)), flags(b"trun", 0x1 | 0x4 | 0x200, num(3, offset, 0), num(4, 6, 2)), flags(b"trun", 0, num(2))))
+
+    size = len(moof(0))
+    data = head + moof(size + 8) + media.box(b"mdat", b"aaaabbbbbbccdddddeeeee")
+    (track,) = media.probe(data)
+    assert [data[a:b] for a, b in track.samples()] == [b"aaaa", b"bbbbbb", b"cc", b"ddddd", b"eeeee"]
+    assert [data[a:b] for a, b in track.key_frames()] == [b"aaaa"]
+    assert (track.number, track.duration, track.timescale) == (7, 200, 1000)
+    for bits, raw, want in ((4, b"\x12\x30", [1, 2, 3]), (8, b"\x01\x02\x03", [1, 2, 3]), (16, b"\0\x01\0\x02\0\x03", [1, 2, 3])):
+        (track,) = media.probe(media.box(b"moov", media.box(b"trak", media.full(b"stz2", 0, bytes(3), bytes([bits]), num(3), raw))))
+        assert track.tables["sizes"].tolist() == want
+
+
+def test_media_digests_through_tables(spark, docs):
+    rows = media.digests(docs, "doc_id", "text").collect()
+    assert len(rows) == docs.count() and all(r["payload_bytes"] % 576 == 0 and r["payload_bytes"] > 0 for r in rows)
+    twice = [r for r in rows if r["doc_id"] == 2]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    assert media.digests(docs.limit(0), "doc_id", "text").count() == 0
+
+
 def test_media_many_chunk_runs():
     data = media.pack(bytes(range(256)) * 9 * 50, unit=36, per_chunk=7)
     (track,) = media.probe(data)

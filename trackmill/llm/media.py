@@ -1,13 +1,13 @@
 """ISO media containers: writing raw samples, walking nested boxes, decoding sample tables.
 
 `probe` reads a container held in a binary value: it walks the boxes (32-bit, 64-bit and to-the-end
-sizes), decodes the sample tables of each track (stsd, stts, stsc, stsz, stco or co64, stss) and
-returns codec, duration and the byte ranges of all samples and of the key frames. Payloads are
+sizes), decodes the sample tables of each track (stsd, stts, stsc, stsz or stz2, stco or co64, stss) and of
+fragments (trex, tfhd, trun) and returns codec, duration and the byte ranges of all samples and of the key frames. Payloads are
 located, never decoded. `pack` stores bytes losslessly as fixed-size 8-bit samples in such a file.
 
 Defined results: null or empty bytes, or bytes that are no container, have no tracks; a box that
 claims more than its parent holds ends the walk of that parent; tables that disagree give the
-samples that all of them cover. Nothing here depends on other rows.
+samples that all of them cover, and counts that no table or file can hold are cut to what it holds. Nothing here depends on other rows.
 """
 
 from __future__ import annotations
@@ -85,21 +85,25 @@ def pack(payload: bytes, unit: int = UNIT, per_chunk: int = 64, key_every: int =
     return head + index + box(b"mdat", payload)
 
 
-def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path of kinds, start of the content, end) of each box, parents first."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: memoryview) -> Iterator[tuple[tuple, int, int, int]]:
+    """(path of kinds, start, start of the content, end) of each box, parents first; nests of any depth."""
+    todo: list[tuple[int, int, tuple]] = [(0, len(data), ())]
+    while todo:
+        start, end, path = todo.pop()
+        if start + 8 > end:
+            continue
         size, kind, lead = int.from_bytes(data[start : start + 4], "big"), bytes(data[start + 4 : start + 8]), 8
         if size == 1 and start + 16 <= end:
             size, lead = int.from_bytes(data[start + 8 : start + 16], "big"), 16
         elif size == 0:
             size = end - start
         if size < lead or start + size > end:
-            return
-        yield (*path, kind), start + lead, start + size
+            continue
+        own = (*path[-8:], kind)  # no table lies deeper
+        yield own, start, start + lead, start + size
+        todo.append((start + size, end, path))
         if kind in NESTS:
-            yield from walk(data, start + lead, start + size, (*path, kind))
-        start += size
+            todo.append((start + lead, start + size, own))
 
 
 @dataclass
@@ -108,27 +112,61 @@ class Track:
     codec: str = ""
     timescale: int = 0
     duration: int = 0
+    number: int = 0
     tables: dict = field(default_factory=dict)
+    #: Of each fragment's run: sample starts, ends, whether they stand alone.
+    runs: list = field(default_factory=list)
 
-    def samples(self) -> np.ndarray:
-        """Byte ranges (start, end) of the samples."""
+    def listed(self) -> np.ndarray:
+        """Byte ranges (start, end) of the samples that the sample tables list."""
         t = self.tables
         runs, places, sizes = t.get("stsc", np.zeros((0, 3), np.int64)), t.get("places", np.zeros(0, np.int64)), t.get("sizes", np.zeros(0, np.int64))
         if not len(runs) or not len(places) or not len(sizes):
             return np.zeros((0, 2), np.int64)
-        spans = np.diff(np.append(runs[:, 0], len(places) + 1)).clip(0)
-        per_chunk = np.repeat(runs[:, 1], spans)[: len(places)]
-        chunk_of = np.repeat(np.arange(len(per_chunk)), per_chunk)[: len(sizes)]
+        run = np.searchsorted(np.maximum.accumulate(runs[:, 0]), np.arange(1, len(places) + 1), side="right") - 1
+        ends = np.cumsum(np.where(run >= 0, np.minimum(runs[np.maximum(run, 0), 1], len(sizes)), 0))
+        chunk_of = np.searchsorted(ends, np.arange(len(sizes)), side="right")
+        chunk_of = chunk_of[chunk_of < len(places)]
         sizes = sizes[: len(chunk_of)]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        first = np.concatenate([[0], np.cumsum(per_chunk)])[:-1]
+        first = np.concatenate([[0], ends])[:-1]
         start = places[chunk_of] + total[:-1] - total[np.minimum(first[chunk_of], len(sizes))]
         return np.stack([start, start + sizes], 1)
 
+    def samples(self) -> np.ndarray:
+        """Byte ranges (start, end) of the samples, those of fragments last."""
+        return np.concatenate([self.listed(), *[np.stack(r[:2], 1) for r in self.runs]])
+
     def key_frames(self) -> np.ndarray:
-        """Byte ranges of the samples that stand alone: those of stss, else all."""
-        s, keys = self.samples(), self.tables.get("stss")
-        return s if keys is None else s[keys[(keys > 0) & (keys <= len(s))] - 1]
+        """Byte ranges of the samples that stand alone: those of stss, else all; in fragments those whose flags say so."""
+        s, keys = self.listed(), self.tables.get("stss")
+        s = s if keys is None else s[keys[(keys > 0) & (keys <= len(s))] - 1]
+        return np.concatenate([s, *[np.stack(r[:2], 1)[r[2]] for r in self.runs]])
+
+
+def fragment_run(view: memoryview, a: int, b: int, flags: int, of: dict) -> tuple | None:
+    """(starts, ends, whether each stands alone, ticks) of a trun's samples, `of` being its traf's defaults; None where it is cut off."""
+    n, at = int.from_bytes(view[a + 4 : a + 8], "big"), a + 8
+    start, first = of["at"], None
+    if flags & 1:
+        start, at = of["base"] + int.from_bytes(view[at : at + 4], "big", signed=True), at + 4
+    if flags & 4:
+        first, at = int.from_bytes(view[at : at + 4], "big"), at + 4
+    fields = [x for x in (0x100, 0x200, 0x400, 0x800) if flags & x]
+    if fields:
+        n = min(n, max(0, b - at) // (4 * len(fields)))
+    elif of["size"]:
+        n = min(n, len(view) // of["size"])
+    else:
+        n = 0
+    rows = np.frombuffer(view, ">u4", n * len(fields), at).astype(np.int64).reshape(n, len(fields)) if n and fields else np.zeros((n, 0), np.int64)
+    column = lambda bit, default: rows[:, fields.index(bit)] if bit in fields else np.full(n, default, np.int64)
+    sizes, marks = column(0x200, of["size"]), column(0x400, of["flags"]).copy()
+    if n and first is not None:
+        marks[0] = first
+    ends = start + np.cumsum(sizes)
+    of["at"] = int(ends[-1]) if n else start
+    return ends - sizes, ends, marks & 0x10000 == 0, int(column(0x100, of["ticks"]).sum())
 
 
 def table(data: memoryview, start: int, end: int, width: int, kind: str = ">u4", skip: int = 4) -> np.ndarray:
@@ -143,18 +181,37 @@ def table(data: memoryview, start: int, end: int, width: int, kind: str = ">u4",
 
 def probe(data: bytes | None) -> list[Track]:
     """The tracks of a container."""
-    view, tracks = memoryview(data or b""), []
-    for path, a, b in walk(view):
+    view, tracks, defaults, moof, of = memoryview(data or b""), [], {}, 0, None
+    word = lambda at, n=4: int.from_bytes(view[at : at + n], "big")
+    for path, start, a, b in walk(view):
         kind = path[-1]
+        if kind == b"moof":
+            moof = start
+        elif kind == b"trex" and b - a >= 24:
+            defaults[word(a + 4)] = {"ticks": word(a + 12), "size": word(a + 16), "flags": word(a + 20)}
+        elif kind == b"tfhd" and b - a >= 8:
+            flags, at, number = word(a + 1, 3), a + 8, word(a + 4)
+            of = {"ticks": 0, "size": 0, "flags": 0} | defaults.get(number, {}) | {"base": moof, "number": number}
+            for bit, name, n in ((1, "base", 8), (2, "", 4), (8, "ticks", 4), (16, "size", 4), (32, "flags", 4)):
+                if flags & bit:
+                    of[name], at = word(at, n), at + n
+            of["at"] = of["base"]
+        elif kind == b"trun" and of and b - a >= 8:
+            t = next((t for t in tracks if t.number == of["number"]), None)
+            if t:
+                *run, ticks = fragment_run(view, a, b, word(a + 1, 3), of)
+                t.runs.append(run)
+                t.duration += ticks
         if kind == b"trak":
             tracks.append(Track())
         if not tracks or b"trak" not in path:
             continue
         t = tracks[-1]
-        if kind == b"mdhd" and b - a >= 20:
+        if kind == b"tkhd" and b - a >= 24:
+            t.number = word(a + (20 if view[a] == 1 else 12))
+        elif kind == b"mdhd" and b - a >= 20:
             at = 20 if view[a] == 1 else 12
-            t.timescale = int.from_bytes(view[a + at : a + at + 4], "big")
-            t.duration = int.from_bytes(view[a + at + 4 : a + at + (12 if view[a] == 1 else 8)], "big")
+            t.timescale, t.duration = word(a + at), word(a + at + 4, 8 if view[a] == 1 else 4)
         elif kind == b"hdlr":
             t.handler = bytes(view[a + 8 : a + 12]).decode("latin-1")
         elif kind == b"stsd":
@@ -168,8 +225,15 @@ def probe(data: bytes | None) -> list[Track]:
         elif kind == b"stss":
             t.tables["stss"] = table(view, a, b, 1)[:, 0]
         elif kind == b"stsz" and b - a >= 12:
-            same, n = int.from_bytes(view[a + 4 : a + 8], "big"), int.from_bytes(view[a + 8 : a + 12], "big")
-            t.tables["sizes"] = np.full(n, same, np.int64) if same else table(view, a, b, 1, skip=8)[:, 0]
+            same, n = word(a + 4), word(a + 8)
+            t.tables["sizes"] = np.full(min(n, len(view) // same), same, np.int64) if same else table(view, a, b, 1, skip=8)[:, 0]
+        elif kind == b"stz2" and b - a >= 12:
+            bits = view[a + 7]
+            if bits in (8, 16):
+                t.tables["sizes"] = table(view, a, b, 1, f">u{bits // 8}", skip=8)[:, 0]
+            elif bits == 4:
+                raw = np.frombuffer(view[a + 12 : b], np.uint8)
+                t.tables["sizes"] = np.stack([raw >> 4, raw & 15], 1).ravel()[: word(a + 8)].astype(np.int64)
     return tracks
 
 
