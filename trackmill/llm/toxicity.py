@@ -184,8 +184,9 @@ class Reader:
 REPEATED_RUN = re.compile(r"(.)\1+")
 
 
-def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str, text: str, label: str, per_label: int, held_out_of: int, odds: float = 2.5, most: int = 20_000) -> tuple[dict[str, float], float]:
-    """The lexicon (term -> log odds, at most `most` terms) and the log odds of a document without terms.
+def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str, text: str, label: str, per_label: int, held_out_of: int, odds: float = 2.5, caution: float = 2.0) -> tuple[dict[str, float], float]:
+    """The lexicon (term -> log odds; the sample bounds it) and the log odds of a document without terms, `caution` below the share of
+    toxic documents, so that one weak term is not enough.
 
     Of copies in the sample one counts: rows of a label whose long words have the same four smallest hashes.
     A term with t toxic and c other documents is taken if so uneven a split would not be expected
@@ -221,19 +222,19 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str, text:
     q = F.col("t") / (F.col("t") + F.col("c"))
     splits = -(F.col("t") + F.col("c")) * (q * F.log(q) + F.when(q < 1, (1 - q) * F.log(1 - q)).otherwise(0.0))
     unlikely = F.col("t") * -math.log((t + 0.5) / (t + c + 1)) + F.col("c") * -math.log((c + 0.5) / (t + c + 1)) - splits > math.log(n_terms) + 3
-    rows_ = counted.withColumn("w", weight).where((F.col("w") >= odds) & unlikely).orderBy(F.desc("w"), "term").limit(most).collect()
+    rows_ = counted.withColumn("w", weight).where((F.col("w") >= odds) & unlikely).collect()
     everyone = seen.agg(F.count("*"), F.sum((F.col("__y") > 0).cast("long"))).first()
     share = (everyone[1] + 0.5) / (everyone[0] + 1)
-    return {r["term"]: r["w"] for r in rows_}, math.log(share / (1 - share)) - 2.0
+    return {r["term"]: r["w"] for r in rows_}, math.log(share / (1 - share)) - caution
 
 
 def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = 6000, held_out_of: int = 5, strongest: int = 3) -> DataFrame:
     """Per document: key, held_out, score, predicted.
 
-    The score is the chance of toxicity from the prior odds and the weights of the `strongest` terms
-    (a word's beginnings count as one sign with it). Two passes over the texts; shuffled are trigram
+    The score is the chance of toxicity from the prior odds and the weights of the `strongest` terms: a word and its
+    beginnings are several terms of one sign, so that weights of all terms would count one word more than once. Two passes over the texts; shuffled are trigram
     kinds and the sample's terms. The model and lexicon sent to the workers are bounded by 28**3
-    numbers and `most` terms.
+    numbers and the terms of the sample.
     """
     model = letter_model(letter_counts(docs, text)).astype(np.float32)
     lexicon, prior = learn(docs, labels, model, key, text, label, per_label, held_out_of)
