@@ -104,10 +104,11 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, z: float = 3.0, stren
         part = tree.groupBy(*on).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.count("*").alias("below"))
         return join_hot(tree, part, on, "below", count).withColumn("p", (F.col("b") + strength * F.col("p")) / (F.col("l") + strength)).drop("l", "b")
 
-    tree, judged = smoothed(nodes.withColumn("t", F.lit("")).withColumn("p", F.lit(root)), ["host"]), None
+    tree, judged = store(smoothed(nodes.withColumn("t", F.lit("")).withColumn("p", F.lit(root)), ["host"]), "tree"), None
     for k in range((total["depth"] or 0) + 1):  # one level more than segments: there the longest paths end
         tree = tree.withColumn("s", F.coalesce(F.get(F.split("f", "/"), F.lit(k)), F.lit("")))
-        tree = join_hot(tree, level(tree, z, count), ["host", "t", "s"], "below", count)
+        labels = store(level(tree, z, count), "labels")
+        tree = store(join_hot(tree, labels, ["host", "t", "s"], "below", count), "labelled")
         tree = tree.withColumn("t", F.when(F.col("label") == "", F.col("t")).otherwise(F.concat("t", F.lit("/"), "label")))
         tree = store(smoothed(tree, ["host", "t"]), "tree")
         ends = tree.where("label = ''").select(F.col("host").alias("__host"), F.col("f").alias("__n"), F.col("t").alias("__t"), F.col("p").alias("__p"), F.col("n").alias("__rows"))
