@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_M_PER_DEGREE = 111_320.0
+EARTH_M = 6_371_000.0
 
 
 def projected(h: list[Column], x: Column, y: Column) -> tuple[Column, Column, Column]:
@@ -55,8 +56,8 @@ def mirrored(flip: Column, period: Column, at: Column, length: float) -> Column:
 
 def metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Distance on a small part of the globe. [SFN-07]"""
-    east = (lon2 - lon1) * F.cos(F.radians((lat1 + lat2) / 2)) * EARTH_M_PER_DEGREE
-    return F.hypot(east, (lat2 - lat1) * EARTH_M_PER_DEGREE)
+    east = F.radians(lon2 - lon1) * EARTH_M * F.cos(F.radians((lat1 + lat2) / 2))
+    return F.hypot(east, F.radians(lat2 - lat1) * EARTH_M)
 
 
 def wrapped(degrees: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def iso6709(text: Column) -> tuple[Column, Column]:
     """Latitude and longitude of a position such as +52.0907+005.1214/; null out of range. [SFN-09]"""
-    pattern = r"^([+-]\d+(?:\.\d+)?)([+-]\d+(?:\.\d+)?)"
+    pattern = r"([+-]\d+(?:\.\d+)?)([+-]\d+(?:\.\d+)?)"
     part = lambda k: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).try_cast("double")
     lat, lon = part(1), part(2)
     ok = lat.between(-90, 90) & lon.between(-180, 180)
@@ -28,8 +28,9 @@ def leading_number(text: Column) -> Column:
 
 
 def safe_name(text: Column, most: int = 60) -> Column:
-    """A text as a file name. [SFN-22]"""
-    return F.substring(F.regexp_replace(F.trim(text), r"[^A-Za-z0-9_-]+", "_"), 1, most)
+    """A text as a file name: letters and digits of any script, "_" and "-"; "clip" where nothing is left. [SFN-22]"""
+    name = F.substring(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}_-]+", "_"), r"^_+|_+$", ""), 1, most)
+    return F.coalesce(F.nullif(name, F.lit("")), F.lit("clip"))
 
 
 def clock(seconds: Column) -> Column:

@@ -5,6 +5,8 @@ Each function works on one group's rows in a stated order, so equal input order
 
 from __future__ import annotations
 
+from bisect import insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +16,7 @@ def greedy_pairs(df: DataFrame, keys: list[str], left: str, right: str, score: s
     """One-to-one matching: best score first, each side once. [TOP-06]"""
 
     def match(g: pd.DataFrame) -> pd.DataFrame:
-        g = g[g[score] > least].sort_values([score, left, right], ascending=[False, True, True])
+        g = g[g[score] >= least].sort_values([score, left, right], ascending=[False, True, True])
         a, b, keep = set(), set(), []
         for k, (i, j) in enumerate(zip(g[left], g[right], strict=True)):
             if i not in a and j not in b:
@@ -64,41 +66,46 @@ def farthest(df: DataFrame, keys: list[str], points: list[str], n: int) -> DataF
 
 
 def stations(clips: DataFrame, keys: list[str], east: str, north: str, accuracy: str, time: str, floor_m: float = 6.0, factor: float = 1.5, within_s: float = 1200.0, tie: str | None = None) -> DataFrame:
-    """Positions grouped one after the other, in order of time (then of `tie`), around inverse-variance centroids; a clip without a position joins the group nearest in time. [STA-07, AGG-24]
+    """Positions grouped one after the other, in order of time (then of `tie`), around inverse-variance centroids. [STA-07, AGG-24]
 
-    A clip belongs to the nearest centroid within max(floor_m, factor * hypot of both accuracies).
+    A clip belongs to the nearest centroid within max(floor_m, factor * hypot of its accuracy, two metres at least, ten where unknown, and the
+    median of the group's). A clip without a position joins the group nearest in time, else the only group, else one group of all such clips.
     """
 
     def group(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values([time, tie] if tie else [time], kind="stable", na_position="last")
-        n, w, cx, cy = 0, *(np.empty(len(g)) for _ in range(3))  # of the first n groups: sum of weights, centroid
+        n, w, cx, cy, acc = 0, *(np.empty(len(g)) for _ in range(4))  # of the first n groups: sum of weights, centroid, accuracy
+        members: list[list[float]] = []
         out: list[int | None] = []
         for x, y, a in zip(g[east], g[north], g[accuracy], strict=True):
             if pd.isna(x) or pd.isna(y):
                 out.append(None)
                 continue
-            a = max(float(a) if not pd.isna(a) else 10.0, 1.0)
+            a = max(float(a) if not pd.isna(a) and a else 10.0, 2.0)
             d = np.hypot(x - cx[:n], y - cy[:n])
-            d[d > np.maximum(floor_m, factor * np.hypot(a, w[:n] ** -0.5))] = np.inf
+            d[d > np.maximum(floor_m, factor * np.hypot(a, acc[:n]))] = np.inf
             best = int(d.argmin()) if n else 0
             if not n or d[best] == np.inf:
                 best = n
-                w[n], cx[n], cy[n] = a**-2, x, y
+                w[n], cx[n], cy[n], acc[n] = a**-2, x, y, a
+                members.append([a])
                 n += 1
             else:
                 v = w[best] + a**-2
                 cx[best], cy[best], w[best] = (cx[best] * w[best] + x * a**-2) / v, (cy[best] * w[best] + y * a**-2) / v, v
+                insort(members[best], a)
+                m = members[best]
+                acc[best] = (m[len(m) // 2] + m[(len(m) - 1) // 2]) / 2
             out.append(best)
         t = g[time].to_numpy(float)
-        known = [i for i, k in enumerate(out) if k is not None]
+        known, loose = [i for i, k in enumerate(out) if k is not None], n
         for i, k in enumerate(out):
             if k is None:
                 near = min(known, key=lambda j: abs(t[j] - t[i]), default=None) if not np.isnan(t[i]) else None
                 if near is not None and abs(t[near] - t[i]) <= within_s:
                     out[i] = out[near]
                 else:
-                    out[i] = n
-                    n += 1
+                    out[i] = 0 if loose == 1 else loose
         g["station"] = np.array(out, dtype="int32")
         return g
 

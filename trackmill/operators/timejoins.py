@@ -52,7 +52,7 @@ def bucketed(df: DataFrame, start: Column, end: Column, size: int, name: str = "
 def interval_semi(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[Column, Column], right_time: str, anti: bool = False) -> DataFrame:
     """Left rows for which a right row of the same key lies in their closed span, or none does. [JOI-11, JOI-12]
 
-    By counts: right rows up to the span's end less those before its start, from one ordered pass a key; no pairs.
+    A null key finds nothing, so anti keeps it. By counts: right rows up to the span's end less those before its start, from one ordered pass a key; no pairs.
     """
     a, b = left_span
     marked = left.withColumn("__id", F.struct(*left.columns)).withColumn("__a", a).withColumn("__b", b)
@@ -61,7 +61,7 @@ def interval_semi(left: DataFrame, right: DataFrame, keys: list[str], left_span:
     w = Window.partitionBy(*keys).orderBy("p.t", "p.o").rowsBetween(Window.unboundedPreceding, 0)
     seen = probes.unionByName(points).withColumn("__n", F.sum((F.col("p.o") == 1).cast("long")).over(w)).where("__id is not null")
     hit = seen.groupBy(*keys, "__id").agg((F.max("__n") - F.min("__n")).alias("__hits"))
-    out = marked.join(hit, [*keys, "__id"], "left").where((F.col("__hits") == 0) if anti else (F.col("__hits") > 0))
+    out = marked.join(hit, [*keys, "__id"], "left").where((F.coalesce("__hits", F.lit(0)) == 0) if anti else (F.col("__hits") > 0))
     return out.drop("__id", "__a", "__b", "__hits")
 
 

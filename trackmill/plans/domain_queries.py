@@ -40,10 +40,12 @@ def leading_numbers(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", parsing.leading_number(F.concat(F.substring("c_name", -3, 3), F.lit("a"))).alias("number"))
 
 
-@query("""SELECT p_partkey, left(regexp_replace(trim(p_name || ' / ' || p_brand), '[^A-Za-z0-9_-]+', '_', 'g'), 60) AS name FROM part""", events=False)
+@query("""SELECT p_partkey, coalesce(nullif(left(trim(regexp_replace(CASE p_partkey % 4 WHEN 0 THEN '_é ' || p_name || '!' WHEN 1 THEN '/' ELSE p_name || ' / ' || p_brand END, '[^\\p{L}\\p{N}_-]+', '_', 'g'), '_'), 60), ''), 'clip') AS name FROM part""", events=False)
 def safe_names(spark, sf):
     """Texts as file names. [SFN-22]"""
-    return table(spark, sf, "part").select("p_partkey", parsing.safe_name(F.concat("p_name", F.lit(" / "), "p_brand")).alias("name"))
+    k = F.col("p_partkey") % 4
+    named = F.when(k == 0, F.concat(F.lit("_é "), "p_name", F.lit("!"))).when(k == 1, "/").otherwise(F.concat("p_name", F.lit(" / "), "p_brand"))
+    return table(spark, sf, "part").select("p_partkey", parsing.safe_name(named).alias("name"))
 
 
 @query(""" SELECT event_id, CAST(v // 60 AS VARCHAR) || ':' || lpad(CAST(v % 60 AS VARCHAR), 2, '0') AS clock FROM b""")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmill.functions import geometry
 from trackmill.operators import sequences as s
 
 #: Thresholds of the domain (fixed values): m/s, s, m.
@@ -44,7 +45,7 @@ def heat_map(positions: DataFrame, length: float = 105.0, width: float = 68.0, n
 
 
 def owners(positions: DataFrame, ball: DataFrame, radius: float = RADIUS) -> DataFrame:
-    """Per ball frame the nearest entity within the radius, ties to the first row. [JOI-05]"""
+    """Per ball frame the nearest entity within the radius, ties to the smaller entity. [JOI-05]"""
     p = positions.select("clip_id", "idx", "entity", "team", F.col("x").alias("px"), F.col("y").alias("py"))
     both = ball.where("x is not null").join(p, ["clip_id", "idx"], "left").withColumn("d", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")))
     near = F.min(F.when(F.col("d") <= radius, F.struct("d", "entity", "team")))
@@ -82,13 +83,50 @@ def team_totals(runs: DataFrame, passed: DataFrame, fps: float = 10.0) -> DataFr
     return own.withColumn("share", F.try_divide(100 * F.col("seconds"), whole)).join(acc, "team", "left").withColumn("accuracy", F.try_divide(100 * F.col("ok"), F.col("n"))).drop("ok", "n")
 
 
-def valid_tracks(positions: DataFrame, still: DataFrame, length: float = 105.0, width: float = 68.0, margin: float = 2.0) -> DataFrame:
-    """Tracks that move on the pitch: ten rows, mostly inside, not standing still outside the lines. [AGG-09, FLT-02, FLT-03]"""
+def stillness(rows: DataFrame, min_span: float = 1.5, max_speed: float = 0.15) -> DataFrame:
+    """(clip_id, entity, still): the share of its time that a track stands still before the background. [AGG-10, AGG-11, AGG-32, JOI-06, SFN-02]
+
+    rows: clip_id, entity, t, idx, fx, fy (foot in the image), height, a (array of nine: the frame's camera motion to the reference frame). A row's foot
+    is moved into the image of the first row a second later; speed is in body lengths. Tracks of fewer than 8 rows, 1.5 s or 3 such
+    pairs, and those with a median speed of 0.15 or more, have no share.
+    """
+    keys = ["clip_id", "entity"]
+    at = lambda c: [c[i] for i in range(9)]
+    ahead = F.expr("first(struct(t, fx, fy, a)) OVER (PARTITION BY clip_id, entity ORDER BY t RANGE BETWEEN 1.0D FOLLOWING AND UNBOUNDED FOLLOWING)")
+    r = rows.withColumn("j", ahead)
+    rx, ry, rw = geometry.projected(at(F.col("a")), F.col("fx"), F.col("fy"))
+    px, py, _ = geometry.projected(geometry.adjugate(at(F.col("j.a"))), rx, ry)
+    r = r.withColumn("moved", F.when(F.col("j").isNotNull(), F.hypot(px - F.col("j.fx"), py - F.col("j.fy")) / F.greatest(F.lit(1e-3), F.col("j.t") - F.col("t"))))
+    h = r.groupBy(*keys).agg(F.greatest(F.lit(1.0), F.percentile("height", 0.5)).alias("h"), F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span"))
+    v = r.where("moved is not null").join(h.where((F.col("n") >= 8) & (F.col("span") >= min_span)), keys).withColumn("v", F.col("moved") / F.col("h"))
+    g = v.groupBy(*keys).agg(F.percentile("v", 0.5).alias("m"), F.avg((F.col("v") < 2 * max_speed).cast("int")).alias("still"), F.count("*").alias("pairs"))
+    return g.where((F.col("pairs") >= 3) & (F.col("m") < max_speed)).select(*keys, "still")
+
+
+def valid_tracks(positions: DataFrame, still: DataFrame, length: float = 105.0, width: float = 68.0, margin: float = 1.5, least: int = 10, inside_share: float = 0.6) -> DataFrame:
+    """(clip_id, entity, suspect): players on the pitch, without spectators and people before the camera. [AGG-09, FLT-02, FLT-03]
+
+    positions: clip_id, entity, x, y (null where not calibrated) and, if known, y2 and height (box bottom and image height). Out go tracks of
+    fewer than `least` rows, those with most boxes at the image's bottom edge, those mostly off the pitch, and those that stand still along a
+    touchline (85 % of the time). Clips without calibration have no pitch: who stands still 60 % of the time is out. So are clips whose
+    calibration is suspect: fewer than 35 % of five or more moving tracks are inside.
+    """
+    p = positions if "y2" in positions.columns else positions.withColumn("y2", F.lit(None).cast("double")).withColumn("height", F.lit(None).cast("double"))
     inside = F.col("x").between(-margin, length + margin) & F.col("y").between(-margin, width + margin)
-    a = positions.groupBy("clip_id", "entity").agg(F.count("*").alias("n"), F.avg(inside.cast("int")).alias("inside"), F.percentile("y", 0.5).alias("my"))
+    a = p.groupBy("clip_id", "entity").agg(
+        F.count("*").alias("n"), F.avg(F.coalesce(inside, F.lit(False)).cast("int")).alias("inside"), F.percentile("y", 0.5).alias("my"), F.count("x").alias("known"),
+        F.avg(F.coalesce((F.col("height") > 0) & (F.col("y2") >= 0.99 * F.col("height")), F.lit(False)).cast("int")).alias("edge"),
+    )
     j = a.join(still, ["clip_id", "entity"], "left").fillna(0.0, ["still"])
-    touchline = (F.col("my") < 4) | (F.col("my") > width - 4)
-    return j.where((F.col("n") >= 10) & (F.col("inside") >= 0.6) & ~((F.col("still") >= 0.85) & touchline)).select("clip_id", "entity")
+    moving = (F.col("n") >= 2 * least) & (F.col("still") < 0.5)
+    whole = Window.partitionBy("clip_id")  # one row a track
+    calibrated = F.sum("known").over(whole) > 0
+    share = F.avg(F.when(moving, (F.col("inside") >= inside_share).cast("int"))).over(whole)
+    j = j.withColumn("suspect", calibrated & (F.count_if(moving).over(whole) >= 5) & (share < 0.35)).withColumn("calibrated", calibrated & ~F.coalesce("suspect", F.lit(False)))
+    my = F.coalesce("my", F.lit(0.0))
+    touchline = (my < 4) | (my > width - 4)
+    ok = F.when(F.col("calibrated"), (F.col("inside") >= inside_share) & ~((F.col("still") >= 0.85) & touchline)).otherwise(F.col("still") < 0.6)
+    return j.where((F.col("n") >= least) & (F.col("edge") <= 0.5) & ok).select("clip_id", "entity", F.coalesce("suspect", F.lit(False)).alias("suspect"))
 
 
 def cleaned_ball(ball: DataFrame, length: float = 105.0, width: float = 68.0, limit: float = 40.0) -> DataFrame:

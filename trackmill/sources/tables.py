@@ -31,8 +31,17 @@ def with_motion(frames: DataFrame, motion: DataFrame) -> DataFrame:
     return frames.join(motion, ["clip_id", "idx"], "left").withColumn("h", F.coalesce("h", one))
 
 
-def overwrite(df: DataFrame, root: str, name: str, by: str = "clip_id") -> None:
-    """Replace the partitions that df touches and no others: results of a clip are rewritten whole. [SNK-01, SNK-02, SNK-11, SNK-12]"""
+def overwrite(df: DataFrame, root: str, name: str, by: str = "clip_id", analysed: list | None = None) -> None:
+    """Replace the partitions that df touches and no others: results of a clip are rewritten whole. [SNK-01, SNK-02, SNK-11, SNK-12]
+
+    analysed: the clips whose results df holds; the old rows of one without any result go too.
+    """
+    if analysed:
+        spark = df.sparkSession
+        found = {r[0] for r in df.select(by).where(F.col(by).isin(analysed)).distinct().collect()}  # at most as many as analysed
+        for key in set(analysed) - found:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{by}={key}")
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{root}/{name}")
 
 
