@@ -113,13 +113,14 @@ def continuity(gap: Column, distance: Column) -> Column:
     """How likely a track goes on in one that begins `gap` seconds later `distance` metres away; none when they overlap by over 0.3 s. [SFN-17]"""
     g = F.greatest(gap, F.lit(0.0))
     half = 0.5 * (2.0 + 6.0 * g)
-    return F.when(gap < -0.3, 0.0).otherwise(F.exp(-0.5 * F.pow(F.greatest(F.lit(0.0), distance - half) / half, 2)) * F.exp(-g / 40.0))
+    return F.when(gap < -0.3, 0.0).when(distance.isNotNull(), F.exp(-0.5 * F.pow(F.greatest(F.lit(0.0), distance - half) / half, 2)) * F.exp(-g / 40.0))
 
 
 def link_score(fit: Column, rival: Column, colour: Column, look: Column) -> Column:
     """Score of a track for a player from its fit, a team mate's, shirt distance and likeness to the profile (null: unknown). [SFN-18]"""
     s = (0.3 + 0.7 * fit) * F.when(rival > fit + 0.2, 0.5).otherwise(1.0) * F.coalesce(0.15 + 0.85 * F.exp(-0.5 * F.pow(colour / 12.0, 2)), F.lit(1.0))
-    return F.least(F.lit(1.0), s * F.coalesce(0.5 + F.least(F.lit(1.0), F.greatest(F.lit(0.0), (look + 0.1) / 0.6)), F.lit(1.0)))
+    likeness = F.when(look.isNotNull(), 0.5 + F.least(F.lit(1.0), F.greatest(F.lit(0.0), (look + 0.1) / 0.6))).otherwise(1.0)
+    return F.least(F.lit(1.0), s * likeness)
 
 
 def link_reasons(gap: Column, distance: Column, rival: Column, fit: Column, colour: Column) -> Column:
@@ -166,7 +167,7 @@ def confidence(review: Column, own: Column, own_bad: Column, lines: Column, meth
     proposed = F.when(method == "lines", 75).when(lines & unsure, 80).when(lines, 90).otherwise(70) - F.when(turn > 45, 20).otherwise(0)
     base = F.when(review == "approved", 97).when((own > 0) & (own_bad > 0), 55).when(own > 0, 95).when(turn.isNotNull(), proposed)
     base = F.when(F.coalesce(review.isin("failed", "rejected"), F.lit(False)) | ((own == 0) & turn.isNull()), None).otherwise(base)
-    return F.rint(F.least(F.lit(99.0), F.greatest(F.lit(0.0), base * (0.6 + 0.4 * coverage)))).cast("int")
+    return F.when(base.isNotNull(), F.rint(F.least(F.lit(99.0), F.greatest(F.lit(0.0), base * (0.6 + 0.4 * coverage)))).cast("int"))
 
 
 def better_model(ball: Column, old_ball: Column, person: Column, old_person: Column) -> Column:
