@@ -116,7 +116,7 @@ def test_station_groups_take_every_event(spark, tmp_path):
     for i, ts, user, kind, value in sorted(rows, key=lambda r: (r[1], r[0])):
         groups = found.setdefault((kind, ts.date()), [])
         x, y = round(value * 100) % 500, user % 90
-        near = [(math.hypot(x - gx, y - gy), k) for k, (n, gx, gy) in enumerate(groups) if math.hypot(x - gx, y - gy) <= max(6, 1.5 * math.hypot(5, 5 / n**0.5))]
+        near = [(math.hypot(x - gx, y - gy), k) for k, (n, gx, gy) in enumerate(groups) if math.hypot(x - gx, y - gy) <= max(6, 1.5 * math.hypot(5, 5))]
         if near:
             k = min(near)[1]
             n, gx, gy = groups[k]
