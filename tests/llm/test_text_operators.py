@@ -473,6 +473,24 @@ def test_recurrent_gradients_hold_through_a_window():
             assert (vals[0] - vals[1]) / 2e-5 == pytest.approx(g[name][at], abs=1e-5), name
 
 
+def test_recurrent_words_by_number():
+    import pyarrow as pa
+
+    texts = ["The cat\tTHE  cat", None, "", "é \x0b日本 the", "x" * 70_000 + " " + "x" * 69_999, " end ", "ab ba a b aab aba", "\x1c\x85 \xa0the"]
+    numbers, shapes, ends = recurrent_lm.hashed(pa.array(texts, pa.string()).slice(0))
+    words = [[w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())] + [None] for t in texts]
+    flat = [w for ws in words for w in ws]
+    assert ends.tolist() == np.cumsum([len(ws) for ws in words]).tolist()
+    known = {}
+    for w, n, s in zip(flat, numbers.tolist(), shapes.tolist(), strict=True):
+        assert known.setdefault(w, (n, s)) == (n, s)
+        if w is not None:
+            assert s == recurrent_lm.shape_table()[w[-1]] + (0 if w.isascii() else 32)
+    assert len({n for n, _ in known.values()}) == len(known) and known[None][0] == recurrent_lm.END
+    part = recurrent_lm.hashed(pa.array(texts, pa.string()).slice(3, 2))
+    assert part[0].tolist() == numbers[ends[2] : ends[4]].tolist()
+
+
 def test_recurrent_lanes_equal_documents_one_by_one():
     net, rng = small_network()
     k = len(net.v.words)
@@ -513,7 +531,7 @@ def test_recurrent_vocabulary_grows(spark, monkeypatch):
     assert len(seen[0].words) >= 2048 and seen[0].groups >= 36
     recurrent_lm.scored(df, head=10, classes=2)  # about 11,000 training tokens
     assert len(seen[-1].words) >= 100 and seen[-1].groups >= 5
-    assert recurrent_lm.vocabulary_size(10**10, 2048, 40) == (10**5, 223)
+    assert recurrent_lm.vocabulary_size(10**12, 2048, 40) == (80_000, 200)
 
 
 def test_recurrent_scores(spark, docs):

@@ -1,8 +1,9 @@
 """Scoring documents by a gated recurrent language model with a class-factored softmax, in numpy.
 
 Vocabulary: the most frequent words of the training texts have inputs and outputs of their own: `head`
-words in `classes` classes at least, and as many words as the square root of the training tokens in as many
-classes as the root of half that number, where that is more. All other words share an output class by their
+words in `classes` classes at least, and eight times the cube root of the training tokens in as many
+classes as the root of half that number, where that is more (so that the weights, which are broadcast, stay within
+tens of megabytes at thousands of billions of tokens). All other words share an output class by their
 shape (last byte, ASCII or not; rare shapes share one), and their inputs share hash buckets.
 p(word) = p(class | state) * p(word | class, state) for head words, whose classes hold about equal
 shares of the tokens; and p(class | state) * (c + a) / (sum of c + a of the class) for the others,
@@ -20,7 +21,9 @@ may differ a little; base scores and counts don't.
 
 Words are counted as (word, chunk) rows, a chunk being a run of stored rows of at most `chunk_bytes` of text
 (a longer text is one alone); totals go back to the chunks, and each chunk's texts meet the counts of their
-own words alone. That pass turns documents into codes, which training and scoring read. Broadcast are the weights and the head words, which grow with the square root of the tokens.
+own words alone. That pass turns documents into codes, which training and scoring read. Words are counted by 64-bit numbers, random
+sums over their bytes; two of a billion words share one with a chance of about one in forty. Broadcast are the weights and the
+head words, which grow with the cube root of the tokens.
 
 Defined results: null and empty texts are one end token; a null id counts as the empty text when
 documents are dealt to training; repeated rows train and score each; without training texts all words are unknown
@@ -29,12 +32,10 @@ and scores come from the constants alone; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from ctypes import CDLL
 from heapq import heapreplace
 from math import isqrt
 from os import path
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from trackmill.llm.common import drop_stored, in_bucket, store
 
 ADD = 0.1
-END = b"\n"  # no word holds white space
+END = 0  # the number of the end token
 SHAPES, BUCKETS = 64, 512
 LANES, WINDOW, PORTION, ROWS = 512, 32, 4_000_000, 1024
 _rows = np.arange(ROWS)
@@ -66,25 +67,58 @@ def one_blas_thread() -> None:
 _limited: list[bool] = []
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words, A-Z lower-cased, without the end token."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 def shape_table() -> np.ndarray:
     t = np.full(256, 31)
-    t[ord("a") : ord("z") + 1] = np.arange(26)
+    t[ord("a") : ord("z") + 1] = t[ord("A") : ord("Z") + 1] = np.arange(26)
     t[ord(".")], t[ord(",")], t[ord("!")], t[ord("|")] = 26, 27, 28, 29
     t[ord("0") : ord("9") + 1] = 30
     t[128:] = np.arange(128) % 32  # continuation bytes say what letter a word ends in
     return t
 
 
-_shapes = shape_table().tolist()
-
-
-def shape(word: bytes) -> int:
-    return _shapes[word[-1]] + (0 if word.isascii() else 32)
+_shapes = shape_table()
+_random = np.random.default_rng(20240601)
+#: A random number for each byte (A-Z as a-z) and for each place in a word: a word's number is the sum of their products, mixed.
+_byte, _place = (_random.integers(1, 2**64, n, dtype=np.uint64) | np.uint64(1) for n in (256, 1 << 16))
+_byte[ord("A") : ord("Z") + 1] = _byte[ord("a") : ord("z") + 1]
+_blank = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of texts: 64-bit numbers of the words and of the end after each text, their shapes, and where each text ends."""
+    binary = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    offsets = np.frombuffer(binary.buffers()[1], np.int64, len(binary) + 1, 8 * binary.offset)
+    data = np.frombuffer(binary.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if binary.buffers()[2] else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    numbers, shapes, counts = [], [], []
+    first = 0
+    while first < len(binary):  # about a megabyte at once, or one longer text
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + 1_000_000, side="right")) - 1)
+        b, borders = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        solid = ~_blank[b]
+        begins = solid.copy()
+        begins[1:] &= ~solid[:-1]
+        at = borders[:-1][borders[:-1] < borders[1:]]
+        begins[at] = solid[at]  # a text's first byte begins a word
+        starts, inside = np.flatnonzero(begins), np.flatnonzero(solid)
+        heads = np.searchsorted(inside, starts)
+        sizes = np.diff(np.append(heads, len(inside)))
+        place = np.arange(len(inside)) - np.repeat(heads, sizes)
+        c = b[inside]
+        values = _byte[c] * (_place[place & 0xFFFF] + (place >> 16).astype(np.uint64) * np.uint64(2))
+        h = np.add.reduceat(values, heads) if len(heads) else np.zeros(0, np.uint64)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
+        wide = np.maximum.reduceat(c, heads) >= 128 if len(heads) else np.zeros(0, bool)
+        own = np.searchsorted(starts, borders)
+        ends = own[1:]
+        numbers.append(np.insert(h.view(np.int64), ends, END))
+        shapes.append(np.insert(_shapes[c[heads + sizes - 1]] + 32 * wide, ends, 0).astype(np.uint8))
+        counts.append(np.diff(own) + 1)
+        first = last
+    join = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
+    return join(numbers, np.int64), join(shapes, np.uint8), np.cumsum(join(counts, np.int64))
 
 
 def chunked(docs: DataFrame, most: int) -> DataFrame:
@@ -106,93 +140,77 @@ def chunked(docs: DataFrame, most: int) -> DataFrame:
 
 
 def chunk_words(stamped: DataFrame) -> DataFrame:
-    """(word, chunk, n): the words of each chunk, with n occurrences in its training texts, the end token with them."""
+    """(word, chunk, n, shape): the words of each chunk, with n occurrences in its training texts, the end token with them."""
 
     def rows(batches):
-        def send():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([chunk] * len(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["word", "chunk", "n"])
-
-        chunk, seen = None, Counter()
+        def send(chunk, parts):
+            numbers, shapes, train = (np.concatenate(x) for x in zip(*parts, strict=True))
+            words, first, at = np.unique(numbers, return_index=True, return_inverse=True)
+            n = np.bincount(at, train, len(words)).astype(np.int64)
+            kept = (n > 0) | (words != END)
+            return pa.RecordBatch.from_arrays([pa.array(words[kept]), pa.array(np.full(int(kept.sum()), chunk)), pa.array(n[kept]), pa.array(shapes[first][kept].astype(np.int32))], ["word", "chunk", "n", "shape"])
+
+        chunk, parts = None, []
         for batch in batches:
-            for k, out, x in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                if k != chunk:
-                    if seen:
-                        yield send()
-                    chunk, seen = k, Counter()
-                ws = tokens(x)
-                if out:
-                    for w in ws:
-                        seen.setdefault(w, 0)
-                else:
-                    seen.update(ws)
-                    seen[END] += 1
-        if seen:
-            yield send()
-
-    return stamped.select("chunk", "held_out", "text").mapInArrow(rows, "word binary, chunk bigint, n bigint")
+            if not batch.num_rows:
+                continue
+            chunks, out = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.append(np.flatnonzero(np.diff(chunks, prepend=chunks[0] - 1)), len(chunks))
+            for a, b in zip(cuts, cuts[1:]):
+                if chunks[a] != chunk and parts:
+                    yield send(chunk, parts)
+                    parts = []
+                chunk = chunks[a]
+                numbers, shapes, ends = hashed(batch.column(2).slice(a, b - a))
+                parts.append((numbers, shapes, np.repeat(~out[a:b], np.diff(ends, prepend=0))))
+        if parts:
+            yield send(chunk, parts)
+
+    return stamped.select("chunk", "held_out", "text").mapInArrow(rows, "word bigint, chunk bigint, n bigint, shape int")
 
 
 def totalled(found: DataFrame) -> DataFrame:
-    """(chunk, word, c, first): each row of a trained word with the word's count c in all chunks; first: once a word.
+    """(chunk, word, c, shape, first): each row of a trained word with the word's count c in all chunks; first: once a word.
 
     One ordered pass in whole columns; what is held is one batch and the rows of the word that it ends in, one a chunk.
     """
 
     def rows(batches):
-        def send(words, chunks, n):
-            words, chunks, n = pa.concat_arrays(words), np.concatenate(chunks), np.concatenate(n)
-            starts = np.flatnonzero(np.append(True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)))
+        def send(parts):
+            words, chunks, n, shapes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            starts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
             c = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(n))))
             first = np.zeros(len(n), bool)
             first[starts] = True
-            seen = pa.array(c > 0)
-            return pa.RecordBatch.from_arrays([x.filter(seen) for x in (pa.array(chunks), words, pa.array(c), pa.array(first))], ["chunk", "word", "c", "first"])
+            seen = c > 0
+            return pa.RecordBatch.from_arrays([pa.array(x[seen]) for x in (chunks, words, c, shapes, first)], ["chunk", "word", "c", "shape", "first"])
 
-        held = ([], [], [])
+        held = []
         for batch in batches:
-            words, chunks, n = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            if not len(n):
+            if not batch.num_rows:
                 continue
+            columns = [batch.column(k).to_numpy() for k in range(4)]
             # the last word may go on in the next batch; all before it are complete
-            other = np.flatnonzero(pc.not_equal(words, words[-1]).to_numpy(zero_copy_only=False))
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if held[0] and (cut or held[0][-1][-1] != words[-1]):
-                if cut:
-                    yield send([*held[0], words[:cut]], [*held[1], chunks[:cut]], [*held[2], n[:cut]])
-                else:
-                    yield send(*held)
-                held = ([], [], [])
-            elif cut:
-                yield send([words[:cut]], [chunks[:cut]], [n[:cut]])
-            for x, y in zip(held, (words[cut:], chunks[cut:], n[cut:]), strict=True):
-                x.append(y)
-        if held[0]:
-            yield send(*held)
-
-    return found.repartition("word").sortWithinPartitions("word").mapInArrow(rows, "chunk bigint, word binary, c bigint, first boolean")
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            if cut:
+                yield send([*held, [x[:cut] for x in columns]])
+                held = []
+            elif held and held[-1][0][-1] != columns[0][0]:
+                yield send(held)
+                held = []
+            held.append([x[cut:] for x in columns])
+        if held:
+            yield send(held)
+
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(rows, "chunk bigint, word bigint, c bigint, shape int, first boolean")
 
 
 def vocabulary_size(total: int, head: int, classes: int) -> tuple[int, int]:
     """How many words have outputs of their own after `total` training tokens, and in how many classes; `head` and `classes` at least."""
-    words = max(head, isqrt(total))
+    words = max(head, round(8 * total ** (1 / 3)))
     return words, max(classes, isqrt(words // 2))
 
 
-class Codes(dict):
-    """Codes of words: the head words' places; beyond, k + BUCKETS * shape + a hash bucket. Filled as words come."""
-
-    def __init__(self, at: dict[bytes, int], most: int = 1_000_000):
-        super().__init__(at)
-        self.k, self.head, self.most = len(at), at, most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.most:
-            self.clear()
-            self.update(self.head)
-        code = self[word] = self.k + BUCKETS * shape(word) + crc32(word) % BUCKETS
-        return code
-
-
 class Vocabulary:
     """Head words with their classes, and the mass of each shape class."""
 
@@ -201,6 +219,7 @@ class Vocabulary:
         self.total, self.distinct = total, distinct
         self.words = [w for w, _ in head]
         self.at = {w: i for i, w in enumerate(self.words)}
+        self.counts = np.array([n for _, n in head], np.int64)
         c = np.array([n for _, n in head], float) + ADD
         share = np.cumsum(c) / c.sum() if len(c) else c
         group = np.minimum((share * classes - 1e-9).astype(int), classes - 1)
@@ -213,6 +232,17 @@ class Vocabulary:
         self.mass = np.bincount(self.tail, mass)
         self.prior = np.concatenate([np.bincount(self.group, c, self.groups) if self.groups else np.zeros(0), self.mass])
 
+    def codes_of(self, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+        """Codes of words' numbers: the head words' places; beyond, k + BUCKETS * shape + a hash bucket."""
+        k = len(self.words)
+        rare = k + BUCKETS * shapes.astype(np.int64) + words % BUCKETS
+        if not k:
+            return rare.astype(np.int32)
+        keys = np.array(self.words, np.int64)
+        order = np.argsort(keys)
+        at = order[np.minimum(np.searchsorted(keys[order], words), k - 1)]
+        return np.where(keys[at] == words, at, rare).astype(np.int32)
+
     def inputs_of(self, codes: np.ndarray) -> np.ndarray:
         """Rows of the input table: a head word's own, or its hash bucket's."""
         k = len(self.words)
@@ -526,21 +556,21 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out_of
     picked = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{key}`").alias("key"), out, F.col(f"`{text}`").alias("text"))
     stamped = store(chunked(picked, chunk_bytes), "texts")
     known_words = store(totalled(chunk_words(stamped)), "words")
-    counts = known_words.where("first").select("word", "c")
+    counts = known_words.where("first").select("word", "c", "shape")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head, classes = vocabulary_size(total, head, classes)
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(head).collect()]
+    top = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(head).collect()]
     if END not in dict(top):
         top.append((END, next((r["c"] for r in counts.where(F.col("word") == F.lit(END)).collect()), 0)))
     top.sort(key=lambda x: (-x[1], x[0]))
-    known = {w for w, _ in top}
+    heads = np.sort(np.array([w for w, _ in top], np.int64))
 
     def masses(batches):
         seen = np.zeros(SHAPES)
         for batch in batches:
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if w not in known:
-                    seen[shape(w)] += c + ADD
+            words, c, shapes = (batch.column(k).to_numpy() for k in range(3))
+            rare = heads[np.minimum(np.searchsorted(heads, words), len(heads) - 1)] != words
+            seen += np.bincount(shapes[rare], c[rare] + ADD, SHAPES)
         yield pa.RecordBatch.from_arrays([pa.array(range(SHAPES), pa.int32()), pa.array(seen)], ["k", "m"])
 
     mass = np.full(SHAPES, ADD)
@@ -552,19 +582,19 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out_of
 
     def encode(left: pa.Table, right: pa.Table) -> pa.Table:
         """A chunk's documents as codes, with what the counts alone say of them."""
-        count = dict(zip(right.column("word").to_pylist(), right.column("c").to_pylist(), strict=True))
-        codes, k = Codes(v.at, 1 << 62), len(v.words)
-        places: dict[bytes, int] = {}  # of the chunk's words, in the order they come
-        at, ends = [], [0]
-        for x in left.column("text"):
-            at.extend([places.setdefault(w, len(places)) for w in tokens(x.as_py())])
-            at.append(places.setdefault(END, len(places)))
-            ends.append(len(at))
-        at = np.array(at, np.int32)
-        c = np.array([v.count[w] if w in v.count else count.get(w, 0) for w in places], float)
-        code, log_c = np.array([codes[w] for w in places], np.int32), np.log10(c + ADD)
+        k = len(v.words)
+        numbers, shapes, ends = hashed(left.column("text").combine_chunks())
+        words, first, at = np.unique(numbers, return_index=True, return_inverse=True)
+        listed, c_of = (right.column(x).combine_chunks().to_numpy() for x in ("word", "c"))
+        order = np.argsort(listed)
+        place = order[np.minimum(np.searchsorted(listed[order], words), max(len(listed) - 1, 0))] if len(listed) else np.zeros(len(words), np.int64)
+        c = np.where(listed[place] == words, c_of[place], 0) if len(listed) else np.zeros(len(words), np.int64)
+        code = v.codes_of(words, shapes[first])
         far = code >= k
+        c = np.where(far, c, np.append(v.counts, 0)[np.minimum(code, k)])
+        log_c = np.log10(c + ADD)
         tail = np.where(far, log_c - log_mass[v.tail_of(code)], 0.0)
+        ends = np.append(0, ends)
         known, log_sum, tail_sum = (np.add.reduceat(x[at], ends[:-1]) for x in (np.where(c > 0, 1, 0), log_c, tail))
         n = np.diff(ends)
         flat = code[at].tobytes()
