@@ -97,7 +97,7 @@ def box_at(series: DataFrame, at: DataFrame, max_gap: float = 0.6, near: float =
     after = F.first("s", True).over(Window.partitionBy("clip_id").orderBy("t", F.desc("side")).rowsBetween(0, Window.unboundedFollowing))
     f = both.withColumn("p", before).withColumn("n", after).where("side = 1").select("clip_id", F.col("t").alias("asked"), "p", "n")
     span, w = F.col("n.t") - F.col("p.t"), (F.col("asked") - F.col("p.t")) / F.greatest(F.lit(1e-6), F.col("n.t") - F.col("p.t"))
-    dp, dn = F.coalesce(F.col("asked") - F.col("p.t"), F.lit(9e9)), F.coalesce(F.col("n.t") - F.col("asked"), F.lit(9e9))
+    dp, dn = F.coalesce(F.col("asked") - F.col("p.t"), F.lit(float("inf"))), F.coalesce(F.col("n.t") - F.col("asked"), F.lit(float("inf")))
     near_one = F.when(dp <= dn, F.when(dp <= near, F.col("p"))).when(dn <= near, F.col("n"))
     mixed = F.struct(*[((1 - w) * F.col(f"p.{c}") + w * F.col(f"n.{c}")).alias(c) for c in names])
     box = F.when(span <= max_gap, mixed).otherwise(F.struct(*[near_one[c].alias(c) for c in names]))
