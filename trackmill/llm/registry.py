@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import bpe, jaccard_join, kneser_ney, line_dedup, media, mixing, quality_rules, recurrent_lm, toxicity, url_filters
+from trackmill.llm import bpe, jaccard_join, kneser_ney, line_dedup, media, mixing, quality_rules, recurrent_lm, source_divergence, toxicity, url_filters
 from trackmill.llm.common import table
 
 #: Vocabulary file of the public byte-level tokenizer.
@@ -59,6 +59,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages).select("page_id", *[F.col(f"filter.{c}") for c in names])
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 OP2_SQL = """
 WITH l AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
@@ -120,6 +124,47 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(r.c) AS component_id
 FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, len(sh)
 """
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS u,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), o AS (
+  SELECT lang, source, u, unnest(ts) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS lc FROM o GROUP BY lang, term HAVING count(DISTINCT u) >= 3
+), c AS (
+  SELECT o.lang, o.source, o.term, count(*) AS c FROM o JOIN k ON o.lang = k.lang AND o.term = k.term GROUP BY o.lang, o.source, o.term
+), v AS (
+  SELECT lang, count(*) AS v, sum(lc) AS n FROM k GROUP BY lang
+), n AS (
+  SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source
+), dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+         1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (coalesce(n.n, 0) + v.v) AS p,
+         1 + (1000000000::HUGEINT * (k.lc + 1)) // (v.n + v.v) AS q
+  FROM g JOIN k ON g.lang = k.lang JOIN v ON v.lang = g.lang
+  LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source
+), parts AS (
+  SELECT pairs.lang, pairs.source, 'pair' AS part, pairs.item, coalesce(s.value, 0) AS value
+  FROM pairs LEFT JOIN s ON s.lang = pairs.lang AND s.source = pairs.source AND s.item = pairs.item
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM dense WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def queries() -> dict:
     return {
@@ -133,8 +178,9 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_url_filters": op10_url_filters,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_line_dedup": OP2_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op9_jaccard_join": OP9_SQL, "op13_source_divergence": OP13_SQL}
