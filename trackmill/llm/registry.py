@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import bpe, jaccard_join, kneser_ney, line_dedup, media, mixing, quality_rules, recurrent_lm, source_divergence, toxicity, url_filters
+from trackmill.llm import bpe, jaccard_join, kneser_ney, line_dedup, media, mixing, quality_rules, recurrent_lm, source_divergence, toxicity, url_filters, warc
 from trackmill.llm.common import table
 
 #: Vocabulary file of the public byte-level tokenizer.
@@ -59,6 +59,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages).select("page_id", *[F.col(f"filter.{c}") for c in names])
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -124,6 +128,22 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(r.c) AS component_id
 FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, len(sh)
 """
 
+OP12_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), h AS (
+  SELECT page_id, strlen(html) AS n, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS first FROM p
+), b AS (
+  SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT)) AS parts FROM h
+)
+SELECT page_id, n AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((parts[1 + j // 4] >> (5 * (3 - j % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact
+FROM b
+"""
+
+
 OP13_SQL = r"""
 WITH d AS (
   SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS u,
@@ -178,9 +198,10 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_url_filters": op10_url_filters,
+        "op12_warc": op12_warc,
         "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_line_dedup": OP2_SQL, "op9_jaccard_join": OP9_SQL, "op13_source_divergence": OP13_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op9_jaccard_join": OP9_SQL, "op12_warc": OP12_SQL, "op13_source_divergence": OP13_SQL}
