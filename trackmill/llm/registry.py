@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import bpe, jaccard_join, kneser_ney, line_dedup, media, mixing, quality_rules, recurrent_lm, source_divergence, toxicity, url_filters, warc
+from trackmill.llm import bpe, jaccard_join, kneser_ney, line_dedup, media, mixing, periodic_runs, quality_rules, recurrent_lm, source_divergence, toxicity, url_filters, warc
 from trackmill.llm.common import table
 
 #: Vocabulary file of the public byte-level tokenizer.
@@ -59,6 +59,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages).select("page_id", *[F.col(f"filter.{c}") for c in names])
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -198,6 +202,7 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_url_filters": op10_url_filters,
+        "op11_periodic_runs": op11_periodic_runs,
         "op12_warc": op12_warc,
         "op13_source_divergence": op13_source_divergence,
     }
