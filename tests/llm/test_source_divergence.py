@@ -83,8 +83,9 @@ def test_audit_of_large_counts_is_exact(spark):
         "lang string, source string, term string, c bigint, docs bigint",
     )
     kept = source_divergence.kept_terms(counts, 3)
-    groups = source_divergence.totals(counts, kept)
-    out = {(r["source"], r["item"]): r["value"] for r in source_divergence.pair_part(kept, groups).collect()}
+    by_count = source_divergence.histogram(kept)
+    groups = source_divergence.totals(counts, by_count)
+    out = {(r["source"], r["item"]): r["value"] for r in source_divergence.pair_part(source_divergence.shares(kept, groups), by_count, groups).collect()}
     c = {"a": {"x": 3 * 10**12, "y": 7}, "b": {"x": 1, "y": 10**13}, "c": {"z": 1}, "d": {}}
 
     def p(s, t):

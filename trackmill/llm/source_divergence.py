@@ -27,14 +27,19 @@ each; ties are ranked by the item's UTF-8 bytes; an empty table gives an empty r
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackmill.llm.common import ascii_lower, join_hot, store
+from trackmill.llm.common import drop_stored, join_hot, store
 
-#: What separates terms: ASCII characters that are no letters.
-NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: UTF-8 bytes of terms as they are, A-Z lower-cased, ASCII characters that are no letters blank.
+SPLIT_AND_LOWER = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in (ord(chr(c).lower()) if c < 128 else c for c in range(256)))
 
 
 def whole(c: Column) -> Column:
@@ -53,11 +58,7 @@ def share(count: Column, total: Column, terms: Column) -> Column:
 
 def apart(p: Column, q: Column) -> Column:
     """floor((p - q)^2 / q); the square of two shares fits into a long."""
-    return whole(F.call_function("div", (p - q) * (p - q), q))
-
-
-def terms_of(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(text), NO_TERM), lambda t: t != "")
+    return F.call_function("div", (p - q) * (p - q), q)
 
 
 def collapsed(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -69,16 +70,46 @@ def collapsed(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     return read.groupBy("lang", "h").agg(F.first("text").alias("text")).join(copies.hint("shuffle_merge"), ["lang", "h"]).select("lang", "text", "copies")
 
 
-def occurrences(texts: DataFrame) -> DataFrame:
-    """(lang, source, term, c, docs): how often a source's documents hold a term, and how many do; term is null in a row that names the group."""
-    items = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("docs"))),
-        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("docs"))),
-        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("c"), F.lit(0).alias("docs"))),
-    )
-    held = texts.select("lang", F.explode("copies").alias("copy"), terms_of(F.col("text")).alias("terms"))
-    rows = held.select("lang", "copy.*", F.explode(items).alias("x")).select("lang", "source", "n", "x.*")
-    return rows.groupBy("lang", "source", "term").agg(F.sum(F.col("c") * F.col("n")).alias("c"), F.sum(F.col("docs") * F.col("n")).alias("docs"))
+def occurrences(texts: DataFrame, most_held: int = 400_000) -> DataFrame:
+    """(lang, source, term, c, docs): how often a source's documents hold a term, and how many do; term is null in a row that names the group.
+
+    A worker adds up what it has read and hands it on when it holds `most_held` terms, and at the end.
+    """
+
+    def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times, docs, held = defaultdict(Counter), defaultdict(Counter), 0
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for (lang, source), found in times.items():
+                terms, in_docs = [None, *found], docs[lang, source]
+                same = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(terms), np.int32))) for x in (lang, source)]
+                numbers = [pa.array([0, *found.values()], pa.int64()), pa.array([0, *map(in_docs.__getitem__, found)], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*same, pa.array([None, *found], pa.binary()).cast(pa.string()), *numbers], ["lang", "source", "term", "c", "docs"])
+            times.clear()
+            docs.clear()
+
+        for batch in batches:
+            langs, copies = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for r in range(batch.num_rows):
+                terms = batch.column(1)[r].as_buffer().to_pybytes().translate(SPLIT_AND_LOWER).split()
+                found = Counter(terms) if len(copies[r]) > 1 or copies[r][0]["n"] > 1 else None
+                for copy in copies[r]:
+                    group, n = (langs[r], copy["source"]), copy["n"]
+                    held -= len(times[group])
+                    if found is None:
+                        times[group].update(terms)
+                        docs[group].update(set(terms))
+                    else:
+                        times[group].update({t: n * c for t, c in found.items()})
+                        docs[group].update(dict.fromkeys(found, n))
+                    held += len(times[group])
+                if held >= most_held:
+                    yield from handed_on()
+                    held = 0
+        yield from handed_on()
+
+    rows = texts.select("lang", "text", "copies").mapInArrow(added, "lang string, source string, term string, c bigint, docs bigint")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("docs").alias("docs"))
 
 
 def kept_terms(counts: DataFrame, least_docs: int) -> DataFrame:
@@ -89,44 +120,52 @@ def kept_terms(counts: DataFrame, least_docs: int) -> DataFrame:
     return rows.where(F.col("in_docs") >= least_docs).select("lang", "source", "term", "c", "in_lang", "head")
 
 
-def totals(counts: DataFrame, kept: DataFrame) -> DataFrame:
-    """Each group: (lang, source, total N, terms V of the language, lang_total, n_kept rows)."""
-    found = kept.groupBy("lang", "source").agg(F.sum("c").alias("total"), F.count("*").alias("n_kept"), F.sum("head").alias("heads"))
+def histogram(kept: DataFrame) -> DataFrame:
+    """(lang, source, c, n): how many kept terms a source has c times; heads: of these, the rows that stand for their term."""
+    return kept.groupBy("lang", "source", "c").agg(F.count("*").alias("n"), F.sum("head").alias("heads"))
+
+
+def totals(counts: DataFrame, by_count: DataFrame) -> DataFrame:
+    """Each group: (lang, source, total N, n_kept rows, terms V of the language, lang_total, p0 the share of a term that it lacks; null if V is 0)."""
+    found = by_count.groupBy("lang", "source").agg(F.sum(whole(F.col("c")) * F.col("n")).cast("long").alias("total"), F.sum("n").alias("n_kept"), F.sum("heads").alias("heads"))
     groups = counts.where("term is null").select("lang", "source").join(found, ["lang", "source"], "left").na.fill(0, ["total", "n_kept", "heads"])
     by_lang = Window.partitionBy("lang")
-    return groups.select("lang", "source", "total", "n_kept", F.sum("heads").over(by_lang).alias("terms"), F.sum("total").over(by_lang).alias("lang_total"))
+    groups = groups.select("lang", "source", "total", "n_kept", F.sum("heads").over(by_lang).alias("terms"), F.sum("total").over(by_lang).alias("lang_total"))
+    return groups.withColumn("p0", share(F.lit(0), F.col("total"), F.col("terms")))
 
 
-def term_part(kept: DataFrame, groups: DataFrame, ranks: int) -> DataFrame:
-    """The terms that a source has more of than its language, the most divergent ones."""
+def shares(kept: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, source, term, p, q, p0): each kept term's share in a source that has it, and in the language."""
     rows = join_hot(kept, groups, ["lang", "source"], "n_kept", kept.count())
-    rows = rows.withColumn("p", share(F.col("c"), F.col("total"), F.col("terms"))).withColumn("q", share(F.col("in_lang"), F.col("lang_total"), F.col("terms")))
-    rows = rows.where("c > 0 and p > q").select("lang", "source", F.col("term").alias("item"), apart(F.col("p"), F.col("q")).cast("long").alias("value"))
+    p, q = share(F.col("c"), F.col("total"), F.col("terms")), share(F.col("in_lang"), F.col("lang_total"), F.col("terms"))
+    return rows.select("lang", "source", "term", p.alias("p"), q.alias("q"), "p0")
+
+
+def term_part(rows: DataFrame, ranks: int) -> DataFrame:
+    """The terms that a source has more of than its language, the most divergent ones."""
+    rows = rows.where("p > q").select("lang", "source", F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= ranks).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
 
 
-def pair_part(kept: DataFrame, groups: DataFrame) -> DataFrame:
-    """Every ordered pair of sources of a language and its divergence."""
-    left = groups.select("lang", *[F.col(c).alias(f"{c}_a") for c in ("source", "total")], "terms")
-    right = groups.select("lang", *[F.col(c).alias(f"{c}_b") for c in ("source", "total")])
+def pair_part(rows: DataFrame, by_count: DataFrame, groups: DataFrame) -> DataFrame:
+    """Every ordered pair of sources of a language and its divergence. What is added up is of type long, in two halves, so that no sum overflows."""
+    left = groups.select("lang", *[F.col(c).alias(f"{c}_a") for c in ("source", "total", "p0")], "terms")
+    right = groups.select("lang", *[F.col(c).alias(f"{c}_b") for c in ("source", "total", "p0")])
     pairs = left.join(right, "lang").where("source_a <> source_b")
-    p0 = share(F.lit(0), F.col("total_a"), F.col("terms"))
-    q0 = share(F.lit(0), F.col("total_b"), F.col("terms"))
-    base = pairs.withColumn("part", whole(F.col("terms")) * apart(p0, q0)).na.fill(0, ["part"])
-    by_count = kept.groupBy("lang", "source", "c").agg(F.count("*").alias("n"))
+    p0, q0 = F.col("p0_a"), F.col("p0_b")
+    base = pairs.select("lang", "source_a", "source_b", F.coalesce(whole(F.col("terms")) * whole(apart(p0, q0)), F.lit(0)).alias("part"))
     own = by_count.select("lang", F.col("source").alias("source_a"), "c", "n").join(pairs, ["lang", "source_a"])
-    own = own.withColumn("part", whole(F.col("n")) * (apart(share(F.col("c"), F.col("total_a"), F.col("terms")), q0) - apart(p0, q0)))
+    own = own.withColumn("part", whole(F.col("n")) * whole(apart(share(F.col("c"), F.col("total_a"), F.col("terms")), q0) - apart(p0, q0)))
     other = by_count.select("lang", F.col("source").alias("source_b"), "c", "n").join(pairs, ["lang", "source_b"])
-    other = other.withColumn("part", whole(F.col("n")) * (apart(p0, share(F.col("c"), F.col("total_b"), F.col("terms"))) - apart(p0, q0)))
-    a = kept.select("lang", "term", F.col("source").alias("source_a"), F.col("c").alias("c_a"))
-    b = kept.select("lang", "term", F.col("source").alias("source_b"), F.col("c").alias("c_b"))
-    # Terms of a pair with the same two counts give the same: they are counted first.
-    both = a.join(b, ["lang", "term"]).where("source_a <> source_b").groupBy("lang", "source_a", "source_b", "c_a", "c_b").agg(F.count("*").alias("n"))
-    both = both.join(pairs, ["lang", "source_a", "source_b"])
-    p, q = share(F.col("c_a"), F.col("total_a"), F.col("terms")), share(F.col("c_b"), F.col("total_b"), F.col("terms"))
-    both = both.withColumn("part", whole(F.col("n")) * (apart(p, q) - apart(p, q0) - apart(p0, q) + apart(p0, q0)))
-    names = ("lang", "source_a", "source_b", "part")
+    other = other.withColumn("part", whole(F.col("n")) * whole(apart(p0, share(F.col("c"), F.col("total_b"), F.col("terms"))) - apart(p0, q0)))
+    a, b = (rows.select("lang", "term", *[F.col(c).alias(f"{c}_{x}") for c in ("source", "p", "p0")]) for x in "ab")
+    p, q = F.col("p_a"), F.col("p_b")
+    both = a.join(b, ["lang", "term"]).where("source_a <> source_b")
+    both = both.withColumn("part", apart(p, q) - apart(p, q0) - apart(p0, q) + apart(p0, q0))
+    both = both.groupBy("lang", "source_a", "source_b").agg(F.sum(F.shiftright("part", 24)).alias("high"), F.sum(F.col("part").bitwiseAND(F.lit(2**24 - 1))).alias("low"))
+    both = both.withColumn("part", whole(F.col("high")) * 2**24 + whole(F.col("low")))
+    names = ("lang", "source_a", "source_b", whole(F.col("part")).alias("part"))
     parts = base.select(*names).union(own.select(*names)).union(other.select(*names)).union(both.select(*names))
     sums = parts.groupBy("lang", F.col("source_a").alias("source"), F.col("source_b").alias("item")).agg(F.sum("part").cast("long").alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
@@ -137,5 +176,9 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """(lang, source, part, item, value, rank): part `pair` has each other source of the language, part `term` the source's own terms to `ranks`."""
     counts = store(occurrences(collapsed(docs, text, lang, source)), "occurrences")
     kept = store(kept_terms(counts, least_docs), "kept")
-    groups = store(totals(counts, kept), "groups")
-    return pair_part(kept, groups).union(term_part(kept, groups, ranks))
+    by_count = store(histogram(kept), "histogram")
+    groups = store(totals(counts, by_count), "groups")
+    rows = store(shares(kept, groups), "shares")
+    for used in (counts, kept):
+        drop_stored(docs.sparkSession, used)
+    return pair_part(rows, by_count, groups).union(term_part(rows, ranks))
