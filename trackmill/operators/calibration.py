@@ -553,3 +553,151 @@ def fit_keyframes(keyframes: DataFrame, clicks: str = "clicks", prior: str | Non
     kept = keyframes.drop(result)
     fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema], f"`{result}` {FIT}"])
     return kept.mapInPandas(fitted, fields)
+
+
+def seen_grid(h: np.ndarray, size: np.ndarray, steps: tuple[int, int], margin_m: float, margin: float, pitch: tuple[float, float]) -> Clicks:
+    """A grid of places on and around the pitch as clicks where image-to-pitch matrices show it; those outside the image by more than a margin aren't used."""
+    xs = np.stack(np.meshgrid(np.linspace(-margin_m, pitch[0] + margin_m, steps[0]), np.linspace(-margin_m, pitch[1] + margin_m, steps[1])), -1).reshape(-1, 2)
+    n = len(h)
+    shown, w = through(np.linalg.inv(h), np.broadcast_to(xs, (n, *xs.shape)))
+    inside = ((shown >= -margin * size[:, None]) & (shown <= (1 + margin) * size[:, None])).all(-1) & (w > 1e-9)
+    out = object.__new__(Clicks)
+    out.size, out.use = size, inside
+    out.image = np.where(inside[..., None], shown, 0.0)
+    at = np.broadcast_to(np.concatenate([xs, np.zeros((len(xs), 1))], 1), (n, len(xs), 3))
+    out.world = np.stack([at, at], 2)
+    out.line = out.high = np.zeros((n, len(xs)), bool)
+    out.weight = np.ones((n, len(xs)))
+    return out
+
+
+def grid_distance(camera: np.ndarray, grid: Clicks) -> np.ndarray:
+    """Mean pixels between a grid and where cameras show it."""
+    away = np.hypot(*np.moveaxis(click_errors(camera, grid), -1, 0))
+    return mean_of(np.where(grid.use, away, np.nan))
+
+
+def grid_fit(camera: np.ndarray, grid: Clicks, free: slice) -> np.ndarray:
+    """Cameras moved in the parameters `free` to where they show a grid best."""
+
+    def whole(p: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        c = camera[rows].copy()
+        c[:, free] = p
+        return c
+
+    p = levenberg(lambda p, rows: click_errors(whole(p, rows), grid.picked(rows)).reshape(len(rows), -1) / 10, camera[:, free].copy())
+    return whole(p, np.arange(len(p)))
+
+
+def cameras_behind(h: np.ndarray, size: np.ndarray, pitch: tuple[float, float] = (105.0, 68.0)) -> tuple[np.ndarray, np.ndarray]:
+    """The camera that sees what image-to-pitch matrices show, and its mean error in pixels; nan where there is none.
+
+    The pitch's two axes are seen as vectors of equal length at right angles: that gives the focal length, then the
+    turns and the place in closed form, from which a fit to a grid of visible places starts.
+    """
+    n = len(h)
+    g = np.linalg.inv(h)
+    g = g / np.linalg.norm(g[:, :, 0], axis=1)[:, None, None]
+    moved = g.copy()
+    moved[:, :2] -= size[:, :, None] / 2 * g[:, 2:]
+    a, b = moved[:, :, 0], moved[:, :, 1]
+    with np.errstate(all="ignore"):
+        upright = -(a[:, 0] * b[:, 0] + a[:, 1] * b[:, 1]) / (a[:, 2] * b[:, 2])
+        alike = (a[:, 0] ** 2 + a[:, 1] ** 2 - b[:, 0] ** 2 - b[:, 1] ** 2) / (b[:, 2] ** 2 - a[:, 2] ** 2)
+        focal = np.sqrt(np.where(upright > 0, upright, np.where(alike > 0, alike, np.nan)))
+    wide = size[:, 0]
+    focal = np.where((focal > wide / 8) & (focal < wide * 8), focal, wide / 2 / np.tan(np.radians(57.0 / 2)))
+    rays = moved / np.stack([focal, focal, np.ones(n)], 1)[:, :, None]
+    rays *= (2 / (np.linalg.norm(rays[:, :, 0], axis=1) + np.linalg.norm(rays[:, :, 1], axis=1)))[:, None, None]
+    for _ in range(2):  # the camera stands above the pitch: else all three vectors point the other way
+        axes = np.stack([rays[:, :, 0], rays[:, :, 1], np.cross(rays[:, :, 0], rays[:, :, 1])], 2)
+        place = -(np.swapaxes(axes, 1, 2) @ rays[:, :, 2:])[..., 0]
+        rays = np.where((place[:, 2] > 0)[:, None, None], -rays, rays)
+    ahead = axes[:, 2]
+    tilt = np.arcsin(np.clip(ahead[:, 2] / np.linalg.norm(ahead, axis=1), -1, 1))
+    start = np.stack([place[:, 0], place[:, 1], np.maximum(0.5, -place[:, 2]), np.arctan2(ahead[:, 1], ahead[:, 0]), tilt, np.arctan2(axes[:, 0, 2], axes[:, 1, 2]), np.log(focal)], 1)
+    grid = seen_grid(h, size, (26, 18), 10.0, 0.3, pitch)
+    ok = (grid.use.sum(1) >= 8) & np.isfinite(start).all(1)
+    start = np.where(ok[:, None], start, [0, 0, 1, 0, 0, 0, 7.0])
+    camera = grid_fit(start, grid, slice(0, 7))
+    ok &= np.isfinite(camera).all(1) & (camera[:, 2] > 0)
+    return np.where(ok[:, None], camera, np.nan), np.where(ok, grid_distance(camera, grid), np.nan)
+
+
+def plausible_views(h: np.ndarray, station: np.ndarray, size: np.ndarray, pitch: tuple[float, float] = (105.0, 68.0), most_px: float = 25.0, most_m: float = 5.0, most_up: float = 2.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether image-to-pitch matrices fit a camera at a station's place: (ok, camera, mean pixels).
+
+    The place and height are the station's, directions and zoom are fitted: within most_px, 0.4 to 6 times its zoom, rolled by under 15 degrees. Else a
+    camera that is fitted freely must stand within most_m metres, and most_up in height. A mirrored pitch is no view.
+    """
+    grid = seen_grid(h, size, (24, 17), 5.0, 0.0, pitch)
+    foot, _ = through(h, (size * [0.5, 0.92])[:, None])
+    toward = foot[:, 0] - station[:, :2]
+    yaw = np.where(np.isfinite(toward).all(1), np.arctan2(toward[:, 1], toward[:, 0]), station[:, 3])
+    n, turns = len(h), np.array([0.0, -0.35, 0.35])
+    many = np.repeat(np.arange(n), len(turns))
+    start = station[many].copy()
+    start[:, 3] = yaw[many] + np.tile(turns, n)
+    start[:, 4:6] = 0.0
+    tried = grid_fit(start, grid.picked(many), slice(3, 7))
+    away = np.nan_to_num(grid_distance(tried, grid.picked(many)), nan=np.inf).reshape(n, -1)
+    camera, error = of_best(tried.reshape(n, -1, 7), away), away.min(1)
+    zoom = np.exp(camera[:, 6] - station[:, 6])
+    view = (np.linalg.det(h) > 0) & (grid.use.sum(1) >= 6)
+    ok = view & (error <= most_px) & (zoom >= 0.4) & (zoom <= 6) & (np.abs((camera[:, 5] + np.pi) % (2 * np.pi) - np.pi) < np.radians(15))
+    ask = np.flatnonzero(view & ~ok)
+    if len(ask):
+        other, px = cameras_behind(h[ask], size[ask], pitch)
+        with np.errstate(all="ignore"):
+            fine = (px <= most_px) & (np.hypot(*(other - station[ask])[:, :2].T) <= most_m) & (np.abs(other[:, 2] - station[ask, 2]) <= most_up)
+        camera[ask[fine]], error[ask[fine]], ok[ask[fine]] = other[fine], px[fine], True
+    return ok, np.where(view[:, None], camera, np.nan), np.where(view, error, np.nan)
+
+
+def stacked(column: pd.Series, n: int) -> np.ndarray:
+    """An array column as rows of n numbers; null, short or empty arrays are nan."""
+    return np.array([np.full(n, np.nan) if v is None or len(v) != n else np.asarray(v, float) for v in column]).reshape(len(column), n)
+
+
+def with_struct(df: DataFrame, result: str, kind: str, made: Callable[[pd.DataFrame], list], at_once: int = 256) -> DataFrame:
+    """All rows and columns of df with a struct that `made` gives for portions of rows."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for lo in range(0, len(frame), at_once):
+                g = frame.iloc[lo : lo + at_once].copy()
+                g[result] = made(g)
+                yield g
+
+    kept = df.drop(result)
+    return kept.mapInPandas(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema], f"`{result}` {kind}"]))
+
+
+def inverse_cameras(df: DataFrame, h: str = "h", size: tuple[str, str] = ("width", "height"), result: str = "seen_by", pitch: tuple[float, float] = (105.0, 68.0)) -> DataFrame:
+    """All rows and columns with a struct `result`: the camera (PARAMETERS) behind an image-to-pitch matrix and its mean error in pixels, null where there is none. [STA-11]"""
+
+    def made(g: pd.DataFrame) -> list:
+        k = stacked(g[h], 9).reshape(-1, 3, 3)
+        good = np.isfinite(k).all((1, 2)) & (np.abs(np.nan_to_num(np.linalg.det(np.nan_to_num(k)))) > 1e-300)
+        camera, error = np.full((len(g), 7), np.nan), np.full(len(g), np.nan)
+        if good.any():
+            camera[good], error[good] = cameras_behind(k[good], g[list(size)].to_numpy(float)[good], pitch)
+        return [{"camera": None if np.isnan(c).any() else c.tolist(), "error": None if np.isnan(e) else float(e)} for c, e in zip(camera, error, strict=True)]
+
+    return with_struct(df, result, "struct<camera: array<double>, error: double>", made)
+
+
+def plausible(df: DataFrame, h: str = "h", station: str = "station_camera", size: tuple[str, str] = ("width", "height"), result: str = "view", pitch: tuple[float, float] = (105.0, 68.0)) -> DataFrame:
+    """All rows and columns with a struct `result`: whether a matrix fits a camera at the station's place, that camera, its mean error in pixels. [CAL-07]"""
+
+    def made(g: pd.DataFrame) -> list:
+        k, at = stacked(g[h], 9).reshape(-1, 3, 3), stacked(g[station], 7)
+        good = np.isfinite(k).all((1, 2)) & np.isfinite(at).all(1) & (np.abs(np.nan_to_num(np.linalg.det(np.nan_to_num(k)))) > 1e-300)
+        out = [{"ok": False, "camera": None, "error": None} for _ in range(len(g))]
+        if good.any():
+            rows = np.flatnonzero(good)
+            for r, ok, c, e in zip(rows, *plausible_views(k[good], at[good], g[list(size)].to_numpy(float)[good], pitch), strict=True):
+                out[r] = {"ok": bool(ok), "camera": None if np.isnan(c).any() else c.tolist(), "error": None if not np.isfinite(e) else float(e)}
+        return out
+
+    return with_struct(df, result, "struct<ok: boolean, camera: array<double>, error: double>", made)
