@@ -61,20 +61,21 @@ def default_focal(width: Column) -> Column:
 
 
 def camera_homography(x: Column, y: Column, height: Column, yaw: Column, tilt: Column, roll: Column, log_f: Column, width_px: Column, height_px: Column) -> list[Column]:
-    """Pitch-to-image homography of a camera (metres, radians, log of the focal length), its last element of size one. [SFN-32]"""
-    f = F.exp(F.least(F.greatest(log_f, F.lit(0.0)), F.lit(15.0)))
-    fwd = [F.cos(yaw) * F.cos(tilt), F.sin(yaw) * F.cos(tilt), F.sin(tilt)]
-    n = F.hypot(fwd[0], fwd[1])
-    n = F.when(n == 0, 1.0).otherwise(n)
-    right = [-fwd[1] / n, fwd[0] / n, F.lit(0.0)]
-    down = [fwd[1] * right[2] - fwd[2] * right[1], fwd[2] * right[0] - fwd[0] * right[2], fwd[0] * right[1] - fwd[1] * right[0]]
-    c, s = F.cos(roll), F.sin(roll)
-    right, down = [c * a + s * b for a, b in zip(right, down, strict=True)], [c * b - s * a for a, b in zip(right, down, strict=True)]
-    shift = lambda r: -(r[0] * x + r[1] * y - r[2] * height)
-    rows = [[r[0], r[1], shift(r)] for r in (right, down, fwd)]
-    k = [[f * a + m * b for a, b in zip(row, rows[2], strict=True)] for row, m in ((rows[0], width_px / 2), (rows[1], height_px / 2))] + [rows[2]]
-    size = F.abs(k[2][2])
-    return [v / F.when(size > 1e-12, size).otherwise(1.0) for row in k for v in row]
+    """Pitch-to-image homography of a camera (metres, radians, log of the focal length), its last element of size one. [SFN-32]
+
+    Three turns one after the other take the world's axes (along, across, down) to the camera's (right, down, ahead); the pitch is
+    the plane at the camera's height, seen from the place above (x, y); the lens scales and shifts to pixels.
+    """
+    zero, one = F.lit(0.0), F.lit(1.0)
+    about_down = [-F.sin(yaw), F.cos(yaw), zero, zero, zero, one, F.cos(yaw), F.sin(yaw), zero]
+    about_right = [one, zero, zero, zero, F.cos(tilt), -F.sin(tilt), zero, F.sin(tilt), F.cos(tilt)]
+    about_ahead = [F.cos(roll), F.sin(roll), zero, -F.sin(roll), F.cos(roll), zero, zero, zero, one]
+    plane = [one, zero, -x, zero, one, -y, zero, zero, height]
+    focal = F.exp(F.least(F.greatest(log_f, zero), F.lit(15.0)))
+    lens = [focal, zero, width_px / 2, zero, focal, height_px / 2, zero, zero, one]
+    m = product(lens, product(about_ahead, product(about_right, product(about_down, plane))))
+    size = F.abs(m[8])
+    return [v / F.when(size > 1e-12, size).otherwise(1.0) for v in m]
 
 
 def candidate(x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column, Column]:
@@ -126,10 +127,10 @@ def link_score(fit: Column, rival: Column, colour: Column, look: Column) -> Colu
 def link_reasons(gap: Column, distance: Column, rival: Column, fit: Column, colour: Column) -> Column:
     """The same as text. [SFN-18]"""
     parts = F.array(
-        F.format_string("follows after %.1f s", gap), F.format_string("%.0f m away", distance),
+        F.when(gap.isNotNull(), F.format_string("follows after %.1f s", gap)), F.when(distance.isNotNull(), F.format_string("%.0f m away", distance)),
         F.when(colour < 8, "same shirt").when(colour < 16, "similar shirt").when(colour.isNotNull(), "other shirt?"), F.when(rival > fit + 0.2, "fits a team mate too"),
     )
-    return F.array_join(F.filter(F.transform(parts, lambda x: F.when(~x.contains("null"), x)), lambda x: x.isNotNull()), ", ")
+    return F.array_join(F.array_compact(parts), ", ")
 
 
 def ball_diameter(boxes: Column, y: Column) -> Column:

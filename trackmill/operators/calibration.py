@@ -133,7 +133,7 @@ def prior_errors(camera: np.ndarray, prior: np.ndarray) -> np.ndarray:
 def levenberg(residuals: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, rounds: int = 60, damping: float = 1e-2) -> np.ndarray:
     """Levenberg-Marquardt for many independent problems; residuals(parameters, rows) gives those of the problems `rows`.
 
-    Each problem has its own damping and stops by itself: when no step helps, or when steps are small.
+    Each problem has its own damping and stops by itself: when no step helps, when steps are small or gain a ten-billionth of the cost.
     """
     p = start.copy()
     n, k = p.shape
@@ -154,7 +154,7 @@ def levenberg(residuals: Callable[[np.ndarray, np.ndarray], np.ndarray], start:
         normal, pull = np.nan_to_num(normal), np.nan_to_num(pull)
         diagonal = np.einsum("nkk->nk", normal)
         cost, open_, step = (here**2).sum(1), np.arange(len(live)), np.zeros_like(now)
-        done = np.zeros(len(live), bool)
+        done, gain = np.zeros(len(live), bool), np.zeros(len(live))
         for _ in range(8):
             if not len(open_):
                 break
@@ -167,13 +167,14 @@ def levenberg(residuals: Callable[[np.ndarray, np.ndarray], np.ndarray], start:
                 tried = residuals(now[open_] + step[open_], live[open_])
                 better = np.isfinite(tried).all(1) & ((tried**2).sum(1) < cost[open_])
             won = open_[better]
+            gain[won] = cost[won] - (tried[better] ** 2).sum(1)
             p[live[won]] = now[won] + step[won]
             r[live[won]] = tried[better]
             damp[live[won]] = np.maximum(damp[live[won]] / 3, 1e-7)
             done[won] = True
             open_ = open_[~better]
             damp[live[open_]] *= 4
-        live = live[done & (np.linalg.norm(step, axis=1) >= 1e-9)]
+        live = live[done & (np.linalg.norm(step, axis=1) >= 1e-9) & (gain > 1e-10 * cost)]
     return p
 
 
