@@ -128,12 +128,6 @@ def test_station_groups_take_every_event(spark, tmp_path):
     assert {r["event_id"]: r["station"] for r in domain_queries.station_groups(spark, str(tmp_path)).collect()} == want
 
 
-def test_tracks_survive_a_crossing(spark):
-    rows = [(1, i, 10.0 + 3 * i, 50.0, 30.0 + 3 * i, 100.0) for i in range(30)] + [(1, i, 200.0 - 3 * i, 120.0, 220.0 - 3 * i, 170.0) for i in range(30) if i % 7]
-    out = grouped.tracked(spark.createDataFrame(rows, "clip int, idx int, x1 double, y1 double, x2 double, y2 double"), ["clip"]).collect()
-    assert len({r["track"] for r in out}) == 2 and len({(r["track"], r["y1"]) for r in out}) == 2
-
-
 def test_homography_is_recovered(spark):
     h = np.array([[1.2, 0.1, 5], [0.05, 0.9, -3], [0.0004, 0.0002, 1]])
     rows = []

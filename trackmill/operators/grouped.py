@@ -159,45 +159,3 @@ def homographies(points: DataFrame, keys: list[str]) -> DataFrame:
         return pd.DataFrame([[*[g[k].iloc[0] for k in keys], h.ravel().tolist(), error]], columns=names)
 
     return points.groupBy(*keys).applyInPandas(fit, ", ".join([*[f"{k} {types[k]}" for k in keys], "h array<double>", "error double"]))
-
-
-def tracked(detections: DataFrame, keys: list[str], max_lost: int = 20, min_score: float = 0.1) -> DataFrame:
-    """Tracks over frames: greedy one-to-one matching of boxes by overlap or foot distance, lost ones kept for a while. [STR-02, SFN-05, SFN-06]
-
-    Rows need idx, x1, y1, x2, y2; a track number is added. One group is one clip.
-    """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["idx", "x1", "y1"]).reset_index(drop=True)
-        boxes, track, live, fresh = g[["x1", "y1", "x2", "y2"]].to_numpy(float), np.zeros(len(g), int), {}, 0
-        for idx, rows in g.groupby("idx", sort=True).groups.items():
-            pairs = []
-            for t, (last, b, v) in live.items():
-                ahead = b + np.tile(v * (idx - last), 2)
-                h = ahead[3] - ahead[1]
-                for r in rows:
-                    d = boxes[r]
-                    w, o = min(ahead[2], d[2]) - max(ahead[0], d[0]), min(ahead[3], d[3]) - max(ahead[1], d[1])
-                    both = max(w, 0) * max(o, 0)
-                    iou = both / max(1e-9, (ahead[2] - ahead[0]) * h + (d[2] - d[0]) * (d[3] - d[1]) - both)
-                    foot = np.hypot((ahead[0] + ahead[2] - d[0] - d[2]) / 2, ahead[3] - d[3]) / max(h, 1e-9)
-                    s = max(iou, np.exp(-2 * foot * foot)) * np.exp(-abs(np.log(max(d[3] - d[1], 1e-9) / max(h, 1e-9))))
-                    if s >= min_score:
-                        pairs.append((-s, t, r))
-            used = set()
-            for _, t, r in sorted(pairs):
-                if t in used or r in used or -r - 1 in used:
-                    continue
-                used |= {t, -r - 1}
-                last, b, v = live[t]
-                step = ((boxes[r, :2] + boxes[r, 2:]) - (b[:2] + b[2:])) / 2 / max(1, idx - last)
-                live[t], track[r] = (idx, boxes[r], 0.5 * v + 0.5 * step), t
-            for r in rows:
-                if -r - 1 not in used:
-                    fresh += 1
-                    live[fresh], track[r] = (idx, boxes[r], np.zeros(2)), fresh
-            live = {t: s for t, s in live.items() if idx - s[0] <= max_lost}
-        g["track"] = track.astype("int32")
-        return g
-
-    return detections.groupBy(*keys).applyInPandas(run, ", ".join([*[f"`{c}` {t}" for c, t in detections.dtypes], "track int"]))
