@@ -110,6 +110,20 @@ def plain_dedup(rows, least=50):
     return {rows[a][0]: sorted(x) for a, x in gone.items()}
 
 
+def test_line_ranks_do_not_depend_on_reused_exchanges(spark):
+    rng = random.Random(15)
+    rows = [(i, "\n".join(f"{rng.randint(0, 400)} " + "w " * rng.choice([20, 60]) for _ in range(9))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    found = []
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            found.append({(r["doc_id"], *r["dedup"]["deleted"]) for r in line_dedup.dedup(df).collect()})
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+    assert found[0] == found[1]
+
+
 def test_line_dedup_matches_definition(spark, texts):
     rng = random.Random(5)
     pool = [prose(rng, rng.choice([3, 10, 26, 55])) for _ in range(6)]

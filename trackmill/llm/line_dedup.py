@@ -43,10 +43,13 @@ def lines_of(text: Column) -> Column:
 
 
 def ranked(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """The pairs that occur at least twice, with a `rank` in their order and how often, `count`."""
+    """The pairs that occur at least twice, with a `rank` in their order and how often, `count`.
+
+    Stored, as the bounds of range partitioning are sampled: numbered twice, pairs may get other ranks.
+    """
     often = pairs.groupBy(a, b).count().where("count > 1")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return often.repartitionByRange(n, a, b).sortWithinPartitions(a, b).withColumn("rank", F.monotonically_increasing_id())
+    return store(often.repartitionByRange(n, a, b).sortWithinPartitions(a, b).withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
 def passages(ranks: DataFrame, min_words: int) -> DataFrame:
