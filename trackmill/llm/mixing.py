@@ -7,7 +7,7 @@ a schedule exists, repeats after D slots and keeps each source's blocks less tha
 fluid share at all times. So one period is scheduled, by a fold over its D slots, and every block
 finds its slot by arithmetic: no global sort, no pass over the blocks in sequence.
 
-A source that runs out ends a phase; the others go on with their shares alone, so every document
+A source with a share of 0 comes after all others have run out, with a share of 1. A source that runs out ends a phase; the others go on with their shares alone, so every document
 is placed. In the last period of a phase, which the source that runs out can't fill, its empty slots are skipped.
 
 Defined results: null sources are one source of their own; null ids and repeated rows are placed
@@ -77,6 +77,8 @@ def phases(blocks: list[int], shares: list[int]) -> list[tuple[list[int], list[i
     done, slot, out = [0] * len(blocks), 0, []
     while any(d < b for d, b in zip(done, blocks, strict=True)):
         live = [a if d < b else 0 for a, d, b in zip(shares, done, blocks, strict=True)]
+        if not any(live):
+            live = [int(d < b) for d, b in zip(done, blocks, strict=True)]
         by = gcd(*[a for a in live if a])
         live = [a // by for a in live]
         rounds = min(-(-(b - d) // a) for a, d, b in zip(live, done, blocks, strict=True) if a)
@@ -108,9 +110,13 @@ def many_slots(names: list[str], blocks: list[int], shares: list[int]) -> list[t
     """(source, phase, base, d, at, q, a, first, placed): the slots of all phases that `phases` and `period` give; only streams that go on cost anything in a phase."""
     out: list[tuple] = []
     live, done, slot, p = [i for i, b in enumerate(blocks) if b], [0] * len(blocks), 0, 0
-    while live:
-        by = gcd(*[shares[i] for i in live])
-        own = [shares[i] // by for i in live]
+    waiting = [i for i in live if not shares[i]]
+    live = [i for i in live if shares[i]]
+    while live or waiting:
+        if not live:
+            live, waiting = waiting, []
+        by = gcd(*[shares[i] or 1 for i in live])
+        own = [(shares[i] or 1) // by for i in live]
         rounds = min(-(-(blocks[i] - done[i]) // a) for i, a in zip(live, own, strict=True))
         placed = [min(blocks[i] - done[i], a * rounds) for i, a in zip(live, own, strict=True)]
         d, q = sum(own), [0] * len(live)
@@ -154,6 +160,8 @@ def interleave(docs: DataFrame, key: str = "doc_id", source: str = "source", sha
         return docs.withColumn(result, F.lit(None).cast(empty))
     names = sorted(counted)
     target = shares_of(counted) if shares is None else {s: shares.get(s[1:] if s else None, 1) for s in names}
+    if any(a < 0 for a in target.values()):
+        raise ValueError("a share is 0 at least")
     n_buckets = max(1, sum(counted.values()) // per_bucket)
     # the whole row is hashed, so that rows without a key, or of one key, are spread; equal rows stay together
     order = F.xxhash64(F.lit(seed), F.col(f"`{key}`"), *[F.col(f"`{c}`") for c, t in docs.dtypes if c != key and not t.startswith("map")])
