@@ -213,6 +213,21 @@ def test_mixing_is_the_same_on_either_way(docs):
     assert pick(mixing.interleave(docs, block=4)) == pick(mixing.interleave(docs, block=4, most_streams=1))
 
 
+@pytest.mark.parametrize("most", [32, 1])
+def test_mixing_sources_without_a_share_come_last(spark, most):
+    rows = [(i, f"s{i % 4}") for i in range(203)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string")
+    out = mixing.interleave(df, shares={"s0": 0, "s1": 3, "s2": 1, "s3": 0}, block=5, most_streams=most).select("source", "doc_id", "mix.*").collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(203))
+    order = sorted((r["slot"], r["source"]) for r in out)
+    first = [s for _, s in order]
+    assert set(first[: sum(s in ("s1", "s2") for s in first)]) == {"s1", "s2"}
+    assert {r["source"]: r["stream"] for r in out} == {f"s{k}": f"s{k}" for k in range(4)}
+    assert len(mixing.interleave(df, shares=dict.fromkeys(("s0", "s1", "s2", "s3"), 0), most_streams=most).collect()) == 203
+    with pytest.raises(ValueError):
+        mixing.interleave(df, shares={"s0": -1})
+
+
 def test_mixing_edges(docs):
     out = mixing.interleave(docs)
     assert out.count() == docs.count() and set(out.columns) == {*docs.columns, "mix"}
@@ -598,6 +613,64 @@ def test_url_tree_rejects_a_bad_branch(spark):
 
 
 @pytest.mark.parametrize("sections", [2, 60])
+def plain_templates(rows, z=3.0, strength=5.0):
+    """(host, folded path) -> (template, share), level by level for each host; rows: host, folded path, n, labelled, blocked."""
+    root = (sum(r[4] for r in rows) + 1) / (sum(r[3] for r in rows) + 2)
+    out = {}
+
+    todo = []
+    for host in {r[0] for r in rows}:
+        node = [r for r in rows if r[0] == host]
+        todo.append((node, "", (sum(r[4] for r in node) + strength * root) / (sum(r[3] for r in node) + strength), 0))
+    while todo:
+        node, t, p, k = todo.pop()
+        kids = collections.defaultdict(list)
+        for r in node:
+            s = [x for x in r[1].split("/") if x]
+            kids[s[k] if k < len(s) else ""].append(r)
+        labels = collections.defaultdict(list)
+        ln, lb = sum(r[3] for r in node), sum(r[4] for r in node)
+        for s, own in kids.items():
+            n, b = sum(r[3] for r in own), sum(r[4] for r in own)
+            q = lb / ln if ln else 0
+            apart = 0 < n < ln and abs(b / n - (lb - b) / (ln - n)) > z * (q * (1 - q) * (1 / n + 1 / (ln - n))) ** 0.5
+            wild = s.startswith("{") and not s.startswith("{{")
+            labels["" if s == "" else "*" if wild or not apart else "%2A" if s == "*" else s].extend(own)
+        for label, own in labels.items():
+            below = (sum(r[4] for r in own) + strength * p) / (sum(r[3] for r in own) + strength)
+            if label == "":
+                out.update({(r[0], r[1]): (t, below) for r in own})
+            else:
+                todo.append((own, f"{t}/{label}", below, k + 1))
+    return out
+
+
+def test_url_templates_equal_the_plain_tree(spark):
+    rng = random.Random(21)
+    urls = []
+    for host in ("a.org", "example.org", "x.com", "y.com", "z.net"):
+        for _ in range(160):
+            depth = rng.choice([0, 1, 2, 3, 3, 5, 9])
+            first = rng.choice(["en", "es", "de", "fr", "*", "{odd}", "2020-01-02", "abc7"])
+            urls.append(f"http://{host}/" + "/".join([first, *(rng.choice(["p", "q", "17", "deadbeef99"]) for _ in range(depth))][: depth + 1]))
+    deep = "http://z.net/deep/" + "/".join(str(k) if k % 3 else "seg" for k in range(1000))
+    urls += [deep, deep + "/end", None, "nothing", "http://x.com", "http://x.com//"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    got = [r["filter"] for r in url_filters.judge(df).collect()]
+    folds = spark.createDataFrame([(u,) for u in urls], "url string").select(url_filters.parts(F.col("url")).alias("u"))
+    folds = folds.select("u.host", F.array_join(F.transform(F.filter(F.split("u.path", "/"), lambda x: x != ""), url_filters.lexical), "/").alias("f"), url_filters.rule_of(F.col("u.host"), F.col("u.path")).alias("rule"))
+    counts = collections.Counter()
+    for r in folds.collect():
+        block = dict(url_filters.RULES).get(r["rule"]) == "block"
+        for k, v in (("n", 1), ("l", r["rule"] is not None), ("b", block)):
+            counts[r["host"], r["f"], k] += v
+    keys = {k[:2] for k in counts}
+    want = plain_templates([(h, f, counts[h, f, "n"], counts[h, f, "l"], counts[h, f, "b"]) for h, f in keys])
+    assert collections.Counter((r["host"], r["template"], round(r["purity"], 9)) for r in got) == collections.Counter(
+        (h, want[h, f][0], round(want[h, f][1], 9)) for h, f in keys for _ in range(counts[h, f, "n"])
+    )
+
+
 def test_url_tree_keeps_branches_apart_at_any_width(spark, sections):
     rows = [f"http://shop.com/{s}/{c}" for s in ("de", "fr") for c in "abcdefgh" for _ in range(10 if s == "de" else 4)]
     rows += ["http://shop.com/it/a", *[f"http://shop.com/{chr(97 + k // 26)}{chr(97 + k % 26)}x/a" for k in range(sections)]]

@@ -1,7 +1,8 @@
 """URL filters from a path-template tree, in DataFrame functions only.
 
-The path of a url is a walk down the tree of its host, which is built level by level (a round of
-jobs each) until no path has a further segment. Variable segments (numbers, hexadecimal strings,
+The path of a url is a walk down the tree of its host, which is built in rounds, a branching each, until
+no path has a further segment: what all paths of a node share next, however long, is one step, as an only child is
+always a wildcard and its smoothed share follows in closed form. Variable segments (numbers, hexadecimal strings,
 dates) become wildcards; sibling branches, however many, whose share of blocked urls cannot be told
 apart from that of the others merge into the wildcard branch. Urls that an explicit rule decides are
 the labels. Each node's share of blocked urls is smoothed towards its parent's (the host's towards
@@ -49,12 +50,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def lexical(segment: Column) -> Column:
-    """A segment with its variable part as a wildcard, by its letters alone."""
+    """A segment with its variable part as a wildcard, by its letters alone; a brace at its beginning is doubled."""
     return (
         F.when(segment.rlike(r"(?s)^[0-9]+$"), "{n}")
         .when(segment.rlike(r"(?s)^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$"), "{date}")
         .when(segment.rlike(r"(?s)^(?=.*[0-9])[0-9a-fA-F-]{8,}$"), "{hex}")
-        .otherwise(F.regexp_replace(segment, r"[0-9]+", "{n}"))
+        .otherwise(F.regexp_replace(F.regexp_replace(segment, r"^\{", "{{"), r"[0-9]+", "{n}"))
     )
 
 
@@ -69,7 +70,7 @@ def level(nodes: DataFrame, z: float, rows: int) -> DataFrame:
     deviation = F.abs(F.try_divide(F.col("blocked"), F.col("labelled")) - F.try_divide(rest_b, rest_n))
     error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest_n)))
     apart = (F.col("labelled") > 0) & (rest_n > 0) & (F.col("all_labelled") > 0) & (deviation > z * error)
-    label = F.when(F.col("s") == "", "").when(F.col("s").startswith("{"), "*").when(F.coalesce(apart, F.lit(False)), F.col("s")).otherwise("*")
+    label = F.when(F.col("s") == "", "").when(F.col("s").startswith("{") & ~F.col("s").startswith("{{"), "*").when(F.coalesce(apart, F.lit(False)), F.when(F.col("s") == "*", "%2A").otherwise(F.col("s"))).otherwise("*")
     return both.select(*key, "s", label.alias("label"), "below")
 
 
@@ -95,21 +96,31 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, z: float = 3.0, stren
         F.count("*").alias("n"), F.count("__rule").alias("labelled"), F.sum(F.coalesce(blocked, F.lit(False)).cast("long")).alias("blocked")
     )
     nodes = store(nodes, "paths")
-    total = nodes.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.max(F.size(F.split("f", "/"))).alias("depth"), F.count("*").alias("paths"), F.sum("n").alias("rows")).first()
+    total = nodes.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.count("*").alias("paths"), F.sum("n").alias("rows")).first()
     count = total["paths"]
     root = ((total["b"] or 0) + 1) / ((total["l"] or 0) + 2)
 
-    def smoothed(tree: DataFrame, on: list[str]) -> DataFrame:
-        """p, the share of the node above, replaced by that of the node `on`."""
-        part = tree.groupBy(*on).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.count("*").alias("below"))
-        return join_hot(tree, part, on, "below", count).withColumn("p", (F.col("b") + strength * F.col("p")) / (F.col("l") + strength)).drop("l", "b")
+    steps = F.filter(F.split("f", "/"), lambda x: x != "")
 
-    tree, judged = store(smoothed(nodes.withColumn("t", F.lit("")).withColumn("p", F.lit(root)), ["host"]), "tree"), None
-    for k in range((total["depth"] or 0) + 1):  # one level more than segments: there the longest paths end
-        tree = tree.withColumn("s", F.coalesce(F.get(F.split("f", "/"), F.lit(k)), F.lit("")))
+    def smoothed(tree: DataFrame, on: list[str]) -> DataFrame:
+        """p, the share of the node above, replaced by that of the node `on`; then the node moved down to where its paths part, or the first one ends."""
+        ahead = F.slice(steps, F.col("k") + 1, F.greatest(F.lit(0), F.size(steps) - F.col("k")))
+        part = tree.groupBy(*on).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.count("*").alias("below"), F.min(ahead).alias("lo"), F.max(ahead).alias("hi"))
+        same = F.zip_with("lo", "hi", lambda x, y: x.eqNullSafe(y))
+        shared = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size("lo").cast("long"))  # what all paths between the least and the greatest share
+        found = join_hot(tree, part.select(*on, "l", "b", "below", shared.cast("int").alias("skip")), on, "below", count)
+        here = (F.col("b") + strength * F.col("p")) / (F.col("l") + strength)
+        own = F.try_divide(F.col("b"), F.col("l"))
+        below = F.when((F.col("skip") > 0) & (F.col("l") > 0), own + (here - own) * F.pow(strength / (F.col("l") + strength), F.col("skip"))).otherwise(here)
+        return found.withColumn("p", below).withColumn("t", F.concat("t", F.repeat(F.lit("/*"), F.col("skip")))).withColumn("k", F.col("k") + F.col("skip")).drop("l", "b", "skip")
+
+    tree, judged = nodes.withColumn("t", F.lit("")).withColumn("p", F.lit(root)).withColumn("k", F.lit(0)), None
+    tree = store(smoothed(tree, ["host"]), "tree")
+    while judged is None or not tree.isEmpty():
+        tree = tree.withColumn("s", F.coalesce(F.get(steps, F.col("k")), F.lit("")))
         labels = store(level(tree, z, count), "labels")
         tree = store(join_hot(tree, labels, ["host", "t", "s"], "below", count), "labelled")
-        tree = tree.withColumn("t", F.when(F.col("label") == "", F.col("t")).otherwise(F.concat("t", F.lit("/"), "label")))
+        tree = tree.withColumn("t", F.when(F.col("label") == "", F.col("t")).otherwise(F.concat("t", F.lit("/"), "label"))).withColumn("k", F.col("k") + 1)
         tree = store(smoothed(tree, ["host", "t"]), "tree")
         ends = tree.where("label = ''").select(F.col("host").alias("__host"), F.col("f").alias("__n"), F.col("t").alias("__t"), F.col("p").alias("__p"), F.col("n").alias("__rows"))
         judged = ends if judged is None else judged.union(ends)
