@@ -117,18 +117,29 @@ def continuity(gap: Column, distance: Column) -> Column:
     return F.when(gap < -0.3, 0.0).when(distance.isNotNull(), F.exp(-0.5 * F.pow(F.greatest(F.lit(0.0), distance - half) / half, 2)) * F.exp(-g / 40.0))
 
 
-def link_score(fit: Column, rival: Column, colour: Column, look: Column) -> Column:
-    """Score of a track for a player from its fit, a team mate's, shirt distance and likeness to the profile (null: unknown). [SFN-18]"""
+def continuity_seen(gap: Column, moved: Column, ratio: Column) -> Column:
+    """The same without calibration: `moved` is in body heights, the camera's motion taken out; a sudden change of height (ratio) within 3 s makes it unlikely. [SFN-17]"""
+    g = F.greatest(gap, F.lit(0.0))
+    half = 0.5 * (1.0 + 3.5 * g)
+    other = F.when((g < 3) & ~((ratio > 0.6) & (ratio < 1.6)), 0.3).otherwise(1.0)
+    return F.when(gap < -0.3, 0.0).otherwise(F.exp(-0.5 * F.pow(F.greatest(F.lit(0.0), moved - half) / half, 2)) * other * F.exp(-g / 40.0))
+
+
+def link_score(fit: Column, rival: Column, colour: Column, look: Column, same_number: Column | None = None) -> Column:
+    """Score of a track for a player from its fit, a team mate's, shirt distance, likeness to the profile, and whether it shows the player's number (null: unknown). [SFN-18]"""
     s = (0.3 + 0.7 * fit) * F.when(rival > fit + 0.2, 0.5).otherwise(1.0) * F.coalesce(0.15 + 0.85 * F.exp(-0.5 * F.pow(colour / 12.0, 2)), F.lit(1.0))
     likeness = F.when(look.isNotNull(), 0.5 + F.least(F.lit(1.0), F.greatest(F.lit(0.0), (look + 0.1) / 0.6))).otherwise(1.0)
-    return F.least(F.lit(1.0), s * likeness)
+    number = F.lit(1.0) if same_number is None else F.when(same_number, 1.4).when(~same_number, 0.3).otherwise(1.0)
+    return F.least(F.lit(1.0), s * likeness * number)
 
 
-def link_reasons(gap: Column, distance: Column, rival: Column, fit: Column, colour: Column) -> Column:
+def link_reasons(gap: Column, distance: Column, rival: Column, fit: Column, colour: Column, look: Column | None = None, later: Column | None = None) -> Column:
     """The same as text. [SFN-18]"""
+    when = F.lit("after") if later is None else F.when(later, "after").otherwise("before")
     parts = F.array(
-        F.when(gap.isNotNull(), F.format_string("follows after %.1f s", gap)), F.when(distance.isNotNull(), F.format_string("%.0f m away", distance)),
+        F.when(gap.isNotNull(), F.format_string("follows %s %.1f s", when, gap)), F.when(distance.isNotNull(), F.format_string("%.0f m away", distance)),
         F.when(colour < 8, "same shirt").when(colour < 16, "similar shirt").when(colour.isNotNull(), "other shirt?"), F.when(rival > fit + 0.2, "fits a team mate too"),
+        F.lit(None).cast("string") if look is None else F.when(look >= 0.35, "looks like the profile").when(look < 0.05, "does not look like the profile"),
     )
     return F.array_join(F.array_compact(parts), ", ")
 

@@ -56,12 +56,12 @@ def steps(df: DataFrame, keys: Keys, order: Keys, time: str, values: Keys) -> Da
     return out
 
 
-def fast_runs(df: DataFrame, keys: Keys, order: Keys, time: str, fast: Column, least: int) -> DataFrame:
-    """Runs of fast steps: from the sample before the first to the last one, lasting at least `least`. [WIN-04]"""
+def fast_runs(df: DataFrame, keys: Keys, order: Keys, time: str, fast: Column, least: int, value: str | None = None) -> DataFrame:
+    """Runs of fast steps: from the sample before the first to the last one, lasting at least `least`; with the largest `value` as top. [WIN-04]"""
     w = _w(keys, order)
     marked = df.withColumn("__fast", F.coalesce(fast, F.lit(False))).withColumn("__before", F.lag(time).over(w))
     marked = islands(marked, keys, order, F.col("__fast") != F.lag("__fast").over(w), "run")
-    runs = marked.where("__fast").groupBy(*keys, "run").agg(F.min("__before").alias("t0"), F.max(time).alias("t1"), F.count("*").alias("steps"))
+    runs = marked.where("__fast").groupBy(*keys, "run").agg(F.min("__before").alias("t0"), F.max(time).alias("t1"), F.count("*").alias("steps"), *([F.max(value).alias("top")] if value else []))
     return runs.where(F.col("t1") - F.col("t0") >= least).drop("run")
 
 
@@ -82,13 +82,13 @@ def merged(df: DataFrame, keys: Keys, owner: str, max_gap: int) -> DataFrame:
     return islands(df, keys, ["t0", "tie"], apart, "m").groupBy(*keys, owner, "m").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.min("tie").alias("tie"), F.sum("n").alias("n")).drop("m")
 
 
-def passes(df: DataFrame, keys: Keys, owner: str, team: Column, max_gap: int) -> DataFrame:
-    """From each run to the next, if the owner changes and at most max_gap lies between; ok within a team. [WIN-07]"""
+def passes(df: DataFrame, keys: Keys, owner: str, team: Column, max_gap: int, ends: bool = False) -> DataFrame:
+    """From each run to the next, if the owner changes and at most max_gap lies between; ok within a team. ends: with t_end, where the next run begins. [WIN-07]"""
     w = _w(keys, ["t0", "tie"])
     nxt = df.withColumn("__team", team)
     nxt = nxt.withColumn("to_owner", F.lead(owner).over(w)).withColumn("__to_team", F.lead("__team").over(w)).withColumn("gap", F.lead("t0").over(w) - F.col("t1"))
     kept = nxt.where((F.col("to_owner") != F.col(owner)) & (F.col("gap") <= max_gap))
-    return kept.select(*keys, F.col(owner).alias("from_owner"), "to_owner", F.col("__team").alias("team"), F.col("t1").alias("t"), "tie", (F.col("__team") == F.col("__to_team")).cast("int").alias("ok"))
+    return kept.select(*keys, F.col(owner).alias("from_owner"), "to_owner", F.col("__team").alias("team"), F.col("t1").alias("t"), "tie", (F.col("__team") == F.col("__to_team")).cast("int").alias("ok"), *([(F.col("t1") + F.col("gap")).alias("t_end")] if ends else []))
 
 
 def despiked(df: DataFrame, keys: Keys, order: Keys, time: str, value: str, limit: int, max_dt: int) -> DataFrame:

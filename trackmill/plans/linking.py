@@ -4,26 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.functions import camera, parsing, vectors
-from trackmill.operators import choose
+from trackmill.functions import camera, geometry, parsing, vectors
+from trackmill.operators import accumulate, choose
 
 KEYS = ["clip_id", "track_id"]
 
 
 def summaries(rows: DataFrame) -> DataFrame:
     """Per track (rows: clip_id, track_id, idx, t, x1..y2, x, y): first and last time, frame, foot and place, median heights of its first and last five rows. [AGG-12, WIN-18, AGG-31]"""
-    up, down = Window.partitionBy(*KEYS).orderBy("t", "idx"), Window.partitionBy(*KEYS).orderBy(F.desc("t"), F.desc("idx"))
-    r = rows.withColumn("h", F.col("y2") - F.col("y1")).withColumn("u", F.row_number().over(up)).withColumn("d", F.row_number().over(down))
-    end = F.struct("t", "idx", ((F.col("x1") + F.col("x2")) / 2).alias("fx"), F.col("y2").alias("fy"))
-    place = F.when(F.col("x").isNotNull(), F.struct("x", "y"))
-    return r.groupBy(*KEYS).agg(
-        F.count("*").alias("n"), F.min_by(end, F.struct("t", "idx")).alias("first"), F.max_by(end, F.struct("t", "idx")).alias("last"),
-        F.min_by(place, F.when(place.isNotNull(), F.struct("t", "idx"))).alias("p0"), F.max_by(place, F.when(place.isNotNull(), F.struct("t", "idx"))).alias("p1"),
-        F.percentile(F.when(F.col("u") <= 5, F.col("h")), 0.5).alias("h0"), F.percentile(F.when(F.col("d") <= 5, F.col("h")), 0.5).alias("h1"),
-    )
+    lab = rows if "lab" in rows.columns else rows.withColumn("lab", F.lit(None).cast("array<double>"))
+    return accumulate.finished(accumulate.merged(accumulate.part_states(lab))).select(*KEYS, "n", "first", "last", "p0", "p1", "h0", "h1")
 
 
 def tallest(rows: DataFrame, most: int = 6) -> DataFrame:
@@ -31,32 +24,58 @@ def tallest(rows: DataFrame, most: int = 6) -> DataFrame:
     return choose.top_k(rows.withColumn("h", F.col("y2") - F.col("y1")), KEYS, [F.desc("h"), "idx"], most)
 
 
-def suggestions(summary: DataFrame, tracks: DataFrame, player: int, team: int, most: int = 8) -> DataFrame:
+def suggestions(summary: DataFrame, tracks: DataFrame, player: int, team: int, most: int = 8, number: str | None = None, motion: DataFrame | None = None) -> DataFrame:
     """Unlinked tracks that likely belong to a player too, best first. [QRY-06, STA-06, JOI-13, SFN-17, SFN-18, TOP-03]
 
-    tracks: clip_id, track_id, player_id, team, lab (array of three, or null), with teams already overridden. A track seen
-    together with one of the player's for over 0.3 s is out; its fit is the best continuity with a track of the player's, its
-    rival the best with a team mate's.
+    tracks: clip_id, track_id, player_id, team, lab (array of three, or null), with teams already overridden; if known, look (likeness to the player's profile),
+    jersey_guess and jersey_conf, which count against the player's number. A track seen together with one of the player's for over 0.3 s is out; its fit is the
+    best continuity with a track of the player's (0.3 where the clip has none), its rival the best with a team mate's. Places on the pitch decide where both tracks have one; else the feet
+    in the image, moved by the camera (motion: clip_id, idx, a to the reference frame; without it the camera stands still).
     """
-    s = summary.join(tracks.select(*KEYS, "player_id", "team", "lab"), KEYS)
+    known = [c for c in ("look", "jersey_guess", "jersey_conf") if c in tracks.columns]
+    s = summary.join(tracks.select(*KEYS, "player_id", "team", "lab", *known), KEYS)
+    for c, kind in (("look", "double"), ("jersey_guess", "string"), ("jersey_conf", "double")):
+        s = s if c in known else s.withColumn(c, F.lit(None).cast(kind))
+    if motion is not None:
+        for end in ("first", "last"):
+            m = motion.select("clip_id", F.col("idx").alias("__i"), F.col("a").alias(f"a_{end}"))
+            s = s.withColumn("__i", F.col(f"{end}.idx")).join(m, ["clip_id", "__i"], "left").drop("__i")
+    else:
+        s = s.withColumn("a_first", F.lit(None).cast("array<double>")).withColumn("a_last", F.lit(None).cast("array<double>"))
     free = s.where(F.col("player_id").isNull() & F.col("team").isin(team, -1) & (F.col("n") >= 5))
-    linked = s.where("player_id is not null").select("clip_id", F.col("player_id").alias("o"), F.col("first").alias("of"), F.col("last").alias("ol"), F.col("p0").alias("op0"), F.col("p1").alias("op1"), F.col("lab").alias("olab"), F.col("n").alias("on"))
+    names = ("first", "last", "p0", "p1", "h0", "h1", "a_first", "a_last")
+    linked = s.where("player_id is not null").select("clip_id", F.col("player_id").alias("o"), *[F.col(c).alias(f"o_{c}") for c in names])
     j = free.join(linked, "clip_id")  # a clip's linked tracks are a few dozen
-    ahead, behind = F.col("first.t") - F.col("ol.t"), F.col("of.t") - F.col("last.t")
-    d_ahead, d_behind = F.hypot(F.col("p0.x") - F.col("op1.x"), F.col("p0.y") - F.col("op1.y")), F.hypot(F.col("p1.x") - F.col("op0.x"), F.col("p1.y") - F.col("op0.y"))
-    fit = F.greatest(F.coalesce(camera.continuity(ahead, d_ahead), F.lit(0.0)), F.coalesce(camera.continuity(behind, d_behind), F.lit(0.0)))
-    together = F.least(F.col("last.t"), F.col("ol.t")) - F.greatest(F.col("first.t"), F.col("of.t")) > 0.3
-    after = ahead >= -0.3
+
+    def goes_on(a: str, b: str) -> tuple[Column, Column, Column]:
+        """Continuity, gap and metres of the track with prefix b after that with prefix a."""
+        gap = F.col(f"{b}first.t") - F.col(f"{a}last.t")
+        metres = F.hypot(F.col(f"{b}p0.x") - F.col(f"{a}p1.x"), F.col(f"{b}p0.y") - F.col(f"{a}p1.y"))
+        one = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 0, 1, 0, 0, 0, 1)])
+        m = lambda c: [F.coalesce(F.col(c), one)[i] for i in range(9)]
+        rx, ry, _ = geometry.projected(m(f"{a}a_last"), F.col(f"{a}last.fx"), F.col(f"{a}last.fy"))
+        qx, qy, _ = geometry.projected(geometry.adjugate(m(f"{b}a_first")), rx, ry)
+        tall = F.greatest(F.lit(1.0), 0.5 * (F.col(f"{a}h1") + F.col(f"{b}h0")))
+        moved = F.coalesce(F.hypot(qx - F.col(f"{b}first.fx"), qy - F.col(f"{b}first.fy")) / tall, F.lit(float("inf")))
+        seen = camera.continuity_seen(gap, moved, F.col(f"{b}h0") / F.greatest(F.lit(1.0), F.col(f"{a}h1")))
+        return F.coalesce(camera.continuity(gap, metres), seen), gap, metres
+
+    after, before = goes_on("o_", ""), goes_on("", "o_")
+    fit = F.greatest(F.coalesce(after[0], F.lit(0.0)), F.coalesce(before[0], F.lit(0.0)))
+    together = F.least(F.col("last.t"), F.col("o_last.t")) - F.greatest(F.col("first.t"), F.col("o_first.t")) > 0.3
+    follows = F.coalesce(after[0], F.lit(0.0)) >= F.coalesce(before[0], F.lit(0.0))
     mine = F.col("o") == player
-    own = F.when(mine, F.struct(fit.alias("fit"), F.when(after, ahead).otherwise(behind).alias("gap"), F.when(after, d_ahead).otherwise(d_behind).alias("distance")))
+    pick = lambda k: F.when(fit > 0, F.when(follows, after[k]).otherwise(before[k]))
+    own = F.when(mine, F.struct(fit.alias("fit"), pick(1).alias("gap"), pick(2).alias("distance"), follows.alias("later")))
     g = j.groupBy(*KEYS).agg(F.max(own).alias("own"), F.max(F.when(~mine, fit)).alias("rival"), F.max((mine & together).cast("int")).alias("together"))
-    w = Window.partitionBy(F.lit(1))
     shirt = s.where((F.col("player_id") == player) & F.col("lab").isNotNull()).agg(*[(F.sum(F.col("lab")[i] * F.col("n")) / F.sum("n")).alias(f"c{i}") for i in range(3)])
     out = free.join(g, KEYS, "left").where(F.coalesce("together", F.lit(0)) == 0).join(F.broadcast(shirt))  # one row
     colour = F.sqrt(0.25 * F.pow(F.col("lab")[0] - F.col("c0"), 2) + F.pow(F.col("lab")[1] - F.col("c1"), 2) + F.pow(F.col("lab")[2] - F.col("c2"), 2))
     fitted, rival = F.coalesce("own.fit", F.lit(0.3)), F.coalesce("rival", F.lit(0.0))
-    out = out.withColumn("score", F.round(camera.link_score(fitted, rival, colour, F.lit(None).cast("double")), 3))
-    out = out.withColumn("reason", camera.link_reasons(F.col("own.gap"), F.col("own.distance"), rival, fitted, colour))
+    shown = F.col("jersey_guess").isNotNull() & (F.coalesce("jersey_conf", F.lit(0.0)) >= 0.4)
+    same = F.when(shown, F.col("jersey_guess") == number.strip()) if number and number.strip() else F.lit(None).cast("boolean")
+    out = out.withColumn("score", F.round(camera.link_score(fitted, rival, colour, F.col("look"), same), 3))
+    out = out.withColumn("reason", camera.link_reasons(F.col("own.gap"), F.col("own.distance"), rival, fitted, colour, F.col("look"), F.col("own.later")))
     return out.select(*KEYS, F.round("first.t", 2).alias("t_start"), F.round("last.t", 2).alias("t_end"), "n", "score", "reason").orderBy(F.desc("score"), *KEYS).limit(most)
 
 
@@ -104,17 +123,45 @@ def relabelled(rows: DataFrame, roots: DataFrame, dropped: DataFrame) -> DataFra
     return rows.join(r, KEYS, "left").withColumn("track_id", F.coalesce("root", "track_id")).drop("root").join(dropped.select("clip_id", "idx"), ["clip_id", "idx"], "left_anti")
 
 
-def like_spectators(tracks: DataFrame, chosen: DataFrame, colour: float = 14.0, bodies: float = 1.5, most: int = 20) -> DataFrame:
-    """Tracks like the ones marked as spectators: shirt within 14, place within one and a half body heights, still 40 % of the time, best first. [QRY-13, STA-08]
+def anchored_feet(rows: DataFrame, motion: DataFrame) -> DataFrame:
+    """Rows (clip_id, idx, x1, y1, x2, y2, ...) with `ax`, `ay`: the foot's place in the clip's reference frame, the camera's motion (clip_id, idx, a) taken out; null without it. [QRY-16]"""
+    j = rows.join(motion.select("clip_id", "idx", "a"), ["clip_id", "idx"], "left")
+    fx, fy = geometry.foot(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    ax, ay, _ = geometry.projected([F.col("a")[i] for i in range(9)], fx, fy)
+    return j.withColumn("ax", ax).withColumn("ay", ay).drop("a")
+
+
+def like_spectators(tracks: DataFrame, chosen: DataFrame, colour: float = 14.0, bodies: float = 1.5, metres: float = 4.0, most: int = 40) -> DataFrame:
+    """Tracks of a match like ones marked as spectators, or just beside them: shirt within 14, still 40 % of the time, and at their place, best first. [QRY-13, STA-08]
 
-    Both: clip_id, track_id, lab, ax, ay (foot in the reference frame), h; tracks with `still`.
+    Both: clip_id, track_id, lab, ax, ay (median foot in the reference frame, null: unknown), x, y (median place on the pitch, null: not calibrated); chosen with its median
+    height h; tracks with still, valid (they count in statistics), and if known linked (to a player). Within a clip places are the reference frame's, at most one and a half body
+    heights apart; where that isn't known, and in other clips, they are the pitch's, at most 4 m apart. Each space is cut into cells as large as its reach, so only tracks near a marked one meet it.
     """
-    c = chosen.select("clip_id", F.col("track_id").alias("like"), *[F.col(x).alias(f"c_{x}") for x in ("lab", "ax", "ay")])
-    j = tracks.join(c, "clip_id").where((F.col("track_id") != F.col("like")) & (F.col("still") >= 0.4))  # a few marked tracks a clip
-    lab = lambda i: F.col("lab")[i] - F.col("c_lab")[i]
-    j = j.withColumn("de", F.sqrt(F.pow(0.5 * lab(0), 2) + F.pow(lab(1), 2) + F.pow(lab(2), 2))).withColumn("d", F.hypot(F.col("ax") - F.col("c_ax"), F.col("ay") - F.col("c_ay")) / F.greatest(F.lit(1.0), F.col("h")))
-    near = j.where((F.col("d") <= bodies) & (F.coalesce("de", F.lit(0.0)) <= colour)).withColumn("score", F.col("still") * F.exp(-F.col("d")))
-    return near.groupBy(*KEYS).agg(F.round(F.max("score"), 3).alias("score")).join(chosen.select(*KEYS), KEYS, "left_anti").orderBy(F.desc("score"), *KEYS).limit(most)
+    t = tracks.where(F.col("valid") & (F.col("still") >= 0.4) & F.col("lab").isNotNull())
+    t = t.where("not coalesce(linked, false)") if "linked" in t.columns else t
+    t = t.select(*KEYS, "still", *[F.col(c).alias(f"t_{c}") for c in ("lab", "ax", "ay", "x", "y")])
+    c = chosen.where("lab is not null").select(F.col("clip_id").alias("c_clip"), F.col("track_id").alias("c_track"), F.greatest(F.lit(1.0), "h").alias("h"), *[F.col(x).alias(f"c_{x}") for x in ("lab", "ax", "ay", "x", "y")])
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    cells = lambda v, size: F.transform(around, lambda k: F.floor(v / size) + k)
+    lab = lambda i: F.col("t_lab")[i] - F.col("c_lab")[i]
+    shade = F.sqrt(F.pow(0.5 * lab(0), 2) + F.pow(lab(1), 2) + F.pow(lab(2), 2))
+    # The reference frame's cells have a size for each marked track: its reach. Sizes are rounded up to powers of two, so tracks need few.
+    size = F.pow(2.0, F.ceil(F.log2(bodies * F.col("h"))))
+    marked = c.where("c_ax is not null").withColumn("size", size).withColumn("u", F.explode(cells(F.col("c_ax"), size))).withColumn("v", F.explode(cells(F.col("c_ay"), size)))
+    sizes = marked.select(F.col("c_clip").alias("clip_id"), "size").distinct()
+    inside = t.where("t_ax is not null").join(sizes, "clip_id").withColumn("u", F.floor(F.col("t_ax") / F.col("size"))).withColumn("v", F.floor(F.col("t_ay") / F.col("size")))
+    inside = inside.join(marked.withColumn("clip_id", F.col("c_clip")), ["clip_id", "size", "u", "v"]).withColumn("d", F.hypot(F.col("t_ax") - F.col("c_ax"), F.col("t_ay") - F.col("c_ay")) / F.col("h")).where(F.col("d") <= bodies)
+    placed = c.where("c_x is not null").withColumn("u", F.explode(cells(F.col("c_x"), metres))).withColumn("v", F.explode(cells(F.col("c_y"), metres)))
+    near = t.where("t_x is not null").withColumn("u", F.floor(F.col("t_x") / metres)).withColumn("v", F.floor(F.col("t_y") / metres)).join(placed, ["u", "v"])
+    near = near.withColumn("d", F.hypot(F.col("t_x") - F.col("c_x"), F.col("t_y") - F.col("c_y")) / metres).where(F.col("d") <= 1)
+    near = near.where((F.col("clip_id") != F.col("c_clip")) | F.col("t_ax").isNull() | F.col("c_ax").isNull())
+    here = F.lit("same place in the image")
+    there = F.format_string("%.0f m from the marked place", F.col("d") * metres)
+    both = inside.withColumn("reason", here).select(*KEYS, "still", "t_lab", "c_lab", "d", "reason").union(near.withColumn("reason", there).select(*KEYS, "still", "t_lab", "c_lab", "d", "reason"))
+    found = both.where(shade <= colour).groupBy(*KEYS).agg(F.max(F.struct((F.col("still") * F.exp(-F.col("d"))).alias("score"), "reason")).alias("m"))
+    found = found.join(chosen.select(*KEYS), KEYS, "left_anti").select(*KEYS, F.round("m.score", 3).alias("score"), "m.reason")
+    return found.orderBy(F.desc("score"), *KEYS).limit(most)
 
 
 def aligned_teams(centres: DataFrame, reference: DataFrame, by_clips: bool = True) -> DataFrame:

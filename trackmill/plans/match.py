@@ -60,9 +60,9 @@ def possessions(positions: DataFrame, ball: DataFrame, fps: float = 10.0) -> Dat
     return s.merged(runs, ["clip_id"], "entity", MERGE_GAP).join(teams, ["clip_id", "entity"])
 
 
-def match_passes(runs: DataFrame) -> DataFrame:
+def match_passes(runs: DataFrame, ends: bool = False) -> DataFrame:
     """Passes between runs of teams 0 and 1 at most five seconds apart. [WIN-07]"""
-    return s.passes(runs.where(F.col("team").isin(0, 1)), ["clip_id"], "entity", F.col("team"), PASS_GAP)
+    return s.passes(runs.where(F.col("team").isin(0, 1)), ["clip_id"], "entity", F.col("team"), PASS_GAP, ends)
 
 
 def statistics(positions: DataFrame, ball: DataFrame, fps: float = 10.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BREAK_S = 480.0
+BREAK_S, GUESS_S = 480.0, 300.0
 
 
 def recorded(clips: DataFrame, probes: DataFrame) -> DataFrame:
@@ -35,6 +35,23 @@ def proposed(clips: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     return done.unionByName(rest)
 
 
+def guessed(clips: DataFrame, matches: DataFrame) -> DataFrame:
+    """Per match what its timeline likely is: the clip after its longest pause of five minutes or more (the first of equal ones), the pause in minutes, kick-off times, clips without a
+    time. Times that the match (id, kickoff, kickoff2, half_length, any null) has already stay. [WIN-16, QRY-09]"""
+    w = Window.partitionBy("match_id").orderBy("rec_start", "order_idx", "id")
+    pause = F.col("rec_start") - (F.lag("rec_start").over(w) + F.coalesce(F.lag("duration").over(w), F.lit(0.0)))
+    c = clips.where("rec_start is not null").withColumn("pause", pause)
+    cut = F.when(F.col("pause") >= GUESS_S, F.struct("pause", (-F.col("rec_start")).alias("t"), (-F.col("order_idx")).alias("o"), (-F.col("id")).alias("id")))
+    g = c.groupBy("match_id").agg(F.min("rec_start").alias("first"), F.max(cut).alias("cut"))
+    none = clips.groupBy("match_id").agg(F.count_if(F.col("rec_start").isNull()).alias("without_time"))
+    m = matches.select(F.col("id").alias("match_id"), *[F.col(x).alias(f"m_{x}") for x in ("kickoff", "kickoff2", "half_length")])
+    out = none.join(g, "match_id", "left").join(m, "match_id", "left")
+    return out.select(
+        "match_id", (-F.col("cut.id")).alias("second_clip"), F.rint(F.col("cut.pause") / 60).cast("int").alias("gap_minutes"), F.coalesce("m_kickoff", "first").alias("kickoff"),
+        F.coalesce("m_kickoff2", -F.col("cut.t")).alias("kickoff2"), F.coalesce("m_half_length", F.lit(45)).alias("half_length"), "without_time",
+    )
+
+
 def timed(clips: DataFrame, settings: DataFrame) -> DataFrame:
     """Per clip place, period and start_minute from kick-off times and the clip that begins the second half (settings: match_id, kickoff, kickoff2,
     second_clip, half_length); clips without a time come last and keep theirs. [WIN-16]"""

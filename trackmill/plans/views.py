@@ -53,8 +53,17 @@ def bracketed(frames: DataFrame, keyframes: DataFrame) -> DataFrame:
     return f.where("b is not null or n is not null").select("clip_id", "idx", "t", carried("b", "n").alias("h0"), carried("n", "b").alias("h1"), weight.alias("weight"))
 
 
+def warped(points: DataFrame, motion: DataFrame) -> DataFrame:
+    """Points (clip_id, idx_from, idx_to, x, y, ...) with `wx`, `wy`: where the same place is in the other frame's image, by the camera's motion (clip_id, idx, a). [QRY-15]"""
+    side = lambda k: motion.select("clip_id", F.col("idx").alias(f"idx_{k}"), F.col("a").alias(f"a_{k}"))
+    j = points.join(side("from"), ["clip_id", "idx_from"], "left").join(side("to"), ["clip_id", "idx_to"], "left")
+    m = geometry.product(geometry.adjugate([F.col("a_to")[i] for i in range(9)]), [F.col("a_from")[i] for i in range(9)])
+    wx, wy, _ = geometry.projected(m, F.col("x"), F.col("y"))
+    return j.withColumn("wx", wx).withColumn("wy", wy).drop("a_from", "a_to")
+
+
 def on_pitch(detections: DataFrame, frame_h: DataFrame) -> DataFrame:
-    """Detections with their foot's place on the pitch, from the frame's two matrices; null where both see it behind the camera. [JOI-01, PRJ-01, SFN-04, WIN-19, QRY-16]"""
+    """Detections with their foot's place on the pitch, from the frame's two matrices; null where both see it behind the camera. [JOI-01, PRJ-01, SFN-04, WIN-19]"""
     d = detections.join(frame_h, ["clip_id", "idx"])
     fx, fy = geometry.foot(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     at = lambda h: geometry.projected([F.col(h)[i] for i in range(9)], fx, fy)

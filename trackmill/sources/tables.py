@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trackmill.operators.choose import latest
@@ -34,15 +34,18 @@ def with_motion(frames: DataFrame, motion: DataFrame) -> DataFrame:
 def overwrite(df: DataFrame, root: str, name: str, by: str = "clip_id", analysed: list | None = None) -> None:
     """Replace the partitions that df touches and no others: results of a clip are rewritten whole. [SNK-01, SNK-02, SNK-11, SNK-12]
 
-    analysed: the clips whose results df holds; the old rows of one without any result go too.
+    analysed: the clips whose results df holds; the old rows of one without any result go too, after the others are written. df is evaluated once.
+    Readers may see some clips' new rows before others'; sources.published makes several tables visible at once.
     """
-    if analysed:
-        spark = df.sparkSession
-        found = {r[0] for r in df.select(by).where(F.col(by).isin(analysed)).distinct().collect()}  # at most as many as analysed
-        for key in set(analysed) - found:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{by}={key}")
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{root}/{name}")
+    if not analysed:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{root}/{name}")
+        return
+    spark, seen = df.sparkSession, Observation()
+    watched = df.observe(seen, F.collect_set(F.when(F.col(by).isin(analysed), F.col(by))).alias("found"))  # at most as many as analysed
+    watched.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{root}/{name}")
+    for key in set(analysed) - set(seen.get["found"]):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{by}={key}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def upserted(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
