@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackmill.plans import calibration_queries, domain_queries, join_queries, lookup_queries, series_queries  # noqa: F401  (they register their queries)
+from trackmill.plans import calibration_queries, domain_queries, join_queries, lookup_queries, series_queries, track_queries  # noqa: F401  (they register their queries)
 from trackmill.plans.registry import QUERIES, SQL
 
 

@@ -58,7 +58,7 @@ def clock_texts(spark, sf):
  s AS (SELECT user_id % 2 AS team, sum((c // 65536) * w) AS r, sum((c // 256 % 256) * w) AS g, sum((c % 256) * w) AS bl, sum(w) AS w FROM r GROUP BY 1)
  SELECT team, CAST(r // w AS BIGINT) AS r, CAST(g // w AS BIGINT) AS g, CAST(bl // w AS BIGINT) AS b FROM s""")
 def team_colours(spark, sf):
-    """Weighted mean colour of each team. [AGG-13, AGG-14]"""
+    """Weighted mean colour of each group. [§2.16]"""
     t = events(spark, sf).groupBy("user_id").agg(F.count("*").alias("w")).withColumn("hex", F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.col("user_id") * 9973 % 16777216)), 6, "0")))
     parts = parsing.rgb(F.col("hex"))
     s = t.groupBy((F.col("user_id") % 2).alias("team")).agg(*[F.sum(p.cast("long") * F.col("w")).alias(c) for p, c in zip(parts, "rgb", strict=True)], F.sum("w").alias("w"))
@@ -67,7 +67,7 @@ def team_colours(spark, sf):
 
 @query(""", g AS (SELECT user_id, day, count(*) AS n FROM b GROUP BY ALL) SELECT user_id, count(*) AS days, count(*) FILTER (WHERE n >= 3) AS busy, CAST(sum(n) AS BIGINT) AS total, quantile_cont(n, 0.5) AS median FROM g GROUP BY user_id""")
 def activity_summary(spark, sf):
-    """Counts, conditional counts and medians in two levels. [AGG-09, AGG-15, AGG-22, AGG-28]"""
+    """Counts, conditional counts and medians in two levels. [§2.16]"""
     g = events(spark, sf).groupBy("user_id", "day").agg(F.count("*").alias("n"))
     return g.groupBy("user_id").agg(F.count("*").alias("days"), F.count_if(F.col("n") >= 3).alias("busy"), F.sum("n").alias("total"), F.percentile("n", 0.5).alias("median"))
 
@@ -75,7 +75,7 @@ def activity_summary(spark, sf):
 @query(""", t AS (SELECT user_id, us, lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS nu, v, lead(v) OVER (PARTITION BY user_id ORDER BY us, event_id) AS nv FROM b)
  SELECT user_id, count(*) FILTER (WHERE abs(nv - v) * 3600000000 < 100 * (nu - us)) AS still, count(nu) AS steps FROM t GROUP BY user_id HAVING count(nu) >= 3""")
 def stillness(spark, sf):
-    """Steps slower than a limit among all of a series. [AGG-10, AGG-11]"""
+    """Steps slower than a limit among all of a series. [WIN-03]"""
     d = sequences.steps(events(spark, sf), ["user_id"], ["us", "event_id"], "us", ["v"])
     return d.groupBy("user_id").agg(F.count_if(F.abs("d_v") * 3_600_000_000 < 100 * F.col("dt")).alias("still"), F.count("dt").alias("steps")).where("steps >= 3")
 
@@ -89,7 +89,7 @@ def set_difference(spark, sf):
 
 @query(""", k AS (SELECT user_id, kind, v, event_id, row_number() OVER (PARTITION BY user_id, kind ORDER BY v, event_id) AS r FROM b) SELECT user_id, kind, v, event_id FROM k WHERE r = 1""")
 def best_per_key(spark, sf):
-    """The cheapest row of each key. [SET-05, TOP-13, FLT-16]"""
+    """The cheapest row of each key. [SET-05]"""
     return choose.top_k(events(spark, sf), ["user_id", "kind"], ["v", "event_id"], 1).select("user_id", "kind", "v", "event_id")
 
 
@@ -113,7 +113,7 @@ def kmeans_partition(spark, sf):
 
 @query()
 def stitched_chains(spark, sf):
-    """Intervals of one kind linked to the next within a day, in order of cost. [JOI-19, TOP-07, STR-05]"""
+    """Intervals of one kind linked to the next within a day, in order of cost. [TOP-07]"""
     r = sequences.runs(events(spark, sf), ["user_id"], "us", "event_id", "kind", least=2)
     nxt = r.select("user_id", "kind", F.col("t0").alias("n0"), F.col("tie").alias("b"))
     day = 86_400_000_000
@@ -138,7 +138,7 @@ def station_groups(spark, sf):
 
 @query()
 def similar_pairs(spark, sf):
-    """Each vector's similarity to its label's mean. [SFN-16, STA-08]"""
+    """Each vector's similarity to its label's mean. [SFN-16]"""
     e = table(spark, sf, "embeddings")
     m = vectors.weighted_mean(e, ["label"], "embedding", F.lit(1.0))
     return e.join(F.broadcast(m), "label").select("vec_id", vectors.cosine(F.col("embedding"), F.col("mean")).alias("similarity"))

@@ -73,7 +73,7 @@ def team_override(spark, sf):
 @query("""WITH d AS (SELECT l_orderkey AS clip, l_linenumber AS idx, CAST(l_quantity AS BIGINT) AS x, CAST(l_partkey % 100 AS BIGINT) AS y FROM lineitem), h AS (SELECT o_orderkey AS clip, o_orderkey % 5 + 1 AS a FROM orders)
  SELECT clip, idx, x * a AS px, y * a + 3 AS py, count(*) AS n FROM d JOIN h USING (clip) GROUP BY ALL""", events=False)
 def projected_rows(spark, sf):
-    """Rows joined with their frame's matrix and moved by it. [JOI-01, SFN-01]"""
+    """Rows joined with their group's factor and scaled by it. [§2.16]"""
     d = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("clip"), F.col("l_linenumber").alias("idx"), F.col("l_quantity").cast("long").alias("x"), (F.col("l_partkey") % 100).alias("y"))
     h = table(spark, sf, "orders").select(F.col("o_orderkey").alias("clip"), (F.col("o_orderkey") % 5 + 1).alias("a"))
     return d.join(h, "clip").groupBy("clip", "idx", (F.col("x") * F.col("a")).alias("px"), (F.col("y") * F.col("a") + 3).alias("py")).agg(F.count("*").alias("n"))
