@@ -60,6 +60,17 @@ def default_focal(width: Column) -> Column:
     return width / 2 / tan(radians(FIELD_OF_VIEW / 2))
 
 
+def camera_prior(source: Column, x: Column, y: Column, height: Column, focal: Column, gps_accuracy: Column, width: Column, yaw_degrees: Column) -> Column:
+    """What is known of a clip's camera (struct x, y, height, focal, uncertain, yaw, as fits take it); null without a place or width. [SFN-32]
+
+    A place set by hand or taken from a station is sure to 3 m, another to its accuracy (8 m where unknown) and 3 m more, 4 m at least.
+    """
+    sure = F.when(source.isin("hand", "station"), 3.0).otherwise(F.greatest(F.lit(4.0), F.coalesce(F.nullif(gps_accuracy, F.lit(0.0)), F.lit(8.0)) + 3.0))
+    lens = F.coalesce(F.nullif(focal, F.lit(0.0)), default_focal(width))
+    known = F.struct(x.alias("x"), y.alias("y"), F.coalesce(F.nullif(height, F.lit(0.0)), F.lit(1.6)).alias("height"), lens.alias("focal"), sure.alias("uncertain"), F.radians(yaw_degrees).alias("yaw"))
+    return F.when(x.isNotNull() & y.isNotNull() & (width > 0), known)
+
+
 def camera_homography(x: Column, y: Column, height: Column, yaw: Column, tilt: Column, roll: Column, log_f: Column, width_px: Column, height_px: Column) -> list[Column]:
     """Pitch-to-image homography of a camera (metres, radians, log of the focal length), its last element of size one. [SFN-32]
 

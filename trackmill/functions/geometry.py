@@ -44,6 +44,12 @@ def overlap(a: list[Column], b: list[Column]) -> tuple[Column, Column]:
     return both, area(a) + area(b) - both
 
 
+def overlap_ratio(a: list[Column], b: list[Column]) -> Column:
+    """Intersection of two boxes over their union. [SFN-05]"""
+    both, whole = overlap(a, b)
+    return both / (whole + 1e-9)
+
+
 def foot(x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
     """Bottom centre of a box. [PRJ-01]"""
     return (x1 + x2) / 2, y2

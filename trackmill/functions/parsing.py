@@ -39,6 +39,17 @@ def clock(seconds: Column) -> Column:
     return F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
 
 
+def time_left(seconds: Column) -> Column:
+    """How long something still takes, in words. [SFN-21]"""
+    minutes = F.concat(F.lit("about "), F.rint(seconds / 60).cast("int"), F.lit(" min left"))
+    return F.when(seconds < 90, "less than 2 min left").when(seconds < 3600, minutes).otherwise(F.format_string("about %.1f h left", seconds / 3600))
+
+
+def match_minute(start_minute: Column, t: Column) -> Column:
+    """The minute of a match at a time of its clip. [SFN-21]"""
+    return F.concat(F.floor(F.coalesce(start_minute, F.lit(0)) + t / 60).cast("string"), F.lit("'"))
+
+
 def rgb(hex_colour: Column) -> list[Column]:
     """The three parts of #rrggbb. [AGG-13]"""
     return [F.conv(F.substring(hex_colour, 2 + 2 * k, 2), 16, 10).cast("int") for k in range(3)]

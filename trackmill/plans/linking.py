@@ -184,8 +184,12 @@ def team_centres(tracks: DataFrame, keys: list[str] = ["clip_id"]) -> DataFrame:
 
 
 def teams_by_colour(tracks: DataFrame, seeds: int = 10) -> DataFrame:
-    """A team for each track of a clip from its shirt (lab, n_frames): weighted k-means with up to six centres, the pair of centres with the most players and
-    contrast, refined twice; 0 and 1 the teams, 2 others, -1 unclear. One group is one clip's tracks. [STA-02, STA-01]"""
+    """A team for each track of a clip from its shirt (lab, n_frames): 0 that of the larger centre, 1 the other, 2 others (too far from both teams' colours, and not three times as near to one); -1 without
+    a colour. One group is one clip's tracks. [STA-02, STA-01]
+
+    The teams' colours are those of the tracks that were given a team by hand (manual_team, if known), where both teams have one; else weighted k-means with up to six centres, of which
+    the pair with the most players and contrast; refined twice. Tracks that are `excluded` (they stand still) don't shape the colours, and must fit them better. With fewer than three others, all these are team 0.
+    """
     weight = np.array([0.5, 1.0, 1.0])
 
     def centres(x: np.ndarray, w: np.ndarray, k: int) -> tuple[float, np.ndarray]:
@@ -206,26 +210,41 @@ def teams_by_colour(tracks: DataFrame, seeds: int = 10) -> DataFrame:
             best = min(best, (cost, c), key=lambda b: b[0])
         return best
 
+    def mean(x: np.ndarray, w: np.ndarray, rows: np.ndarray, default: np.ndarray) -> np.ndarray:
+        return np.average(x[rows], axis=0, weights=w[rows]) if rows.any() else default
+
     def assign(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("track_id").copy()
         team = np.full(len(g), -1)
-        rows = np.flatnonzero(g["lab"].notna())
-        if len(rows) >= 2:
-            x, w = np.stack(g["lab"].iloc[rows].to_list()).astype(float) * weight, g["n_frames"].fillna(1).to_numpy(float)[rows].clip(1)
-            c = centres(x, w, min(6, len(rows)))[1]
-            at = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
-            size = np.bincount(at, minlength=len(c))
-            pairs = [(min(size[i], size[j]) * min(1.0, float(np.linalg.norm(c[i] - c[j])) / 30), i, j) for i in range(len(c)) for j in range(i + 1, len(c))]
-            if pairs:
+        at = np.flatnonzero(g["lab"].notna())
+        x = np.array([np.asarray(v, float) for v in g["lab"].iloc[at]]).reshape(-1, 3) * weight
+        w = g["n_frames"].fillna(1).to_numpy(float)[at].clip(1)
+        column = lambda name, default: g[name].iloc[at].to_numpy() if name in g else np.full(len(at), default, object)
+        free = np.array([v is None or pd.isna(v) or not v for v in column("excluded", False)], bool)
+        chosen = np.array([-1 if v is None or pd.isna(v) or v not in (0, 1) else int(v) for v in column("manual_team", None)], int)
+        if free.sum() < 3:
+            team[at] = np.where(free, 0, 2)
+        else:
+            two = None
+            if (chosen == 0).any() and (chosen == 1).any():
+                two = np.stack([mean(x, w, chosen == s, x[0]) for s in (0, 1)])
+            else:
+                c = centres(x[free], w[free], min(6, int(free.sum())))[1]
+                of = ((x[free][:, None] - c[None]) ** 2).sum(2).argmin(1)
+                size = np.bincount(of, weights=w[free], minlength=len(c))
+                pairs = [(min(size[i], size[j]) * min(1.0, float(np.linalg.norm(c[i] - c[j])) / 30), -i, -j) for i in range(len(c)) for j in range(i + 1, len(c))]
                 _, i, j = max(pairs)
-                two = np.stack([c[i], c[j]])
-                for _ in range(3):
-                    d = np.linalg.norm(x[:, None] - two[None], axis=2)
-                    apart = max(1e-9, float(np.linalg.norm(two[0] - two[1])))
-                    side = d.argmin(1)
-                    near = d.min(1) <= 0.4 * apart
-                    two = np.stack([np.average(x[near & (side == s)], axis=0, weights=w[near & (side == s)]) if (near & (side == s)).any() else two[s] for s in (0, 1)])
-                team[rows] = np.where(near, side, np.where(d.min(1) > 0.6 * apart, 2, -1))
+                two = np.stack(sorted((c[-i], c[-j]), key=lambda v: -size[np.flatnonzero((c == v).all(1))[0]]))
+            for _ in range(2):
+                d = np.linalg.norm(x[:, None] - two[None], axis=2)
+                side = np.where(d.min(1) < 0.4 * np.linalg.norm(two[0] - two[1]), d.argmin(1), -1)
+                side = np.where(chosen >= 0, chosen, side)
+                two = np.stack([mean(x, w, free & (side == s), two[s]) for s in (0, 1)])
+            apart = float(np.linalg.norm(two[0] - two[1]))
+            d = np.linalg.norm(x[:, None] - two[None], axis=2)
+            near, far = d.min(1), d.max(1)
+            sure = (near < np.where(free, 0.4, 0.35) * apart) | ((near < 0.45 * apart) & (far > 3 * near))
+            team[at] = np.where(sure, d.argmin(1), 2)
         g["team_auto"] = team.astype("int32")
         return g
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.functions import parsing
-from trackmill.operators import choose
+from trackmill.operators import choose, spatial, timejoins
 from trackmill.plans import shots
+from trackmill.sources import tables
 
 
 def match_list(matches: DataFrame, clips: DataFrame, stored_shots: DataFrame, players: DataFrame) -> DataFrame:
@@ -76,9 +77,36 @@ def training_examples(frames: DataFrame, most_hard: int, most_easy: int) -> Data
 
     frames: clip_id, t, hard. One in seven stretches of ten seconds is held out.
     """
-    w = Window.partitionBy("hard").orderBy(F.xxhash64("clip_id", "t"), "clip_id", "t")
-    k = frames.withColumn("k", F.row_number().over(w)).where(F.when(F.col("hard"), F.col("k") <= most_hard).otherwise(F.col("k") <= most_easy))
-    return k.withColumn("held_out", F.pmod(F.floor(F.col("t") / 10) + F.col("clip_id"), F.lit(7)) == 3).drop("k")
+    # A limit that is a number cuts each task's rows before they meet.
+    some = lambda of, most: choose.top_k(frames.where(of), ["hard"], [F.xxhash64("clip_id", "t"), "clip_id", "t"], most).drop("rank")
+    both = some(F.col("hard"), most_hard).union(some(~F.col("hard"), most_easy))
+    return both.withColumn("held_out", F.pmod(F.floor(F.col("t") / 10) + F.col("clip_id"), F.lit(7)) == 3)
+
+
+def field_examples(frames: DataFrame, keyframes: DataFrame, most: int = 600) -> DataFrame:
+    """Frames (clip_id, idx, t) with a calibration to trust, for the field's training: those nearest to every half second within two seconds of a keyframe set by hand,
+    accepted, or found with a precision of 0.9 or more; over `most`, every n-th. [QRY-14]"""
+    good = F.col("accepted") | ~F.col("auto") | (F.coalesce("precision", F.lit(0.0)) >= 0.9)
+    wanted = keyframes.where(F.coalesce(good, F.lit(False))).select("clip_id", F.explode(F.transform(F.sequence(F.lit(-4), F.lit(4)), lambda k: F.round((F.col("t") + k / 2) * 1_000_000).cast("long"))).alias("us")).distinct()
+    at = frames.select("clip_id", F.round(F.col("t") * 1_000_000).cast("long").alias("us"), (-F.col("idx")).alias("i"))
+    near = timejoins.as_of(wanted, at, ["clip_id"], "us", "i", "nearest", name="frame").where("frame is not null")
+    rows = near.select("clip_id", (-F.col("frame.v")).alias("idx")).distinct().join(frames, ["clip_id", "idx"])
+    per_clip = rows.groupBy("clip_id").agg(F.count("*").alias("n"))
+    first = per_clip.select("clip_id", (F.sum("n").over(Window.orderBy("clip_id")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("all"))  # a row a clip
+    place = F.row_number().over(Window.partitionBy("clip_id").orderBy("idx")) - 1 + F.col("before")
+    step = F.greatest(F.lit(1), F.ceil(F.col("all") / most))
+    return rows.join(first, "clip_id").withColumn("k", place).where(F.col("k") % step == 0).drop("k", "before", "all")
+
+
+def filmed_at(clips: DataFrame) -> DataFrame:
+    """(match_id, lat, lon): the median position of a match's clips; none where no clip has one. [AGG-22]"""
+    return clips.where("gps_lat is not null and gps_lon is not null").groupBy("match_id").agg(F.percentile("gps_lat", 0.5).alias("lat"), F.percentile("gps_lon", 0.5).alias("lon"))
+
+
+def saved_profiles(base: DataFrame, new: DataFrame) -> DataFrame:
+    """Profiles (squad_id, name, match_player_id, emb, n) with `new` ones in place of those of the same squad and name in any case, or, without a squad, of the same match player. [JOI-27, SNK-04]"""
+    key = F.when(F.col("squad_id").isNotNull(), F.concat_ws("/", F.lit("s"), "squad_id", F.lower(F.trim("name")))).otherwise(F.concat_ws("/", F.lit("p"), "match_player_id"))
+    return tables.upserted(base.withColumn("__key", key), new.withColumn("__key", key), ["__key"]).drop("__key")
 
 
 def split_counts(examples: DataFrame) -> DataFrame:
@@ -129,19 +157,10 @@ def anchors(clips: DataFrame, dof: DataFrame) -> DataFrame:
 
 
 def venue_memory(clips: DataFrame, reach: float = 30.0) -> DataFrame:
-    """Clips without a camera place take that of the nearest clip with one, filmed within 30 m (clips: id, gps_lat, gps_lon, cam_x, cam_y, cam_h). [STA-14, JOI-17]
-
-    Candidates share a cell of about 110 m or a neighbouring one.
-    """
-    from trackmill.functions.geometry import metres
-
-    cell = lambda c: F.floor(F.col(c) * 1000)
-    known = clips.where("cam_x is not null and gps_lat is not null").select(F.col("gps_lat").alias("la"), F.col("gps_lon").alias("lo"), F.col("id").alias("from_id"), *[F.col(c).alias(f"k_{c}") for c in ("cam_x", "cam_y", "cam_h")])
-    known = known.withColumn("a", F.explode(F.sequence(cell("la") - 1, cell("la") + 1))).withColumn("b", F.explode(F.sequence(cell("lo") - 1, cell("lo") + 1)))
-    new = clips.where("cam_x is null and gps_lat is not null").withColumn("a", cell("gps_lat")).withColumn("b", cell("gps_lon"))
-    j = new.join(known, ["a", "b"]).withColumn("d", metres(F.col("gps_lat"), F.col("gps_lon"), F.col("la"), F.col("lo"))).where(F.col("d") <= reach)
-    best = F.min(F.struct("d", "from_id", "k_cam_x", "k_cam_y", "k_cam_h"))
-    return j.groupBy("id").agg(best.alias("m")).select("id", "m.from_id", F.col("m.k_cam_x").alias("cam_x"), F.col("m.k_cam_y").alias("cam_y"), F.col("m.k_cam_h").alias("cam_h"), F.round("m.d", 1).alias("metres"))
+    """Clips without a camera place take that of the nearest clip with one, filmed within 30 m (clips: id, gps_lat, gps_lon, cam_x, cam_y, cam_h). [STA-14, JOI-17]"""
+    known = clips.where("cam_x is not null").select(F.col("id").alias("from_id"), "gps_lat", "gps_lon", *[F.col(c) for c in ("cam_x", "cam_y", "cam_h")])
+    near = spatial.nearest_within(clips.where("cam_x is null"), known, reach, "id", "from_id", ("gps_lat", "gps_lon"))
+    return near.join(known, "from_id").select("id", "from_id", "cam_x", "cam_y", "cam_h", F.round("metres", 1).alias("metres"))
 
 
 def shots_overview(ball: DataFrame, possessions: DataFrame, sounds: DataFrame, stored: DataFrame, players: DataFrame, clips: DataFrame) -> dict[str, DataFrame]:

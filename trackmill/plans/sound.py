@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from trackmill.operators import choose, sequences
+from trackmill.operators import choose, sequences, timejoins
 
 RATE = 16_000
 
@@ -48,7 +48,12 @@ def sound_events(f: DataFrame) -> DataFrame:
     """Cheers and whistles: clip_id, kind, t, t_end, score; the strongest of a kind in half a minute. [SFN-28, WIN-12, TOP-05, QRY-08]"""
     t = with_background(f).withColumn("tonal", (F.col("w_frac") > 0.4) & (F.col("w_peak") > 25.0) & (F.col("excess") > -3.0))
     span = lambda mask, bridge: sequences.mask_groups(t, ["clip_id"], "k", mask, bridge).select("clip_id", "first", "last")
-    inside = lambda s: s.join(t, "clip_id").where(F.col("k").between(F.col("first"), F.col("last"))).groupBy("clip_id", "first", "last")
+
+    def inside(spans: DataFrame) -> GroupedData:
+        """Tenths of a second by the span that they are in: of spans, which don't overlap, the last that has begun."""
+        found = timejoins.as_of(t, spans.withColumnRenamed("first", "k"), ["clip_id"], "k", "last", name="span").withColumn("first", F.col("span.t")).withColumn("last", F.col("span.v"))
+        return found.where("k <= last").groupBy("clip_id", F.col("first"), F.col("last"))
+
     dur = (F.col("last") - F.col("first") + 1) / 10
     cheer = inside(span(F.col("excess") > 8.0, 3)).agg(F.avg(F.col("tonal").cast("int")).alias("tonal"), F.avg("bright").alias("bright"), F.avg("low").alias("low"), F.avg("excess").alias("e"))
     cheer = cheer.where((dur >= 1.5) & (F.col("tonal") <= 0.5) & (F.col("bright") >= 0.12) & (F.col("low") <= 0.6)).withColumn("score", F.round(F.col("e") * F.sqrt(F.least(dur, F.lit(6.0))), 1))

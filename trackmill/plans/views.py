@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.functions import geometry
+from trackmill.operators import timejoins
 
 
 def between(df: DataFrame, t0: float, t1: float, time: str = "t") -> DataFrame:
@@ -134,10 +135,10 @@ def ball_path(frames: DataFrame, ball: DataFrame, manual: DataFrame, reach: floa
     Ball and manual places are in metres or pixels alike. A manual row counts for the nearest frame within 0.08 s; one without a
     place says that there is no ball, so nothing is filled in there.
     """
-    at = manual.select("clip_id", "t", F.struct("x", "y").alias("m"))
-    near = at.join(frames.select("clip_id", "idx", F.col("t").alias("ft")), "clip_id").where(F.abs(F.col("ft") - F.col("t")) <= reach)  # a few frames a manual row
-    near = near.groupBy("clip_id", "t").agg(F.min_by("idx", F.struct(F.abs(F.col("ft") - F.col("t")), "idx")).alias("idx"), F.first("m").alias("m"))
-    by_hand = near.groupBy("clip_id", "idx").agg(F.max_by("m", "t").alias("m"))
+    us = F.round(F.col("t") * 1_000_000).cast("long").alias("us")
+    at = manual.select("clip_id", "t", us, F.struct("x", "y").alias("m"))
+    near = timejoins.as_of(at, frames.select("clip_id", us, (-F.col("idx")).alias("i")), ["clip_id"], "us", "i", "nearest", round(reach * 1_000_000), "frame")
+    by_hand = near.where("frame is not null").groupBy("clip_id", (-F.col("frame.v")).alias("idx")).agg(F.max_by("m", "t").alias("m"))
     found = ball.groupBy("clip_id", "idx").agg(F.max_by(F.struct("x", "y"), F.struct("conf", "x")).alias("f"))
     rows = frames.join(found, ["clip_id", "idx"], "left").join(by_hand, ["clip_id", "idx"], "left")
     hand = F.col("m").isNotNull()
