@@ -63,6 +63,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def text_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7_quality_rules counts, without the verdict of its model."""
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return op7_quality_rules(spark, sf_dir).select("doc_id", *names)
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10_url_filters reads from urls and explicit rules, without the verdict of its tree."""
+    return op10_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -109,6 +120,39 @@ FROM documents d LEFT JOIN rest USING (doc_id)
 """
 
 
+COUNTS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM d, unnest(range(1, greatest(1, len(ws) - 6))) AS t(i)
+), twice AS (
+  SELECT doc_id, k FROM win GROUP BY doc_id, k HAVING count(*) > 1
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT win.doc_id, unnest(range(i, i + 8)) AS p FROM win JOIN twice ON win.doc_id = twice.doc_id AND win.k = twice.k) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), c AS (
+  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN hit ON hit.doc_id = d.doc_id
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c
+"""
+
+
+RULES_SQL = """
+WITH r(rule) AS (VALUES ('org/'), ('example.org/es/'), ('example.org/en/1'), ('com/fr/'), ('com/de/')
+), u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u
+), f AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule FROM p JOIN r ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY page_id
+)
+SELECT p.page_id, host, path, f.rule FROM p LEFT JOIN f ON f.page_id = p.page_id
+"""
+
+
 OP9_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
@@ -202,6 +246,8 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_url_filters": op10_url_filters,
+        "text_quality_counts": text_quality_counts,
+        "url_rules": url_rules,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_warc": op12_warc,
         "op13_source_divergence": op13_source_divergence,
@@ -209,4 +255,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_line_dedup": OP2_SQL, "op9_jaccard_join": OP9_SQL, "op12_warc": OP12_SQL, "op13_source_divergence": OP13_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op9_jaccard_join": OP9_SQL, "op12_warc": OP12_SQL, "text_quality_counts": COUNTS_SQL, "url_rules": RULES_SQL, "op13_source_divergence": OP13_SQL}
