@@ -73,7 +73,8 @@ def collapsed(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
 def occurrences(texts: DataFrame, most_held: int = 400_000) -> DataFrame:
     """(lang, source, term, c, docs): how often a source's documents hold a term, and how many do; term is null in a row that names the group.
 
-    A worker adds up what it has read and hands it on when it holds `most_held` terms, and at the end.
+    A worker adds up what it has read and hands it on when it holds `most_held` terms, and at the end. The result is partitioned by (lang, term), for
+    all that follows: a key gets a row for each source and hand-over at most.
     """
 
     def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,15 +110,15 @@ def occurrences(texts: DataFrame, most_held: int = 400_000) -> DataFrame:
         yield from handed_on()
 
     rows = texts.select("lang", "text", "copies").mapInArrow(added, "lang string, source string, term string, c bigint, docs bigint")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("docs").alias("docs"))
+    return rows.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("docs").alias("docs"))
 
 
 def kept_terms(counts: DataFrame, least_docs: int) -> DataFrame:
-    """Rows of terms that enough documents of the language hold, with the language's count; `head` is 1 in one row a term."""
+    """Rows of terms that enough documents of the language hold, with the language's count, and the rows that name groups; `head` is 1 in one row a term."""
     whole_lang = Window.partitionBy("lang", "term")
-    rows = counts.where("term is not null").withColumn("in_docs", F.sum("docs").over(whole_lang)).withColumn("in_lang", F.sum("c").over(whole_lang))
+    rows = counts.withColumn("in_docs", F.sum("docs").over(whole_lang)).withColumn("in_lang", F.sum("c").over(whole_lang))
     rows = rows.withColumn("head", (F.row_number().over(whole_lang.orderBy("source")) == 1).cast("int"))
-    return rows.where(F.col("in_docs") >= least_docs).select("lang", "source", "term", "c", "in_lang", "head")
+    return rows.where((F.col("in_docs") >= least_docs) | F.col("term").isNull()).select("lang", "source", "term", "c", "in_lang", "head")
 
 
 def histogram(kept: DataFrame) -> DataFrame:
@@ -174,11 +175,10 @@ def pair_part(rows: DataFrame, by_count: DataFrame, groups: DataFrame) -> DataFr
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = 3, ranks: int = 200) -> DataFrame:
     """(lang, source, part, item, value, rank): part `pair` has each other source of the language, part `term` the source's own terms to `ranks`."""
-    counts = store(occurrences(collapsed(docs, text, lang, source)), "occurrences")
-    kept = store(kept_terms(counts, least_docs), "kept")
+    counts = store(kept_terms(occurrences(collapsed(docs, text, lang, source)), least_docs), "terms")
+    kept = counts.where("term is not null")
     by_count = store(histogram(kept), "histogram")
     groups = store(totals(counts, by_count), "groups")
     rows = store(shares(kept, groups), "shares")
-    for used in (counts, kept):
-        drop_stored(docs.sparkSession, used)
+    drop_stored(docs.sparkSession, counts)
     return pair_part(rows, by_count, groups).union(term_part(rows, ranks))
