@@ -50,6 +50,8 @@ END = 0  # the number of the end token
 SHAPES, BUCKETS = 64, 512
 LANES, WINDOW, PORTION, ROWS = 512, 32, 4_000_000, 1024
 _rows = np.arange(ROWS)
+#: Partitions of a shuffle by chunks at most.
+MOST_PARTS = 20_000
 
 
 def one_blas_thread() -> None:
@@ -284,14 +286,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    """In place: rows that sum to one; returns the logarithm of each row's sum before, less nothing.
-
-    One shift for all rows keeps the exponentials finite: logits differ little between rows, whose biases are shared.
-    """
-    shift = z.max()
-    z -= shift
+    """In place: rows that sum to one; returns the logarithm of each row's sum before. Each row is shifted by its largest value, so that none vanishes beside another."""
+    shift = z.max(1)
+    z -= shift[:, None]
     np.exp(z, out=z)
-    total = np.maximum(z @ np.ones(z.shape[1], z.dtype), 1e-30)
+    total = z @ np.ones(z.shape[1], z.dtype)
     z *= (1 / total)[:, None]
     return np.log(total) + shift
 
@@ -604,8 +603,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out_of
             "codes": pa.array([flat[4 * a : 4 * b] for a, b in zip(ends, ends[1:])], pa.binary()),
         })
 
-    # partitions by chunks, not by a setting: a task has one chunk or a few at any size of the corpus
-    n = max(1, stamped.agg(F.count_distinct("chunk")).first()[0])
+    # partitions by chunks, not by a setting: a task has one chunk or a few, or, beyond MOST_PARTS chunks, one after the other
+    n = min(MOST_PARTS, max(1, stamped.agg(F.count_distinct("chunk")).first()[0]))
     texts, rights = stamped.repartition(n, "chunk"), known_words.select("chunk", "word", "c").repartition(n, "chunk")
     kind = stamped.schema["key"].dataType.simpleString()
     coded = texts.groupBy("chunk").cogroup(rights.groupBy("chunk")).applyInArrow(encode, f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, tail double, codes binary")
