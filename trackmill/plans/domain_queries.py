@@ -141,7 +141,7 @@ def similar_pairs(spark, sf):
     """Each vector's similarity to its label's mean. [SFN-16]"""
     e = table(spark, sf, "embeddings")
     m = vectors.weighted_mean(e, ["label"], "embedding", F.lit(1.0))
-    return e.join(F.broadcast(m), "label").select("vec_id", vectors.cosine(F.col("embedding"), F.col("mean")).alias("similarity"))
+    return e.join(m, "label").select("vec_id", vectors.cosine(F.col("embedding"), F.col("mean")).alias("similarity"))
 
 
 @query()

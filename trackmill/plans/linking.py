@@ -82,8 +82,9 @@ def suggestions(summary: DataFrame, tracks: DataFrame, player: int, team: int, m
 def recognised(tracks: DataFrame, profiles: DataFrame, seen: DataFrame, least: float = 0.35, margin: float = 0.12) -> DataFrame:
     """The player that each unlinked track looks like: best profile of its team, 0.35 at least and 0.12 ahead of the next; not one who is in view elsewhere
     at the time (seen: clip_id, player_id, t0, t1). [QRY-07, STA-05, JOI-20, SFN-16, TOP-04]"""
-    p = profiles.select(F.col("player_id").alias("p"), F.col("team").alias("pteam"), F.col("emb").alias("pemb"))
-    j = tracks.join(F.broadcast(p), (F.col("team") == F.col("pteam")) | (F.col("team") == -1))  # some twenty profiles a match
+    # A track without a team meets the profiles of all: each stands under its team and under none.
+    p = profiles.select(F.col("player_id").alias("p"), F.explode(F.array_distinct(F.array(F.col("team"), F.lit(-1).cast(profiles.schema["team"].dataType)))).alias("team"), F.col("emb").alias("pemb"))
+    j = tracks.join(p, "team")
     j = j.withColumn("score", vectors.cosine(F.col("emb"), F.col("pemb")))
     away = seen.select(F.col("clip_id").alias("c"), F.col("player_id").alias("q"), F.col("t0").alias("s0"), F.col("t1").alias("s1"))
     clash = (F.col("clip_id") == F.col("c")) & (F.col("p") == F.col("q")) & (F.least("t1", "s1") - F.greatest("t0", "s0") > 0.3)

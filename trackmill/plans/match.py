@@ -66,13 +66,13 @@ def match_passes(runs: DataFrame, ends: bool = False) -> DataFrame:
 
 
 def statistics(positions: DataFrame, ball: DataFrame, fps: float = 10.0) -> DataFrame:
-    """A row for each entity: minutes, movement, touches, seconds on the ball, passes. [QRY-01, AGG-02, AGG-03, AGG-06, AGG-07]"""
+    """A row for each entity, linked players first: minutes, movement, touches, seconds on the ball, passes. [QRY-01, AGG-02, AGG-03, AGG-06, AGG-07]"""
     seen = positions.where("x is not null").groupBy("entity", "team").agg(F.round(F.sum(1 / F.col("fps")) / 60, 1).alias("minutes"), F.round(F.avg("x"), 1).alias("avg_x"), F.round(F.avg("y"), 1).alias("avg_y"))
     runs = possessions(positions, ball, fps)
     touch = runs.groupBy("entity").agg(F.count("*").alias("touches"), F.sum(F.col("t1") - F.col("t0") + 1 / fps).alias("possession_s"))
     passed = match_passes(runs).groupBy(F.col("from_owner").alias("entity")).agg(F.sum("ok").alias("passes_ok"), F.sum(1 - F.col("ok")).alias("passes_failed"))
     out = seen.join(movement(positions), "entity", "left").join(touch, "entity", "left").join(passed, "entity", "left")
-    return out.fillna(0).orderBy(F.col("team"), F.desc("minutes"), "entity")
+    return out.fillna(0).orderBy(~F.col("entity").startswith("p"), F.col("team"), F.desc("minutes"), "entity")
 
 
 def team_totals(runs: DataFrame, passed: DataFrame, fps: float = 10.0) -> DataFrame:
