@@ -364,6 +364,36 @@ def test_toxicity_held_out(spark):
     assert out[900]["score"] == out[901]["score"] < 0.5 < out[902]["score"]
 
 
+def test_toxicity_of_odd_tables(spark):
+    docs = "doc_id bigint, text string, score string, held_out int, __y int"
+    labels = "doc_id bigint, toxic int, text string"
+    none = spark.createDataFrame([], docs)
+    assert toxicity.scored(none, spark.createDataFrame([], labels)).collect() == []
+    some = spark.createDataFrame([(1, "a scumbag", "x", 1, 1), (1, "a scumbag", "x", 1, 1), (2, None, None, None, None), (None, "a", "", 0, 0)], docs)
+    assert [r["score"] for r in toxicity.scored(some, spark.createDataFrame([], labels)).collect()] == [0.0] * 4
+    out = toxicity.scored(some, spark.createDataFrame([(1, 1, "t"), (2, 0, None), (None, 1, "")], labels)).collect()
+    assert len(out) == 4 and all(0 <= r["score"] <= 1 for r in out) and len({r["score"] for r in out if r["doc_id"] == 1}) == 1
+
+
+def test_evidence_counts_each_sign_once():
+    lexicon = {"=hateful": 3.0, "hate": 2.5, "=idiot": 4.0}
+    assert toxicity.evidence({("=hateful", "hate", "hatef")}, lexicon) == 3.0
+    assert toxicity.evidence({("=hateful", "hate"), ("=hated", "hate"), ("=idiot", "idio"), ("=nice",)}, lexicon) == 3.0 + 2.5 + 4.0
+    assert toxicity.evidence({("=hater", "hate"), ("=hates", "hate")}, lexicon) == 2.5
+    assert toxicity.evidence(set(), lexicon) == 0.0
+
+
+def test_logistic_curve():
+    rng = np.random.default_rng(3)
+    x = rng.normal(2, 3, 20_000)
+    y = (rng.random(20_000) < 1 / (1 + np.exp(-(-3 + 0.8 * x)))).astype(float)
+    at, slope = toxicity.logistic(x, y)
+    assert abs(at + 3) < 0.15 and abs(slope - 0.8) < 0.05
+    at, slope = toxicity.logistic(np.array([0.0] * 50 + [9.0] * 10), np.array([0.0] * 50 + [1.0] * 10))
+    assert at < -2 and at + 9 * slope > 2  # separable: finite, on the right sides
+    assert toxicity.logistic(np.array([0.0, 1.0] * 30), np.array([1.0, 0.0] * 30))[1] >= 0
+
+
 def plain_kneser_ney(texts, order):
     """log p(byte | context) by the definition, over tuples of symbols."""
     tables = [collections.Counter()]

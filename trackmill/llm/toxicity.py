@@ -8,7 +8,9 @@ likely word. Restored words and the plain ones are then scored by a lexicon of w
 beginnings, whose weights are log odds between toxic and other labelled documents.
 
 The lexicon is learnt from a bounded sample: at most `per_label` labelled rows of each label, those
-with the smallest hash of their id. Everything else covers all rows and whole texts.
+with the smallest hash of their id. Its parts score each other by lexicons that leave them out, and a
+logistic curve fitted to these scores turns a text's summed weights into a chance. Everything else
+covers all rows and whole texts.
 
 Defined results: null and empty texts have the score of a document without any sign of toxicity;
 labels with null are ignored; a document labelled twice counts as toxic if one label says so; without toxic labels
@@ -164,9 +166,10 @@ class Reader:
                     found += terms(REPEATED_RUN.sub(r"\1", plain))
         return tuple(f for f in dict.fromkeys(found) if self.lexicon is None or f in self.lexicon)
 
-    def terms(self, text: str) -> set[str]:
+    def signs(self, text: str) -> set[tuple[str, ...]]:
+        """The distinct signs of a text, each as the terms it is looked up as."""
         low = text.lower()
-        out: set[str] = set()
+        out: set[tuple[str, ...]] = set()
         known = self.known
         if len(known) > KEPT:
             known.clear()
@@ -174,23 +177,60 @@ class Reader:
             got = known.get(w)
             if got is None:
                 got = known[w] = self.of_word(w)
-            out.update(got)
+            if got:
+                out.add(got)
         for span in spaced(low):
-            plain = restore(span, self.model)
-            out.update(t for t in terms(plain) if self.lexicon is None or t in self.lexicon)
+            got = tuple(t for t in terms(restore(span, self.model)) if self.lexicon is None or t in self.lexicon)
+            if got:
+                out.add(got)
         return out
 
+    def terms(self, text: str) -> set[str]:
+        return {t for sign in self.signs(text) for t in sign}
+
+
+def evidence(signs: set[tuple[str, ...]], lexicon: dict[str, float]) -> float:
+    """The summed weights of the distinct terms that are the strongest of a sign: a word and its
+    beginnings are one sign, so that no word counts more than once."""
+    best = {max(known, key=lambda t: (lexicon[t], t)) for sign in signs if (known := [t for t in sign if t in lexicon])}
+    return sum(lexicon[t] for t in sorted(best))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+    """Intercept and slope of the chance that y is 1, given x: Newton steps, with a weak normal prior around
+    the share of ones and a slope of 1, which separable data need."""
+    start = np.array([math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 1.0])
+    b, rows = start.copy(), np.stack([np.ones(len(x)), x], 1)
+
+    def cost(b):
+        z = rows @ b
+        return float((np.logaddexp(0, z) - y * z).sum() + ((b - start) ** 2).sum() / 2)
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(rows @ b, -60, 60)))
+        slope = rows.T @ (p - y) + (b - start)
+        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + np.eye(2), slope)
+        size = 1.0
+        while size > 1e-6 and cost(b - size * step) > cost(b):
+            size /= 2
+        b = b - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return float(b[0]), max(float(b[1]), 0.0)
+
 
 REPEATED_RUN = re.compile(r"(.)\1+")
 
 
-def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str, text: str, label: str, per_label: int, held_out_of: int, odds: float = 2.5, caution: float = 2.0) -> tuple[dict[str, float], float]:
-    """The lexicon (term -> log odds; the sample bounds it) and the log odds of a document without terms, `caution` below the share of
-    toxic documents, so that one weak term is not enough.
+def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str, text: str, label: str, per_label: int, held_out_of: int, odds: float = 2.5, parts: int = 4) -> tuple[dict[str, float], float, float]:
+    """The lexicon (term -> log odds; the sample bounds it), and intercept and slope of the log odds of a document by its evidence.
 
     Of copies in the sample one counts: rows of a label whose long words have the same four smallest hashes.
     A term with t toxic and c other documents is taken if so uneven a split would not be expected
-    once by chance among all terms, by the entropy bound on the number of splits.
+    once by chance among all terms, by the entropy bound on the number of splits. The sample is
+    dealt into `parts` parts by hash; the curve is fitted to the evidence that each row has by the lexicon of the other
+    parts, as rows look stronger by a lexicon that they made. Its intercept is moved from the
+    sample's share of toxic rows to that of all labelled rows that may be learnt from.
     """
     seen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("__y"))
     seen = seen.where(in_bucket(F.col(key), held_out_of) != 0)
@@ -201,51 +241,72 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str, text:
         sample = part if sample is None else sample.union(part)
     picked = docs.select(key, text).join(F.broadcast(sample), key)
 
+    long_words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: F.length(w) >= 6)
+    own = F.slice(F.array_sort(F.array_distinct(F.transform(long_words, lambda w: F.xxhash64(w)))), 1, 4)
+    own = F.when(F.size(own) == 4, F.xxhash64(own)).otherwise(F.xxhash64(key))
+    picked = picked.select(text, "__y", own.alias("__own")).dropDuplicates(["__y", "__own"])
+    picked = store(picked.select(text, "__y", F.pmod("__own", F.lit(parts)).cast("int").alias("__part")), "labelled")
+    sizes = {(r["__part"], r["__y"]): r["n"] for r in picked.groupBy("__part", "__y").agg(F.count("*").alias("n")).collect()}
+    everyone = seen.agg(F.count("*"), F.sum((F.col("__y") > 0).cast("long"))).first()
+    share = ((everyone[1] or 0) + 0.5) / (everyone[0] + 1)
+    whole = tuple(sum(n for (_, y), n in sizes.items() if y == want) for want in (1, 0))
+    if not whole[0]:
+        return {}, -math.inf, 0.0
+
     def rows(batches):
         reader = Reader(model)
         for batch in batches:
-            found = [(t, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in reader.terms(x or "")]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["term", "y"])
+            found = [(t, y, p) for x, y, p in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True) for t in reader.terms(x or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32()))], ["term", "y", "part"])
 
-    long_words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: F.length(w) >= 6)
-    own = F.slice(F.array_sort(F.array_distinct(F.transform(long_words, lambda w: F.xxhash64(w)))), 1, 4)
-    own = F.when(F.size(own) == 4, F.xxhash64(own)).otherwise(F.xxhash64(key))
-    picked = store(picked.select(text, "__y", own.alias("__own")).dropDuplicates(["__y", "__own"]).drop("__own"), "labelled")
-    totals = {r["__y"]: r["n"] for r in picked.groupBy("__y").agg(F.count("*").alias("n")).collect()}
-    t, c = totals.get(1, 0), totals.get(0, 0)
-    if not t:
-        return {}, -math.inf
-    counted = picked.mapInArrow(rows, "term string, y int").groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    y = F.col("y")
+    by_part = [f(v).alias(f"{c}{k}") for k in range(parts) for c, v, f in (("t", F.when(F.col("part") == k, y).otherwise(0), F.sum), ("c", F.when(F.col("part") == k, 1 - y).otherwise(0), F.sum))]
+    counted = picked.mapInArrow(rows, "term string, y int, part int").groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - y).alias("c"), *by_part)
     counted = store(counted.where("t > 1"), "terms")
-    n_terms = counted.count() or 1
-    weight = F.log((F.col("t") + 0.5) / (t + 1.0)) - F.log((F.col("c") + 0.5) / (c + 1.0))
-    q = F.col("t") / (F.col("t") + F.col("c"))
-    splits = -(F.col("t") + F.col("c")) * (q * F.log(q) + F.when(q < 1, (1 - q) * F.log(1 - q)).otherwise(0.0))
-    unlikely = F.col("t") * -math.log((t + 0.5) / (t + c + 1)) + F.col("c") * -math.log((c + 0.5) / (t + c + 1)) - splits > math.log(n_terms) + 3
-    rows_ = counted.withColumn("w", weight).where((F.col("w") >= odds) & unlikely).collect()
-    everyone = seen.agg(F.count("*"), F.sum((F.col("__y") > 0).cast("long"))).first()
-    share = (everyone[1] + 0.5) / (everyone[0] + 1)
-    return {r["term"]: r["w"] for r in rows_}, math.log(share / (1 - share)) - caution
+    chance = math.log(counted.count() or 1) + 3
+
+    def weight(t, c, n_t: int, n_c: int):
+        """The term's log odds, null where it isn't taken."""
+        w = F.log((t + 0.5) / (n_t + 1.0)) - F.log((c + 0.5) / (n_c + 1.0))
+        q = t / F.greatest(t + c, F.lit(1))
+        splits = -(t + c) * (q * F.log(q) + F.when(q < 1, (1 - q) * F.log(1 - q)).otherwise(0.0))
+        unlikely = t * -math.log((n_t + 0.5) / (n_t + n_c + 1)) + c * -math.log((n_c + 0.5) / (n_t + n_c + 1)) - splits > chance
+        return F.when((t > 1) & (w >= odds) & unlikely, w)
+
+    without = [weight(F.col("t") - F.col(f"t{k}"), F.col("c") - F.col(f"c{k}"), whole[0] - sizes.get((k, 1), 0), whole[1] - sizes.get((k, 0), 0)).alias(f"w{k}") for k in range(parts)]
+    taken = counted.select("term", weight(F.col("t"), F.col("c"), *whole).alias("w"), *without)
+    taken = taken.where(F.coalesce("w", *[f"w{k}" for k in range(parts)]).isNotNull()).collect()
+    lexicons = [{r["term"]: r[f"w{k}"] for r in taken if r[f"w{k}"] is not None} for k in range(parts)]
+
+    def weighed(batches):
+        reader = Reader(model)
+        for batch in batches:
+            texts, ys, ps = (batch.column(k).to_pylist() for k in range(3))
+            xs = [evidence(reader.signs(x or ""), lexicons[p]) for x, p in zip(texts, ps, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.float64()), pa.array(ys, pa.float64())], ["x", "y"])
+
+    points = picked.mapInArrow(weighed, "x double, y double").orderBy("x", "y").collect()  # the sample: two numbers a row
+    at, slope = logistic(np.array([p["x"] for p in points]), np.array([p["y"] for p in points]))
+    at += math.log(share / (1 - share)) - math.log((whole[0] + 0.5) / (whole[1] + 0.5))
+    return {r["term"]: r["w"] for r in taken if r["w"] is not None}, at, slope
 
 
-def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = 6000, held_out_of: int = 5, strongest: int = 3) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = 6000, held_out_of: int = 5) -> DataFrame:
     """Per document: key, held_out, score, predicted.
 
-    The score is the chance of toxicity from the prior odds and the weights of the `strongest` terms: a word and its
-    beginnings are several terms of one sign, so that weights of all terms would count one word more than once. Two passes over the texts; shuffled are trigram
+    The score is the chance of toxicity by the fitted curve over the text's `evidence`. Two passes over the texts; shuffled are trigram
     kinds and the sample's terms. The model and lexicon sent to the workers are bounded by 28**3
     numbers and the terms of the sample.
     """
     model = letter_model(letter_counts(docs, text)).astype(np.float32)
-    lexicon, prior = learn(docs, labels, model, key, text, label, per_label, held_out_of)
+    lexicon, at, slope = learn(docs, labels, model, key, text, label, per_label, held_out_of)
 
     def rows(batches):
         reader = Reader(model, lexicon)
         for batch in batches:
             scores = []
             for x in batch.column(1).to_pylist():
-                w = sorted((lexicon[t] for t in reader.terms(x or "")), reverse=True)[:strongest]
-                log = prior + sum(w)
+                log = at + slope * evidence(reader.signs(x or ""), lexicon)
                 scores.append(0.0 if log == -math.inf else 1 / (1 + math.exp(-max(-60.0, min(60.0, log)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], [key, "score"])
 
