@@ -392,6 +392,8 @@ def test_logistic_curve():
     at, slope = toxicity.logistic(np.array([0.0] * 50 + [9.0] * 10), np.array([0.0] * 50 + [1.0] * 10))
     assert at < -2 and at + 9 * slope > 2  # separable: finite, on the right sides
     assert toxicity.logistic(np.array([0.0, 1.0] * 30), np.array([1.0, 0.0] * 30))[1] >= 0
+    once = toxicity.logistic(np.array([0.0, 0.0, 0.0, 2.0, 2.0]), np.array([0.0, 0.0, 1.0, 1.0, 1.0]))
+    assert np.allclose(once, toxicity.logistic(np.array([0.0, 0.0, 2.0]), np.array([0.0, 1.0, 1.0]), np.array([2.0, 1.0, 2.0])))
 
 
 def plain_kneser_ney(texts, order):

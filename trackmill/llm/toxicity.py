@@ -196,20 +196,21 @@ def evidence(signs: set[tuple[str, ...]], lexicon: dict[str, float]) -> float:
     return sum(lexicon[t] for t in sorted(best))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """Intercept and slope of the chance that y is 1, given x: Newton steps, with a weak normal prior around
-    the share of ones and a slope of 1, which separable data need."""
-    start = np.array([math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 1.0])
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, rounds: int = 60) -> tuple[float, float]:
+    """Intercept and slope of the chance that y is 1, given x, of points that occur n times each: Newton steps, with a
+    weak normal prior around the share of ones and a slope of 1, which separable data need."""
+    n = np.ones(len(x)) if n is None else n
+    start = np.array([math.log(((n * y).sum() + 0.5) / ((n * (1 - y)).sum() + 0.5)), 1.0])
     b, rows = start.copy(), np.stack([np.ones(len(x)), x], 1)
 
     def cost(b):
         z = rows @ b
-        return float((np.logaddexp(0, z) - y * z).sum() + ((b - start) ** 2).sum() / 2)
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + ((b - start) ** 2).sum() / 2)
 
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(rows @ b, -60, 60)))
-        slope = rows.T @ (p - y) + (b - start)
-        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + np.eye(2), slope)
+        slope = rows.T @ (n * (p - y)) + (b - start)
+        step = np.linalg.solve((rows * (n * p * (1 - p))[:, None]).T @ rows + np.eye(2), slope)
         size = 1.0
         while size > 1e-6 and cost(b - size * step) > cost(b):
             size /= 2
@@ -285,8 +286,8 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str, text:
             xs = [evidence(reader.signs(x or ""), lexicons[p]) for x, p in zip(texts, ps, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.float64()), pa.array(ys, pa.float64())], ["x", "y"])
 
-    points = picked.mapInArrow(weighed, "x double, y double").orderBy("x", "y").collect()  # the sample: two numbers a row
-    at, slope = logistic(np.array([p["x"] for p in points]), np.array([p["y"] for p in points]))
+    points = picked.mapInArrow(weighed, "x double, y double").groupBy("x", "y").agg(F.count("*").alias("n")).collect()  # at most the sample's rows
+    at, slope = logistic(*np.array(sorted((p["x"], p["y"], p["n"]) for p in points), float).T)
     at += math.log(share / (1 - share)) - math.log((whole[0] + 0.5) / (whole[1] + 0.5))
     return {r["term"]: r["w"] for r in taken if r["w"] is not None}, at, slope
 
