@@ -94,6 +94,28 @@ def test_suppression_equals_the_greedy_loop(spark):
     assert got == want
 
 
+def test_suppression_in_dense_streams(spark):
+    rng = random.Random(4)
+    rows = [(1, t, rng.randint(0, 40), t % 7) for t in range(-700, 700)]  # one stream without a gap, scores tie
+    rows += [(2, 5 * t, t, 0) for t in range(80)] + [(3, 5 * t, -t, 0) for t in range(80)]  # rising, falling
+    rows += [(None, t, rng.randint(0, 3), t) for t in range(0, 200, 3)] + [(4, 10, 5, 1)] * 3  # a null key, repeated rows
+    schema = "k int, t long, s int, i long"
+    for apart in (1, 30, 1000):
+        want = []
+        for k in (1, 2, 3, 4, None):
+            kept = []
+            for _, t, s, i in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[2], r[1], r[3])):
+                if all(abs(t - u) >= apart for u in kept):
+                    kept.append(t)
+                    want.append((k, t, s, i))
+        got = [tuple(r) for r in choose.suppressed(spark.createDataFrame(rows, schema), ["k"], "t", "s", "i", apart).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), apart
+    lost = [(1, None, 9, 1), (1, None, 8, 2), (1, 4, None, 3), (1, 5, 7, 4)]
+    got = {tuple(r) for r in choose.suppressed(spark.createDataFrame(lost, schema), ["k"], "t", "s", "i", 30).collect()}
+    assert got == {(1, None, 9, 1), (1, None, 8, 2), (1, 4, None, 3)}
+    assert choose.suppressed(spark.createDataFrame([], schema), ["k"], "t", "s", "i", 30).count() == 0
+
+
 def test_chains_and_pairs(spark):
     c = spark.createDataFrame([(1, 1, 2, 0.1), (1, 1, 3, 0.2), (1, 2, 4, 0.3), (1, 3, 4, 0.4)], "clip int, a int, b int, cost double")
     assert {(r["track"], r["root"]) for r in grouped.chains(c, ["clip"], "a", "b", "cost").collect()} == {(1, 1), (2, 1), (3, 3), (4, 1)}
