@@ -116,6 +116,19 @@ def test_suppression_in_dense_streams(spark):
     assert choose.suppressed(spark.createDataFrame([], schema), ["k"], "t", "s", "i", 30).count() == 0
 
 
+def test_caps_of_classes(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", "c", None]), rng.randint(0, 9), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "label string, v int, i int")
+    got = {tuple(r) for r in choose.stratified(df, "label", [F.desc("v"), "i"], {"a": 7, "b": 1000, "d": 3, "c": 0}).collect()}
+    want = set()
+    for k, n in (("a", 7), ("b", 1000)):
+        first = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2]))[:n]
+        want |= {(*r, j + 1) for j, r in enumerate(first)}
+    assert got == want
+    assert choose.stratified(df, "label", ["i"], {}).count() == 0
+
+
 def test_chains_and_pairs(spark):
     c = spark.createDataFrame([(1, 1, 2, 0.1), (1, 1, 3, 0.2), (1, 2, 4, 0.3), (1, 3, 4, 0.4)], "clip int, a int, b int, cost double")
     assert {(r["track"], r["root"]) for r in grouped.chains(c, ["clip"], "a", "b", "cost").collect()} == {(1, 1), (2, 1), (3, 3), (4, 1)}
