@@ -449,6 +449,22 @@ def test_kneser_ney_separates(spark, docs):
     assert kneser_ney.classify(docs.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize("most_held", [0, 40, 1 << 18])
+def test_kneser_ney_counts_all_trusted_text(spark, most_held):
+    cases = [f"no {w} is like an{w}" for w in ("other", "é", "日本", "x", "y" * 30)]
+    n = 20_300
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, cases)), (F.sqrt("id") % 5 + 1).cast("int")).alias("text"), F.lit("en").alias("lang"))
+    more = ["no new word", "\x00!", cases[0], cases[0] + cases[3] * 2]
+    df = df.unionByName(spark.createDataFrame([(n + i, t, "en") for i, t in enumerate(more)], df.schema))
+    out = {r["doc_id"]: r["perplexity"] for r in kneser_ney.classify(df, spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")), most_held=most_held).collect()}
+    assert len(out) == n + len(more)
+    p = plain_kneser_ney([cases[int(i**0.5 % 5)] for i in range(n)], kneser_ney.ORDER)
+    for i, t in [*[(i, cases[int(i**0.5 % 5)]) for i in (0, 1, 4, 9, 16, n - 1)], *enumerate(more, n)]:
+        keys = [tuple(int(g) >> kneser_ney.BITS * k & 511 for k in range(kneser_ney.ORDER - 1, -1, -1)) for g in kneser_ney.grams(t)]
+        assert out[i] == pytest.approx(np.exp(-np.mean([np.log(p(g)) for g in keys])), rel=1e-6)
+    assert out[n + 2] == out[0]
+
+
 def plain_components(rows):
     def sh(t):
         w = (t or "").encode().lower().split()

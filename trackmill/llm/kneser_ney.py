@@ -7,10 +7,11 @@ n-gram ends; probabilities come from joins of the counts with their contexts and
 order. An n-gram is a number of 9 bits a byte (0 stands for the border of a text).
 
 A document is kept if its perplexity a byte is at most its language's limit: a quantile of trusted
-documents' perplexities, times a margin. Trusted text is at most `most_trusted` documents labelled 1,
-those with the smallest hash of their key, so the model's tables don't grow with the corpus, and the
-workers hold them to look up the distinct n-grams of their documents. Quantiles (to a ten-thousandth of
-the ranks) are over all documents labelled 1, scores over all documents and whole texts.
+documents' perplexities, times a margin. Trusted text is that of all documents labelled 1: the model's counts
+come from all of it, and quantiles (to a ten-thousandth of the ranks) from all their perplexities. Scores are over all
+documents and whole texts. Workers hold the commonest n-grams, at most `most_held`, so that no task of a join meets
+them; a text's other n-grams, once each with their number, are joined with the model's tables. (A model
+of no more rows than that is held as a whole.) Log probabilities are whole numbers of 2^-24, so sums don't depend on their order.
 
 Defined results: null and empty texts have no perplexity and are not kept; a language without
 trusted documents (null too) takes the limit of all of them; without any trusted document all
@@ -31,6 +32,10 @@ from trackmill.llm.common import join_hot, store
 ORDER, BITS = 5, 9
 KINDS = 257  # bytes and the end of a text
 PORTION = 2_000_000
+#: Log probabilities are added up as whole numbers of this size.
+UNIT = 2.0**-24
+#: Rows of the model that workers hold at most.
+HELD = 1 << 18
 
 
 def grams(text: str, order: int = ORDER) -> np.ndarray:
@@ -79,7 +84,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 def tables(highest: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
-    """From counts of the highest order: per order, lowest first, (g, p) of the n-grams seen and (context, free) of the contexts seen.
+    """From counts of the highest order: per order, lowest first, (g, p, c) of the n-grams seen and (context, free) of the contexts seen.
 
     p is interpolated over all orders; an n-gram that isn't seen has `free` of its context times the probability of the n-gram without its
     first byte, and without a context seen that probability itself.
@@ -94,26 +99,29 @@ def tables(highest: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, Data
         off: Column = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         seen = seen.withColumn("context", F.shiftright("g", BITS))
         contexts = seen.groupBy("context").agg(F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("free"))
-        own = seen.join(contexts, "context").select("g", ((F.col("c") - off) / F.col("total")).alias("own"), "free")
+        own = seen.join(contexts, "context").select("g", ((F.col("c") - off) / F.col("total")).alias("own"), "free", "c")
         if k == 1:
-            p = own.select("g", (F.col("own") + F.col("free") / KINDS).alias("p"))
+            p = own.select("g", (F.col("own") + F.col("free") / KINDS).alias("p"), "c")
         else:
             shorter = out[-1][0].select(F.col("g").alias("short"), F.col("p").alias("q"))
-            p = own.withColumn("short", F.col("g").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(shorter, "short").select("g", (F.col("own") + F.col("free") * F.col("q")).alias("p"))
+            p = own.withColumn("short", F.col("g").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(shorter, "short").select("g", (F.col("own") + F.col("free") * F.col("q")).alias("p"), "c")
         out.append((store(p, "grams"), store(contexts.select("context", "free"), "contexts")))
     return out
 
 
 @dataclass
 class Model:
-    """The tables of all orders as sorted arrays of keys with log values, lowest order first."""
+    """Tables as sorted arrays of keys with log values: those of all orders, lowest first, or common n-grams of the highest order alone."""
 
     grams: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
 
     def log_p(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of the last byte of each n-gram of the highest order."""
+        """Log probability of the last byte of each n-gram of the highest order; NaN for those that a model in part lacks."""
         out, left = np.zeros(len(keys)), np.arange(len(keys))
+        if not self.contexts:
+            found, value = lookup(self.grams[0], keys)
+            return np.where(found, value, np.nan)
         for k in range(len(self.grams), 0, -1):
             part = keys[left] & ((1 << BITS * k) - 1)
             found, value = lookup(self.grams[k - 1], part)
@@ -134,58 +142,109 @@ def lookup(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.n
     return known[at] == keys, values[at]
 
 
-def held(found: list[tuple[DataFrame, DataFrame]]) -> Model:
-    """The tables of a model, whose size the trusted sample bounds, for the workers."""
+def commonest(grams: DataFrame, most: int) -> DataFrame:
+    """The n-grams of the highest counts, at most `most`, none of them if as many share the highest; counts within a sixteenth are kept or left together."""
+    size = F.floor(F.log2("c") * 16)
+    least, n = None, 0
+    for r in grams.groupBy(size.alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect():
+        n += r["n"]
+        if n > most:
+            break
+        least = r["size"]
+    return grams.where(size >= least) if least is not None else grams.limit(0)
 
-    def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        got = df.toDF("k", "v").select("k", F.log("v").cast("float").alias("v")).toArrow()
+
+def held(found: list[tuple[DataFrame, DataFrame]], most: int = HELD) -> Model:
+    """The part of a model that the workers hold: its tables, if they have at most `most` rows together, or else its commonest n-grams."""
+
+    def arrays(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+        got = df.select(F.col(key).alias("k"), F.log(value).cast("float").alias("v")).toArrow()
         keys, values = got["k"].to_numpy(), got["v"].to_numpy()
         order = np.argsort(keys)
         return keys[order], values[order]
 
-    return Model([arrays(g) for g, _ in found], [arrays(c) for _, c in found])
+    if sum(x.count() for pair in found for x in pair) > most:
+        return Model([arrays(commonest(found[-1][0], most), "g", "p")], [])
+    return Model([arrays(g, "g", "p") for g, _ in found], [arrays(c, "context", "free") for _, c in found])
+
+
+def looked_up(kinds: DataFrame, found: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(g, p): the probabilities of distinct n-grams, seen or not. Order by order, each n-gram is joined with its own row, its context's, and
+    what its end has got; of each of these at most 257 n-grams are one."""
+    needed = [kinds.select("g")]
+    for k in range(len(found) - 1, 0, -1):
+        needed.append(needed[-1].select(F.col("g").bitwiseAND((1 << BITS * k) - 1).alias("g")).distinct())
+    out: DataFrame | None = None
+    for k, (grams, contexts) in enumerate(found, 1):
+        q = needed[-k].withColumn("context", F.shiftright("g", BITS)).join(grams.select("g", "p"), "g", "left").join(contexts.select("context", "free"), "context", "left")
+        if out is None:
+            shorter: Column = F.lit(1 / KINDS)
+        else:
+            q, shorter = q.withColumn("short", F.col("g").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(out.toDF("short", "q"), "short"), F.col("q")
+        out = store(q.select("g", F.coalesce("p", F.coalesce("free", F.lit(1.0)) * shorter).alias("p")), "looked_up")
+    return out
 
 
-def perplexities(docs: DataFrame, model: Model, key: str, text: str, carry: list[str]) -> DataFrame:
+def perplexities(docs: DataFrame, found: list[tuple[DataFrame, DataFrame]], key: str, text: str, carry: list[str], most_held: int = HELD) -> DataFrame:
     """Per document: key, carried columns, n_grams, perplexity a byte (null without text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(held(found, most_held))
 
-    def scores(texts: list[np.ndarray]) -> list[float | None]:
-        """The distinct n-grams of a portion are looked up once each."""
+    def scores(texts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Each text's sum over the n-grams held, and all others as (text, n-gram, number); a portion's distinct n-grams are looked up once each."""
         kinds, at = np.unique(np.concatenate([*texts, np.zeros(0, np.int64)]), return_inverse=True)
-        log, ends = shared.value.log_p(kinds)[at], np.cumsum([0, *map(len, texts)])
-        return [float(np.exp(-log[a:b].mean())) if b > a else None for a, b in zip(ends, ends[1:])]
+        log, ends = shared.value.log_p(kinds), np.cumsum([0, *map(len, texts)])
+        other = np.isnan(log)
+        total = np.append(0, np.cumsum(np.where(other, 0, np.rint(log / UNIT)).astype(np.int64)[at]))[ends]
+        rest = np.flatnonzero(other[at])
+        pairs, n = np.unique((np.searchsorted(ends, rest, side="right") - 1) * len(kinds) + at[rest], return_counts=True)
+        return np.diff(total), [pairs // max(len(kinds), 1), kinds[pairs % max(len(kinds), 1)], n]
 
     def rows(batches):
         for batch in batches:
-            n, ppl, waiting, size = [], [], [], 0
+            n, parts, waiting, size, first = [], [], [], 0, 0
+
+            def scored():
+                total, (at, *rest) = scores(waiting)
+                parts.append([total, at + first, *rest])
+
             for x in batch.column(batch.num_columns - 1):
-                found = x.as_py()
-                k = grams(found) if found else np.zeros(0, np.int64)
+                of = x.as_py()
+                k = grams(of) if of else np.zeros(0, np.int64)
                 n.append(len(k))
                 waiting.append(k)
                 size += len(k)
                 if size > PORTION:
-                    ppl += scores(waiting)
-                    waiting, size = [], 0
-            ppl += scores(waiting)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(ppl, pa.float64())], [*batch.schema.names[:-1], "n_grams", "perplexity"])
-
-    picked = docs.select(key, *carry, text)
+                    scored()
+                    waiting, size, first = [], 0, len(n)
+            scored()
+            total, at, g, times = (np.concatenate(x) for x in zip(*parts))
+            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(len(n) + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(g), pa.array(times)], ["g", "times"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(total), rest], [*batch.schema.names[:-1], "n_grams", "__log", "__rest"])
+
+    picked = docs.select(F.monotonically_increasing_id().alias("__row"), key, *carry, text)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.drop(text).schema)
-    return picked.mapInArrow(rows, f"{fields}, n_grams bigint, perplexity double")
-
-
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", label: str = "quality", quantile: float = 0.995, margin: float = 1.1, most_trusted: int = 20_000) -> DataFrame:
+    scored = store(picked.mapInArrow(rows, f"{fields}, n_grams bigint, __log bigint, __rest array<struct<g: bigint, times: bigint>>"), "scores")
+    rest = scored.select("__row", F.inline("__rest"))
+    kinds = store(rest.groupBy("g").agg(F.count("*").alias("n")), "kinds")
+    total = kinds.agg(F.sum("n")).first()[0]
+    log: Column = F.col("__log")
+    if total:
+        p = looked_up(kinds, found).select("g", F.rint(F.log("p") / UNIT).cast("long").alias("log")).join(kinds, "g")
+        sums = join_hot(rest, p, ["g"], "n", total).groupBy("__row").agg(F.sum(F.col("times") * F.col("log")).alias("__more"))
+        scored, log = scored.join(sums, "__row", "left"), log + F.coalesce("__more", F.lit(0))
+    return scored.select(key, *carry, "n_grams", F.when(F.col("n_grams") > 0, F.exp(-log * UNIT / F.col("n_grams"))).alias("perplexity"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", label: str = "quality", quantile: float = 0.995, margin: float = 1.1, most_held: int = HELD) -> DataFrame:
     """Per document: key, language, n_grams, perplexity, limit, kept.
 
-    Two passes over the texts (trusted sample, scores) and a join of scores, without texts, with the labels. A language with a
+    Two passes over the texts (trusted ones, scores) and a join of scores, without texts, with the labels. A language with a
     thousandth of the documents or more, at most a thousand of them, gets its limit by broadcast.
     """
     trusted = labels.groupBy(key).agg(F.min(label).alias("__y")).where((F.col("__y") >= 1) & F.col(key).isNotNull()).select(key)
-    sample = trusted.orderBy(F.xxhash64(F.lit("trusted"), F.col(key)), key).limit(most_trusted)
-    model = held(tables(counts(docs.select(key, text).join(F.broadcast(sample), key).select(text))))
-    scored = store(perplexities(docs, model, key, text, [language]), "perplexity").withColumn("__lang", F.coalesce(F.concat(F.lit("="), F.col(language)), F.lit("")))
+    # the keys grow with the corpus: a plan that broadcast them would not hold
+    model = tables(counts(docs.select(key, text).join(trusted.hint("shuffle_hash"), key).select(text)))
+    scored = store(perplexities(docs, model, key, text, [language], most_held), "perplexity").withColumn("__lang", F.coalesce(F.concat(F.lit("="), F.col(language)), F.lit("")))
     known = scored.join(trusted, key).where("perplexity is not null")
     q = lambda: F.percentile_approx("perplexity", quantile, 10_000) * margin
     per = known.where(F.col(language).isNotNull()).groupBy("__lang").agg(q().alias("__limit"))
