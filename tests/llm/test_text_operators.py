@@ -248,6 +248,24 @@ def test_bpe_equals_the_library(texts):
         assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_encodes_each_word_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    lib, own = Tokenizer.from_file(VOCABULARY), bpe.Bpe(VOCABULARY)
+    rng = random.Random(3)
+    blanks = [" ", " ", " ", "  ", "\n", " \n", "\n ", "\u3000", " \u3000", "\x1c ", "\x85", "\t", "   ", " <|endoftext|> "]
+    for _ in range(300):  # the same words between all kinds of blanks, at borders too
+        t = "".join(rng.choice(["", "the", "The", "wörd", "ab.", "x1", "don't"]) + rng.choice(blanks) for _ in range(rng.randint(1, 12)))
+        for x in (t, t.strip(), t + "end"):
+            assert own.encode(x) == lib.encode(x, add_special_tokens=False).ids, x
+    monkeypatch.setattr(bpe, "CACHE", 1000)
+    made, encode = [], own.encode_word
+    monkeypatch.setattr(own, "encode_word", lambda w: (made.append(w), encode(w))[1])
+    own.encode("glorp\nglorp. (glorp) glorp, glorp; glorp.\nglorp")
+    assert made.count(b" glorp") <= 1 and made.count(b"glorp") <= 1 and max(collections.Counter(made).values()) == 1
+
+
 def test_bpe_columns(docs):
     out = bpe.decode_column(bpe.encode_column(docs, "text", VOCABULARY), "ids", VOCABULARY)
     for r in out.collect():

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 #: Pre-tokenizer of the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words kept per worker; beyond, the older half goes.
+#: Words in either of a worker's two dictionaries, and pairs of tokens; beyond, the words of the older one go, or all pairs.
 CACHE = 300_000
 
 
@@ -79,10 +79,12 @@ class Bpe:
                 if (j := self.ids.get(t[:n])) is not None:
                     self.prefix[i] = j
                     break
+        self.size = [len(x) for x in self.bytes]
         self.table: dict[int, bool] = {}
         self.split_text = regex.compile(PATTERN)
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.units: dict[str, str] = {}
+        self.words: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of the two tokens together ends in just these two."""
@@ -109,79 +111,67 @@ class Bpe:
                 return True
 
     def longest(self, word: str) -> list[int]:
-        """For each byte the longest token that starts there."""
-        best = [-1] * len(word)
-        size = [0] * len(word)
+        """For each byte the longest token that starts there: matches come by their ends, so a start's last is its longest."""
+        best, size = [-1] * len(word), self.size
         for end, token in self.trie.iter(word):
-            n = len(self.bytes[token])
-            at = end - n + 1
-            if n > size[at]:
-                best[at], size[at] = token, n
+            best[end + 1 - size[token]] = token
         return best
 
     def encode_word(self, word: bytes) -> list[int]:
         whole = self.ids.get(word)
         if whole is not None and self.rank[whole] < 0:
             return [whole]
-        text = word.decode("latin-1")
-        best = self.longest(text)
+        best, size, prefix, table = self.longest(word.decode("latin-1")), self.size, self.prefix, self.table
         end, open_ = len(word), bytearray(b"\1") * (len(word) + 1)
         out: list[int] = []
-        at, token = 0, best[0]
+        at, token, last = 0, best[0], -1
         while True:
-            last = out[-1] if out else -1
-            while True:
-                stop = at + len(self.bytes[token])
-                if open_[stop] and (last < 0 or self.compatible(last, token)):
+            stop = at + size[token]
+            if open_[stop]:
+                if last < 0:
+                    fits = True
+                elif (fits := table.get(last << 32 | token)) is None:
+                    fits = self.compatible(last, token)
+                if fits:
                     out.append(token)
-                    at = stop
-                    if at == end:
+                    if stop == end:
                         return out
-                    token = best[at]
-                    break
-                shorter = self.prefix[token]
-                if shorter >= 0:
-                    token = shorter
+                    at, token, last = stop, best[stop], token
                     continue
+            token = prefix[token]
+            while token < 0:
                 open_[at] = 0
                 token = out.pop()
-                at -= len(self.bytes[token])
-                token = self.prefix[token]
-                while token < 0:
-                    open_[at] = 0
-                    token = out.pop()
-                    at -= len(self.bytes[token])
-                    token = self.prefix[token]
-                break
-
-    def joined(self, unit: str) -> str:
-        """The ids of a stretch of text without special tokens, as decimals joined by commas."""
-        known = self.units.get(unit)
+                at -= size[token]
+                token = prefix[token]
+            last = out[-1] if out else -1
+
+    def word_ids(self, word: str) -> str:
+        """The ids of a word of the pre-tokenizer, as decimals joined by commas."""
+        known = self.older.get(word)
         if known is None:
-            if len(self.units) >= CACHE:
-                for k in list(self.units)[: CACHE // 2]:
-                    del self.units[k]
             if len(self.table) >= CACHE:
                 self.table.clear()
-            known = ",".join([str(i) for w in self.split_text.findall(unit) for i in self.encode_word(w.encode("utf-8"))])
-            if len(unit) < 200:
-                self.units[unit] = known
+            known = ",".join(map(str, self.encode_word(word.encode("utf-8"))))
+        if len(word) < 200:
+            if len(self.words) >= CACHE:
+                self.older, self.words = self.words, {}
+            self.words[word] = known
         return known
 
+    def encode_part(self, part: str) -> str:
+        """The same of text without special tokens."""
+        words = self.split_text.findall(part)
+        found = list(map(self.words.get, words))
+        for k, known in enumerate(found):
+            if known is None:
+                found[k] = self.words.get(words[k]) or self.word_ids(words[k])
+        return ",".join(found)
+
     def encode_joined(self, text: str) -> str:
-        """All ids as decimals joined by commas. A space between two solid characters always starts a word, so texts are cut there."""
+        """All ids as decimals joined by commas."""
         parts = self.cut_special.split(text) if self.cut_special and any(s in text for s in self.special) else [text]
-        out: list[str] = []
-        for part in parts:
-            if part in self.special:
-                out.append(str(self.special[part]))
-            elif part:
-                units = SOLID_CUT.split(part)
-                known = self.units
-                for k, u in enumerate(units):
-                    u = " " + u if k else u
-                    out.append(known.get(u) or self.joined(u))
-        return ",".join(out)
+        return ",".join([str(self.special[x]) if x in self.special else self.encode_part(x) for x in parts if x])
 
     def encode(self, text: str) -> list[int]:
         joined = self.encode_joined(text)
@@ -200,9 +190,6 @@ class Bpe:
         return self.decode_bytes(np.asarray(list(ids), np.int64)).decode("utf-8", "replace")
 
 
-SOLID_CUT = regex.compile(r"(?<=\S) (?=\S)")
-
-
 def numbers(joined: str) -> np.ndarray:
     """Decimals joined by commas as an array."""
     return np.fromstring(joined, np.int64, sep=",") if joined else np.zeros(0, np.int64)
