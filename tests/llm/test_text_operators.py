@@ -629,6 +629,24 @@ def test_recurrent_vocabulary_grows(spark, monkeypatch):
     assert recurrent_lm.vocabulary_size(10**12, 2048, 40) == (80_000, 200)
 
 
+def test_recurrent_rounds_have_tasks_by_their_share(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(recurrent_lm, "averaged", lambda texts, v, start, rate: (seen.append((texts.rdd.getNumPartitions(), texts.count())), start)[1])
+    monkeypatch.setattr(recurrent_lm, "store", lambda df, tag: df.persist())
+    monkeypatch.setattr(recurrent_lm, "drop_stored", lambda spark, df: None)
+    df = spark.createDataFrame([(i, f"some words {i} " * 40) for i in range(240)], "doc_id bigint, text string").repartition(4)
+    assert recurrent_lm.scored(df, chunk_bytes=5_000).count() == 240
+    (a, _), (b, _), (c, _) = seen
+    assert 1 <= a < b < c and sum(rows for _, rows in seen) == sum(zlib.crc32(str(i).encode()) % 10 != 0 for i in range(240))
+
+
+def test_recurrent_distinct_numbers():
+    numbers = np.array([7, -3, 7, 7, 0, -3, 9], np.int64)
+    words, first, at = recurrent_lm.distinct_of(numbers)
+    assert words.tolist() == [7, -3, 0, 9] and first.tolist() == [0, 1, 4, 6] and words[at].tolist() == numbers.tolist()
+    assert [len(x) for x in recurrent_lm.distinct_of(numbers[:0])] == [0, 0, 0]
+
+
 def test_recurrent_scores(spark, docs):
     rng = random.Random(6)
     rows = [(i, " ".join(["alpha", "beta", "gamma", "delta"] * rng.randint(5, 30))) for i in range(400)] + [(1000, None), (1001, ""), (1002, "new wörds only")]

@@ -49,7 +49,6 @@ ADD = 0.1
 END = 0  # the number of the end token
 SHAPES, BUCKETS = 64, 512
 LANES, WINDOW, PORTION, ROWS = 512, 32, 4_000_000, 1024
-_rows = np.arange(ROWS)
 #: Partitions of a shuffle by chunks at most.
 MOST_PARTS = 20_000
 
@@ -83,7 +82,7 @@ _random = np.random.default_rng(20240601)
 #: A random number for each byte (A-Z as a-z) and for each place in a word: a word's number is the sum of their products, mixed.
 _byte, _place = (_random.integers(1, 2**64, n, dtype=np.uint64) | np.uint64(1) for n in (256, 1 << 16))
 _byte[ord("A") : ord("Z") + 1] = _byte[ord("a") : ord("z") + 1]
-_blank = np.isin(np.arange(256), [32, *range(9, 14)])
+_byte[[32, *range(9, 14)]] = 0  # white space adds nothing to the word before it
 
 
 def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,35 +93,48 @@ def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     offsets = offsets - offsets[0]
     numbers, shapes, counts = [], [], []
     first = 0
-    while first < len(binary):  # about a megabyte at once, or one longer text
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + 1_000_000, side="right")) - 1)
+    while first < len(binary):  # what stays in the processor's cache, or one longer text
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + 200_000, side="right")) - 1)
         b, borders = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-        solid = ~_blank[b]
-        begins = solid.copy()
+        solid = (b != 32) & (b - np.uint8(9) > 4)
+        begins, stops = solid.copy(), solid.copy()
         begins[1:] &= ~solid[:-1]
-        at = borders[:-1][borders[:-1] < borders[1:]]
-        begins[at] = solid[at]  # a text's first byte begins a word
-        starts, inside = np.flatnonzero(begins), np.flatnonzero(solid)
-        heads = np.searchsorted(inside, starts)
-        sizes = np.diff(np.append(heads, len(inside)))
-        place = np.arange(len(inside)) - np.repeat(heads, sizes)
-        c = b[inside]
-        values = _byte[c] * (_place[place & 0xFFFF] + (place >> 16).astype(np.uint64) * np.uint64(2))
-        h = np.add.reduceat(values, heads) if len(heads) else np.zeros(0, np.uint64)
+        stops[:-1] &= ~solid[1:]
+        filled = borders[:-1] < borders[1:]
+        begins[borders[:-1][filled]] = solid[borders[:-1][filled]]  # a text's first byte begins a word
+        stops[borders[1:][filled] - 1] = solid[borders[1:][filled] - 1]
+        starts, final = np.flatnonzero(begins), np.flatnonzero(stops)
+        h, wide = np.zeros(0, np.uint64), np.zeros(len(starts), bool)
+        if len(starts):
+            b = b[starts[0] :]
+            place = np.arange(starts[0], starts[0] + len(b)) - np.repeat(starts, np.diff(np.append(starts, starts[0] + len(b))))
+            if (final - starts).max() > 0xFFFF:
+                values = np.take(_place, place & 0xFFFF) + (place >> 16).astype(np.uint64) * np.uint64(2)
+            else:
+                values = np.take(_place, place, mode="clip")  # places beyond are white space
+            values *= np.take(_byte, b, mode="clip")
+            h = np.add.reduceat(values, starts - starts[0])
+            wide[np.searchsorted(starts, starts[0] + np.flatnonzero(b >= 128), side="right") - 1] = True
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(29)
-        wide = np.maximum.reduceat(c, heads) >= 128 if len(heads) else np.zeros(0, bool)
         own = np.searchsorted(starts, borders)
         ends = own[1:]
         numbers.append(np.insert(h.view(np.int64), ends, END))
-        shapes.append(np.insert(_shapes[c[heads + sizes - 1]] + 32 * wide, ends, 0).astype(np.uint8))
+        shapes.append(np.insert(_shapes[data[offsets[first] + final]] + 32 * wide, ends, 0).astype(np.uint8))
         counts.append(np.diff(own) + 1)
         first = last
     join = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
     return join(numbers, np.int64), join(shapes, np.uint8), np.cumsum(join(counts, np.int64))
 
 
+def distinct_of(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers in the order they come in, where each comes first, and the place of each number among them."""
+    found = pa.array(numbers).dictionary_encode()
+    at = found.indices.to_numpy()
+    return found.dictionary.to_numpy(), np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1)) if len(at) else at, at
+
+
 def chunked(docs: DataFrame, most: int) -> DataFrame:
     """docs, whose uid rises along each task's rows, with a `chunk`: runs of rows of at most `most` bytes of text, or one longer row."""
 
@@ -147,7 +159,7 @@ def chunk_words(stamped: DataFrame) -> DataFrame:
     def rows(batches):
         def send(chunk, parts):
             numbers, shapes, train = (np.concatenate(x) for x in zip(*parts, strict=True))
-            words, first, at = np.unique(numbers, return_index=True, return_inverse=True)
+            words, first, at = distinct_of(numbers)
             n = np.bincount(at, train, len(words)).astype(np.int64)
             kept = (n > 0) | (words != END)
             return pa.RecordBatch.from_arrays([pa.array(words[kept]), pa.array(np.full(int(kept.sum()), chunk)), pa.array(n[kept]), pa.array(shapes[first][kept].astype(np.int32))], ["word", "chunk", "n", "shape"])
@@ -285,14 +297,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    """In place: rows that sum to one; returns the logarithm of each row's sum before. Each row is shifted by its largest value, so that none vanishes beside another."""
-    shift = z.max(1)
-    z -= shift[:, None]
+def chances(weights: np.ndarray, h: np.ndarray, own: np.ndarray, grad: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each row's `own` among outputs that are weights times rows of h; grad: also the slope of its negative, (outputs, rows).
+
+    Outputs lie along the first axis, so that each step over them takes many rows at once. Each row is shifted by its largest value, so that none vanishes beside another.
+    """
+    z, row = weights @ h.T, np.arange(len(h))
+    found, shift = z[own, row], z.max(0)
+    z -= shift
     np.exp(z, out=z)
-    total = z @ np.ones(z.shape[1], z.dtype)
-    z *= (1 / total)[:, None]
-    return np.log(total) + shift
+    total = np.ones(len(z), z.dtype) @ z
+    found -= np.log(total) + shift
+    if grad:
+        z *= 1 / total
+        z[own, row] -= 1
+    return found, z
 
 
 class Lanes:
@@ -366,99 +385,113 @@ class Network:
         self.v, self.p = v, params
         self.hidden = params["U"].shape[0]
         self.square = {k: np.full_like(x, 0.1) for k, x in params.items()}
+        self.by_input: np.ndarray | None = None  # gates of each input, while weights stay as they are
 
-    def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states after each step of input rows x (steps, lanes); keep: also what back-propagation needs."""
+    def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple]:
+        """Hidden states after each step of input rows x (steps, lanes); keep: also what back-propagation needs, each (steps, lanes, values)."""
         p, n = self.p, self.hidden
-        out, trail = np.empty((len(x), x.shape[1], n), p["U"].dtype), []
-        gates = (np.take(p["E"], x.ravel(), axis=0) @ p["X"]).reshape(*x.shape, 3 * n)
-        gates += p["b"]
+        out = np.empty((len(x), x.shape[1], n), p["U"].dtype)
+        before, zrs, cs, us = (np.empty((*x.shape, m * n), out.dtype) for m in (1, 2, 1, 3)) if keep else [None] * 4
+        gates = self.gates(x)
+        old, some = (~fresh)[..., None].astype(out.dtype), fresh.any(1)
         for t in range(len(x)):
-            h = h * ~fresh[t][:, None]
-            u = h @ p["U"]
-            zr = sigmoid(gates[t, :, : 2 * n] + u[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            c = r * u[:, 2 * n :]
+            if some[t]:
+                h = h * old[t]
+            u = np.matmul(h, p["U"], out=us[t] if keep else None)
+            zr = np.add(gates[t, :, : 2 * n], u[:, : 2 * n], out=zrs[t] if keep else None)
+            sigmoid(zr)
+            c = np.multiply(zr[:, n:], u[:, 2 * n :], out=cs[t] if keep else None)
             c += gates[t, :, 2 * n :]
             np.tanh(c, out=c)
             if keep:
-                trail.append((h, z, r, c, u[:, 2 * n :]))
-            new = c - h
-            new *= z
+                before[t] = h
+            new = np.subtract(c, h, out=out[t])
+            new *= zr[:, :n]
             new += h
-            out[t] = h = new
-        return out, trail
+            h = new
+        return out, (before, zrs, cs, us)
+
+    def gates(self, x: np.ndarray) -> np.ndarray:
+        """What inputs add to the gates: a row of a table for each input, made before where there are fewer inputs than tokens."""
+        p = self.p
+        if self.by_input is not None:
+            return np.take(self.by_input, x, axis=0)
+        if x.size > len(p["E"]):
+            return np.take(p["E"] @ p["X"] + p["b"], x, axis=0)
+        return np.take(p["E"], x, axis=0) @ p["X"] + p["b"]
 
     def log_p(self, h: np.ndarray, y: np.ndarray, grad: bool = False):
         """Log probabilities of target codes y given states h (both flat), tail words' count factor left out; grad: also the gradients."""
         p, v = self.p, self.v
         cls, k = v.classes_of(y), len(v.words)
         out, dh = np.empty(len(y), h.dtype), np.empty_like(h) if grad else None
-        g = {x: np.zeros_like(p[x]) for x in "CcWw"} if grad else {}
+        h1 = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)  # the last weight is the bias
+        weights = np.concatenate([p["C"].T, p["c"][:, None]], 1)
+        slope = np.zeros_like(weights)
         for i in range(0, len(y), ROWS):  # tables of few rows stay in the processor's cache
-            hs, own = h[i : i + ROWS], cls[i : i + ROWS]
-            row = _rows[: len(own)]
-            z = hs @ p["C"]
-            z += p["c"]
-            found = z[row, own]
-            found -= softmax(z)
-            out[i : i + ROWS] = found
+            hs = h1[i : i + ROWS]
+            out[i : i + ROWS], z = chances(weights, hs, cls[i : i + ROWS], grad)
             if grad:
-                z[row, own] -= 1
-                g["C"] += hs.T @ z
-                g["c"] += z.sum(0)
-                dh[i : i + ROWS] = z @ p["C"].T
+                slope += z @ hs
+                dh[i : i + ROWS] = (p["C"] @ z).T
+        g = {"C": slope[:, :-1].T.copy(), "c": slope[:, -1].copy()} if grad else {}
         at = np.flatnonzero(y < k)
-        at = at[np.argsort(cls[at], kind="stable")]
-        edges = np.searchsorted(cls[at], np.arange(v.groups + 1))
+        own = cls[at].astype(np.int16 if v.groups < 1 << 15 else np.int64)  # short numbers sort faster
+        order = np.argsort(own, kind="stable")
+        at, own = at[order], own[order]
+        edges = np.searchsorted(own, np.arange(v.groups + 1))
+        weights = np.concatenate([p["W"], p["w"][:, None]], 1)
+        slope, hs, ys = np.zeros_like(weights), h1[at], y[at]
+        inner, dhs = np.zeros(len(at), h.dtype), np.zeros((len(at), self.hidden), h.dtype) if grad else None
         for q in range(v.groups):
-            some = at[edges[q] : edges[q + 1]]
-            a, b = v.start[q], v.start[q + 1]
-            if not len(some) or b - a == 1:
+            some, a, b = slice(edges[q], edges[q + 1]), v.start[q], v.start[q + 1]
+            if some.start == some.stop or b - a == 1:
                 continue
-            hs, own, row = h[some], y[some] - a, np.arange(len(some))
-            z = hs @ p["W"][a:b].T
-            z += p["w"][a:b]
-            found = z[row, own]
-            found -= softmax(z)
-            out[some] += found
+            inner[some], z = chances(weights[a:b], hs[some], ys[some] - a, grad)
             if grad:
-                z[row, own] -= 1
-                g["W"][a:b], g["w"][a:b] = z.T @ hs, z.sum(0)
-                dh[some] += z @ p["W"][a:b]
-        return (out, dh, g) if grad else out
+                slope[a:b] = z @ hs[some]
+                dhs[some] = (p["W"][a:b].T @ z).T
+        out[at] += inner
+        if not grad:
+            return out
+        dh[at] += dhs
+        return out, dh, g | {"W": slope[:, :-1].copy(), "w": slope[:, -1].copy()}
 
     def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray):
         """One window of codes: log probabilities of its tokens, the last state, and the gradients of their negative sum, by truncated
         back-propagation; those of the input table as (rows, gradients) under "E"."""
         p, n = self.p, self.hidden
         x = self.v.inputs_of(x)
-        out, trail = self.states(x, fresh, h, True)
+        out, (before, zr, c, u) = self.states(x, fresh, h, True)
         real = y.ravel() >= 0
         log, dh, g = self.log_p(out.reshape(-1, n)[real], y.ravel()[real], True)
         per_step = np.zeros((y.size, n), out.dtype)
         per_step[real] = dh
         per_step = per_step.reshape(out.shape)
-        dg = np.empty((*x.shape, 3 * n), out.dtype)
-        g["U"] = np.zeros_like(p["U"])
-        back = np.zeros_like(out[0])
+        # the slopes of a step's state to its gates and candidate, for all steps at once
+        z, r = zr[:, :, :n], zr[:, :, n:]
+        to_z = (c - before) * (z - z * z)
+        to_c = z * (1 - c * c)
+        to_r = to_c * u[:, :, 2 * n :] * (r - r * r)
+        to_u = to_c * r
+        stay, old, some = 1 - z, (~fresh)[..., None].astype(out.dtype), fresh.any(1)
+        du, ds = np.empty((*x.shape, 3 * n), out.dtype), np.empty_like(out)
+        back, across = np.zeros_like(out[0]), np.ascontiguousarray(p["U"].T)
         for t in range(len(x) - 1, -1, -1):
-            h0, z, r, c, uc = trail[t]
-            d = back + per_step[t]
-            da = d * z
-            dg[t, :, :n] = (d * (c - h0)) * (z - z * z)
-            da *= 1 - c * c
-            dg[t, :, n : 2 * n] = da * uc * (r - r * r)
-            dg[t, :, 2 * n :] = da
-            du = dg[t].copy()
-            du[:, 2 * n :] *= r
-            g["U"] += h0.T @ du
-            back = d * (1 - z)
-            back += du @ p["U"].T
-            back *= ~fresh[t][:, None]
-        flat, ids = dg.reshape(-1, 3 * n), x.ravel()
-        g["b"], g["X"] = flat.sum(0), np.take(p["E"], ids, axis=0).T @ flat
-        order = np.argsort(ids, kind="stable")
+            d = np.add(back, per_step[t], out=ds[t])
+            np.multiply(d, to_z[t], out=du[t, :, :n])
+            np.multiply(d, to_r[t], out=du[t, :, n : 2 * n])
+            np.multiply(d, to_u[t], out=du[t, :, 2 * n :])
+            back = du[t] @ across
+            d = d * stay[t]
+            back += d
+            if some[t]:
+                back *= old[t]
+        flat, ids = du.reshape(-1, 3 * n), x.ravel()
+        g["U"] = before.reshape(-1, n).T @ flat
+        flat[:, 2 * n :] = (ds * to_c).reshape(-1, n)
+        g["b"], g["X"] = np.ones(len(flat), flat.dtype) @ flat, np.take(p["E"], ids, axis=0).T @ flat
+        order = np.argsort(ids.astype(np.int16) if len(p["E"]) < 1 << 15 else ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
         g["E"] = ids[order][first], np.add.reduceat(np.take(flat @ p["X"].T, order, axis=0), first, axis=0)
         return log, out[-1], g
@@ -486,6 +519,7 @@ class Network:
     def score(self, docs: list[np.ndarray], end: int) -> np.ndarray:
         """Natural log probability of each document, tail words' count factor left out; the state goes on from window to window."""
         out = [np.zeros(0)]
+        self.by_input = self.p["E"] @ self.p["X"] + self.p["b"]
         for some in portions(docs, PORTION):
             lanes, h, t = Lanes(some, LANES), None, 0
             got = np.zeros(lanes.y.shape)
@@ -498,6 +532,7 @@ class Network:
                 got[t : t + len(y), :n] = part.reshape(y.shape)
                 h, t = states[-1], t + len(y)
             out.append(lanes.per_document(got))
+        self.by_input = None
         return np.concatenate(out)
 
 
@@ -583,7 +618,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out_of
         """A chunk's documents as codes, with what the counts alone say of them."""
         k = len(v.words)
         numbers, shapes, ends = hashed(left.column("text").combine_chunks())
-        words, first, at = np.unique(numbers, return_index=True, return_inverse=True)
+        words, first, at = distinct_of(numbers)
         listed, c_of = (right.column(x).combine_chunks().to_numpy() for x in ("word", "c"))
         order = np.argsort(listed)
         place = order[np.minimum(np.searchsorted(listed[order], words), max(len(listed) - 1, 0))] if len(listed) else np.zeros(len(words), np.int64)
@@ -614,7 +649,9 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out_of
     params = initial(v, hidden)
     deal = F.pmod(F.xxhash64("key", "codes"), F.lit(12))
     for rate, low, high in zip(rates, (0, 1, 4), (1, 4, 12), strict=True):
-        params = averaged(coded.where(~F.col("held_out") & (deal >= low) & (deal < high)).select("codes"), v, params, rate)
+        # as many tasks as the round's share of the chunks: a batch takes as many steps as its longest document has tokens, however few others it has
+        dealt = coded.where(~F.col("held_out") & (deal >= low) & (deal < high)).select("codes").coalesce(max(1, n * (high - low) // 12))
+        params = averaged(dealt, v, params, rate)
 
     def score(batches):
         net = Network(v, params)
