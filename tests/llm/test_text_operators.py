@@ -518,6 +518,18 @@ def test_jaccard_join_matches_brute_force(spark, texts):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == plain_components(rows)
 
 
+def test_jaccard_join_links_short_texts_whose_common_tokens_are_not_sampled(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(150):  # sets of 4 to 12 shingles, with one of one more: linked, some without a sampled token in common
+        w = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(8, 16))]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join([*w, "more"]))]
+    out = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    want = plain_components(rows)
+    assert len({c for _, c in want.values()}) == 150
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
+
+
 def test_jaccard_join_edges(docs):
     out = jaccard_join.near_duplicates(docs).collect()
     assert len(out) == docs.count()
