@@ -53,6 +53,18 @@ def test_a_hot_cell_is_split(spark):
     assert spatial.within(df.limit(4), df.limit(4), 8.0, "id", "id").columns == ["id", "id_near", "metres"]
 
 
+def test_equally_far_places_take_the_smallest_id(spark):
+    grid = [(52.0 + i / 1e5, 5.0 + j / 1e5) for i in range(0, 40, 3) for j in range(0, 40, 3)]
+    left = spark.createDataFrame([(k, *p) for k, p in enumerate(grid)], "id int, lat double, lon double")
+    for a, b in ((2e-5, 0.0), (0.0, 2e-5)):  # one on either side of each, further ones beyond; the later side has the smaller ids
+        sides = [(2 * k + (s < 0), lat + s * a, lon + s * b) for k, (lat, lon) in enumerate(grid) for s in (1, -1)]
+        known = spark.createDataFrame(sides, "other int, lat double, lon double")
+        want = {}
+        for k, p in enumerate(grid):
+            want[k] = min((round(metres(p, (lat, lon)), 6), o) for o, lat, lon in sides)[1]
+        assert {r["id"]: r["other"] for r in spatial.nearest_within(left, known, 150.0, "id", "other", digits=6).collect()} == want
+
+
 @pytest.mark.parametrize("block", [1, 7, 64, 10_000])
 def test_running_products(spark, block):
     rng = np.random.default_rng(block)

@@ -67,8 +67,8 @@ def metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def wrapped(degrees: Column) -> Column:
-    """An angle in [-180, 180). [SFN-31]"""
-    return F.pmod(degrees + 180, F.lit(360)) - 180
+    """An angle in [-180, 180); one that is there stays as it is, to the last digit. [SFN-31]"""
+    return F.when((degrees >= -180) & (degrees < 180), degrees).otherwise(F.pmod(degrees + 180, F.lit(360)) - 180)
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -52,11 +52,16 @@ def within(left: DataFrame, right: DataFrame, reach_m: float, left_id: str, righ
     return both.where(F.col("metres") <= reach_m).select(F.col("l").alias(left_id), F.col("r").alias(right_id if right_id != left_id else f"{right_id}_near"), "metres")
 
 
-def nearest_within(left: DataFrame, right: DataFrame, reach_m: float, left_id: str, right_id: str, at: tuple[str, str] = ("lat", "lon")) -> DataFrame:
-    """For each left row with one, the nearest right row at most reach_m away; of equal ones the smallest. [JOI-17]"""
+def nearest_within(left: DataFrame, right: DataFrame, reach_m: float, left_id: str, right_id: str, at: tuple[str, str] = ("lat", "lon"), digits: int | None = None) -> DataFrame:
+    """For each left row with one, the nearest right row at most reach_m away; of equal ones, or of those equal in `digits` decimals of a metre, the smallest. [JOI-17]"""
     pairs = within(left, right, reach_m, left_id, right_id, at)
     other = pairs.columns[1]
-    return pairs.groupBy(left_id).agg(F.min(F.struct("metres", other)).alias("m")).select(left_id, f"m.{other}", "m.metres")
+    best = F.min(F.struct(rounded(digits).alias("rounded"), other, "metres")).alias("m")
+    return pairs.groupBy(left_id).agg(best).select(left_id, f"m.{other}", "m.metres")
+
+
+def rounded(digits: int | None) -> Column:
+    return F.col("metres") if digits is None else F.round("metres", digits)
 
 
 #: What a degree of latitude is, for tests and callers that build grids.

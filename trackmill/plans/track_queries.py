@@ -102,7 +102,7 @@ def places_within_reach(spark, sf):
 def nearest_known_place(spark, sf):
     """The nearest known place within 150 metres of each new one. [JOI-17, STA-14]"""
     p = events(spark, sf).groupBy(F.col("user_id").alias("id")).agg((52.0 + F.max("v") % 400 / 1e5).alias("lat"), (5.0 + F.min("event_id") % 300 / 1e5).alias("lon"))
-    return spatial.nearest_within(p.where("id % 2 = 0"), p.where("id % 2 = 1").withColumnRenamed("id", "other"), 150.0, "id", "other").select("id", "other")
+    return spatial.nearest_within(p.where("id % 2 = 0"), p.where("id % 2 = 1").withColumnRenamed("id", "other"), 150.0, "id", "other", digits=6).select("id", "other")
 
 
 @query(""", c AS (SELECT event_id AS id, user_id AS m, CASE WHEN v % 11 <> 0 THEN us / 1e6 END AS s, CAST(v % 7200 AS DOUBLE) AS d FROM b),
