@@ -65,6 +65,27 @@ def test_equally_far_places_take_the_smallest_id(spark):
         assert {r["id"]: r["other"] for r in spatial.nearest_within(left, known, 150.0, "id", "other", digits=6).collect()} == want
 
 
+def test_the_nearest_of_a_dense_place_is_found_without_all_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    spots = [(52.0 + rng.randrange(300) / 1e5, 5.0 + rng.randrange(300) / 1e5) for _ in range(1500)]
+    left = [(k, *rng.choice(spots)) for k in range(1500)] + [(9001, 52.0, 5.0045), (9002, 52.0, 5.01), (9003, 52.0, 5.0045), (9003, None, 5.0)]
+    right = [(k, *rng.choice(spots)) for k in range(1500)] + [(k, 52.001, 5.001) for k in range(2000, 4000)]
+    met, plain = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda *a: met.append(plain(*a)) or met[-1])
+    a, b = (spark.createDataFrame(r, f"{n} int, lat double, lon double").repartition(3) for r, n in ((left, "id"), (right, "other")))
+    got = {r["id"]: r["other"] for r in spatial.nearest_within(a, b, 150.0, "id", "other", digits=6).collect()}
+    distinct = {}
+    for k, *p in right:
+        distinct[tuple(p)] = min(k, distinct.get(tuple(p), k))
+    want = {}
+    for k, lat, lon in left:
+        d, j = min(((round(metres((lat, lon), p), 6), j) for p, j in distinct.items()), default=(math.inf, 0)) if lat else (math.inf, 0)
+        if d <= 150:
+            want[k] = j
+    assert got == want and 9001 in got and 9002 not in got
+    assert len(met) > 1 and sum(p.count() for p in met) < 60_000  # of 5 million within reach
+
+
 @pytest.mark.parametrize("block", [1, 7, 64, 10_000])
 def test_running_products(spark, block):
     rng = np.random.default_rng(block)
