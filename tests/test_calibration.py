@@ -266,3 +266,20 @@ def test_fits_as_a_dataframe(spark):
     assert [got[k]["reason"] for k in (90, 91, 92)] == ["too little"] * 3
     assert cal.fit_keyframes(df.limit(0)).count() == 0
     assert cal.fit_keyframes(df, prior=None, search=False).where(F.col("fit.model") == "camera").count() == 0
+
+
+def test_small_rows_are_fitted_by_many_tasks(spark):
+    eye = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    df = spark.range(64).coalesce(1).select("id", F.array(*map(F.lit, eye)).alias("h"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.expr("cast(null as array<struct<x: double, y: double>>)").alias("clicks"))
+    for out in (cal.inverse_cameras(df), cal.fit_keyframes(df, prior=None)):
+        rows = out.select("id", F.spark_partition_id().alias("task")).collect()
+        assert sorted(r["id"] for r in rows) == list(range(64)) and len({r["task"] for r in rows}) >= 4
+
+
+def test_points_cost_the_same_with_and_without_a_line(spark):
+    rng = np.random.default_rng(2)
+    point = [{"x": x, "y": y, "px": p, "py": q} for x, y, p, q in rng.uniform(0, 60, (7, 4))]
+    line = {"x": 1.0, "y": 2.0, "ax": 0.0, "ay": 0.0, "bx": 9.0, "by": 1.0}
+    camera, size = rng.uniform(0.1, 1.0, (1, 7)) + [0, 0, 3, 0, 0, 0, 6], np.array([[1920.0, 1080.0]])
+    alone, mixed = (cal.click_errors(camera, cal.Clicks([c], size)) for c in (point, [*point, line]))
+    assert np.allclose(alone[0], mixed[0, :7], rtol=1e-12) and alone.any()
