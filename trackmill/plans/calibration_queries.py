@@ -27,19 +27,29 @@ def cameras(spark, sf) -> DataFrame:
     )
 
 
-def view(pitch_to_image: bool = True) -> list[Column]:
-    """The matrix of the camera in a row's columns."""
+def view() -> Column:
+    """The matrix of the camera in a row's columns, pitch to image, as an array."""
     at = [F.col(c) for c in ("x", "y", "height", "yaw", "tilt", "roll")]
-    m = camera.camera_homography(*at, F.log("focal"), F.lit(1920.0), F.lit(1080.0))
-    return m if pitch_to_image else [v * F.signum(geometry.determinant(m)) for v in geometry.adjugate(m)]
+    return F.array(*camera.camera_homography(*at, F.log("focal"), F.lit(1920.0), F.lit(1080.0)))
+
+
+def view_back() -> Column:
+    """The same, image to pitch; the first matrix is computed once a row, as a lambda's variable."""
+
+    def back(h: Column) -> Column:
+        m = [h[i] for i in range(9)]
+        return F.array(*[v * F.signum(geometry.determinant(m)) for v in geometry.adjugate(m)])
+
+    return F.element_at(F.transform(F.array(view()), back), 1)
 
 
 def keyframes(spark, sf, shift: Column | None = None) -> DataFrame:
     """One keyframe a user: clicks where the camera shows their events' places; shift: pixels that a click (place, n) is off."""
     e = events(spark, sf).groupBy(F.col("user_id").alias("u"), "kind", F.floor(F.col("day") / 7).alias("week"))
     clicks = e.agg(F.min(F.struct("us", F.col("event_id").alias("id"), (F.col("v") % 106).cast("double").alias("px"), (F.floor(F.col("us") / 1_000_000) % 69).cast("double").alias("py"))).alias("m"))
-    c = clicks.select("u", "m.id", "m.px", "m.py").join(cameras(spark, sf), "u")
-    ix, iy, w = geometry.projected(view(), F.col("px"), F.col("py"))
+    # matrices are made below the join, once a camera and not in each click's every coordinate
+    c = clicks.select("u", "m.id", "m.px", "m.py").join(cameras(spark, sf).withColumn("h", view()), "u")
+    ix, iy, w = geometry.projected([F.col("h")[i] for i in range(9)], F.col("px"), F.col("py"))
     away = F.cos("yaw") * F.cos("tilt") * (F.col("px") - F.col("x")) + F.sin("yaw") * F.cos("tilt") * (F.col("py") - F.col("y")) + F.sin("tilt") * F.col("height")
     c = c.where(away > 1).withColumn("ix", ix).withColumn("iy", iy).where(F.col("ix").between(-400, 2320) & F.col("iy").between(-400, 1480))
     g = c.groupBy("u", "x", "y", "height", "yaw", "tilt", "focal").agg(F.sort_array(F.collect_list(F.struct("id", "ix", "iy", "px", "py"))).alias("cs"))
@@ -70,7 +80,7 @@ def lone_clicks(spark, sf):
 @query(CAMERAS_SQL + """ SELECT u, CAST(round(x) AS BIGINT) AS x, CAST(round(y) AS BIGINT) AS y, CAST(round(height) AS BIGINT) AS height, CAST(round(focal / 5) AS BIGINT) AS focal, true AS exact FROM cam""")
 def cameras_from_views(spark, sf):
     """The camera behind each user's image-to-pitch matrix. [STA-11]"""
-    c = cameras(spark, sf).withColumn("h", F.array(*view(False))).select("u", "h", F.lit(1920).alias("width"), F.lit(1080).alias("height"))
+    c = cameras(spark, sf).withColumn("h", view_back()).select("u", "h", F.lit(1920).alias("width"), F.lit(1080).alias("height"))
     f = calibration.inverse_cameras(c)
     at = lambda i: F.col("seen_by.camera")[i]
     return f.select("u", *[F.round(at(i)).cast("long").alias(n) for i, n in enumerate(("x", "y", "height"))], F.round(F.exp(at(6)) / 5).cast("long").alias("focal"), (F.col("seen_by.error") < 1).alias("exact"))
@@ -81,7 +91,7 @@ def views_at_stations(spark, sf):
     """Each user's view fits a camera at their place that looks elsewhere, and none forty metres away. [CAL-07]"""
     c = cameras(spark, sf)
     station = F.array("x", "y", "height", F.col("yaw") + 0.2, F.lit(0.0), F.lit(0.0), F.log(F.col("focal") * 0.8))
-    c = c.select("u", F.array(*view(False)).alias("h"), station.alias("here"), F.lit(1920).alias("width"), F.lit(1080).alias("height"))
+    c = c.select("u", view_back().alias("h"), station.alias("here"), F.lit(1920).alias("width"), F.lit(1080).alias("height"))
     away = F.transform("here", lambda v, i: F.when(i == 0, v - 40).when(i == 2, v + 5).otherwise(v))
     c = calibration.plausible(c, station="here").withColumn("there", away)
     c = calibration.plausible(c, station="there", result="elsewhere")
